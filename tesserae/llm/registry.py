@@ -5,11 +5,13 @@ from __future__ import annotations
 from tesserae.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tesserae.llm.mixing import OP2_SQL, op2_mix_sources
 from tesserae.llm.simhash import op9_simhash
+from tesserae.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
+        "op4_toxicity": op4_toxicity,
         "op6_line_dedup": op6_line_dedup,
         "op9_simhash": op9_simhash,
     }

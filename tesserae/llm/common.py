@@ -203,10 +203,3 @@ def anchors(values: np.ndarray, first: np.ndarray, window: int, gram: int) -> di
         "fp2": Sequence(values, _R2).of(lo, hi + window).view(np.int64),
     }
 
-
-def merge_ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs covered by the ranges [begin, end); ranges that touch are one."""
-    order = np.argsort(begin, kind="stable")
-    b, e = begin[order], np.maximum.accumulate(end[order])
-    new = np.flatnonzero(np.concatenate(([True], b[1:] > e[:-1])))
-    return b[new], e[np.concatenate((new[1:], [len(b)])) - 1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tesserae.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tesserae.llm.mixing import OP2_SQL, op2_mix_sources
 from tesserae.llm.packing import op8_packing
+from tesserae.llm.phrases import op3_phrases
 from tesserae.llm.simhash import op9_simhash
 from tesserae.llm.toxicity import op4_toxicity
 from tesserae.llm.wavelet import op5_wavelet
@@ -13,6 +14,7 @@ from tesserae.llm.wavelet import op5_wavelet
 def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
+        "op3_phrases": op3_phrases,
         "op4_toxicity": op4_toxicity,
         "op5_wavelet": op5_wavelet,
         "op6_line_dedup": op6_line_dedup,

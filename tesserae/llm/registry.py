@@ -7,6 +7,7 @@ from tesserae.llm.mixing import OP2_SQL, op2_mix_sources
 from tesserae.llm.packing import op8_packing
 from tesserae.llm.phrases import op3_phrases
 from tesserae.llm.simhash import op9_simhash
+from tesserae.llm.suffixes import op7_suffixes
 from tesserae.llm.toxicity import op4_toxicity
 from tesserae.llm.wavelet import op5_wavelet
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op4_toxicity": op4_toxicity,
         "op5_wavelet": op5_wavelet,
         "op6_line_dedup": op6_line_dedup,
+        "op7_suffixes": op7_suffixes,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
     }

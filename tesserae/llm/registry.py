@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tesserae.llm.line_dedup import OP6_SQL, op6_line_dedup
+from tesserae.llm.media import op1_progressive_jpeg
 from tesserae.llm.mixing import OP2_SQL, op2_mix_sources
 from tesserae.llm.packing import op8_packing
 from tesserae.llm.phrases import op3_phrases
@@ -14,6 +15,7 @@ from tesserae.llm.wavelet import op5_wavelet
 
 def queries() -> dict:
     return {
+        "op1_progressive_jpeg": op1_progressive_jpeg,
         "op2_mix_sources": op2_mix_sources,
         "op3_phrases": op3_phrases,
         "op4_toxicity": op4_toxicity,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tesserae.llm.embeddings import op10_cover_tree
 from tesserae.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tesserae.llm.media import op1_progressive_jpeg
 from tesserae.llm.mixing import OP2_SQL, op2_mix_sources
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op7_suffixes": op7_suffixes,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
+        "op10_cover_tree": op10_cover_tree,
     }
 
 

@@ -1 +1,58 @@
-"""Registered queries."""
+"""Queries of section 2.13: schema, drift, versions, contracts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.operators import scoring as S
+from tesserae.plans.describing import rounded
+from tesserae.plans.registry import query
+from tesserae.session import table
+
+OLD, NEW = "o_orderdate < '1998-01-01'", "o_orderdate >= '1998-01-01'"
+
+
+def halves(spark, d):
+    o = table(spark, d, "orders")
+    return o.where(OLD), o.where(NEW)
+
+
+@query("schema_check", "select 'extra_column' as code, 'added' as \"column\", 'info' as severity union all select 'missing_column', 'o_custkey', 'fatal' union all select 'kind_changed', 'o_orderstatus', 'warning' union all select 'more_missing', 'o_totalprice', 'warning'")
+def _(spark, d):
+    old, new = halves(spark, d)
+    new = new.drop("o_custkey").withColumn("added", F.lit(1)).withColumn("o_orderstatus", F.length("o_orderstatus")).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
+    return S.schema_check(old, new, ["o_orderpriority"])
+
+
+@query("drift_report", f"with a as (select * from orders where {OLD}), b as (select * from orders where {NEW}), t as (select sum(abs(coalesce(x.s, 0) - coalesce(y.s, 0))) / 2 as d from (select o_orderpriority, count(*) / sum(count(*)) over () as s from a group by 1) x full join (select o_orderpriority, count(*) / sum(count(*)) over () as s from b group by 1) y using (o_orderpriority)), n as (select (select avg(o_totalprice) from b) - avg(o_totalprice) as x, stddev_samp(o_totalprice) as s from a) select 'o_totalprice' as variable, 'numeric' as kind, {{{{x / s}}}} as drift, case when abs(x / s) < 0.1 then 'none' when abs(x / s) < 0.3 then 'slight' when abs(x / s) < 0.8 then 'moderate' else 'large' end as reading from n union all select 'o_orderpriority', 'categorical', {{{{d}}}}, case when d < 0.05 then 'none' when d < 0.15 then 'slight' when d < 0.35 then 'moderate' else 'large' end from t")
+def _(spark, d):
+    return rounded(S.drift_report(*halves(spark, d), ["o_totalprice"], ["o_orderpriority"]))
+
+
+V = "select '{0}' as variable, 'text' as kind, count(*) as rows, count(*) - count({0}) as missing, count(distinct {0}) as \"distinct\", null::double as mean, null::double as std from orders"
+
+
+@query("version_snapshot", V.format("o_orderstatus") + " union all " + V.format("o_orderpriority") + " union all select 'o_totalprice', 'numeric', count(*), count(*) - count(o_totalprice), count(distinct o_totalprice), {{avg(o_totalprice)}}, {{stddev_samp(o_totalprice)}} from orders")
+def _(spark, d):
+    return rounded(S.version_snapshot(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")))
+
+
+@query("version_diff", "select 'added' as variable, 'added' as change union all select 'o_custkey', 'removed' union all select 'o_orderpriority', 'same' union all select 'o_orderstatus', 'kind' union all select 'o_totalprice', 'mean'")
+def _(spark, d):
+    old, new = halves(spark, d)
+    cols = ["o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"]
+    new = new.select("o_orderpriority", F.length("o_orderstatus").alias("o_orderstatus"), (F.col("o_totalprice") * 3).alias("o_totalprice"), F.lit(1).alias("added"))
+    return S.version_diff(old.select(*cols), new)
+
+
+@query("build_contract", "select 'o_orderstatus' as variable, 'text' as kind, count(distinct o_orderstatus) as levels, 0.05::double as missing_limit from orders union all select 'o_orderpriority', 'text', count(distinct o_orderpriority), 0.05 from orders union all select 'o_totalprice', 'numeric', null, 0.05")
+def _(spark, d):
+    return rounded(S.contract_rows(S.build_contract(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")), spark))
+
+
+@query("check_contract", "select 'column_present' as rule, unnest(['o_orderstatus', 'o_orderpriority', 'o_totalprice']) as variable, true as passed union all select 'missing_share', 'o_orderstatus', true union all select 'missing_share', 'o_orderpriority', true union all select 'missing_share', 'o_totalprice', false union all select 'known_levels', 'o_orderstatus', true union all select 'known_levels', 'o_orderpriority', false union all select 'least_rows', null, true union all select 'target_present', 'o_totalprice', true")
+def _(spark, d):
+    old, new = halves(spark, d)
+    cols = ["o_orderstatus", "o_orderpriority", "o_totalprice"]
+    new = new.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 50 == 0, "unheard").otherwise(F.col("o_orderpriority"))).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
+    return S.check_contract(new.select(*cols), S.build_contract(old.select(*cols)), "o_totalprice")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import clean, strength
 from tesserae.functions.special import t_two_sided
-from tesserae.operators.kernels import global_ranks, gram, long_form, quantiles, value_counts
+from tesserae.operators.kernels import global_ranks, gram, long_form, quantiles, safe_corr, value_counts
 
 
 def sample_skew(n, g1):
@@ -123,7 +123,7 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Every pair over the rows complete in it: n, r, p and a reading, from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     both = lambda a, b: clean(a).isNotNull() & clean(b).isNotNull()
-    row = df.agg(*[F.struct(F.count_if(both(a, b)), F.corr(F.when(both(a, b), clean(a)), F.when(both(a, b), clean(b)))) for a, b in pairs]).first()
+    row = df.agg(*[F.struct(F.count_if(both(a, b)), safe_corr(clean(a), clean(b))) for a, b in pairs]).first()
     rows = []
     for (a, b), (n, r) in zip(pairs, row, strict=True):
         p = t_two_sided(r * np.sqrt((n - 2) / max(1e-300, 1 - r * r)), n - 2) if r is not None and n > 2 else None

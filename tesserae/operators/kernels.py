@@ -14,6 +14,13 @@ def long_form(df: DataFrame, cols: list[str], *keep: str, cast: str = "string")
     return df.select(*keep, F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast(cast).alias("value")) for c in cols])))
 
 
+def safe_corr(a, b):
+    """Pearson's r over the rows where both are there; null where one is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(variable, value, n) of all columns from one shuffle."""
     return long_form(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))

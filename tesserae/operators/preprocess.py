@@ -18,7 +18,7 @@ from tesserae.functions import scalar
 from tesserae.functions.scalar import clean
 from tesserae.functions.special import normal_quantile
 from tesserae.operators import rows as R
-from tesserae.operators.kernels import gram, long_form, quantiles, value_counts
+from tesserae.operators.kernels import gram, long_form, quantiles, safe_corr, value_counts
 
 STEPS: dict[str, tuple[Callable, Callable]] = {}
 
@@ -432,7 +432,7 @@ def _keep(df, cols, chosen):
 
 
 def f_scores_regression(df, cols, target) -> dict[str, float]:
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(clean(c), clean(target)).alias(c) for c in cols]).first()
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[safe_corr(clean(c), clean(target)).alias(c) for c in cols]).first()
     return {c: row[c] ** 2 / max(1e-300, 1 - row[c] ** 2) * (row["_n"] - 2) if row[c] is not None else 0.0 for c in cols}
 
 

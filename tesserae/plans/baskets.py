@@ -1 +1,98 @@
-"""Registered queries."""
+"""Queries of section 2.10's baskets and 2.4's profile."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.operators import baskets as B
+from tesserae.operators import profile as P
+from tesserae.plans.describing import rounded
+from tesserae.plans.registry import query
+from tesserae.plans.tables import GAP, gappy
+from tesserae.session import table
+
+BASKET = "(select distinct l_orderkey as txn, p_type as item from lineitem join part on l_partkey = p_partkey)"
+
+
+def baskets(spark, d):
+    x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return B.basket_build(x, "l_orderkey", "p_type")
+
+
+@query("basket_build", f"select txn, list_sort(list(item))::varchar as items from {BASKET} group by 1")
+def _(spark, d):
+    return baskets(spark, d).select("txn", F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("items"))
+
+
+@query("basket_layout", "select 'o_orderkey' as \"column\", 'long' as layout union all select 'flag', 'wide' union all select 'tags', 'delimited'")
+def _(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).alias("flag"), F.concat_ws(",", "o_orderstatus", "o_orderpriority").alias("tags"))
+    return B.basket_layout(x, x.columns).drop("distinct")
+
+
+PAIRS = f"with b as {BASKET}, n as (select count(distinct txn) as n from b), s as (select item, count(*) as k from b group by 1), p as (select x.item as a, y.item as c, count(*) as k from b x join b y on x.txn = y.txn and x.item < y.item group by 1, 2) "
+
+
+@query("association_itemsets", PAIRS + "select a || '|' || c as items, k as n, {{k / n.n}} as support from p, n where k / n.n >= 0.05")
+def _(spark, d):
+    got = B.association_itemsets(baskets(spark, d), 0.05, 2).where(F.size("items") == 2)
+    return rounded(got.select(F.array_join("items", "|").alias("items"), "n", "support"))
+
+
+RULE = "select {a} as antecedent, {c} as consequent, {{{{p.k / n.n}}}} as support, {{{{p.k / x.k}}}} as confidence, {{{{(p.k / x.k) / (y.k / n.n)}}}} as lift, {{{{p.k / n.n - x.k / n.n * y.k / n.n}}}} as leverage from p join s x on x.item = p.{a} join s y on y.item = p.{c}, n where p.k / n.n >= 0.05 and p.k / x.k >= 0.3"
+
+
+@query("association_rules", PAIRS + RULE.format(a="a", c="c").replace("p.a", "p.a") + " union all " + RULE.format(a="c", c="a"))
+def _(spark, d):
+    got = B.association_rules(B.association_itemsets(baskets(spark, d), 0.05, 2), 0.3, 0.0)
+    return rounded(got.select(F.element_at("antecedent", 1).alias("antecedent"), F.element_at("consequent", 1).alias("consequent"), "support", "confidence", "lift", "leverage"))
+
+
+@query("join_rule_support", PAIRS + "select p.a, p.c, p.k as both, x.k as a_n, y.k as c_n from p join s x on x.item = p.a join s y on y.item = p.c")
+def _(spark, d):
+    i = B.association_itemsets(baskets(spark, d), 0.0001, 2)
+    two = i.where(F.size("items") == 2).select(F.col("items")[0].alias("a"), F.col("items")[1].alias("c"), F.col("n").alias("both"))
+    one = i.where(F.size("items") == 1).select(F.col("items")[0].alias("i"), "n")
+    return two.join(one.toDF("a", "a_n"), "a").join(one.toDF("c", "c_n"), "c")
+
+
+@query("infer_semantic_types", "select 'o_orderkey' as \"column\", 'identifier' as semantic_type union all select 'o_custkey', 'numeric_continuous' union all select 'o_orderstatus', 'categorical_nominal' union all select 'o_totalprice', 'numeric_continuous' union all select 'o_orderdate', 'datetime' union all select 'o_orderpriority', 'categorical_nominal'")
+def _(spark, d):
+    return P.infer_semantic_types(table(spark, d, "orders"))
+
+
+PC = "select '{0}' as variable, count(*) as rows, count(*) - count({0}) as missing, {{{{(count(*) - count({0})) / count(*)}}}} as missing_share, count(distinct {0}) as \"distinct\", {{{{(select max(n) from (select count(*) as n from x where {0} is not null group by {0})) / count({0})}}}} as dominant_share, {{{{avg({0})}}}} as mean, {{{{stddev_samp({0})}}}} as std, {{{{min({0})}}}} as min, {{{{max({0})}}}} as max, count(*) filter ({0} = 0) as zeros, count(*) filter ({0} < 0) as negatives, {{{{quantile_cont({0}, 0.25)}}}} as q1, {{{{quantile_cont({0}, 0.75)}}}} as q3 from x"
+
+
+@query("profile_columns", f"with x as (select l_discount, l_tax, {GAP} as l_quantity from lineitem) " + " union all ".join(PC.format(c) for c in ("l_quantity", "l_discount", "l_tax")))
+def _(spark, d):
+    return rounded(P.profile_columns(gappy(spark, d).select("l_quantity", "l_discount", "l_tax")).drop("dominant", "outliers"))
+
+
+@query("profile_dataset")
+def _(spark, d):
+    return rounded(P.profile_dataset(table(spark, d, "lineitem")))
+
+
+@query("leakage_suspects", "select 'copy' as \"column\", 'correlation' as reason, {{corr(o_totalprice * 1.0001, o_totalprice)}} as r from orders union all select 'predicted', 'name', null")
+def _(spark, d):
+    x = table(spark, d, "orders").select("o_totalprice", "o_custkey", (F.col("o_totalprice") * 1.0001).alias("copy"), (F.col("o_custkey") % 3).alias("predicted"))
+    return rounded(P.leakage_suspects(x, "o_totalprice"))
+
+
+@query("target_candidates", "select 'o_totalprice' as \"column\", 'regression' as task, 5.0::double as score union all select 'o_custkey', 'regression', 2.0 union all select 'o_orderpriority', 'multiclass_classification', 1.0 union all select 'o_orderstatus', 'multiclass_classification', 1.0")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    return P.target_candidates(o, P.infer_semantic_types(o), P.profile_columns(o)).drop("semantic_type")
+
+
+@query("quality_issues", "select 'identifier' as code, 'o_orderkey' as \"column\", 'usefulness' as dimension, 'info' as severity union all select 'constant', 'always', 'usefulness', 'warning' union all select 'severe_missing', 'gone', 'completeness', 'critical'")
+def _(spark, d):
+    o = table(spark, d, "orders").withColumn("always", F.lit("x")).withColumn("gone", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice")))
+    return P.quality_issues(P.infer_semantic_types(o), P.profile_columns(o), 0, 0)
+
+
+@query("drop_useless_columns", "select o_custkey, o_totalprice from orders")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.lit(1).alias("always"), (F.col("o_totalprice") * 2).alias("copy"))
+    return P.drop_useless_columns(o, "o_totalprice")

@@ -1 +1,173 @@
-"""Registered queries."""
+"""Queries of section 2.10: models on lineitem and embeddings. SQL checks the closed forms."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tesserae.operators import models as M
+from tesserae.plans.describing import rounded
+from tesserae.plans.registry import query
+from tesserae.plans.tables import KEY
+from tesserae.session import table
+
+X = ["l_quantity", "l_discount", "l_tax"]
+Y = "l_extendedprice"
+K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def items(spark, d):
+    return table(spark, d, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+
+
+def summary(df, actual=Y):
+    """What a fit is worth, over all rows: error, and the mean prediction."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean_prediction"), F.sqrt(F.avg((F.col("prediction") - F.col(actual)) ** 2)).alias("rmse"))
+
+
+def regression(name, model, cols=X, **options):
+    query(name)(lambda spark, d: summary(M.fit(model, items(spark, d), cols, Y, **options)(items(spark, d))))
+
+
+def classifier(name, model, cols=X, label="label", **options):
+    def run(spark, d):
+        x = items(spark, d)
+        got = M.fit(model, x, cols, label, **options)(x)
+        return got.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"))
+
+    query(name)(run)
+
+
+@query("fit_linear_regression", f"select {K}, {{{{a + b * l_quantity}}}} as prediction from lineitem, (select regr_slope({Y}, l_quantity) as b, regr_intercept({Y}, l_quantity) as a from lineitem)")
+def _(spark, d):
+    x = items(spark, d)
+    return rounded(M.fit("gram_ridge", x, ["l_quantity"], Y)(x).select(*KEY, "prediction"))
+
+
+for _n, _m, _o in (("fit_ridge", "ridge", {}), ("fit_lasso", "lasso", {}), ("fit_elastic_net", "elastic_net", {}), ("fit_bayesian_ridge", "bayesian_ridge", {}), ("fit_huber", "huber", {}), ("fit_quantile_regression", "quantile_regression", {"rounds": 5}), ("fit_poisson", "poisson", {}), ("fit_gamma", "gamma", {}), ("fit_tweedie", "tweedie", {}), ("fit_polynomial", "polynomial", {}), ("fit_pls", "pls", {}), ("fit_random_forest", "random_forest_regression", {"numTrees": 5}), ("fit_gbt", "gbt_regression", {"maxIter": 3}), ("fit_bagging", "bagging", {"members": 3}), ("fit_stacking", "stacking", {"key": KEY})):
+    regression(_n, _m, **_o)
+for _n, _m, _o in (("fit_decision_tree", "decision_tree", {}), ("fit_adaboost", "adaboost", {"rounds": 3}), ("fit_logistic", "logistic", {}), ("fit_ridge_classifier", "ridge_classifier", {}), ("fit_naive_bayes", "naive_bayes", {}), ("fit_discriminant", "discriminant", {"quadratic": True}), ("fit_linear_svc", "linear_svc", {"maxIter": 10}), ("fit_mlp_classifier", "mlp_classifier", {"layers": [3, 4, 2], "maxIter": 20})):
+    classifier(_n, _m, **_o)
+
+
+@query("fit_voting")
+def _(spark, d):
+    x = items(spark, d)
+    return summary(M.fit_average(["ridge", "decision_tree_regression"])(x, X, Y)(x))
+
+
+@query("fit_knn")
+def _(spark, d):
+    x = table(spark, d, "supplier").withColumn("k", F.col("s_suppkey").cast("double"))
+    return summary(M.fit("knn", x, ["k"], "s_acctbal", k=3)(x), "s_acctbal")
+
+
+@query("baseline_dummy", f"select {K}, {{{{(select avg({Y}) from lineitem)}}}} as prediction from lineitem")
+def _(spark, d):
+    x = items(spark, d)
+    return rounded(M.fit("baseline_dummy", x, X, Y)(x).select(*KEY, "prediction"))
+
+
+@query("fit_ols_inference", f"with s as (select regr_slope({Y}, l_quantity) as b, regr_intercept({Y}, l_quantity) as a, regr_sxx({Y}, l_quantity) as sxx, regr_syy({Y}, l_quantity) as syy, regr_r2({Y}, l_quantity) as r2, avg(l_quantity) as mx, count(*) as n from lineitem), e as (select *, syy * (1 - r2) / (n - 2) as s2 from s) select 'l_quantity' as term, {{{{b}}}} as coefficient, {{{{sqrt(s2 / sxx)}}}} as se, {{{{b / sqrt(s2 / sxx)}}}} as t, {{{{r2}}}} as r2, n from e union all select 'intercept', {{{{a}}}}, {{{{sqrt(s2 * (1 / n + mx * mx / sxx))}}}}, {{{{a / sqrt(s2 * (1 / n + mx * mx / sxx))}}}}, {{{{r2}}}}, n from e")
+def _(spark, d):
+    return rounded(M.ols_inference(items(spark, d), ["l_quantity"], Y).drop("p", "low", "high"))
+
+
+def clusters(name, model):
+    def run(spark, d):
+        x = items(spark, d)
+        return M.fit(model, x, ["l_quantity", "l_discount"], k=3)(x).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+    query(name)(run)
+
+
+for _n, _m in (("fit_kmeans", "kmeans"), ("fit_bisecting", "bisecting"), ("fit_gmm", "gmm")):
+    clusters(_n, _m)
+
+
+def frame(spark, array, names):
+    return spark.createDataFrame([tuple([i, *map(float, r)]) for i, r in enumerate(np.atleast_2d(array))], "component int, " + ", ".join(f"{c} double" for c in names))
+
+
+@query("fit_latent_class")
+def _(spark, d):
+    x = items(spark, d).select((F.col("l_quantity") > 25).cast("int").alias("a"), (F.col("l_extendedprice") > 50000).cast("int").alias("b"), "label")
+    return frame(spark, M.latent_class(x, ["a", "b", "label"])[1], ["a", "b", "label"])
+
+
+@query("fit_fuzzy_cmeans")
+def _(spark, d):
+    return frame(spark, M.fuzzy_cmeans(items(spark, d), ["l_quantity", "l_discount"], rounds=5), ["l_quantity", "l_discount"])
+
+
+@query("fit_power_iteration")
+def _(spark, d):
+    s = table(spark, d, "lineitem").select("l_suppkey", "l_linenumber").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    e = s.select(F.col("l_suppkey").alias("src"), (F.col("l_linenumber") + 1_000_000_000).cast("long").alias("dst"), "weight")
+    return M.power_iteration(e, 2).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fit_pca", f"with c as (select var_pop(l_quantity) as a, var_pop({Y}) as b, covar_pop(l_quantity, {Y}) as k from lineitem), e as (select ((a + b) + sqrt((a - b) ** 2 + 4 * k * k)) / 2 / (a + b) as s from c) select 0 as component, {{{{s}}}} as share from e union all select 1, {{{{1 - s}}}} from e")
+def _(spark, d):
+    share, _ = M.principal_components(items(spark, d), ["l_quantity", Y])
+    return rounded(frame(spark, share[:, None], ["share"]))
+
+
+@query("fit_svd")
+def _(spark, d):
+    share, load = M.principal_components(items(spark, d), X, centred=False)
+    return rounded(frame(spark, load, X))
+
+
+@query("fit_factor_analysis")
+def _(spark, d):
+    return rounded(frame(spark, M.factor_analysis(items(spark, d), [*X, Y])[0].T, [*X, Y]))
+
+
+@query("project_lda")
+def _(spark, d):
+    return rounded(frame(spark, M.lda_projection(items(spark, d), X, "l_returnflag"), X))
+
+
+@query("fit_nmf")
+def _(spark, d):
+    e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("column")).agg(F.sum("l_quantity").alias("value"))
+    return M.nmf(e).select("id", F.size("features").alias("rank"))
+
+
+@query("anomaly_zscore", f"with s as (select avg({Y}) as m, stddev_pop({Y}) as s, avg(l_quantity) as m2, stddev_pop(l_quantity) as s2 from lineitem) select {K}, {{{{greatest(abs(({Y} - m) / s), abs((l_quantity - m2) / s2))}}}} as score, greatest(abs(({Y} - m) / s), abs((l_quantity - m2) / s2)) > 1.7 as anomaly from lineitem, s")
+def _(spark, d):
+    return rounded(M.anomaly_zscore(items(spark, d), [Y, "l_quantity"], 1.7).select(*KEY, "score", "anomaly"))
+
+
+@query("anomaly_iqr", f"with q as (select quantile_cont({Y}, 0.25) as a, quantile_cont({Y}, 0.75) as b from lineitem), z as (select {K}, greatest((a - {Y}) / (b - a), ({Y} - b) / (b - a), 0) as s from lineitem, q) select {K}, {{{{s}}}} as score, s > 0.4 as anomaly from z")
+def _(spark, d):
+    return rounded(M.anomaly_iqr(items(spark, d), [Y], 0.4).select(*KEY, "score", "anomaly"))
+
+
+@query("anomaly_mahalanobis")
+def _(spark, d):
+    return rounded(M.anomaly_mahalanobis(items(spark, d), X).select(*KEY, "score", "anomaly"))
+
+
+@query("anomaly_isolation_forest")
+def _(spark, d):
+    return rounded(M.isolation_forest(items(spark, d), X, trees=20, key=KEY).select(*KEY, "score"))
+
+
+@query("anomaly_reasons")
+def _(spark, d):
+    x = items(spark, d)
+    return M.anomaly_reasons(x, M.anomaly_zscore(x, [Y, "l_quantity"], 1.7), KEY, [Y, "l_quantity"])
+
+
+@query("cross_validate")
+def _(spark, d):
+    got = M.cross_validate(items(spark, d), "ridge", X, Y, KEY, 3)
+    return got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("actual") - F.col("prediction")) ** 2)).alias("rmse"))
+
+
+@query("train_holdout")
+def _(spark, d):
+    a, b = M.train_holdout(table(spark, d, "orders"), ["o_orderkey"])
+    return a.withColumn("part", F.lit("train")).unionAll(b.withColumn("part", F.lit("held out"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))

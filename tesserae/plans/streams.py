@@ -1 +1,89 @@
-"""Registered queries."""
+"""Queries of section 2.14: events replayed as files, drained into a table and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.operators import models, scoring
+from tesserae.plans.describing import rounded
+from tesserae.plans.registry import query
+from tesserae.plans.tables import _scratch
+from tesserae.session import table
+from tesserae.streaming import jobs as J
+
+
+def events(spark, d):
+    """events written in four files by time, then read as a stream of one file a trigger."""
+    path = _scratch(spark)
+    t = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    t.repartitionByRange(4, "ts").write.parquet(path)
+    return J.replay(spark, path, t.schema)
+
+
+def drained(spark, stream):
+    path = _scratch(spark)
+    J.drain(stream, path, _scratch(spark))
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("stream_dedup", "select event_id, user_id from events")
+def _(spark, d):
+    return drained(spark, J.stream_dedup(events(spark, d), ["event_id"], late="60 days").select("event_id", "user_id"))
+
+
+@query("stream_drift_tumbling")
+def _(spark, d):
+    base = table(spark, d, "events").agg(F.avg("value"), F.stddev_samp("value")).first()
+    return rounded(drained(spark, J.stream_drift_tumbling(events(spark, d), "value", base[0], base[1])))
+
+
+@query("stream_profile_sliding")
+def _(spark, d):
+    return rounded(drained(spark, J.stream_profile_sliding(events(spark, d), "value", "user_id")))
+
+
+@query("stream_sessions")
+def _(spark, d):
+    return drained(spark, J.stream_sessions(events(spark, d), "user_id"))
+
+
+@query("stream_zscore", "select count(*) as n, count(distinct user_id) as keys from events")
+def _(spark, d):
+    got = drained(spark, J.stream_zscore(events(spark, d), "user_id", "value"))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("stream_score", "select event_id, case when value is null then 'abstained' else 'reliable' end as reliability from events")
+def _(spark, d):
+    t = table(spark, d, "events")
+    model = models.fit("baseline_dummy", t, ["value"], "value")
+    got = J.stream_score(events(spark, d), model, t, ["value"], ["event_type"])
+    return drained(spark, got.select("event_id", "reliability"))
+
+
+@query("stream_contract", "select event_type <> 'purchase' as kept, count(*) as n from events group by 1")
+def _(spark, d):
+    t = table(spark, d, "events").select("event_id", "event_type", "value")
+    contract = scoring.build_contract(t.where("event_type <> 'purchase'"))
+    good, bad = _scratch(spark), _scratch(spark)
+    J.stream_contract(events(spark, d).select("event_id", "event_type", "value"), contract, good, bad, _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    parts = [spark.read.parquet(p).select(F.lit(k).alias("kept")) for p, k in ((good, True), (bad, False))]
+    return parts[0].unionAll(parts[1]).groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("score_new_data")
+def _(spark, d):
+    """Check, skip empty rows, predict, intervals from held-out residuals, reliability."""
+    from tesserae.operators import evaluate, rows
+
+    x = table(spark, d, "lineitem")
+    old, new = x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 = 1")
+    if not scoring.schema_check(old, new).where("severity = 'fatal'").isEmpty():
+        raise ValueError("columns are missing")
+    train, held = models.train_holdout(old, ["l_orderkey", "l_linenumber", "l_partkey"])
+    model = models.fit("gram_ridge", train, ["l_quantity", "l_discount"], "l_extendedprice")
+    half = evaluate.conformal_interval(model(held), "l_extendedprice", "prediction").first()["half_width"]
+    got = model(rows.drop_empty_rows(new, ["l_quantity", "l_discount"]))
+    got = got.withColumn("low", F.col("prediction") - half).withColumn("high", F.col("prediction") + half)
+    got = evaluate.row_reliability(got, old, ["l_quantity", "l_discount"], ["l_returnflag"])
+    return rounded(got.select("l_orderkey", "l_linenumber", "prediction", "low", "high", "reliability"))

@@ -58,12 +58,9 @@ def stream_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30
 
 
 def stream_zscore(events: DataFrame, key: str, value: str, ts: str = "ts", limit: float = 3.0) -> DataFrame:
-    """Each value against the running mean and deviation of its key before it; state: count, mean, M2."""
+    """Each value against the running mean and deviation of its key before it; state: count, mean, M2, three numbers a key."""
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
         for frame in frames:
             rows = []
@@ -77,10 +74,9 @@ def stream_zscore(events: DataFrame, key: str, value: str, ts: str = "ts", limit
                 m2 += d * (x - mean)
             yield pd.DataFrame(rows, columns=["key", "ts", "value", "z", "anomaly"])
         state.update((n, mean, m2))
-        state.setTimeoutDuration(24 * 3600 * 1000)
 
     out = f"key {dict(events.dtypes)[key]}, ts timestamp, value double, z double, anomaly boolean"
-    return events.groupBy(key).applyInPandasWithState(run, out, "n long, mean double, m2 double", "append", "ProcessingTimeTimeout")
+    return events.groupBy(key).applyInPandasWithState(run, out, "n long, mean double, m2 double", "append", "NoTimeout")
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

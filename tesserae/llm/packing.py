@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import documents, materialize, slices
-from tesserae.llm.tokens import WordEncoder
+from tesserae.llm.tokens import encoder_of
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces in a group, and rounds of exchange at most (each must save bins).
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def run(batches):
         import pyarrow as pa
 
-        encoder, end = WordEncoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
             texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()

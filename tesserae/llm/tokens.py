@@ -2,15 +2,23 @@
 
 Both vocabularies split a text before a space that a non-space follows, so a text's ids are those of
 its space-led words put together. Words are encoded in batches by the library and kept, up to a
-bound, for the rest of the task.
+bound, for the other tasks of the Python worker.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words kept in a task; further new words are encoded for each slice anew.
-KEPT_WORDS = 400_000
+#: Words kept in a Python worker; further new words are encoded for each slice anew.
+KEPT_WORDS = 500_000
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This process's encoder: a worker runs many tasks, and the words it keeps serve all of them."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 class WordEncoder:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import documents, keyed, materialize, scan_partitions, slices
-from tesserae.llm.tokens import WordEncoder
+from tesserae.llm.tokens import encoder_of
 
 END_ID = 0
 #: Tokens at which a shard is closed.
@@ -162,7 +162,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part, seq = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         ids, doc_ids, lengths, size = [], [], [], 0
         end = np.array([END_ID], dtype="<u4").tobytes()
 

@@ -1,0 +1,121 @@
+"""Operators on a small table with nulls, ties, repeats, empty and long texts, and clashing names."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.llm import embeddings, line_dedup, media, mixing, packing, phrases, simhash, suffixes, toxicity, wavelet
+from tesserae.llm.components import connected_components
+
+rng = np.random.default_rng(1)
+WORDS = np.array([f"w{i}" for i in range(300)])
+PASSAGE = " ".join(rng.choice(WORDS, 60))
+
+
+def text(n):
+    return " ".join(rng.choice(WORDS, n))
+
+
+ROWS = [(1, text(80) + " " + PASSAGE, "s1"), (2, PASSAGE + " " + text(30), "s2"), (3, None, None), (4, "", "s1"), (None, text(120), "s1"), (5, "a\nb\nc\nd", "s3"), (6, "x\na\nb\nc", "s3"), (6, "x\na\nb\nc", "s3"), (7, text(3000), "s2"), (8, "ab" * 200, None), (None, None, None)]
+SCHEMA = "doc_id long, text string, source string, ord long, th string, hash int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, 9, "t", 1) for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+RUNS = {
+    "media": lambda d: media.read_media(media.encode_media(d, "doc_id"), "doc_id", rgb=False),
+    "mixing": lambda d: mixing.mix(d),
+    "phrases": lambda d: phrases.dedup_phrases(d),
+    "wavelet": lambda d: wavelet.read_shards(wavelet.write_shards(d, wavelet.byte_tokenizer())),
+    "lines": lambda d: line_dedup.dedup_lines(d),
+    "suffixes": lambda d: suffixes.dedup_substrings(d),
+    "simhash": lambda d: simhash.near_components(d),
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_every_row_has_a_result_and_empty_tables_work(docs, none, name):
+    assert RUNS[name](docs).count() == len(ROWS)
+    assert RUNS[name](none).count() == 0
+
+
+def test_packing_of_odd_rows(docs, none):
+    got = packing.pack_documents(docs, packing.word_tokenizer()).toPandas()
+    assert (got["piece"] == 0).sum() == len(ROWS)
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert packing.pack_documents(none, packing.word_tokenizer()).count() == 0
+
+
+def test_phrases_leave_the_first_copy(docs):
+    got = {r["doc_id"]: r for r in phrases.dedup_phrases(docs).where("doc_id in (1, 2)").collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 60
+
+
+@pytest.mark.parametrize("large", [1, 20_000])
+def test_suffixes_equal_brute_force(docs, large):
+    got = {r["doc_id"]: (r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffixes.dedup_substrings(docs.where("doc_id is not null and doc_id <> 6"), large).collect()}
+    seen = set()
+    for i, t, _ in sorted((r for r in ROWS if r[0] not in (None, 6)), key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(b[k : k + 100])
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        assert got[i] == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+
+
+def test_lines_repeat_rows_alike(docs):
+    got = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).where("doc_id in (5, 6)").collect()]
+    assert sorted(got) == [(5, "a\nb\nc\nd"), (6, "x"), (6, "x")]
+
+
+def test_mix_targets_and_caps(docs):
+    got = mixing.mix(docs).toPandas()
+    assert (got["taken"] <= 3 * got["size"]).all()
+    assert abs(got.drop_duplicates("source_size")["target"].sum() - got["size"].sum()) < 1e-6
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[102] == got[101] == 100
+
+
+def test_embeddings_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, None]), (9, [1.0, 0.0, 0.0]), (None, [0.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, cls string")).collect()}
+    assert got[1] == (2, 1) and got[2] == (2, 1) and got[6] == (2, 1) and got[7] == (1, 7) and got[None] == (1, 7)
+    assert all(got[i] == (0, i) for i in (3, 4, 5, 8, 9))
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_toxicity_learns_and_scores_empty_texts(spark):
+    docs = spark.createDataFrame([(i, text(30) + (" scumbag" if i % 3 == 0 else "")) for i in range(300)] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(250)] + [(1, None), (5000, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels), "doc_id").toPandas().set_index("doc_id")["score"]
+    assert all((got[i] >= 0.3) == (i % 3 == 0) for i in range(250, 300)) and 0 <= got[900] == got[901] <= 1
+    assert toxicity.fit(docs, labels.where("toxic = 0"))[0] == []
+
+
+def test_pipeline_on_a_small_corpus(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, text(40) + (" scumbag" if i % 4 == 0 else ""), "en", f"s{i % 3}", 0) for i in range(200)] + [(500, None, None, None, None)]
+    rows += [(300 + i, rows[1][1], "en", "s1", 0) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = pipeline.run(spark, str(tmp_path)).toPandas()
+    assert not {i for i in got["doc_id"] if i < 200 and i % 4 == 0}  # toxic ones are gone
+    assert not {300, 301, 302} & {*got["doc_id"]}  # copies too
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048

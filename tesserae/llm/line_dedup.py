@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import documents, keyed
+from tesserae.llm.common import documents, keyed, materialize
 
 #: Lines in a window.
 LINES = 3
@@ -42,11 +42,12 @@ def later_windows(docs: DataFrame, n: int = LINES) -> DataFrame:
     """The starts of windows that occurred before, as one sorted array for each document.
 
     The minimum is taken before the shuffle as well, so a window that a third of all rows hold
-    costs one row a task; the join back is of one row a window, whose large side Spark splits.
+    costs one row a task; the repeated ones are written, and the join back has one row for each of them,
+    so that Spark can split its large side.
     """
     w = windows(docs, n)
     first = w.groupBy("wa", "wb").agg(F.min(F.struct("ord", "th", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = w.join(first, ["wa", "wb"]).where(F.struct("ord", "th", "pos") > F.col("first"))
+    later = w.join(materialize(first), ["wa", "wb"]).where(F.struct("ord", "th", "pos") > F.col("first"))
     return later.groupBy("ord", "th").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 
 

@@ -151,6 +151,7 @@ def dedup_phrases(docs: DataFrame) -> DataFrame:
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("ord", "th"), F.lit(shards)).cast("int"))
     found = phrase_rows(dealt)
     recurring = found.groupBy("phrase").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("phrase")
+    recurring = materialize(recurring)
     routed = materialize(found.select("phrase", "shard").distinct().join(recurring, "phrase", "left_semi"))
     texts = unique_texts(rows).withColumn("shard", F.pmod(F.xxhash64("ord", "th"), F.lit(shards)).cast("int"))
     occurrences = materialize(locate(texts, routed))

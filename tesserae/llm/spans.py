@@ -27,7 +27,7 @@ def contexts(occurrences: DataFrame) -> DataFrame:
     first = F.min(F.struct("ord", "th", "lo", "hi")).alias("home")
     ctx = occurrences.groupBy("hash", "fp1", "fp2").agg(first).select("hash", "fp1", "fp2", "home.*")
     ctx = materialize(ctx)
-    around = ctx.groupBy("hash").agg(F.count(F.lit(1)).alias("around"))
+    around = materialize(ctx.groupBy("hash").agg(F.count(F.lit(1)).alias("around")))
     return materialize(ctx.join(around, "hash").withColumn("cid", F.monotonically_increasing_id()))
 
 
@@ -40,12 +40,15 @@ def homes(ctx: DataFrame, docs: DataFrame) -> DataFrame:
 def gone_by_hash(windows: DataFrame, key: list[str]) -> DataFrame:
     """(cid, gone): the windows of each context, counted from its lo, that occur under a lesser key.
 
+    The minima are written before the join, here and elsewhere: joined where they are made they would
+    tie the large side to one exchange, and Spark could not split a common window's rows.
+
     windows: w1, w2 (hashes of the window's units), cid, rel and the columns in key. A grouped minimum
     and a join back, so that a window of very many contexts is no task of its own.
     """
     k = F.struct(*key)
     least = windows.groupBy("w1", "w2").agg(F.min(k).alias("least"), F.max(k).alias("most")).where("least < most").drop("most")
-    later = windows.join(least, ["w1", "w2"]).where(k > F.col("least"))
+    later = windows.join(materialize(least), ["w1", "w2"]).where(k > F.col("least"))
     return later.groupBy("cid").agg(F.collect_set("rel").alias("gone"))
 
 

@@ -333,6 +333,7 @@ def dedup_substrings(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: one row a document."""
     rows = keyed(docs)
     twice = anchor_rows(rows, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    twice = materialize(twice)
     occurrences = materialize(anchor_rows(rows, True).join(twice, "hash").select(*[x.split()[0] for x in OCCURRENCE.split(", ")]))
     ctx = contexts(occurrences)
     usual = stretches(homes(ctx.where(F.col("around") <= large), rows))

@@ -31,7 +31,9 @@ WINDOW, GRAM = 100, 32
 #: Different stretches around one anchor beyond which its strings are dealt by hash.
 LARGE = 20_000
 #: Bytes of stretches in a block, suffixes in a bucket that is sorted at a time.
-BLOCK_BYTES, BUCKET_SUFFIXES = 2_000_000, 200_000
+BLOCK_BYTES, BUCKET_SUFFIXES = 1_000_000, 200_000
+#: Bytes of text in one step of the anchor kernel, which holds some ten 64-bit values for each.
+STEP_BYTES = 700_000
 
 # A perfect difference set; every residue modulo 31 is the difference of two of them.
 COVER_PERIOD = 31
@@ -218,7 +220,7 @@ def anchor_rows(docs: DataFrame, full: bool) -> DataFrame:
             texts = column_bytes(batch.column("text"))
             if full:
                 ords, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "th"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, STEP_BYTES):
                 data = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
                 first = np.zeros(b - a + 1, dtype=np.int64)
                 np.cumsum([len(t) for t in texts[a:b]], out=first[1:])
@@ -299,7 +301,7 @@ def string_rows(parts: DataFrame) -> DataFrame:
         for batch in batches:
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "ord", "th", "lo", "n")}
             pieces = batch.column("bytes").to_pylist()
-            for a, b in slices(pieces):
+            for a, b in slices(pieces, STEP_BYTES):
                 values = _BYTES[np.frombuffer(b"".join(pieces[a:b]), dtype=np.uint8)]
                 n = cols["n"][a:b].astype(np.int64)
                 rel = _ramp(n)

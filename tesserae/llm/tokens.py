@@ -7,7 +7,8 @@ bound, for the other tasks of the Python worker.
 
 from __future__ import annotations
 
-import numpy as np
+import sys
+from array import array
 
 #: Words kept in a Python worker; further new words are encoded for each slice anew.
 KEPT_WORDS = 500_000
@@ -34,6 +35,13 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kept, self.words = kept, {}
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     @staticmethod
     def split(text: str) -> list[str]:
         """Words without the space before them; the first one is marked by a leading space instead."""
@@ -55,22 +63,25 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, without an end id."""
         known = self.words
-        split, new = [], set()
+        get = known.get
+        rows, new = [], set()
         for t in texts:
             words = self.split(t)
-            missing = set(words).difference(known)
-            if missing and any(not w or w[0].isspace() for w in missing if w is not words[0] and w != words[0]):
+            got = list(map(get, words))
+            missing = {w for w, g in zip(words, got, strict=True) if g is None}
+            if missing and any(not w or w[0].isspace() for w in missing if w != words[0]):
                 words = self.joined(words)
-                missing = set(words).difference(known)
+                got = list(map(get, words))
+                missing = {w for w, g in zip(words, got, strict=True) if g is None}
             new |= missing
-            split.append(words)
+            rows.append((words, got) if missing else (None, got))
         new = list(new)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             got = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in part], add_special_tokens=False)
             for w, x in zip(part, got, strict=True):
-                known[w] = np.array(x.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+                known[w] = self.packed(x.ids)
+        out = [b"".join(got if words is None else [known[w] if g is None else g for w, g in zip(words, got, strict=True)]) for words, got in rows]
         if len(known) > self.kept:
             for w in new[max(0, self.kept - len(known) + len(new)) :]:
                 del known[w]

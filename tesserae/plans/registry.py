@@ -7,7 +7,7 @@ import re
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("describing", "tables", "testing", "preparing", "evaluating", "series", "modelling", "scoring", "baskets", "streams", "clustering")
+_MODULES = ("describing", "tables", "testing", "preparing", "evaluating", "series", "modelling", "scoring", "baskets", "streams", "clustering", "explaining")
 
 
 def eight_digits(sql: str) -> str:

@@ -9,7 +9,7 @@ import pytest
 from tesserae.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["describe_numeric", "describe_categorical", "correlation_pairs", "vif", "filter_comparison", "drop_duplicates", "forward_fill", "anova", "mann_whitney", "chi_square", "multiple_comparison", "impute_by_group", "standard_scale", "target_encode", "regression_metrics", "roc_auc", "threshold_costs", "subgroup_errors", "drift_report", "check_contract", "structural_break", "forecast_ses", "backtest", "fit_ols_inference", "anomaly_iqr", "association_rules", "profile_columns"]
+NAMES = ["describe_numeric", "describe_categorical", "correlation_pairs", "vif", "filter_comparison", "drop_duplicates", "forward_fill", "anova", "mann_whitney", "chi_square", "multiple_comparison", "impute_by_group", "standard_scale", "target_encode", "regression_metrics", "roc_auc", "threshold_costs", "subgroup_errors", "drift_report", "check_contract", "structural_break", "forecast_ses", "backtest", "fit_ols_inference", "anomaly_iqr", "association_rules", "profile_columns", "partial_dependence", "explain_rows"]
 
 
 def plain(v):

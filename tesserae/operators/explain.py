@@ -100,13 +100,14 @@ def explain_rows(df: DataFrame, model: Callable, features: list[str], key: list[
         return F.transform(values, lambda v: F.struct(F.lit(c).alias("variable"), *[(v if f == c else F.col(f)).alias(f) for f in features]))
 
     changed = [variants(c) for c in features]
-    got = model(x.select(*key, F.inline(F.concat(F.array(own), *changed))))
-    means = got.groupBy(*key).pivot("variable", ["", *features]).agg(F.avg("prediction"))
-    names = [f"_p{i}" for i in range(len(features) + 1)]
-    means = means.toDF(*key, *names)
-    effects = F.array(*[F.struct(F.lit(c).alias("variable"), (F.col(names[0]) - F.col(n)).alias("effect")) for c, n in zip(features, names[1:], strict=True)])
-    w = Window.partitionBy(*key).orderBy(F.desc(F.abs("effect")), "variable")
-    return means.select(*key, F.inline(effects)).withColumn("rank", F.row_number().over(w))
+    # rows alike in key and features have the same effects: they are counted and put out as often
+    got = model(x.select(*key, F.struct(*features).alias("_row"), F.inline(F.concat(F.array(own), *changed))))
+    mean = lambda c: F.avg(F.when(F.col("variable") == c, F.col("prediction")))
+    effects = F.array(*[F.struct(F.lit(c).alias("variable"), (mean("") - mean(c)).alias("effect")) for c in features])
+    alike = got.groupBy(*key, "_row").agg(F.count_if(F.col("variable") == "").alias("_n"), effects.alias("_e"))
+    ranked = F.array_sort("_e", lambda a, b: F.when(F.abs(a["effect"]) > F.abs(b["effect"]), -1).when(F.abs(a["effect"]) < F.abs(b["effect"]), 1).when(a["variable"] < b["variable"], -1).otherwise(1))
+    rows = alike.select(*key, F.explode(F.array_repeat(ranked, F.col("_n").cast("int"))).alias("_e"))
+    return rows.select(*key, F.posexplode("_e").alias("rank", "_e")).select(*key, "_e.variable", "_e.effect", (F.col("rank") + 1).alias("rank"))
 
 
 def _r2(df: DataFrame, target: str) -> float:

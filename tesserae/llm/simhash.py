@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import column_bytes, documents, keyed, materialize, slices
 from tesserae.llm.components import connected_components
+from tesserae.llm.jaccard import near_copies
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Fingerprints of a bucket beyond which it is dealt again.
@@ -275,9 +276,12 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the least doc_id, of rows alike in it the least text hash."""
+    """One document of each group of near copies stays: the least doc_id, of rows alike in it the least text hash.
+
+    Near copies are those of tesserae.llm.jaccard (five words, 0.8); three words and two bits bind op9 only.
+    """
     names = docs.columns
-    got = near_components(docs)
+    got = materialize(near_copies(docs))
     least = got.groupBy("root").agg(F.min(F.struct("ord", "th")).alias("k")).select("k.ord", "k.th")
     times = got.groupBy("ord", "th").agg(F.count(F.lit(1)).alias("_n"))
     keep = materialize(least.join(times, ["ord", "th"]))

@@ -12,11 +12,21 @@ from tesserae.session import table
 from tesserae.streaming import jobs as J
 
 
-def events(spark, d):
-    """events written in four files by time, then read as a stream of one file a trigger."""
+def events(spark, d, close=False):
+    """events written in four files, one after the other in the order of time, then read as a stream of one file a trigger.
+
+    close: a last event long after the others, so that the watermark passes every window of theirs; its own stays open.
+    """
     path = _scratch(spark)
     t = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    t.repartitionByRange(4, "ts").write.parquet(path)
+    part, last = F.lit(0), None
+    if cut := t.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0]:
+        part = sum((F.when(F.unix_micros("ts") > e, 1).otherwise(0) for e in cut), F.lit(0))
+        last = t.agg(F.max("ts") + F.expr("interval 2 days")).first()[0]
+    for i in range(4):  # the source orders files by the time of writing
+        t.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    if close and last:
+        spark.createDataFrame([tuple(last if c == "ts" else None for c in t.columns)], t.schema).write.mode("append").parquet(path)
     return J.replay(spark, path, t.schema)
 
 
@@ -34,17 +44,17 @@ def _(spark, d):
 @query("stream_drift_tumbling")
 def _(spark, d):
     base = table(spark, d, "events").agg(F.avg("value"), F.stddev_samp("value")).first()
-    return rounded(drained(spark, J.stream_drift_tumbling(events(spark, d), "value", base[0], base[1])))
+    return rounded(drained(spark, J.stream_drift_tumbling(events(spark, d, close=True), "value", base[0], base[1])))
 
 
 @query("stream_profile_sliding")
 def _(spark, d):
-    return rounded(drained(spark, J.stream_profile_sliding(events(spark, d), "value", "user_id")))
+    return rounded(drained(spark, J.stream_profile_sliding(events(spark, d, close=True), "value", "user_id")))
 
 
 @query("stream_sessions")
 def _(spark, d):
-    return drained(spark, J.stream_sessions(events(spark, d), "user_id"))
+    return drained(spark, J.stream_sessions(events(spark, d, close=True), "user_id"))
 
 
 @query("stream_zscore", "select count(*) as n, count(distinct user_id) as keys from events")

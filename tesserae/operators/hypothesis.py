@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,10 +197,10 @@ def normality_test(df: DataFrame, measure: str) -> DataFrame:
     return _row(df.sparkSession, ("dagostino-pearson", k2, 2, S.chi2_upper(k2, 2), s, n))
 
 
-def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson", most_cells: int = 4000) -> DataFrame:
+def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson", blocks: int = 64) -> DataFrame:
     x = df.select(clean(a).alias("a"), clean(b).alias("b")).dropna()
     if method == "kendall":
-        return _kendall(x, most_cells)
+        return _kendall(x, blocks)
     if method == "spearman":
         ra = global_ranks(x.select("a"), "a").select("a", F.col("rank").alias("ra"))
         rb = global_ranks(x.select("b"), "b").select("b", F.col("rank").alias("rb"))
@@ -208,20 +210,59 @@ def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson", mos
     return _row(df.sparkSession, (method, r["r"], r["n"] - 2, S.t_two_sided(t, r["n"] - 2), r["r"] ** 2, r["n"]))
 
 
-def _kendall(x: DataFrame, most_cells: int) -> DataFrame:
-    """Tau-b over distinct cells (a, b); where there are too many, both are put into quantile bins first."""
-    side = int(math.sqrt(most_cells))
-    if x.select("a", "b").distinct().limit(most_cells + 1).count() > most_cells:
-        for c in ("a", "b"):
-            edges = sorted(set(x.agg(F.percentile_approx(c, [i / side for i in range(1, side)])).first()[0]))
-            x = x.withColumn(c, sum((F.when(F.col(c) > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0)).cast("double"))
+def concordance(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
+    """Concordant less discordant pairs of rows in different cells (a, b), n rows each; ties count nothing."""
+    if not len(a):
+        return 0
+    order = np.lexsort((b, a))
+    a, n = a[order], n[order].astype(np.int64)
+    b = np.unique(b[order], return_inverse=True)[1]
+    total = 0
+    for bit in range(int(b.max()).bit_length()):  # the highest bit in which two values of b differ says which is greater
+        at = np.argsort(b >> (bit + 1), kind="stable")
+        group, one, w = b[at] >> (bit + 1), (b[at] >> bit & 1).astype(bool), n[at]
+        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.append(start, len(at)))
+        for own, before, sign in ((one, ~one, 1), (~one, one, -1)):
+            sums = np.concatenate(([0], np.cumsum(w * before)))
+            total += sign * int((w * own * (sums[:-1] - np.repeat(sums[start], size))).sum())
+    start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    rows, squares = np.add.reduceat(n, start), np.add.reduceat(n * n, start)
+    return total - int(((rows * rows - squares) // 2).sum())  # rows alike in a were counted by b
+
+
+def _block(edges: np.ndarray):
+    """2 i + 1 for the i-th edge itself, 2 i between it and the one before."""
+
+    @F.pandas_udf("int")
+    def block(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, v, "left") + np.searchsorted(edges, v, "right")).astype("int32")
+
+    return block
+
+
+def _kendall(x: DataFrame, blocks: int) -> DataFrame:
+    """Exact tau-b: cells (a, b) in blocks of a and ranges of b. Pairs of different blocks and ranges are counted by
+    their totals, pairs of one range by the blocks' numbers, pairs of one block by a. A common value is a block of its own."""
     cells = x.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    other = cells.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
-    pair = cells.join(F.broadcast(other), F.col("a") < F.col("a2"))  # at most most_cells rows
-    s = pair.agg(F.sum(F.signum(F.col("b2") - F.col("b")) * F.col("n") * F.col("n2"))).first()[0] or 0.0
+    for c in ("a", "b"):
+        got = x.agg(F.percentile_approx(c, [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0]
+        edges = np.unique(np.array(got or [], dtype=float))
+        cells = cells.withColumn(f"{c}k", _block(edges)(c))
+    cells = cells.persist()
+
+    def inside(by: str, a: str, b: str) -> int:
+        kernel = lambda pdf: pd.DataFrame({"s": [concordance(pdf[a].to_numpy(), pdf[b].to_numpy(), pdf["n"].to_numpy())]})
+        rows = cells.groupBy(by, a, b).agg(F.sum("n").alias("n"))
+        many = rows.groupBy(by).agg(F.min(a).alias("_1"), F.max(a).alias("_2"), F.min(b).alias("_3"), F.max(b).alias("_4")).where("_1 <> _2 and _3 <> _4").select(by)
+        return int(rows.join(many, by).groupBy(by).applyInPandas(kernel, "s long").agg(F.sum(F.col("s").cast("decimal(38,0)"))).first()[0] or 0)
+
+    totals = cells.groupBy("ak", "bk").agg(F.sum("n").alias("n")).toPandas()  # (2 * blocks) ** 2 rows at most
+    s = concordance(*(totals[c].to_numpy() for c in ("ak", "bk", "n"))) + inside("bk", "ak", "b") + inside("ak", "a", "b")
     tie = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
     n = cells.agg(F.sum("n")).first()[0]
     pairs, ta, tb = n * (n - 1) / 2, tie("a"), tie("b")
+    cells.unpersist()
     tau = s / math.sqrt((pairs - ta) * (pairs - tb))
     z = 3 * tau * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5))
     return _row(x.sparkSession, ("kendall", tau, None, 2 * (1 - S.normal_cdf(abs(z))), tau * tau, n))

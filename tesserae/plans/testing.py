@@ -101,6 +101,11 @@ def _(spark, d):
     return rounded(H.correlation_test(table(spark, d, "lineitem"), "l_discount", "l_tax", "kendall").select("statistic", "n"))
 
 
+@query("correlation_test_kendall_continuous", "with c as (select o_totalprice as a, o_custkey as b, count(*)::double as n from orders group by 1, 2), s as (select sum(sign(y.b - x.b) * x.n * y.n) as s from c x join c y on x.a < y.a), t as (select sum(n) as n from c), ta as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from c group by a)), tb as (select sum(n * (n - 1) / 2) as t from (select sum(n) as n from c group by b)) select {{s / sqrt((n * (n - 1) / 2 - ta.t) * (n * (n - 1) / 2 - tb.t))}} as statistic, n::bigint as n from s, t, ta, tb")
+def _(spark, d):
+    return rounded(H.correlation_test(table(spark, d, "orders"), "o_totalprice", "o_custkey", "kendall").select("statistic", "n"))
+
+
 PS = "(select o_orderpriority as name, count(*) filter (o_orderstatus = 'F') / count(*) / 10 as p from orders group by 1)"
 
 

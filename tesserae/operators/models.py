@@ -461,17 +461,20 @@ def anomaly_mahalanobis(df: DataFrame, features: list[str], share: float = 0.01,
     return df.withColumn("score", dist).withColumn("anomaly", dist > cut)
 
 
+def sample_limit(n: int, sample: int) -> int:
+    """The greatest 64-bit hash that about twice sample of n rows do not exceed."""
+    return min(2**63 - 1, 2**64 * 2 * sample // max(1, n) - 2**63)
+
+
 def isolation_forest(df: DataFrame, features: list[str], trees: int = 50, sample: int = 256, key: list[str] | None = None) -> DataFrame:
-    """Each tree on its own hashed subsample (one group a tree), path lengths by Arrow batches on all rows."""
+    """Each tree on the rows with its least hashes (one group a tree), path lengths by Arrow batches on all rows."""
     n = df.count()
-    share = min(1.0, 2 * sample / max(1, n))
     ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    chance = F.pmod(F.xxhash64(*(key or features), F.col("_t")), F.lit(10**6)) < int(share * 10**6)
-    part = df.select(*[clean(c).alias(c) for c in features], *[c for c in key or [] if c not in features]).withColumn("_t", ids).where(chance)
+    part = df.select(*[clean(c).alias(c) for c in features], *[c for c in key or [] if c not in features]).withColumn("_t", ids).withColumn("_h", F.xxhash64(*(key or features), F.col("_t"))).where(F.col("_h") <= F.lit(sample_limit(n, sample)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_t"].iloc[0])
-        x = pdf[features].dropna().to_numpy()[:sample]
+        x = pdf.sort_values(["_h", *features])[features].dropna().to_numpy()[:sample]
         rng, rows = np.random.default_rng(tree), []
 
         def grow(members, depth, at):

@@ -152,7 +152,7 @@ def _(spark, d):
 
 @query("anomaly_isolation_forest")
 def _(spark, d):
-    return rounded(M.isolation_forest(items(spark, d), X, trees=20, key=KEY).select(*KEY, "score"))
+    return rounded(M.isolation_forest(items(spark, d), X, key=KEY).select(*KEY, "score"))
 
 
 @query("anomaly_reasons")

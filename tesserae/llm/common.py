@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,11 +18,12 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _LOCAL.setdefault(app, f"file://{tempfile.mkdtemp(prefix='tesserae-')}")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tesserae-')}")
     return root
 
 
@@ -94,6 +96,7 @@ _R1, _R2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEPT_POWERS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,17 +110,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(r: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**i and r**-i modulo 2**64 for i < n."""
+    """r**i and r**-i modulo 2**64 for i < n; longer ones are made anew, so that a worker keeps little."""
     got = _POWERS.get(r)
     if got is None or len(got[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
         out = []
         for base in (r, pow(r, -1, 2**64)):
-            p = np.full(size, base, dtype=np.uint64)
+            p = np.full(max(n, _KEPT_POWERS), base, dtype=np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         got = tuple(out)
-        if size <= 1 << 22:
+        if n <= _KEPT_POWERS:
             _POWERS[r] = got
     return got
 

@@ -1,9 +1,10 @@
 """Best-fit packing with certified bin counts.
 
 Pieces of at most `capacity` tokens are dealt to groups of bounded size, each packed by best-fit
-decreasing. Dual feasible functions of a group's sizes give a lower bound of its bins; a group that
-meets it is certified and done. The others give the pieces of their bins with gaps into a common
-pool, which is dealt to new groups and packed again, as long as that saves bins.
+decreasing. Dual feasible functions of a group's sizes give a lower bound of its bins, which stands
+beside the result. The pieces of all bins with gaps, whatever their group, form a common pool, which
+is dealt to new groups and packed again, as long as that saves bins and there are more of them than
+the lower bound of all sizes.
 
 Defined results: a null or empty text is the end id alone; rows alike are packed each on its own;
 an empty table gives an empty result; other columns are ignored.
@@ -17,12 +18,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import documents, materialize, slices
-from tesserae.llm.tokens import encoder_of
+from tesserae.llm.common import column_bytes, documents, materialize, slices
+from tesserae.llm.tokens import STEP_BYTES, encoder_of
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces in a group, and rounds of exchange at most (each must save bins).
-GROUP_PIECES, ROUNDS = 8192, 4
+#: Pieces in a group.
+GROUP_PIECES = 8192
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
@@ -50,11 +51,10 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, offsets, count
 
 
-def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The best of several dual feasible functions: a packing needs at least so many bins."""
-    if not len(sizes):
+def lower_bound(n: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The best of several dual feasible functions: a packing needs at least so many bins. n: items by size, from 0 to capacity."""
+    if not n.any():
         return 0
-    n = np.bincount(sizes, minlength=capacity + 1)
     x = np.arange(capacity + 1)
     # for each threshold t <= capacity / 2: items over capacity - t count as full, items under t as none
     count, weight = np.cumsum(n), np.cumsum(n * x)
@@ -76,24 +76,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def run(batches):
         import pyarrow as pa
 
-        encoder, end = encoder_of(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
-        step = 4 * capacity
+        encoder, step = encoder_of(tokenizer, END_ID), 4 * capacity
         for batch in batches:
-            texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for a, b in slices(texts):
-                for doc, ids in zip(own[a:b], encoder.encode(texts[a:b]), strict=True):
-                    ids += end
-                    out += [(doc, i, i * capacity, len(part) // 4, zlib.crc32(part)) for i, part in enumerate(ids[at : at + step] for at in range(0, len(ids), step))]
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts, own = column_bytes(batch.column("text")), batch.column("doc_id")
+            for a, b in slices(texts, STEP_BYTES):
+                ids, ends = encoder.encode(texts[a:b])
+                begins = np.concatenate(([0], ends[:-1]))
+                n = -(-(ends - begins) // capacity)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(begins, n) + piece * capacity
+                length = np.minimum(np.repeat(ends, n) - at, capacity)
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[i : min(i + step, e)]) for i, e in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+                doc = own.take(pa.array(np.repeat(np.arange(a, b), n)))
+                yield pa.RecordBatch.from_arrays([doc, *[pa.array(c, pa.int64()) for c in (piece, piece * capacity, length, crc)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
 def _pack_groups(rows: DataFrame, n: int, number: int, capacity: int) -> DataFrame:
-    """rows (row, length) with sequence, at, gap: gap tells that the row's group is not certified and its bin has room."""
+    """rows (row, length) with sequence, at, gap (its bin has room), and its group's bins and lower bound."""
     groups = max(1, -(-n // GROUP_PIECES))
     dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(groups)))
 
@@ -105,35 +108,60 @@ def _pack_groups(rows: DataFrame, n: int, number: int, capacity: int) -> DataFra
         row, length = row[order], table.column("length").to_numpy()[order]
         g = table.column("g")[0].as_py()
         bins, at, count = best_fit_decreasing(length, capacity)
-        fill = np.bincount(bins, length, minlength=count)
-        gap = (fill[bins] < capacity) & (count > lower_bound(length, capacity))
-        return pa.table({"row": row, "length": length, "sequence": (g * ROUNDS + number) * 2**20 + bins, "at": at, "gap": gap})
+        bound = lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
+        gap = np.bincount(bins, length, minlength=count)[bins] < capacity
+        return pa.table({"row": row, "length": length, "sequence": number * 2**52 + g * 2**20 + bins, "at": at, "gap": gap, "bins": np.full(len(row), count), "bound": np.full(len(row), bound)})
 
-    return dealt.select("g", "row", "length").groupBy("g").applyInArrow(run, "row long, length long, sequence long, at long, gap boolean")
+    return dealt.select("g", "row", "length").groupBy("g").applyInArrow(run, "row long, length long, sequence long, at long, gap boolean, bins long, bound long")
 
 
 def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(row, sequence, at) for a table of (row, length); row must be unique."""
-    n = lengths.count()
-    now = materialize(_pack_groups(lengths, n, 0, capacity))
-    done = now.where("not gap")
-    pool, number = now.where("gap"), 0
-    for number in range(1, ROUNDS):
-        n, before = pool.agg(F.count(F.lit(1)), F.count_distinct("sequence")).first()
-        if not n:
+    """(row, sequence, at, bins, bound) for a table of (row, length); row must be unique.
+
+    bins and bound: those of the group in which a piece was packed last.
+    """
+    sizes = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
+    items = np.zeros(capacity + 1, dtype=np.int64)
+    items[[r.length for r in sizes]] = [r.n for r in sizes]
+    least, full, number = lower_bound(items, capacity), 0, 0
+    pool = materialize(_pack_groups(lengths, int(items.sum()), 0, capacity))
+    done = None
+
+    def counts(rows):
+        return rows.groupBy("gap").agg(F.count_distinct("sequence").alias("bins"), F.count(F.lit(1)).alias("n")).collect()
+
+    have = {r.gap: r for r in counts(pool)}
+    while True:
+        whole = pool.where("not gap")
+        done = whole if done is None else done.unionAll(whole)
+        pool = pool.where("gap")
+        full += have[False].bins if False in have else 0
+        if True not in have or full + have[True].bins <= least:  # no room left over, or as few bins as there can be
             break
-        now = materialize(_pack_groups(pool.select("row", "length"), n, number, capacity))
-        if now.select("sequence").distinct().count() >= before:
+        number += 1
+        again = materialize(_pack_groups(pool.select("row", "length"), have[True].n, number, capacity))
+        got = {r.gap: r for r in counts(again)}
+        if sum(r.bins for r in got.values()) >= have[True].bins:
             break
-        done, pool = done.unionAll(now.where("not gap")), now.where("gap")
-    return done.unionAll(pool).select("row", "sequence", "at")
+        pool, have = again, got
+    return done.unionAll(pool).select("row", "sequence", "at", "bins", "bound")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     cut = materialize(pieces(docs, tokenizer, capacity))
     cut = materialize(cut.withColumn("row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
     packed = pack(cut.select("row", "length"), capacity)
-    return cut.join(packed, "row").select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), F.col("at").alias("offset"))
+    return cut.join(packed, "row").select(
+        "doc_id",
+        F.col("piece").cast("int").alias("piece"),
+        "start",
+        "length",
+        "ids_crc32",
+        F.col("sequence").alias("sequence_id"),
+        F.col("at").alias("offset"),
+        F.col("bins").alias("partition_bins"),
+        F.col("bound").alias("partition_bound"),
+    )
 
 
 def word_tokenizer() -> str:

@@ -72,34 +72,54 @@ def test_cover_trees_lose_no_link():
 def test_wavelet_round_trip(n):
     rng = np.random.default_rng(n)
     ids = (rng.zipf(1.3, n) % 50257).astype(np.uint32)
-    w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+    lengths = np.array([1] * min(n, 3) + [n - 3] * (n > 3), dtype=np.int64)
+    w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, lengths).to_bytes())
     assert (w.decode() == ids).all()
+    starts, got = w.documents()
+    assert got.tolist() == lengths.tolist() and starts.tolist() == (np.cumsum(lengths) - lengths).tolist()
     if n:
         i = rng.integers(0, n, 20)
         assert (w.access(i) == ids[i]).all()
         for token in (int(ids[0]), 49999):
             assert w.count(token) == (ids == token).sum()
+            assert w.count(token, n // 3, n // 2) == (ids[n // 3 : n // 2] == token).sum()
             assert (w.occurrences(token) == np.flatnonzero(ids == token)).all()
 
 
+def test_rank_and_select():
+    rng = np.random.default_rng(9)
+    bits = rng.random(3000) < 0.3
+    v = wavelet.BitVector.pack(bits)
+    assert v.rank(np.arange(3000)).tolist() == (np.cumsum(bits) - bits).tolist()
+    for bit in (0, 1):
+        at = np.flatnonzero(bits == bit)
+        assert v.select(bit, np.arange(len(at))).tolist() == at.tolist()
+
+
 def test_packing_fits_and_is_near_its_bound():
     s = np.random.default_rng(6).integers(1, 1000, 3000)
     b, at, n = packing.best_fit_decreasing(s)
-    assert np.bincount(b, s).max() <= 2048 and packing.lower_bound(s) <= n <= packing.lower_bound(s) + 3
+    least = packing.lower_bound(np.bincount(s, minlength=2049))
+    assert np.bincount(b, s).max() <= 2048 and least <= n <= least + 3
     assert all(a == s[(b == k) & (at < a)].sum() for k, a in zip(b[:200], at[:200]))
 
 
 def test_encoder_equals_the_library():
     tokenizers = pytest.importorskip("tokenizers")
     rng = np.random.default_rng(7)
-    parts = [" ", "  ", "\n", "a", "B", "é", "'s", "'", "1", "23", ".", " ", "<|endoftext|>", "́", "中", "ß", "\x1c"]
-    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(2000)]
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "B", "é", "É", "×", "'s", "'", "don't", "1", "23", ".", ",", "_", "\u00a0", "\u3000", "\u2028", "\x85", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "\u0301", "中", "ß", "Σ", "\x1c", "🙂"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4000)] + ["word " * 700_000 + "end", "中" * 5000]
+    raw = [t.encode() for t in texts]
     for path in (wavelet.byte_tokenizer(), packing.word_tokenizer()):
-        t = tokenizers.Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        want = [[*x.ids, 0] for x in tokenizers.Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
         for kept in (20, 10**6):
-            got = tokens.WordEncoder(path, kept).encode(texts)
-            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+            encoder = tokens.PieceEncoder(path, 0, kept)
+            for step in (700, len(raw)):
+                got = []
+                for a in range(0, len(raw), step):
+                    ids, ends = encoder.encode(raw[a : a + step])
+                    got += [x.tolist() for x in np.split(ids, ends[:-1])]
+                assert got == want
 
 
 def test_jpeg_keeps_every_byte():

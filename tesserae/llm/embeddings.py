@@ -1,17 +1,22 @@
 """Embedding near-dedup: exact cosine links by dual traversal of cover trees.
 
 1. Rows with equal vectors are one class; only classes are compared.
-2. Classes are dealt to cells around pivots (a bounded sample, spread by farthest-first choice); a
-   large cell is dealt to several. Each cell builds one cover tree: nested levels, radii halved from
-   level to level, each node with the true radius of what it covers.
-3. Pairs of cells that the pivots' distances do not rule out are joined, and their trees are
-   traversed together: a pair of nodes too far apart for their radii is left, one that is near enough
-   for its radii is taken whole, others are opened. No link is lost and none is guessed.
-4. Degrees are summed, and links join components. Of the links of a pair of cells only a spanning
-   set leaves the task.
+2. Classes are dealt to cells: a node with too many of them is divided around pivots (spread over a
+   sample of the node by farthest-first choice), and so on until every cell is small. A class has its
+   home with the nearest pivot and is a guest of another one if it is no further than the threshold
+   from the plane halfway between the two: nothing beyond that plane can link with it otherwise.
+3. Each cell builds one cover tree of its own classes: nested levels, radii halved from level to level,
+   each node with the true radius of what it covers. The trees are a table. The guests that one
+   cell sends to another travel as the part of its tree that holds them.
+4. A cell's tree is traversed with itself and with each part that came to it: a pair of nodes too
+   far apart for their radii is left, one that is near enough for its radii is taken whole, others are
+   opened. No link is lost and none is guessed.
+5. Degrees are summed, and links join components. Of the links of two trees only a spanning set leaves
+   the task.
 
 Distances are those of unit vectors: cosine >= c is distance <= sqrt(2 - 2c). The last decision is
-made on the cosine in double precision.
+made on the cosine in double precision. Where vectors have no cluster structure the planes and radii
+rule nothing out and the work is that of all pairs of cells.
 
 Defined results: a vector that is null, empty, zero or holds a null, NaN or infinity links with
 nothing; vectors of different lengths do not link; equal vectors link; a null vec_id is a vector like
@@ -21,6 +26,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,58 +36,75 @@ from tesserae.llm.common import materialize
 from tesserae.llm.components import connected_components
 
 COSINE = 0.95
-#: Classes in a cell, pivots at most, sampled classes for each pivot.
-CELL, MOST_PIVOTS, SAMPLE = 8192, 512, 8
+#: Classes in a cell at most, pivots that divide a node at most, sampled classes for each pivot, rows that one task divides.
+CELL, FAN, SAMPLE, CHUNK = 8192, 32, 8, 32_768
 _SLACK = 1e-6
+#: Pivots closer than this do not divide; such nodes are cut by hash.
+_LEAST_APART = 1e-3
 #: Points under which a node is not divided.
 LEAF = 16
 
 
+def unit_of(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 class CoverTree:
-    """Points in an order in which every node is a stretch; node arrays: begin, end, radius, children."""
+    """Points in an order in which every node is a stretch that begins with its centre.
+
+    Node arrays: begin, end, radius, kids. label and size: what the points stand for.
+    """
 
-    def __init__(self, x: np.ndarray):
-        norm = np.sqrt((x * x).sum(axis=1))
-        unit = x / norm[:, None]
+    def __init__(self, raw: np.ndarray, label: np.ndarray | None = None, size: np.ndarray | None = None):
+        """raw: vectors of any length but zero."""
+        unit = unit_of(raw)
+        self._unit, self._unit32 = unit, unit.astype(np.float32)
         order: list[np.ndarray] = []
         self.begin, self.end, self.radius, self.kids = [], [], [], []
-        self._build(unit, np.arange(len(x)), 2.0, order, 0)
+        if len(raw):
+            self._build(np.arange(len(raw)), 2.0, order, 0)
         self.order = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
-        self.x = unit[self.order]
+        self.begin, self.end, self.radius = np.array(self.begin, dtype=np.int64), np.array(self.end, dtype=np.int64), np.array(self.radius, dtype=np.float64)
+        self.label = self.order if label is None else label[self.order]
+        self.size = np.ones(len(raw), dtype=np.int64) if size is None else size[self.order]
+        self._points(raw[self.order])
+        del self._unit, self._unit32
+
+    def _points(self, raw: np.ndarray) -> None:
+        self.raw, self.x = raw, unit_of(raw)
         self.x32 = self.x.astype(np.float32)
-        self.begin, self.end = np.array(self.begin), np.array(self.end)
-        self.radius = np.array(self.radius)
 
-    def _build(self, unit, members, scale, order, at) -> int:
+    def _build(self, members, scale, order, at) -> int:
         """The node of members, whose first one is its centre and covers the rest within scale."""
         me = len(self.begin)
         self.begin.append(at)
         self.end.append(at + len(members))
-        near = unit[members] @ unit[members[0]]
-        self.radius.append(float(np.sqrt(np.maximum(0, 2 - 2 * near.min())) + 1e-9) if len(members) > 1 else 0.0)
         self.kids.append(None)
-        if len(members) <= LEAF:
+        if len(members) == 1:
+            self.radius.append(0.0)
             order.append(members)
             return me
+        near = self._unit[members] @ self._unit[members[0]]
+        self.radius.append(float(np.sqrt(np.maximum(0, 2 - 2 * near.min())) + 1e-9))
         scale = min(scale, self.radius[me])
-        if scale < 1e-7:  # so close that no halving tells them apart
+        if len(members) <= LEAF or scale < 1e-7:  # few, or so close that no halving tells them apart
             order.append(members)
             return me
         kids = []
-        for group in self._cover(unit, members, scale / 2):
-            kids.append(self._build(unit, group, scale / 2, order, at))
+        for group in self._cover(members, scale / 2):
+            kids.append(self._build(group, scale / 2, order, at))
             at += len(group)
         self.kids[me] = np.array(kids)
         return me
 
-    @staticmethod
-    def _cover(unit, members, radius, block: int = 256) -> list[np.ndarray]:
+    def _cover(self, members, radius, block: int = 256) -> list[np.ndarray]:
         """Groups around centres that are over radius apart; every member is within radius of its centre."""
-        least = 1 - radius * radius / 2
+        unit, least = self._unit32, 1 - radius * radius / 2
         groups: dict[int, list[np.ndarray]] = {}
         left = members
         while len(left):
-            head, rest = left[:block], left[block:]
+            head, left = left[:block], left[block:]
             near = unit[head] @ unit[head].T >= least
             centres, open_ = [], np.ones(len(head), dtype=bool)
             for i in range(len(head)):
@@ -91,23 +115,57 @@ class CoverTree:
                     centres.append(head[i])
                     open_ &= ~own
                     open_[i] = False
-            left = rest
-            if len(rest):
-                far = np.ones(len(rest), dtype=bool)
-                for a in range(0, len(rest), 4096):
-                    got = unit[rest[a : a + 4096]] @ unit[centres].T
-                    best = got.argmax(axis=1)
-                    hit = np.flatnonzero(got[np.arange(len(best)), best] >= least)
-                    if not len(hit):
+            if len(left):
+                far = np.ones(len(left), dtype=bool)
+                for a in range(0, len(left), 4096):
+                    got = unit[left[a : a + 4096]] @ unit[centres].T
+                    some = np.flatnonzero(got.max(axis=1) >= least)
+                    if not len(some):
                         continue
-                    far[a + hit] = False
-                    by = np.argsort(best[hit], kind="stable")
-                    which, first = np.unique(best[hit][by], return_index=True)
-                    for c, part in zip(which.tolist(), np.split(rest[a + hit[by]], first[1:]), strict=True):
+                    best = got[some].argmax(axis=1)
+                    far[a + some] = False
+                    by = np.argsort(best, kind="stable")
+                    which, first = np.unique(best[by], return_index=True)
+                    for c, part in zip(which.tolist(), np.split(left[a + some[by]], first[1:]), strict=True):
                         groups[int(centres[c])].append(part)
-                left = rest[far]
+                left = left[far]
         return [np.concatenate(g) for g in groups.values()]
 
+    def part(self, labels: np.ndarray) -> CoverTree:
+        """The tree of the points with these labels, the centres of their nodes among them."""
+        keep = np.isin(self.label, labels)
+        before = np.concatenate(([0], np.cumsum(keep)))
+        has = before[self.end] > before[self.begin]
+        keep[self.begin[has]] = True
+        before = np.concatenate(([0], np.cumsum(keep)))
+        number = np.cumsum(has) - 1
+        out = object.__new__(CoverTree)
+        out.begin, out.end, out.radius = before[self.begin[has]], before[self.end[has]], self.radius[has]
+        kids = [self.kids[i] for i in np.flatnonzero(has).tolist()]
+        out.kids = [None if k is None else number[k[has[k]]] for k in kids]
+        out.label, out.size = self.label[keep], self.size[keep]
+        out._points(self.raw[keep])
+        return out
+
+    def to_bytes(self) -> bytes:
+        inner = [k is not None for k in self.kids]
+        flat = [k for k in self.kids if k is not None]
+        out = io.BytesIO()
+        np.savez(out, raw=self.raw, label=self.label, size=self.size, begin=self.begin.astype(np.int32), end=self.end.astype(np.int32), radius=self.radius, inner=np.array(inner, dtype=bool), count=np.array([len(k) for k in flat], dtype=np.int64), kids=(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64)).astype(np.int32))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> CoverTree:
+        got = np.load(io.BytesIO(data))
+        out = object.__new__(cls)
+        out.begin, out.end, out.radius, out.label, out.size = got["begin"].astype(np.int64), got["end"].astype(np.int64), got["radius"], got["label"], got["size"]
+        out.kids = [None] * len(out.begin)
+        inner, kids = np.flatnonzero(got["inner"]).tolist(), np.split(got["kids"].astype(np.int64), np.cumsum(got["count"])[:-1])
+        for i, k in zip(inner, kids if inner else [], strict=True):
+            out.kids[i] = k
+        out._points(got["raw"])
+        return out
+
 
 class Links:
     """What a traversal finds: how much each point links to, and a spanning set of links."""
@@ -148,26 +206,38 @@ class Links:
         self.union(np.full(len(every), a0), every)
 
 
+def by_radius(tree: CoverTree, nodes: np.ndarray, block: int):
+    """nodes in blocks whose radii differ by a factor of two at most; single points are blocks of their own."""
+    kind = np.where(tree.radius[nodes] > 0, np.frexp(tree.radius[nodes])[1], -2000)
+    for k in np.unique(kind).tolist():
+        own = nodes[kind == k]
+        for a in range(0, len(own), block):
+            yield own[a : a + block]
+
+
 def traverse(s: CoverTree, t: CoverTree, cosine: float, links: Links, shift: int) -> None:
     """All links between the points of s and of t, whose places in links begin at shift; s may be t (shift 0)."""
     reach = np.sqrt(2 - 2 * cosine)
     same = s is t
-    stack = [(np.array([0]), np.array([0]))] if len(s.order) and len(t.order) else []
+    stack = [(np.array([0]), np.array([0]))] if len(s.begin) and len(t.begin) else []
+    slip = 1e-6 + 2.5e-7 * s.x32.shape[1]  # what single precision can be wrong by
     while stack:
-        a, b = stack.pop()
-        ra, rb = s.radius[a], t.radius[b]
-        mine, yours = s.x32[s.begin[a]], t.x32[t.begin[b]]
-        for i in range(0, len(a), 1024):
-            # a bound for the whole stretch of nodes first, in single precision, then each pair's own in double
-            far = reach + ra[i : i + 1024].max() + rb.max() + _SLACK
-            near = mine[i : i + 1024] @ yours.T
-            p, q = np.nonzero(near >= max(-2.0, 1 - far * far / 2 - 1e-5))
-            p += i
-            if same:
-                keep = a[p] <= b[q]
+        left, right = stack.pop()
+        right = [(b, t.x32[t.begin[b]].T, t.radius[b]) for b in by_radius(t, right, 8192)]
+        for a in by_radius(s, left, 1024):
+            mine, ra = s.x32[s.begin[a]], s.radius[a]
+            for b, yours, rb in right:
+                # a bound for the whole block first, then each pair's own, both in single precision
+                far = reach + ra.max() + rb.max() + _SLACK
+                near = mine @ yours
+                p, q = np.nonzero(near >= max(-2.0, 1 - far * far / 2 - slip))
+                own = reach + ra[p] + rb[q] + _SLACK
+                keep = 2 - 2 * near[p, q] <= own * own + 2 * slip
+                if same:
+                    keep &= a[p] <= b[q]
                 p, q = p[keep], q[keep]
-            for x in range(0, len(p), 200_000):
-                _decide(s, t, a[p[x : x + 200_000]], b[q[x : x + 200_000]], cosine, reach, links, shift, same, stack)
+                for x in range(0, len(p), 200_000):
+                    _decide(s, t, a[p[x : x + 200_000]], b[q[x : x + 200_000]], cosine, reach, links, shift, same, stack)
 
 
 def _decide(s, t, na, nb, cosine, reach, links, shift, same, stack) -> None:
@@ -208,119 +278,161 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     usable = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, v).alias("v"))
     rows = rows.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")))
-    own = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
+    kept = F.first("v")
+    if vectors.schema["embedding"].dataType.simpleString() == "array<float>":  # as it came, in half the room
+        kept = kept.cast("array<float>")
+    own = rows.where("h1 is not null").groupBy("h1", "h2").agg(kept.alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
     own = materialize(own.withColumn("cls", F.monotonically_increasing_id()))
     return rows.select("vec_id", "h1", "h2"), own
 
 
-def pivots_of(own: DataFrame, dims: int, n: int) -> np.ndarray:
-    """Unit vectors spread over a bounded sample: at most SAMPLE * MOST_PIVOTS classes reach the driver."""
-    k = int(np.clip(-(-n // CELL), 1, MOST_PIVOTS))
-    rows = own.where(F.size("v") == dims).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE * k).select("v").collect()
-    x = np.array([r.v for r in rows])
-    x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    chosen = [0]
-    nearest = x @ x[0]
-    while len(chosen) < min(k, len(x)):
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column of equally long vectors."""
+    if hasattr(column, "chunks"):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def farthest_first(unit: np.ndarray, k: int) -> np.ndarray:
+    """Up to k of these unit vectors, each as far from those before it as can be."""
+    chosen, nearest = [0], unit @ unit[0]
+    while len(chosen) < k and 2 - 2 * nearest.min() > _LEAST_APART**2:
         chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, x @ x[chosen[-1]])
-    return x[chosen]
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+    return unit[chosen]
 
 
-def _matrix(column) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1)
+def children(unit: np.ndarray, home: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, child, at home) of the children that each point goes to."""
+    cos = unit @ pivots.T
+    best = cos.argmax(axis=1)
+    apart = np.sqrt(np.maximum(1e-300, 2 - 2 * pivots @ pivots.T))
+    beyond = (cos[np.arange(len(best)), best][:, None] - cos) / apart[best] <= reach + _SLACK
+    beyond[np.arange(len(best)), best] = True
+    later = np.arange(len(pivots))[None, :] >= best[:, None]  # of two homes the lesser one sends guests
+    point, child = np.nonzero(beyond & (later | ~home[:, None]))
+    return point, child, home[point] & (child == best[point])
+
+
+STATE = "cls long, n long, v array<{kind}>, node string, home boolean"
+
+
+def cells(own: DataFrame, cosine: float, cell: int = CELL) -> DataFrame:
+    """cls, n, v, node, home: the cell each class is at home in, and those it is a guest of."""
+    reach = float(np.sqrt(2 - 2 * cosine))
+    kind = own.schema["v"].dataType.elementType.simpleString()
+    state, done, depth = own.select("cls", "n", "v", F.size("v").cast("string").alias("node"), F.lit(True).alias("home")), None, 0
 
+    def pivots_of(table):
+        import pyarrow as pa
+
+        order = np.argsort(table.column("cls").to_numpy(), kind="stable")
+        got = farthest_first(unit_of(_matrix(table.column("v")))[order], table.column("fan")[0].as_py())
+        return pa.table({"node": table.column("node").slice(0, 1), "pivots": pa.array([got.tobytes()], pa.binary()), "k": pa.array([len(got)], pa.int32())})
+
+    def divide(left, right):
+        import pyarrow as pa
+
+        cls, home = left.column("cls").to_numpy(), left.column("home").to_numpy(zero_copy_only=False)
+        k, fan = right.column("k")[0].as_py() or 0, right.column("fan")[0].as_py()
+        if k > 1:
+            unit = unit_of(_matrix(left.column("v"))) if len(left) else np.zeros((0, 1))
+            point, child, at_home = children(unit, home, np.frombuffer(right.column("pivots")[0].as_py()).reshape(k, -1), reach)
+        else:  # all alike: by number, every later part is visited
+            own = left.column("part").to_numpy()
+            point, child = np.nonzero((np.arange(fan)[None, :] >= own[:, None]) | ~home[:, None])
+            at_home = home[point] & (child == own[point])
+        got = left.select(["cls", "n", "v", "node"]).take(pa.array(point))
+        names = pa.array([f"{n}.{c}" for n, c in zip(got.column("node").to_pylist(), child.tolist(), strict=True)], pa.string())
+        return got.set_column(3, "node", names).append_column("home", pa.array(at_home, pa.bool_()))
+
+    while True:
+        sizes = state.groupBy("node").agg(F.count_if("home").alias("members"), F.count(F.lit(1)).alias("rows"))
+        fan = F.least(F.greatest(F.ceil(F.col("members") * 1.25 / cell), F.lit(2)), F.lit(FAN)).cast("int")
+        open_ = materialize(sizes.where(F.col("members") > cell).withColumn("fan", fan).withColumn("chunks", F.ceil(F.col("rows") / CHUNK).cast("int")))
+        if open_.isEmpty():
+            return state if done is None else done.unionAll(state)
+        share = F.col("fan") * SAMPLE / F.col("members") * 2.0**31
+        sample = state.where("home").join(open_, "node").where(F.pmod(F.xxhash64("cls", F.lit(depth)), F.lit(2**31)) < share)
+        chosen = sample.select("node", "cls", "v", "fan").groupBy("node").applyInArrow(pivots_of, "node string, pivots binary, k int")
+        chosen = materialize(open_.join(chosen, "node", "left"))
+        left = state.join(open_.select("node", "chunks", "fan"), "node").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+        left = left.withColumn("part", F.pmod(F.xxhash64("cls", F.lit(-1 - depth)), F.col("fan")).cast("int")).drop("chunks", "fan")
+        right = chosen.select("node", "fan", "pivots", "k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        moved = left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInArrow(divide, STATE.format(kind=kind))
+        rest = state.join(open_.select("node"), "node", "left_anti").select("cls", "n", "v", "node", "home")
+        done = rest if done is None else done.unionAll(rest)
+        state, depth = materialize(moved), depth + 1
+
+
+def plant(homes: DataFrame) -> DataFrame:
+    """(node, tree): one row a cell."""
+
+    def run(table):
+        import pyarrow as pa
+
+        cls = table.column("cls").to_numpy()
+        order = np.argsort(cls, kind="stable")
+        tree = CoverTree(_matrix(table.column("v"))[order], cls[order], table.column("n").to_numpy()[order])
+        return pa.table({"node": table.column("node").slice(0, 1), "tree": pa.array([tree.to_bytes()], pa.binary())})
+
+    return homes.select("node", "cls", "n", "v").groupBy("node").applyInArrow(run, "node string, tree binary")
 
-def to_cells(own: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """cls, n, v, pivot and away (distance to the pivot)."""
+
+def guests_of(asked: DataFrame) -> DataFrame:
+    """(node, guest): the parts of trees that go to a cell. asked: node (where to), cls (a list of guests) and their tree."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("v"))
-                near = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ pivots.T
-                best = near.argmax(axis=1)
-                away = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(best)), best]))
-                yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), batch.column("v"), pa.array(best.astype(np.int32)), pa.array(away)], names=["cls", "n", "v", "pivot", "away"])
+            for i in range(batch.num_rows):
+                part = CoverTree.from_bytes(batch.column("tree")[i].as_py()).part(batch.column("cls")[i].values.to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), pa.array([part.to_bytes()], pa.binary())], names=["node", "guest"])
 
-    return own.select("cls", "n", "v").mapInArrow(run, "cls long, n long, v array<double>, pivot int, away double")
+    return asked.select("node", "cls", "tree").mapInArrow(run, "node string, guest binary")
 
 
-def link_cells(pairs: DataFrame, cosine: float) -> DataFrame:
-    """(cls, links, root) from rows of two cells (a and b: cls, n, x), of which b is null for a cell with itself."""
+def link_trees(pairs: DataFrame, cosine: float) -> DataFrame:
+    """(cls, links, root) from rows of a tree and a guest, which is null for a tree with itself."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                s = _tree(row["a"])
-                own = np.array(row["a"]["cls"])[s.order]
-                size = np.array(row["a"]["n"])[s.order]
-                if row["b"] is None:
-                    links = Links(size)
-                    traverse(s, s, cosine, links, 0)
+            for i in range(batch.num_rows):
+                s = CoverTree.from_bytes(batch.column("tree")[i].as_py())
+                if batch.column("guest")[i].is_valid:
+                    t = CoverTree.from_bytes(batch.column("guest")[i].as_py())
+                    own, links = np.concatenate((s.label, t.label)), Links(np.concatenate((s.size, t.size)))
+                    traverse(s, t, cosine, links, len(s.label))
                 else:
-                    t = _tree(row["b"])
-                    own = np.concatenate((own, np.array(row["b"]["cls"])[t.order]))
-                    links = Links(np.concatenate((size, np.array(row["b"]["n"])[t.order])))
-                    traverse(s, t, cosine, links, len(s.order))
+                    own, links = s.label, Links(s.size)
+                    traverse(s, s, cosine, links, 0)
                 hit = np.flatnonzero(links.degree[: len(own)])
                 root = links.find(np.arange(len(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array(links.degree[hit]), pa.array(own[root[hit]])], names=["cls", "links", "root"])
 
-    return pairs.mapInArrow(run, "cls long, links long, root long")
-
-
-def _tree(cell: dict) -> CoverTree:
-    return CoverTree(np.frombuffer(cell["x"]).reshape(len(cell["cls"]), -1))
-
-
-def link_classes(own: DataFrame, cosine: float) -> DataFrame:
-    """(cls, links, root) of all pairs of cells; one cls can have several rows."""
-    out = None
-    for dims, n in own.groupBy(F.size("v")).count().collect():  # one row for each length of vector
-        pivots = pivots_of(own, dims, n)
-        dealt = materialize(to_cells(own.where(F.size("v") == dims), pivots))
-        stats = dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.max("away").alias("r")).collect()  # at most MOST_PIVOTS rows
-        parts = {s.pivot: -(-s.members // CELL) for s in stats}
-        radius = {s.pivot: s.r for s in stats}
-        reach = np.sqrt(2 - 2 * cosine)
-        apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
-        near = [(p, q) for p in parts for q in parts if p <= q and apart[p, q] <= reach + radius[p] + radius[q] + _SLACK]
-        spark = own.sparkSession
-        deal = spark.createDataFrame([(p, parts[p]) for p in parts], "pivot int, parts int")
-
-        def pack(table):
-            import pyarrow as pa
-
-            t = table.combine_chunks()
-            x = np.ascontiguousarray(_matrix(t.column("v").chunk(0)))
-            return pa.table({"pivot": t.column("pivot")[:1], "part": t.column("part")[:1], "cell": pa.array([{"cls": t.column("cls").to_pylist(), "n": t.column("n").to_pylist(), "x": x.tobytes()}], pa.struct([("cls", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("x", pa.binary())]))})
-
-        cells = dealt.join(deal, "pivot").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-        cells = cells.select("pivot", "part", "cls", "n", "v").groupBy("pivot", "part").applyInArrow(pack, "pivot int, part int, cell struct<cls: array<long>, n: array<long>, x: binary>")
-        cells = materialize(cells)
-        # pairs of cells by number alone, then joined with what they hold
-        names = cells.select("pivot", "part")
-        pairs = spark.createDataFrame(near, "pa int, pb int")
-        pairs = pairs.join(names.toDF("pa", "xa"), "pa").join(names.toDF("pb", "xb"), "pb").where("pa < pb or xa <= xb")
-        full = pairs.join(cells.toDF("pa", "xa", "a"), ["pa", "xa"]).join(cells.toDF("pb", "xb", "b"), ["pb", "xb"])
-        alone = (F.col("pa") == F.col("pb")) & (F.col("xa") == F.col("xb"))
-        full = full.select(F.xxhash64("pa", "xa", "pb", "xb").alias("k"), "a", F.when(~alone, F.col("b")).alias("b"))
-        found = materialize(link_cells(full.repartition(max(1, sum(parts.values())), "k").select("a", "b"), cosine))
-        out = found if out is None else out.unionAll(found)
-    return out
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    return pairs.select("tree", "guest").mapInArrow(run, "cls long, links long, root long")
+
+
+def link_classes(own: DataFrame, cosine: float, cell: int = CELL) -> DataFrame:
+    """(cls, links, root) of all trees with themselves and their guests; one cls can have several rows."""
+    dealt = cells(own, cosine, cell)
+    homes = dealt.where("home")
+    trees = materialize(plant(homes))
+    sent = dealt.where("not home").select("cls", F.col("node").alias("to")).join(homes.select("cls", "node"), "cls")
+    sent = sent.groupBy("node", "to").agg(F.collect_list("cls").alias("cls"))  # at most the classes of a cell
+    guests = guests_of(sent.join(trees, "node").select(F.col("to").alias("node"), "cls", "tree"))
+    pairs = guests.join(trees, "node").select("node", "tree", "guest").unionAll(trees.select("node", "tree", F.lit(None).cast("binary")))
+    tasks = 4 * max(1, trees.count())
+    return materialize(link_trees(pairs.repartition(tasks, F.xxhash64("node", F.coalesce("guest", F.lit(b"")))), cosine))
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector."""
     rows, own = classes(vectors)
-    found = link_classes(own, cosine)
-    if found is None:
-        found = own.select("cls", F.lit(0).cast("long").alias("links"), F.col("cls").alias("root"))
+    found = link_classes(own, cosine, cell)
     degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("cls").alias("src"), F.col("root").alias("dst")))
     named = own.select("cls", "h1", "h2", "n", "least").join(degree, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")

@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed 3-, 4- and 5-byte grams that a text (A-Z lower-cased) holds, each counted
-once a document. From labelled rows, r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), where p and q
-count the toxic and the clean documents that hold a gram; the grams that tell the classes apart
-best (by the likelihood ratio) are kept, and a logistic regression with an L2 penalty is fitted to
-r times presence.
+Features are the hashed 3-, 4- and 5-grams of characters that a text (lower-cased) holds, each
+counted once a document. From labelled rows, r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), where
+p and q count the toxic and the clean documents that hold a gram and |.| sums over all grams seen. A
+logistic regression with an L2 penalty is fitted to r times presence of every gram that the labels
+depend on by a likelihood-ratio test at a fixed level, however many these are.
 
-The fit uses at most train_rows labelled rows (those with the least hash of doc_id), in one task;
-the scoring covers every whole text, a task holding one slice of texts and the model, whose size is
-fixed by n_features.
+The fit reads at most train_rows labelled rows (those with the least hash of doc_id). Grams are
+counted by a grouped sum and the regression runs on sparse rows in Spark's ml library, so no task
+holds more than its share of these rows. The model (at most 2**BITS weights) is sent to the tasks that
+score; scoring covers every whole text.
 
 Defined results: a null or empty text holds no gram and gets the score of the intercept; labels
 that are null or whose document is missing are not used; without labels of both classes every
@@ -22,139 +23,132 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_bytes, documents, slices
+from tesserae.llm.common import column_bytes, documents, materialize, slices
 
-#: Bounds of the fit and the size of the hash table.
-TRAIN_ROWS, N_FEATURES, BITS = 12_000, 4096, 22
+#: Labelled rows that a fit reads at most, and bits of a feature's number.
+TRAIN_ROWS, BITS = 12_000, 22
 GRAMS = (3, 4, 5)
-#: A gram is kept if so many training documents hold it and its likelihood ratio (chi-square, one degree) is that large.
-LEAST_DOCUMENTS, LEAST_GAIN = 5, 15.0
+#: Level of the test: the likelihood ratio (chi-square, one degree) from which a gram is a feature.
+LEAST_GAIN = 15.0
+#: Weight of the L2 penalty, per row; the fit's tolerance and rounds.
+PENALTY, TOLERANCE, ROUNDS = 1.0, 1e-5, 100
 THRESHOLD = 0.3
-_C = np.uint64(0x9E3779B97F4A7C15)
+_C, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def gram_places(texts: list[bytes]):
     """For each gram length: (feature, place) of all grams in the joined texts, and each text's first place."""
-    data = np.frombuffer(b"\n".join(t.lower() for t in texts) + b"\n", dtype=np.uint8)
+    lower = [t.decode(errors="replace").lower() for t in texts]
+    data = np.frombuffer(("\n".join(lower) + "\n").encode("utf-32-le", errors="replace"), dtype="<u4").astype(np.uint64)
     first = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) + 1 for t in texts], out=first[1:])
-    wide = data.astype(np.uint64)
-    value = wide.copy()
-    out = []
+    np.cumsum([len(t) + 1 for t in lower], out=first[1:])
+    value, out = data, []
     for n in range(2, max(GRAMS) + 1):
         if len(data) < n:
             break
-        value = value[:-1] | (wide[n - 1 :] << np.uint64(8 * (n - 1)))
+        value = value[:-1] * _R + data[n - 1 :]
         if n in GRAMS:
-            out.append((n, ((value + np.uint64(n << 60)) * _C >> np.uint64(64 - BITS)).astype(np.int32)))
+            mixed = value + np.uint64(n << 60)
+            mixed ^= mixed >> np.uint64(31)
+            out.append((n, (mixed * _C >> np.uint64(64 - BITS)).astype(np.int32)))
     return first, out
 
 
 def features_of(text: bytes) -> np.ndarray:
     """The distinct features of one text."""
-    _, grams = gram_places([text])
-    own = [f[: max(0, len(text) - n + 1)] for n, f in grams]
+    first, grams = gram_places([text])
+    own = [f[: max(0, int(first[1]) - n)] for n, f in grams]
     return np.unique(np.concatenate(own)) if own else np.zeros(0, dtype=np.int32)
 
 
-def fit_arrays(texts: list[bytes], y: np.ndarray, n_features: int = N_FEATURES, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) from labelled texts."""
-    none = np.zeros(0, dtype=np.int64)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return none, none.astype(float), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20))
-    rows = [features_of(t) for t in texts]
-    pos, neg = (np.zeros(1 << BITS, dtype=np.int64) for _ in range(2))
-    for f, label in zip(rows, y, strict=True):
-        (pos if label else neg)[f] += 1
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    r = np.log((pos + 1) / (pos + 1).sum()) - np.log((neg + 1) / (neg + 1).sum())
-    keep = np.flatnonzero(pos + neg >= LEAST_DOCUMENTS)
-    gain = 2 * _likelihood_ratio(pos[keep], neg[keep], n1, n0)
-    keep, gain = keep[gain >= LEAST_GAIN], gain[gain >= LEAST_GAIN]
-    best = keep[np.argsort(-gain, kind="stable")[:n_features]]
-    best.sort()
-    place = np.full(1 << BITS, -1, dtype=np.int32)
-    place[best] = np.arange(len(best))
-    cols = [place[f] for f in rows]
-    cols = [c[c >= 0] for c in cols]
-    at = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    cols = np.concatenate(cols)
-    w = _logistic(at, cols, r[best], y.astype(float), penalty)
-    return best, w[:-1] * r[best], float(w[-1])
-
-
-def _likelihood_ratio(p, q, n1, n0):
-    def part(seen, expected):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / expected), 0.0)
-
-    total, n = p + q, n1 + n0
-    return sum(part(seen, np.maximum(margin * size / n, 1e-12)) for seen, margin, size in ((p, total, n1), (q, total, n0), (n1 - p, n - total, n1), (n0 - q, n - total, n0)))
-
-
-def _logistic(at, cols, r, y, penalty, rounds: int = 200) -> np.ndarray:
-    """Minimise the log loss plus penalty / 2 * |w|^2 by L-BFGS; the last weight is the intercept."""
-    n, m = len(y), len(r)
-    x = r[cols]
-
-    def value(w):
-        z = np.bincount(at, x * w[cols], minlength=n) + w[m]
-        loss = np.logaddexp(0, z).sum() - (y * z).sum() + penalty / 2 * (w[:m] ** 2).sum()
-        e = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        return loss, np.append(np.bincount(cols, e[at] * x, minlength=m) + penalty * w[:m], e.sum())
-
-    w = np.zeros(m + 1)
-    now, g = value(w)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        d, alphas = -g, []
-        for s, t in reversed(steps):
-            a = s @ d / (s @ t)
-            alphas.append(a)
-            d = d - a * t
-        if steps:
-            s, t = steps[-1]
-            d = d * (s @ t / (t @ t))
-        for (s, t), a in zip(steps, reversed(alphas), strict=True):
-            d = d + s * (a - t @ d / (s @ t))
-        size = 1.0 if steps else 1.0 / max(1.0, np.abs(g).sum())
-        while True:
-            nxt, h = value(w + size * d)
-            if nxt <= now + 1e-4 * size * (g @ d) or size < 1e-10:
-                break
-            size /= 2
-        s, t = size * d, h - g
-        if s @ t > 1e-12:
-            steps = [*steps[-9:], (s, t)]
-        w, g, gain, now = w + s, h, now - nxt, nxt
-        if gain < 1e-7 * max(1.0, abs(now)):
-            break
-    return w
-
-
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_features: int = N_FEATURES) -> tuple[list[int], list[float], float]:
-    """The model as three small values. labels: doc_id and toxic; rows held out are not read."""
+def labelled_features(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """(y, f): label and distinct features of each row to learn from. labels: doc_id and toxic; rows held out are not read."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
     chosen = chosen.select(F.col("doc_id").cast("long").alias("_d"), F.col("toxic").cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_d"), "_d", "_y").limit(train_rows)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("_d"), text).join(F.broadcast(chosen), "_d")  # at most train_rows rows
 
-    def train(batches):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            f = [features_of(t) for t in column_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("_y"), pa.int32()), pa.array(f, pa.list_(pa.int32()))], names=["y", "f"])
+
+    return rows.select("text", "_y").mapInArrow(run, "y int, f array<int>")
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(f, pos, neg): toxic and clean rows that hold each gram; each task sends one row a gram."""
+
+    def run(batches):
         import pyarrow as pa
 
-        got = [(t, y) for b in batches for t, y in zip(column_bytes(b.column("text")), b.column("_y").to_pylist(), strict=True)]
-        got.sort(key=lambda x: (x[1], x[0]))  # one order, however the rows arrived
-        f, w, bias = fit_arrays([t for t, _ in got], np.array([y for _, y in got], dtype=np.int64), n_features)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(w, bias))], names=["f", "w"])
+        pos, neg = (np.zeros(1 << BITS, dtype=np.int32) for _ in range(2))
+        for b in batches:
+            f, y = b.column("f"), np.repeat(b.column("y").to_numpy(), np.diff(b.column("f").offsets.to_numpy()))
+            grams = f.flatten().to_numpy()
+            pos += np.bincount(grams[y > 0], minlength=1 << BITS).astype(np.int32)
+            neg += np.bincount(grams[y <= 0], minlength=1 << BITS).astype(np.int32)
+        seen = np.flatnonzero(pos + neg)
+        for a in range(0, len(seen), 100_000):
+            own = seen[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(pos[own].astype(np.int64)), pa.array(neg[own].astype(np.int64))], names=["f", "pos", "neg"])
+
+    return rows.mapInArrow(run, "f int, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def gain(n1: int, n0: int):
+    """Likelihood ratio of pos and neg against independence of gram and label, as a column."""
+    n = n1 + n0
+
+    def part(seen, margin, size):
+        return F.when(seen > 0, seen * F.log(seen * n / (margin * size))).otherwise(0.0)
+
+    p, q = F.col("pos"), F.col("neg")
+    return 2 * (part(p, p + q, n1) + part(q, p + q, n0) + part(n1 - p, n - p - q, n1) + part(n0 - q, n - p - q, n0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[int], list[float], float]:
+    """The model: features, their weights, and the intercept."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+    from pyspark.ml.linalg import Vectors
+
+    rows = materialize(labelled_features(docs, labels, train_rows))
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0))).first()
+    share = n1 / n if n else 0.0
+    constant = ([], [], float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
+    if n1 in (0, n):
+        return constant
+    counts = materialize(gram_counts(rows))
+    p1, q1 = counts.agg(F.sum(F.col("pos") + 1), F.sum(F.col("neg") + 1)).first()
+    ratio = F.log((F.col("pos") + 1) / F.lit(p1)) - F.log((F.col("neg") + 1) / F.lit(q1))
+    kept = counts.where(gain(n1, n - n1) >= LEAST_GAIN).select("f", ratio.alias("r")).orderBy("f").collect()  # at most 2**BITS rows
+    if not kept:
+        return constant
+    f, r = [k.f for k in kept], [k.r for k in kept]
+    feature = np.array(f, dtype=np.int32)
+
+    def narrow(batches):
+        import pyarrow as pa
 
-    model = rows.select("text", "_y").repartition(1).mapInArrow(train, "f long, w double").collect()
-    bias = next((r.w for r in model if r.f < 0), 0.0)
-    return [r.f for r in model if r.f >= 0], [r.w for r in model if r.f >= 0], bias
+        known = np.zeros(1 << BITS, dtype=bool)
+        known[feature] = True
+        for b in batches:
+            own = [x[known[x]].astype(str).tolist() for x in np.split(b.column("f").flatten().to_numpy(), np.cumsum(np.diff(b.column("f").offsets.to_numpy()))[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("y").to_numpy() > 0).cast(pa.float64()), pa.array(own, pa.list_(pa.string()))], names=["y", "grams"])
+
+    sparse = CountVectorizerModel.from_vocabulary([str(x) for x in f], "grams", "present").setBinary(True)
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(r), inputCol="present", outputCol="features")
+    table = scale.transform(sparse.transform(materialize(rows.mapInArrow(narrow, "y double, grams array<string>"))))
+    model = LogisticRegression(labelCol="y", regParam=PENALTY / n, standardization=False, tol=TOLERANCE, maxIter=ROUNDS).fit(table)
+    return f, (model.coefficients.toArray() * np.array(r)).tolist(), float(model.intercept)
 
 
 def scores_of(texts: list[bytes], table: np.ndarray, flags: np.ndarray, bias: float) -> np.ndarray:

@@ -60,12 +60,19 @@ def test_cover_trees_lose_no_link():
     u = x / np.linalg.norm(x, axis=1)[:, None]
     s = u @ u.T >= 0.95
     np.fill_diagonal(s, False)
-    t = embeddings.CoverTree(x)
+    t = embeddings.CoverTree.from_bytes(embeddings.CoverTree(x).to_bytes())
     links = embeddings.Links(np.ones(500, dtype=np.int64))
     embeddings.traverse(t, t, 0.95, links, 0)
     degree = np.zeros(500, dtype=int)
-    degree[t.order] = links.degree[:500]
+    degree[t.label] = links.degree[:500]
     assert degree.tolist() == s.sum(axis=1).tolist()
+    # a part of a tree finds what its points link with
+    some = np.arange(0, 500, 3)
+    part = embeddings.CoverTree.from_bytes(t.part(some).to_bytes())
+    links = embeddings.Links(np.ones(len(part.label) + 500, dtype=np.int64))
+    embeddings.traverse(part, t, 0.95, links, len(part.label))
+    got = {int(l): int(d) for l, d in zip(part.label, links.degree)}
+    assert [got[i] for i in some.tolist()] == [int(s[i].sum()) + 1 for i in some.tolist()]
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 4000])

@@ -101,6 +101,24 @@ def test_embeddings_of_odd_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_embeddings_over_many_cells_equal_brute_force(spark, clustered):
+    own = np.random.default_rng(3)
+    centres = own.normal(size=(12, 6))
+    x = (centres[own.integers(0, 12, 900)] + 0.25 * own.normal(size=(900, 6)) if clustered else own.normal(size=(900, 6))).astype(np.float32)
+    x[50:90] = x[50] * (1 + np.arange(40))[:, None].astype(np.float32) + own.normal(size=(40, 6)).astype(np.float32) * 1e-5
+    x[100] = x[7]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    label = np.arange(900)
+    while (new := np.array([label[r].min() for r in near])).tolist() != label.tolist():
+        label = new
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = embeddings.near_duplicates(table, cell=30).toPandas().sort_values("vec_id")
+    assert got["n_links"].tolist() == (near.sum(axis=1) - 1).tolist()
+    assert got["component_id"].tolist() == label.tolist() and got["kept"].tolist() == (label == np.arange(900)).tolist()
+
+
 def test_toxicity_learns_and_scores_empty_texts(spark):
     docs = spark.createDataFrame([(i, text(30) + (" scumbag" if i % 3 == 0 else "")) for i in range(300)] + [(900, None), (901, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(250)] + [(1, None), (5000, 1)], "doc_id long, toxic int")

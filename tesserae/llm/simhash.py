@@ -3,13 +3,14 @@
 Fingerprints: 64 majority bits over the XXH64 hashes (seed 42) of a document's 3-word shingles,
 repeats included, A-Z lower-cased. Fingerprints link at 2 or fewer differing bits.
 
-Search: each distinct fingerprint goes to the buckets in which a link must show: of four 16-bit
-blocks two differing bits leave two blocks alike, so a bucket is a pair of blocks and its 32 bits.
-A bucket with very many fingerprints is dealt again by a third of its other bits (one of three
-must be alike as well), which bounds it by the bits that are left, not by the rows. Inside a bucket
-the fingerprints are sorted by Gray rank, neighbours are put under nodes that hold the bits they
-all share, nodes are put under further nodes, and a query adds up the differing bits from the top
-and leaves a whole group as soon as there are over 2. Only a spanning set of links leaves a bucket.
+Search: each distinct fingerprint goes to the buckets in which a link must show. Of four 16-bit
+blocks two differing bits leave two blocks alike, and of the other 32 bits, in three parts, one part
+more; so a bucket is a pair of blocks and a part, 42 or 43 bits, and is bounded by the bits that are left
+(at most 2**22 fingerprints), not by the rows. Inside a bucket the fingerprints are sorted by Gray rank,
+neighbours are put under nodes that hold the bits they all share, nodes are put under further nodes,
+and a query adds up the differing bits from the top and leaves a whole group as soon as there are
+over 2. Only a spanning set of links leaves a bucket. Most buckets hold a few fingerprints, for
+which the index is one node; it is at work in those that very many share.
 
 Defined results: a null text is empty; a document of no words has fingerprint zero and links like
 any other; fewer than three words are one shingle; a null doc_id has no say in a component's
@@ -31,8 +32,6 @@ from tesserae.llm.components import connected_components
 from tesserae.llm.jaccard import near_copies
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
-#: Fingerprints of a bucket beyond which it is dealt again.
-LARGE = 4096
 #: Children of one node of the index.
 FANOUT = 16
 _LANES = np.uint64(0x0101010101010101)
@@ -196,30 +195,21 @@ def _with_mask(masks: list[int]):
     return F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(m if m < 2**63 else m - 2**64)).alias("key")) for k, m in enumerate(masks)])
 
 
-def block_masks() -> list[int]:
-    return [(0xFFFF << 16 * a) | (0xFFFF << 16 * b) for a, b in _pairs()]
-
-
-def refined_masks() -> list[int]:
+def bucket_masks() -> list[int]:
     """For each pair of blocks, with one third of the other 32 bits as well."""
     out = []
-    for m in block_masks():
+    for x, y in _pairs():
+        m = (0xFFFF << 16 * x) | (0xFFFF << 16 * y)
         free = [b for b in range(64) if not m >> b & 1]
         out += [m | sum(1 << b for b in free[a:c]) for a, c in ((0, 11), (11, 22), (22, 32))]
     return out
 
 
-def link_fingerprints(fps: DataFrame, large: int = LARGE) -> DataFrame:
+def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Links (src, dst) between distinct fingerprints that span the same components as all pairs within two bits."""
-    plain = fps.select("fp", F.inline(_with_mask(block_masks())))
-    counts = plain.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    got = materialize(plain.join(counts, ["kind", "key"]))
-    usual = got.where(F.col("n") <= large).select("kind", "key", "fp")
-    parts = 3
-    again = got.where(F.col("n") > large).select("kind", "fp")
-    masks = refined_masks()
-    again = again.select("fp", F.inline(F.filter(_with_mask(masks), lambda x: F.floor(x["kind"] / parts) == F.col("kind"))).alias("k2", "key"))
-    again = again.select((F.col("k2") + len(block_masks())).alias("kind"), "key", "fp")
+    dealt = fps.select("fp", F.inline(_with_mask(bucket_masks())))
+    several = dealt.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "key")
+    dealt = materialize(dealt.join(several, ["kind", "key"]).select("kind", "key", "fp"))
 
     def run(batches):
         import pyarrow as pa
@@ -237,7 +227,7 @@ def link_fingerprints(fps: DataFrame, large: int = LARGE) -> DataFrame:
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
-    dealt = usual.unionAll(again).repartition(F.col("kind"), F.col("key")).sortWithinPartitions("kind", "key", "fp")
+    dealt = dealt.repartition(F.col("kind"), F.col("key")).sortWithinPartitions("kind", "key", "fp")
     return dealt.mapInArrow(run, "src long, dst long")
 
 
@@ -259,11 +249,11 @@ def buckets(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield tuple(held)
 
 
-def near_components(docs: DataFrame, large: int = LARGE) -> DataFrame:
+def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, ord, th, fp, root (a fingerprint of the component) and component_id, one row a document."""
     rows = materialize(fingerprints(keyed(docs), "doc_id", "ord", "th"))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(link_fingerprints(classes.select("fp"), large))
+    roots = connected_components(link_fingerprints(classes.select("fp")))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import clean, strength
 from tesserae.functions.special import t_two_sided
-from tesserae.operators.kernels import global_ranks, gram, long_form, quantiles, safe_corr, value_counts
+from tesserae.operators.kernels import global_ranks, gram, group_quantiles, long_form, quantiles, safe_corr, value_counts
 
 
 def sample_skew(n, g1):
@@ -21,39 +21,33 @@ def sample_kurtosis(n, g2):
 
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row a column: counts, centre, spread, quartiles, shape. One aggregate over the long form's groups."""
-    x = long_form(df.select(*[clean(c).alias(c) for c in cols]), cols, cast="double")
-    v = F.col("value")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = x.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), q.alias("q"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"),
-    )
+    """One row a column: counts, centre, spread, quartiles, shape. One aggregate for all moments, and the quantile kernel."""
+    q = quantiles(df, cols, [0.25, 0.5, 0.75])
+    what = [F.count, F.avg, F.stddev_samp, F.var_samp, F.min, F.max, F.skewness, F.kurtosis]
+    row = df.agg(F.count(F.lit(1)), *[F.struct(*[f(clean(c)) for f in what]) for c in cols]).first()
+    rows = [(c, row[0], *r, *(q[c] or [None] * 3)) for c, r in zip(cols, row[1:], strict=True) if row[0]]
+    a = df.sparkSession.createDataFrame(rows, "variable string, rows long, n long, mean double, std double, variance double, min double, max double, g1 double, g2 double, q1 double, median double, q3 double")
     n = F.col("n").cast("double")
     return a.select(
-        "variable", "n", (F.col("rows") - F.col("n")).alias("missing"), "mean", F.col("q")[1].alias("median"), "std", "variance", F.try_divide("std", F.abs("mean")).alias("cv"),
-        "min", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), (F.col("max") - F.col("min")).alias("range"),
+        "variable", "n", (F.col("rows") - F.col("n")).alias("missing"), "mean", "median", "std", "variance", F.try_divide("std", F.abs("mean")).alias("cv"),
+        "min", "q1", "q3", "max", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("max") - F.col("min")).alias("range"),
         sample_skew(n, F.col("g1")).alias("skewness"), sample_kurtosis(n, F.col("g2")).alias("kurtosis"), (F.col("std") / F.sqrt(n)).alias("sem"),
     )
 
 
 def percentiles(df: DataFrame, cols: list[str], probs=(0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    x = long_form(df, cols, cast="double")
-    got = x.groupBy("variable").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("q"))
-    return got.select("variable", *[F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(probs)])
+    q = quantiles(df, cols, list(probs))
+    rows = [(c, *(q[c] or [None] * len(probs))) for c in cols if q[c] or not df.isEmpty()]
+    return df.sparkSession.createDataFrame(rows, "variable string, " + ", ".join(f"p{round(100 * p)} double" for p in probs))
 
 
 def describe_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct values, mode (the least on ties), its share, entropy in nats and relative to its greatest."""
+    """Distinct values, mode (the least on ties), its share, entropy in nats and relative to its greatest: sums over value counts."""
     vc = value_counts(df, cols).where("value is not null")
-    w = Window.partitionBy("variable")
-    p = F.col("n") / F.sum("n").over(w)
-    vc = vc.withColumn("p", p)
-    rank = F.row_number().over(w.orderBy(F.desc("n"), "value"))
-    vc = vc.withColumn("rk", rank)
-    got = vc.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("distinct"), F.max(F.when(F.col("rk") == 1, F.col("value"))).alias("mode"), F.max("p").alias("mode_share"), F.sum(-F.col("p") * F.log("p")).alias("entropy")
-    )
+    n = F.col("n")
+    got = vc.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct"), F.min_by("value", F.struct(-n, "value")).alias("mode"), F.max(n).alias("most"), F.sum(n).alias("all"), F.sum(n * F.log(n)).alias("h"))
+    entropy = F.greatest(F.log("all") - F.col("h") / F.col("all"), F.lit(0.0))
+    got = got.select("variable", "distinct", "mode", (F.col("most") / F.col("all")).alias("mode_share"), entropy.alias("entropy"))
     return got.withColumn("relative_entropy", F.when(F.col("distinct") > 1, F.col("entropy") / F.log("distinct")).otherwise(0.0))
 
 
@@ -78,9 +72,11 @@ def count_duplicates(df: DataFrame) -> DataFrame:
 
 
 def group_summary(df: DataFrame, group: str, measure: str, top: int = 30) -> DataFrame:
-    m = clean(measure)
-    got = df.groupBy(F.col(group).cast("string").alias("level")).agg(F.count(m).alias("n"), F.avg(m).alias("mean"), F.percentile(m, F.lit(0.5)).alias("median"), F.stddev_samp(m).alias("std"))
-    return got.orderBy(F.desc("n"), "level").limit(top)
+    x = df.select(F.col(group).cast("string").alias("level"), clean(measure).alias("v"))
+    got = x.groupBy("level").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")).orderBy(F.desc("n"), "level").limit(top)
+    mid = group_quantiles(x.join(got.select(F.col("level").alias("_l")), F.col("level").eqNullSafe(F.col("_l")), "left_semi"), ["level"], "v", [0.5])
+    mid = mid.select(F.col("level").alias("_l"), F.col("q")[0].alias("median"))
+    return got.join(mid, F.col("level").eqNullSafe(F.col("_l")), "left").select("level", "n", "mean", "median", "std")
 
 
 def outlier_table(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
@@ -155,7 +151,8 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
 
 
 def box_stats(df: DataFrame, group: str, col: str, top: int = 10) -> DataFrame:
-    q = df.groupBy(F.col(group).alias("level")).agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(col).alias("n")).orderBy(F.desc("n"), "level").limit(top)
+    most = df.groupBy(F.col(group).alias("level")).agg(F.count(col).alias("n")).orderBy(F.desc("n"), "level").limit(top)
+    q = most.join(group_quantiles(df.select(F.col(group).alias("level"), col), ["level"], col, [0.25, 0.5, 0.75]), "level")
     q = q.select("level", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     got = df.select(F.col(group).alias("level"), F.col(col).alias("v")).join(q, "level")

@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import chain, clean
-from tesserae.operators.kernels import global_ranks, quantiles
+from tesserae.operators.kernels import edges_below, global_ranks, quantiles, range_edges
 
 
 def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     a, p = clean(actual), clean(predicted)
     e = a - p
-    return df.where(a.isNotNull() & p.isNotNull()).agg(
+    df = df.where(a.isNotNull() & p.isNotNull())
+    middle = quantiles(df.select(F.abs(e).alias("e")), ["e"], [0.5])["e"] or [None]
+    return df.agg(
         F.count(F.lit(1)).alias("n"),
         (1 - F.sum(e * e) / (F.var_pop(a) * F.count(F.lit(1)))).alias("r2"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"),
+        F.lit(middle[0]).cast("double").alias("median_ae"),
         F.max(F.abs(e)).alias("max_error"),
         F.avg(F.when(a != 0, F.abs(e / a))).alias("mape"),
         F.avg(F.when(F.abs(a) + F.abs(p) > 0, 2 * F.abs(e) / (F.abs(a) + F.abs(p))).otherwise(0.0)).alias("smape"),
@@ -81,8 +83,7 @@ def threshold_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     """
     x = df.select(F.col(label).cast("int").alias("y"), clean(score).alias("s")).dropna()
     cells = x.groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("f"))
-    edges = sorted(set(cells.agg(F.percentile_approx("s", [i / 32 for i in range(1, 32)])).first()[0] or []))
-    cells = cells.withColumn("_b", sum((F.when(F.col("s") > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0)))
+    cells = cells.withColumn("_b", edges_below(F.col("s"), range_edges(x, "s")))
     part = cells.groupBy("_b").agg(F.sum("p").alias("bp"), F.sum("f").alias("bf"))
     w = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy()

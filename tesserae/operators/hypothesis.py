@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import special as S
 from tesserae.functions.scalar import clean
-from tesserae.operators.kernels import global_ranks, long_form
+from tesserae.operators.kernels import global_ranks, group_quantiles, long_form
 
 SCHEMA = "test string, statistic double, df double, p double, effect double, n long"
 
@@ -50,7 +50,7 @@ def levene_test(df: DataFrame, group: str, measure: str) -> DataFrame:
     """Brown-Forsythe: analysis of variance of distances from the groups' medians; effect: variance ratio."""
     m = clean(measure)
     x = df.where(F.col(group).isNotNull() & m.isNotNull()).select(F.col(group).alias("g"), m.alias("v"))
-    mid = x.groupBy("g").agg(F.percentile("v", F.lit(0.5)).alias("mid"))
+    mid = group_quantiles(x, ["g"], "v", [0.5]).select("g", F.col("q")[0].alias("mid"))
     away = x.join(mid, "g").select("g", F.abs(F.col("v") - F.col("mid")).alias("v"))
     f, d1, d2, _ = _anova(group_stats(away, "g", "v"))
     var = [s["var"] for s in group_stats(x, "g", "v")]

@@ -26,29 +26,144 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long_form(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float]]:
-    """Exact quantiles (linear between neighbours) of all columns in one pass; a few numbers reach the driver."""
-    row = df.agg(*[F.percentile(clean(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+#: Relative rank error of the sketches that bracket a quantile; values kept between brackets at most; ranges of a global rank at most, and values in one.
+SKETCH, BETWEEN, RANGES, RANGE_VALUES = 5e-4, 1_000_000, 1024, 200_000
 
 
-def global_ranks(df: DataFrame, col: str, *, buckets: int = 64, by: list[str] | None = None) -> DataFrame:
+def edges_below(value, edges: list, first: int = 0):
+    """first plus the number of edges below the value, by halving: a few comparisons in generated code."""
+    if not edges:
+        return F.lit(first)
+    m = len(edges) // 2
+    return F.when(value > F.lit(edges[m]), edges_below(value, edges[m + 1 :], first + m + 1)).otherwise(edges_below(value, edges[:m], first))
+
+
+def _between(value, edges: list[float], first: int = 0):
+    """2 i for a value equal to edges[i], 2 i + 1 for one between edges[i] and edges[i + 1]; no value is below the first or above the last."""
+    if len(edges) == 1:
+        return F.when(value == F.lit(edges[0]), 2 * first).otherwise(2 * first + 1)
+    m = len(edges) // 2
+    return F.when(value >= F.lit(edges[m]), _between(value, edges[m:], first + m)).otherwise(_between(value, edges[:m], first))
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles (linear between neighbours) of all columns; a few numbers reach the driver.
+
+    A sketch brackets each order statistic, one pass counts what lies below each bracket and the values
+    inside, and running sums over these few pick the statistic. Where a bracket still holds very many
+    values, or misses, it is sketched again inside. No task holds all values of a column.
+    """
+    at_once = max(1, 64 // (2 * len(probs) + 2))  # columns whose comparisons make one piece of generated code
+    if len(cols) > at_once:
+        return {c: q for a in range(0, len(cols), at_once) for c, q in quantiles(df, cols[a : a + at_once], probs).items()}
+    x = df.select(*[clean(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-2 * SKETCH, 2 * SKETCH)} | {0.0, 1.0})
+    accuracy = round(1 / SKETCH)
+    first = x.agg(*[F.struct(F.count(f"c{i}"), F.percentile_approx(f"c{i}", grid, accuracy)) for i in range(len(cols))]).first()
+    n, edges, found, wide, narrow = {}, {}, {}, {}, {}
+    for i, (count, q) in enumerate(first):
+        n[i], edges[i], found[i] = count, sorted(set(q or [])), {}
+        at = dict(zip(grid, q or [], strict=False))
+        narrow[i] = _brackets(edges[i], [(at[max(0.0, p - 2 * SKETCH)], at[min(1.0, p + 2 * SKETCH)]) for p in probs] if at else [])
+        wide[i] = len(probs) * 4 * SKETCH * count > BETWEEN  # too many values to keep: count first
+    wanted = {i: sorted({k for p in probs for k in (int(p * (n[i] - 1)), min(int(p * (n[i] - 1)) + 1, n[i] - 1))}) for i in n if n[i]}
+    while True:
+        left = {i: [k for k in wanted[i] if k not in found[i]] for i in wanted}
+        left = {i: k for i, k in left.items() if k}
+        if not left:
+            break
+        rows = []
+        for i in left:
+            v, e = F.col(f"c{i}"), edges[i]
+            slot = _between(v, e)
+            keep = slot.isin([2 * e.index(a) + 1 for a in narrow[i] if a in e]) if not wide[i] else F.lit(False)
+            rows.append(F.struct(F.lit(i).alias("i"), slot.alias("slot"), F.when(keep, v).alias("v"), v.isNotNull().alias("there")))
+        cells = x.select(F.inline(F.array(*rows))).where("there").groupBy("i", "slot", "v").agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy("i").orderBy("slot", "v")  # over the edges and the values in brackets
+        cells = cells.withColumn("upto", F.sum("n").over(w))
+        goal = F.create_map(*[y for i, k in left.items() for y in (F.lit(i), F.array(*[F.lit(z) for z in k]))])[F.col("i")]
+        hit = cells.where(F.exists(goal, lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))).collect()
+        again: dict[int, list] = {}
+        for r in hit:
+            for k in left[r.i]:
+                if r.upto - r.n <= k < r.upto:
+                    if r.slot % 2 == 0:
+                        found[r.i][k] = edges[r.i][r.slot // 2]
+                    elif r.v is not None:
+                        found[r.i][k] = r.v
+                    else:
+                        again.setdefault(r.i, []).append((r.slot // 2, (k - (r.upto - r.n)) / r.n, r.n))
+        if again:
+            asked = [(i, j, a, m) for i, own in again.items() for j, a, m in own]
+            sketch = x.agg(*[F.percentile_approx(F.when((F.col(f"c{i}") > edges[i][j]) & (F.col(f"c{i}") < edges[i][j + 1]), F.col(f"c{i}")), [max(0.0, a - 2 * SKETCH), min(1.0, a + 2 * SKETCH)], accuracy) for i, j, a, _ in asked]).first()
+            spans: dict[int, list] = {}
+            for (i, _, _, _), q in zip(asked, sketch, strict=True):
+                spans.setdefault(i, []).append((q[0], q[1]))
+            for i, own in again.items():
+                edges[i] = sorted({*edges[i], *[e for span in spans[i] for e in span]})
+                narrow[i], wide[i] = _brackets(edges[i], spans[i]), 4 * SKETCH * sum(m for _, _, m in own) > BETWEEN
+    out: dict[str, list[float] | None] = {}
+    for i, c in enumerate(cols):
+        if not n[i]:
+            out[c] = None
+            continue
+        q = []
+        for p in probs:
+            k = int(p * (n[i] - 1))
+            a, b = found[i][k], found[i][min(k + 1, n[i] - 1)]
+            here = p * (n[i] - 1)
+            q.append((k + 1 - here) * a + (here - k) * b if b != a else a)
+        out[c] = q
+    return out
+
+
+def _brackets(edges: list[float], spans: list[tuple[float, float]]) -> set[float]:
+    """The lower edges of the stretches between neighbouring edges that lie in one of the spans."""
+    return {a for a, b in zip(edges[:-1], edges[1:], strict=True) if any(x <= a and b <= y for x, y in spans)}
+
+
+def group_quantiles(df: DataFrame, by: list[str], col, probs: list[float]) -> DataFrame:
+    """(by..., q): exact quantiles of each group. Values are counted first and summed up in order, which spills where a group is large."""
+    v = F.col(col) if isinstance(col, str) else col
+    cells = df.select(*by, v.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*by)
+    cells = cells.withColumn("_u", F.sum("_n").over(own.orderBy("_v"))).withColumn("_t", F.sum("_n").over(own))
+    place = lambda p: F.lit(float(p)) * (F.col("_t") - 1)
+
+    def at(k):
+        return F.max(F.when((F.col("_u") - F.col("_n") <= k) & (k < F.col("_u")), F.col("_v")))
+
+    pieces = []
+    for j, p in enumerate(probs):
+        low = F.floor(place(p))
+        pieces += [at(low).alias(f"_a{j}"), at(F.least(low + 1, F.col("_t") - 1)).alias(f"_b{j}"), F.max(place(p) - low).alias(f"_f{j}")]
+    got = cells.groupBy(*by).agg(*pieces)
+    q = F.array(*[F.when(F.col(f"_a{j}") == F.col(f"_b{j}"), F.col(f"_a{j}")).otherwise((1 - F.col(f"_f{j}")) * F.col(f"_a{j}") + F.col(f"_f{j}") * F.col(f"_b{j}")) for j in range(len(probs))])
+    return got.select(*by, q.alias("q"))
+
+
+def range_edges(df: DataFrame, col: str) -> list:
+    """Values that cut df into ranges of about RANGE_VALUES rows; their number follows the rows'."""
+    n, q = df.agg(F.count(col), F.percentile_approx(col, [i / RANGES for i in range(1, RANGES)], 2 * RANGES)).first()
+    every = max(1, RANGES * RANGE_VALUES // max(n, 1))
+    return sorted(set((q or [])[every - 1 :: every]))
+
+
+def global_ranks(df: DataFrame, col: str, *, by: list[str] | None = None) -> DataFrame:
     """(by..., col, n, before, rank): for each different value its count, the rows below it and its average rank.
 
-    No window runs over all rows: values are counted, dealt to buckets by literal edges, counted up
-    inside each bucket, and the buckets' own totals (one row each) are added.
+    No window runs over all rows: values are counted, dealt to ranges by literal edges, counted up
+    inside each range, and the ranges' own totals (one row each) are added.
     """
     by = by or []
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    if by:  # a group is a bucket
+    if by:  # a group is a range
         w = Window.partitionBy(*by).orderBy(col)
         before = F.sum("n").over(w) - F.col("n")
         return counts.withColumn("before", before).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
-    edges = sorted(set(df.agg(F.percentile_approx(col, [i / buckets for i in range(1, buckets)])).first()[0] or []))
-    bucket = sum((F.when(F.col(col) > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-    counts = counts.withColumn("_b", bucket)
+    counts = counts.withColumn("_b", edges_below(F.col(col), range_edges(df, col)))
     totals = counts.groupBy("_b").agg(F.sum("n").alias("_t"))
-    offsets = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_o"))  # one row a bucket
+    offsets = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_o"))  # one row a range
     w = Window.partitionBy("_b").orderBy(col)
     got = counts.withColumn("_c", F.sum("n").over(w) - F.col("n")).join(offsets, "_b")
     return got.select(col, "n", (F.col("_o") + F.col("_c")).alias("before")).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)

@@ -455,9 +455,8 @@ def anomaly_mahalanobis(df: DataFrame, features: list[str], share: float = 0.01,
         d = [clean(c) - float(m) for c, m in zip(features, mean, strict=True)]
         dist = sum((d[a] * d[b] * float(inv[a, b]) for a in range(len(features)) for b in range(len(features))), F.lit(0.0))
         if i < rounds:
-            cut = df.agg(F.percentile_approx(dist, 0.75)).first()[0]
-            x = df.where(dist <= cut)
-    cut = df.agg(F.percentile(dist, F.lit(1 - share))).first()[0]
+            x = df.where(dist <= quantiles(df.select(dist.alias("d")), ["d"], [0.75])["d"][0])
+    cut = quantiles(df.select(dist.alias("d")), ["d"], [1 - share])["d"][0]
     return df.withColumn("score", dist).withColumn("anomaly", dist > cut)
 
 

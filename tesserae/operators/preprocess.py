@@ -18,7 +18,7 @@ from tesserae.functions import scalar
 from tesserae.functions.scalar import clean
 from tesserae.functions.special import normal_quantile
 from tesserae.operators import rows as R
-from tesserae.operators.kernels import gram, long_form, quantiles, safe_corr, value_counts
+from tesserae.operators.kernels import gram, group_quantiles, long_form, quantiles, safe_corr, value_counts
 
 STEPS: dict[str, tuple[Callable, Callable]] = {}
 
@@ -90,23 +90,27 @@ def _simple(name: str, what: dict, value: Callable) -> None:
     register_step(name, lambda df, cols, **o: _aggregates(df, cols, **what), lambda df, cols, p, **o: _each(df, cols, lambda c: value(c, p[c], **o)))
 
 
-_mean, _std = (lambda c: F.avg(clean(c))), (lambda c: F.stddev_pop(clean(c)))
-_min, _max = (lambda c: F.min(clean(c))), (lambda c: F.max(clean(c)))
-
+def _by_quantiles(name: str, probs: list[float], value: Callable) -> None:
+    """A step that learns quantiles."""
+    register_step(name, lambda df, cols, **o: {c: {"q": q} for c, q in quantiles(df, cols, probs).items()}, lambda df, cols, p, **o: _each(df, cols, lambda c: value(c, p[c], **o)))
 
-def _q(*probs):
-    return lambda c: F.percentile(clean(c), F.array(*[F.lit(p) for p in probs]))
 
+_mean, _std = (lambda c: F.avg(clean(c))), (lambda c: F.stddev_pop(clean(c)))
+_min, _max = (lambda c: F.min(clean(c))), (lambda c: F.max(clean(c)))
 
 _simple("impute_mean", {"mean": _mean}, lambda c, p: F.coalesce(clean(c), F.lit(p["mean"])))
-_simple("impute_median", {"q": _q(0.5)}, lambda c, p: F.coalesce(clean(c), F.lit(p["q"][0])))
+_by_quantiles("impute_median", [0.5], lambda c, p: F.coalesce(clean(c), F.lit((p["q"] or [None])[0])))
 _simple("impute_mode", {"mode": lambda c: F.mode(c, True)}, lambda c, p: F.coalesce(F.col(c), F.lit(p["mode"])))
 _simple("standard_scale", {"mean": _mean, "std": _std}, lambda c, p: (clean(c) - p["mean"]) / (p["std"] or 1.0))
 _simple("minmax_scale", {"min": _min, "max": _max}, lambda c, p, low=0.0, high=1.0: (clean(c) - p["min"]) / ((p["max"] - p["min"]) or 1.0) * (high - low) + low)
-_simple("robust_scale", {"q": _q(0.25, 0.5, 0.75)}, lambda c, p: (clean(c) - p["q"][1]) / ((p["q"][2] - p["q"][0]) or 1.0))
+_by_quantiles("robust_scale", [0.25, 0.5, 0.75], lambda c, p: (clean(c) - p["q"][1]) / ((p["q"][2] - p["q"][0]) or 1.0) if p["q"] else clean(c))
 _simple("maxabs_scale", {"max": lambda c: F.max(F.abs(clean(c)))}, lambda c, p: clean(c) / (p["max"] or 1.0))
 _simple("log_transform", {"min": _min}, lambda c, p: F.log1p(clean(c) + max(0.0, 1e-6 - p["min"])))
-_simple("coerce_numeric", {"q": lambda c: F.percentile(F.col(c).try_cast("double"), F.array(F.lit(0.5)))}, lambda c, p: F.coalesce(clean(F.col(c).try_cast("double")), F.lit((p["q"] or [0.0])[0])))
+register_step(
+    "coerce_numeric",
+    lambda df, cols: {c: {"q": q} for c, q in quantiles(df.select(*[F.col(c).try_cast("double").alias(c) for c in cols]), cols, [0.5]).items()},
+    lambda df, cols, p: _each(df, cols, lambda c: F.coalesce(clean(F.col(c).try_cast("double")), F.lit((p[c]["q"] or [0.0])[0]))),
+)
 
 
 @step("winsorize")
@@ -134,7 +138,12 @@ def _():
 @step("impute_by_group")
 def _():
     def fit(df, cols, group, how="median"):
-        f = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "mode": lambda c: F.mode(c, True)}[how]
+        if how == "median":
+            by = df.select(group).distinct()
+            for c in cols:
+                by = by.join(group_quantiles(df, [group], c, [0.5]).select(group, F.col("q")[0].alias(c)), group, "left")
+            return {"by": by, "whole": {c: q and q[0] for c, q in quantiles(df, cols, [0.5]).items()}}
+        f = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}[how]
         by = df.groupBy(group).agg(*[f(c).alias(c) for c in cols])
         whole = df.agg(*[f(c).alias(c) for c in cols]).first()
         return {"by": by, "whole": {c: whole[c] for c in cols}}

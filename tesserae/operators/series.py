@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import clean
-from tesserae.operators.kernels import gram
+from tesserae.operators.kernels import gram, group_quantiles
 
 
 def build_series(df: DataFrame, key: str, t: str, y: str, unit: str | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def series_gaps(s: DataFrame) -> DataFrame:
     """Typical spacing in days, gaps over 1.5 times that, the largest, periods expected."""
     w = Window.partitionBy("key").orderBy("t")
     x = s.withColumn("gap", F.datediff("t", F.lag("t").over(w)))
-    mid = x.groupBy("key").agg(F.percentile("gap", F.lit(0.5)).alias("spacing"))
+    mid = x.select("key").distinct().join(group_quantiles(x, ["key"], "gap", [0.5]).select("key", F.col("q")[0].alias("spacing")), "key", "left")
     g = x.join(mid, "key").groupBy("key", "spacing").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") > 1.5 * F.col("spacing")).alias("gaps"), F.max("gap").cast("long").alias("largest"), F.datediff(F.max("t"), F.min("t")).alias("span"))
     return g.select("key", "n", "spacing", "gaps", "largest", (F.floor(F.col("span") / F.col("spacing")) + 1).cast("long").alias("expected"))
 
@@ -242,9 +242,14 @@ def backtest(s: DataFrame, method: str, h: int, origins: int = 3, **options) ->
 
 
 def forecast_run(s: DataFrame, h: int, method: str = "drift", coverage: float = 0.9) -> DataFrame:
-    """Forecasts with intervals from the absolute errors of a back-test, per key and over all steps."""
-    tested = backtest(s, method, h)
-    width = tested.groupBy("key").agg(F.percentile(F.abs(F.col("y") - F.col("forecast")), F.lit(coverage)).alias("half"))
+    """Forecasts with intervals from the absolute errors of a back-test, per key and over all steps.
+
+    The half width is the conformal rank: the ceil((n + 1) coverage)-th least error, the greatest where there are too few.
+    """
+    tested = backtest(s, method, h).select("key", F.abs(F.col("y") - F.col("forecast")).alias("e")).where("e is not null")
+    own = Window.partitionBy("key")  # the back-test's errors: origins times h a key
+    ranked = tested.withColumn("i", F.row_number().over(own.orderBy("e"))).withColumn("n", F.count(F.lit(1)).over(own))
+    width = ranked.where(F.col("i") == F.least(F.ceil((F.col("n") + 1) * coverage), F.col("n"))).select("key", F.col("e").alias("half"))
     got = METHODS[method](s, h).select("key", "step", "forecast").join(width, "key")
     return got.select("key", "step", "forecast", (F.col("forecast") - F.col("half")).alias("low"), (F.col("forecast") + F.col("half")).alias("high"))
 

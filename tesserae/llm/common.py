@@ -66,6 +66,22 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What this Python worker keeps for its further tasks of the same kind. What it kept for another kind goes."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """For tasks that need their memory for themselves: a worker lives through all stages of a pipeline."""
+    _HELD.clear()
+
+
 def scan_partitions(df: DataFrame) -> int:
     """How many tasks read df; grows with the table."""
     return max(1, df.rdd.getNumPartitions())

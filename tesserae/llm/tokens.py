@@ -16,13 +16,14 @@ from itertools import repeat
 
 import numpy as np
 
+from tesserae.llm.common import held
+
 #: Pieces that a Python worker keeps for its further slices, and the longest piece kept; others are encoded for each slice anew.
 KEPT_PIECES, KEPT_BYTES = 400_000, 64
 #: Texts are encoded in steps of about so many bytes.
 STEP_BYTES = 6_000_000
 #: Pieces that one call of the library encodes as one text.
 JOINED = 1000
-_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 _LETTER, _DIGIT, _MARK = 1, 2, 3
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -39,9 +40,7 @@ _FOLLOWS[0xE4:0xF5] = True
 
 def encoder_of(path: str, end_id: int) -> PieceEncoder:
     """This process's encoder: a worker runs many tasks, and the pieces it keeps serve all of them."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = PieceEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return held((path, end_id), lambda: PieceEncoder(path, end_id))
 
 
 def boundaries(data: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_bytes, documents, materialize, slices
+from tesserae.llm.common import column_bytes, documents, materialize, release, slices
 
 #: Labelled rows that a fit reads at most, and bits of a feature's number.
 TRAIN_ROWS, BITS = 12_000, 22
@@ -33,6 +33,8 @@ LEAST_GAIN = 15.0
 #: Weight of the L2 penalty, per row; the fit's tolerance and rounds.
 PENALTY, TOLERANCE, ROUNDS = 1.0, 1e-5, 100
 THRESHOLD = 0.3
+#: Bytes of text in one step of the scoring, which holds some six 64-bit values for each.
+STEP_BYTES = 500_000
 _C, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -76,6 +78,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, train_rows: int) -> Da
     def run(batches):
         import pyarrow as pa
 
+        release()
         for b in batches:
             f = [features_of(t) for t in column_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(b.column("_y"), pa.int32()), pa.array(f, pa.list_(pa.int32()))], names=["y", "f"])
@@ -89,12 +92,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        release()
         pos, neg = (np.zeros(1 << BITS, dtype=np.int32) for _ in range(2))
         for b in batches:
-            f, y = b.column("f"), np.repeat(b.column("y").to_numpy(), np.diff(b.column("f").offsets.to_numpy()))
-            grams = f.flatten().to_numpy()
-            pos += np.bincount(grams[y > 0], minlength=1 << BITS).astype(np.int32)
-            neg += np.bincount(grams[y <= 0], minlength=1 << BITS).astype(np.int32)
+            grams, at = b.column("f").values.to_numpy(), b.column("f").offsets.to_numpy()
+            for i, y in enumerate(b.column("y").to_pylist()):
+                (pos if y > 0 else neg)[grams[at[i] : at[i + 1]]] += 1  # a row's grams are distinct
         seen = np.flatnonzero(pos + neg)
         for a in range(0, len(seen), 100_000):
             own = seen[a : a + 100_000]
@@ -174,12 +177,13 @@ def score(docs: DataFrame, model, *more: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        release()
         table = np.zeros(1 << BITS)
         table[np.array(features, dtype=np.int64)] = weights
         flags = table != 0
         for batch in batches:
             texts = column_bytes(batch.column("_text"))
-            s = [scores_of(texts[a:b], table, flags, bias) for a, b in slices(texts)]
+            s = [scores_of(texts[a:b], table, flags, bias) for a, b in slices(texts, STEP_BYTES)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s) if s else np.zeros(0))] + [batch.column(c) for c in more], names=["score", *more])
 
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), *more)

@@ -30,8 +30,9 @@ TRAIN_ROWS, BITS = 12_000, 22
 GRAMS = (3, 4, 5)
 #: Level of the test: the likelihood ratio (chi-square, one degree) from which a gram is a feature.
 LEAST_GAIN = 15.0
-#: Weight of the L2 penalty, per row; the fit's tolerance and rounds.
+#: Weight of the L2 penalty, per row; the fit's tolerance, rounds and tasks a round.
 PENALTY, TOLERANCE, ROUNDS = 1.0, 1e-5, 100
+FIT_TASKS = 6
 THRESHOLD = 0.3
 #: Bytes of text in one step of the scoring, which holds some six 64-bit values for each.
 STEP_BYTES = 500_000
@@ -149,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
 
     sparse = CountVectorizerModel.from_vocabulary([str(x) for x in f], "grams", "present").setBinary(True)
     scale = ElementwiseProduct(scalingVec=Vectors.dense(r), inputCol="present", outputCol="features")
-    table = scale.transform(sparse.transform(materialize(rows.mapInArrow(narrow, "y double, grams array<string>"))))
+    narrowed = materialize(rows.mapInArrow(narrow, "y double, grams array<string>")).coalesce(FIT_TASKS)  # at most train_rows rows, read each round
+    table = scale.transform(sparse.transform(narrowed))
     model = LogisticRegression(labelCol="y", regParam=PENALTY / n, standardization=False, tol=TOLERANCE, maxIter=ROUNDS).fit(table)
     return f, (model.coefficients.toArray() * np.array(r)).tolist(), float(model.intercept)
 

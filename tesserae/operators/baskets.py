@@ -17,11 +17,13 @@ def split_items(df: DataFrame, txn: str, items: str) -> DataFrame:
     return df.select(F.col(txn).alias("txn"), F.explode(F.array_distinct(F.filter(F.transform(F.split(items, "[,;|]"), F.trim), lambda x: x != ""))).alias("item"))
 
 
-def basket_build(df: DataFrame, txn: str, item: str, most_items: int = 500, least: float = 0.0) -> DataFrame:
-    """(txn, items): sets of the most frequent items; rarer ones go, with their number fixed by most_items."""
+def basket_build(df: DataFrame, txn: str, item: str, most_items: int | None = 500, least: float = 0.0) -> DataFrame:
+    """(txn, items): sets of the most frequent items; rarer ones go, with their number fixed by most_items (None: all stay)."""
     x = df.select(F.col(txn).alias("txn"), F.col(item).cast("string").alias("item")).dropna().distinct()
     n = x.select("txn").distinct().count()
-    top = x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * n).orderBy(F.desc("n"), "item").limit(most_items)
+    top = x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * n)
+    if most_items is not None:
+        top = top.orderBy(F.desc("n"), "item").limit(most_items)
     return x.join(top.select("item"), "item", "left_semi").groupBy("txn").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 

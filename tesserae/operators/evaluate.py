@@ -34,6 +34,19 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def confusion_rates(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Each class against the rest: counts, sensitivity, specificity and the two error rates (null where nothing can be said)."""
+    c = confusion_matrix(df, actual, predicted).where("actual is not null and predicted is not null")
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    rows = c.select(F.inline(F.array(F.struct(F.col("actual").alias("class"), F.col("n").alias("own"), zero.alias("said"), hit.alias("tp")), F.struct(F.col("predicted").alias("class"), zero.alias("own"), F.col("n").alias("said"), zero.alias("tp")))))
+    g = rows.groupBy("class").agg(*[F.sum(k).alias(k) for k in ("own", "said", "tp")]).join(F.broadcast(c.agg(F.sum("n").alias("all"))))  # one row
+    fn, fp = F.col("own") - F.col("tp"), F.col("said") - F.col("tp")
+    tn = F.col("all") - F.col("own") - fp
+    rate = lambda a, b: F.try_divide(a, a + b)
+    return g.select("class", "tp", fp.alias("fp"), tn.alias("tn"), fn.alias("fn"), rate(F.col("tp"), fn).alias("sensitivity"), rate(tn, fp).alias("specificity"), rate(fp, tn).alias("false_positive_rate"), rate(fn, F.col("tp")).alias("false_negative_rate"))
+
+
 def per_class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     c = confusion_matrix(df, actual, predicted)
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
@@ -113,6 +126,19 @@ def calibration(df: DataFrame, label: str, score: str, bins: int = 10, least: in
     return g.where(F.col("n") >= least).withColumn("gap", F.abs(F.col("predicted") - F.col("observed")))
 
 
+def calibration_summary(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
+    """Expected and greatest calibration error over all bins, Brier score, its skill against the base rate, log loss."""
+    x = df.select(F.col(label).cast("double").alias("y"), clean(score).alias("s")).dropna()
+    b = F.least(F.floor(F.col("s") * bins), F.lit(bins - 1))
+    p = F.least(F.greatest(F.col("s"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    y, s = F.col("y"), F.col("s")
+    g = x.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(s).alias("s"), F.sum(y).alias("y"), F.sum((s - y) ** 2).alias("b"), F.sum(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("l"))
+    n, base = F.sum("n"), F.sum("y") / F.sum("n")
+    gap = F.abs(F.col("s") - F.col("y"))
+    brier = F.sum("b") / n
+    return g.agg(n.alias("n"), base.alias("base_rate"), (F.sum(gap) / n).alias("ece"), F.max(gap / F.col("n")).alias("mce"), brier.alias("brier"), (1 - F.try_divide(brier, base * (1 - base))).alias("skill"), (F.sum("l") / n).alias("log_loss"))
+
+
 def threshold_costs(df: DataFrame, label: str, score: str, miss: float, alarm: float, act: float = 0.0, benefit: float = 0.0) -> DataFrame:
     """19 cut-offs from one histogram of score bucket by label; refuses under 30 rows or one class."""
     k = F.least(F.floor(F.round(F.col(score) * 20, 9)), F.lit(19)).cast("int")  # cut-offs i / 20 at or below the score
@@ -140,6 +166,17 @@ def regression_diagnostics(df: DataFrame, order_by: list[str], actual: str = "ac
     return out
 
 
+def residual_checks(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """Normality (Jarque-Bera) of the residuals, and whether their size goes with the prediction (Spearman)."""
+    x = df.select((clean(actual) - clean(predicted)).alias("e"), clean(predicted).alias("p")).dropna()
+    shape = x.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / 6 * (F.skewness("e") ** 2 + F.kurtosis("e") ** 2 / 4)).alias("jarque_bera"))
+    r = x.select(F.abs("e").alias("a"), "p")
+    for c in ("a", "p"):
+        ranks = global_ranks(r.select(c), c).select(F.col(c).alias("_v"), F.col("rank").alias(f"r_{c}"))
+        r = r.join(ranks, F.col(c) == F.col("_v")).drop("_v")
+    return shape.crossJoin(r.agg(F.corr("r_a", "r_p").alias("spread_with_prediction")))  # one row each
+
+
 def conformal_interval(df: DataFrame, actual: str, predicted: str, coverage: float = 0.9) -> DataFrame:
     """Half-width: the ceil((n + 1) c)-th least absolute residual, picked from counted values."""
     x = df.select(F.abs(clean(actual) - clean(predicted)).alias("r")).dropna()
@@ -151,6 +188,20 @@ def conformal_interval(df: DataFrame, actual: str, predicted: str, coverage: flo
     return near.where((F.col("before") < k) & (F.col("before") + F.col("n") >= k)).select(F.lit(n).alias("n"), F.col("r").alias("half_width"))
 
 
+def facets_of(df: DataFrame, numeric: list[str], categorical: list[str], top: int = 8) -> DataFrame:
+    """Facets for subgroup_errors: thirds of numbers (low, middle, high), the most frequent levels and 'other'; a gap is 'missing'."""
+    q = quantiles(df, numeric, [1 / 3, 2 / 3]) if numeric else {}
+    new = {}
+    for c in numeric:
+        v = clean(c)
+        a, b = q[c] or (0.0, 0.0)
+        new[f"{c}_band"] = F.when(v.isNull(), "missing").when(v <= a, "low").when(v <= b, "middle").otherwise("high")
+    for c in categorical:
+        levels = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(top).collect()
+        new[f"{c}_band"] = F.when(F.col(c).isNull(), "missing").when(F.col(c).cast("string").isin([r["v"] for r in levels]), F.col(c).cast("string")).otherwise("other")
+    return df.withColumns(new)
+
+
 def subgroup_errors(df: DataFrame, facets: list[str], actual: str = "actual", predicted: str = "predicted", least: int = 30) -> DataFrame:
     """Errors of all levels and pairs of levels in one aggregation: mean, ratio to the whole, z, notable."""
     x = df.withColumn("_e", F.abs(clean(actual) - clean(predicted)))
@@ -164,7 +215,7 @@ def subgroup_errors(df: DataFrame, facets: list[str], actual: str = "actual", pr
 
 
 def row_reliability(df: DataFrame, train: DataFrame, numeric: list[str], categorical: list[str], probability: str | None = None) -> DataFrame:
-    """reliable, caution or abstained: gaps, unseen levels, values beyond the training range, weak probabilities."""
+    """reliability (reliable, caution or abstained) and reasons: gaps, unseen levels, values beyond the training range, weak probabilities."""
     q = quantiles(train, numeric, [0.001, 0.999])
     cols = [*numeric, *categorical]
     gaps = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)) / len(cols)
@@ -179,7 +230,9 @@ def row_reliability(df: DataFrame, train: DataFrame, numeric: list[str], categor
         unseen = unseen | (F.col(c).isNotNull() & F.col(f"_k_{c}").isNull())
     weak = F.col(probability) < 0.55 if probability else F.lit(False)
     state = chain([((gaps >= 0.5) | far, "abstained"), ((gaps > 0.2) | unseen | weak, "caution")], "reliable")
-    return df.withColumn("reliability", state).drop(*[f"_k_{c}" for c in categorical])
+    said = [(gaps >= 0.5, "half the values are missing"), ((gaps > 0.2) & (gaps < 0.5), "values are missing"), (far, "beyond the training range"), (unseen, "unseen level"), (F.coalesce(weak, F.lit(False)), "weak probability")]
+    reasons = F.array_compact(F.array(*[F.when(when, text) for when, text in said]))
+    return df.withColumns({"reliability": state, "reasons": reasons}).drop(*[f"_k_{c}" for c in categorical])
 
 
 def overfit_flags(results: DataFrame) -> DataFrame:
@@ -198,13 +251,22 @@ def tournament_rank(results: DataFrame, group: str = "segment") -> DataFrame:
     return got.withColumn("rank", F.row_number().over(w.orderBy(F.desc("composite"), "model")))
 
 
+def tournament_roles(ranked: DataFrame, group: str = "segment", baseline: str | None = None) -> DataFrame:
+    """(group, role, model): recommended (best composite), highest (best performance), simplest (most interpretable), and the baseline."""
+    best = lambda *by: F.min_by("model", F.struct(*by, "model"))
+    g = ranked.groupBy(group).agg(best(-F.col("composite")).alias("recommended"), best(-F.col("performance")).alias("highest"), best(-F.col("interpretability"), -F.col("composite")).alias("simplest"), F.max(F.when(F.col("model") == F.lit(baseline), F.col("model"))).alias("baseline"))
+    return g.select(group, F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("model")) for r in ("recommended", "highest", "simplest", "baseline")]))).where("model is not null")
+
+
 def rank_per_series(results: DataFrame, key: str = "series_key") -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc("composite"), "model")
     return results.withColumn("rank", F.row_number().over(w)).where("rank = 1")
 
 
-def run_difference(old: DataFrame, new: DataFrame, key: str = "model") -> DataFrame:
-    """Scores of two runs side by side: better, worse, or a tie where the folds spread more."""
+def run_difference(old: DataFrame, new: DataFrame, key: str = "model", targets: tuple[str, str] | None = None) -> DataFrame:
+    """Scores of two runs side by side: better, worse, or a tie where the folds spread more. Runs on different targets are refused."""
+    if targets and targets[0] != targets[1]:
+        raise ValueError(f"the runs predict {targets[0]} and {targets[1]}")
     x = old.select(key, F.col("score").alias("score_old"), F.col("spread").alias("s1")).join(new.select(key, F.col("score").alias("score_new"), F.col("spread").alias("s2")), key, "full_outer")
     d = F.col("score_new") - F.col("score_old")
     state = chain([(F.col("score_old").isNull(), "added"), (F.col("score_new").isNull(), "removed"), (F.abs(d) <= F.greatest("s1", "s2"), "tie"), (d > 0, "better")], "worse")
@@ -212,10 +274,14 @@ def run_difference(old: DataFrame, new: DataFrame, key: str = "model") -> DataFr
 
 
 def forecast_metrics(train: DataFrame, test: DataFrame, key: str, t: str, season: int = 1) -> DataFrame:
-    """train: key, t, y; test: key, t, y, predicted. Errors, MASE against the (seasonal) naive and direction."""
+    """train: key, t, y; test: key, t, y, predicted. Errors, r2, MASE against the (seasonal) naive and direction."""
     w = Window.partitionBy(key).orderBy(t)
     base = train.withColumn("_d", F.abs(F.col("y") - F.lag("y", season).over(w))).groupBy(key).agg(F.avg("_d").alias("naive"))
     x = test.withColumn("_a", F.signum(F.col("y") - F.lag("y").over(w))).withColumn("_p", F.signum(F.col("predicted") - F.lag("y").over(w)))
     e = F.col("y") - F.col("predicted")
-    g = x.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((F.col("_a") == F.col("_p")).cast("double")).alias("direction"))
-    return g.join(base, key).select(key, "n", "mae", "rmse", (F.col("mae") / F.col("naive")).alias("mase"), "direction")
+    both = F.abs("y") + F.abs("predicted")
+    g = x.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.avg(e * e), F.var_pop("y"))).alias("r2"),
+        F.avg(F.when(F.col("y") != 0, F.abs(e / F.col("y")))).alias("mape"), F.avg(F.when(both > 0, 2 * F.abs(e) / both).otherwise(0.0)).alias("smape"), F.avg((F.col("_a") == F.col("_p")).cast("double")).alias("direction"),
+    )
+    return g.join(base, key).select(key, "n", "mae", "rmse", "r2", "mape", "smape", F.try_divide("mae", "naive").alias("mase"), "direction")

@@ -52,7 +52,6 @@ def _ml(make: Callable, label: bool = True) -> Callable:
 
 
 register_model("linear_regression", _ml(lambda **o: R.LinearRegression(regParam=0.0, **o)))
-register_model("ridge", _ml(lambda alpha=1.0, **o: R.LinearRegression(regParam=alpha, elasticNetParam=0.0, **o)))
 register_model("lasso", _ml(lambda alpha=1.0, **o: R.LinearRegression(regParam=alpha, elasticNetParam=1.0, **o)))
 register_model("elastic_net", _ml(lambda alpha=1.0, ratio=0.5, **o: R.LinearRegression(regParam=alpha, elasticNetParam=ratio, **o)))
 register_model("huber", _ml(lambda **o: R.LinearRegression(loss="huber", **o)))
@@ -144,6 +143,50 @@ def fit_quantile_regression(df, features, target, q=0.5, rounds=15):
     return _linear(w, b, features)
 
 
+def _residuals(df, features, target, w, b):
+    """Complete rows with their residual."""
+    x = df.select(*[clean(c).alias(c) for c in [*features, target]]).dropna()
+    return x.withColumn("_e", F.col(target) - sum((F.col(c) * float(a) for c, a in zip(features, w, strict=True)), F.lit(float(b))))
+
+
+def ols_robust_errors(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(term, coefficient, se_hc3): standard errors that hold where the residuals' spread differs (HC3), from a weighted Gram pass."""
+    n, mean, s, w, b = _solve(df, features, target)
+    p = len(features)
+    inv = np.linalg.inv(s[:p, :p])
+    x = _residuals(df, features, target, w, b)
+    d = [F.col(c) - float(m) for c, m in zip(features, mean[:p], strict=True)]
+    leverage = F.lit(1 / n) + sum((d[i] * d[j] * float(inv[i, j]) for i in range(p) for j in range(p)), F.lit(0.0))
+    weight = (F.col("_e") / (1 - leverage)) ** 2
+    z = [F.lit(1.0), *d]  # centred, so that the inverse is a block of 1 / n and inv
+    row = x.agg(*[F.sum(weight * z[i] * z[j]) for i in range(p + 1) for j in range(i, p + 1)]).first()
+    meat, it = np.zeros((p + 1, p + 1)), iter(row)
+    for i in range(p + 1):
+        for j in range(i, p + 1):
+            meat[i, j] = meat[j, i] = next(it)
+    bread = np.zeros((p + 1, p + 1))
+    bread[0, 0], bread[1:, 1:] = 1 / n, inv
+    shift = np.eye(p + 1)
+    shift[0, 1:] = -mean[:p]  # the intercept at zero instead of at the means
+    cov = shift @ bread @ meat @ bread @ shift.T
+    rows = [(t, float(c), float(math.sqrt(v))) for t, c, v in zip(["intercept", *features], [b, *w], np.diag(cov), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, se_hc3 double")
+
+
+def ols_summary(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """One row on a least-squares fit: r2, F, log likelihood, AIC, BIC, and Jarque-Bera of its residuals."""
+    n, _, s, w, b = _solve(df, features, target)
+    p = len(features)
+    tss, rss = s[p, p], s[p, p] - w @ s[:p, p]
+    r2 = 1 - rss / tss
+    f = (r2 / p) / ((1 - r2) / (n - p - 1))
+    like = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1)
+    shape = _residuals(df, features, target, w, b).agg(F.skewness("_e"), F.kurtosis("_e")).first()
+    jb = n / 6 * (shape[0] ** 2 + shape[1] ** 2 / 4)
+    row = (int(n), float(r2), float(1 - (1 - r2) * (n - 1) / (n - p - 1)), float(f), float(special.f_upper(f, p, n - p - 1)), float(like), float(2 * (p + 1) - 2 * like), float(math.log(n) * (p + 1) - 2 * like), float(jb), float(math.exp(-jb / 2)))
+    return df.sparkSession.createDataFrame([row], "n long, r2 double, adjusted_r2 double, f double, f_p double, log_likelihood double, aic double, bic double, jarque_bera double, jarque_bera_p double")
+
+
 def ols_inference(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(term, coefficient, se, t, p, low, high, r2, n) of least squares, from one Gram pass."""
     n, mean, s, w, b = _solve(df, features, target)
@@ -335,7 +378,7 @@ def fit_knn(df, features, target, k=5):
     return predict
 
 
-for _n, _fit in (("gram_ridge", fit_gram_ridge), ("bayesian_ridge", fit_bayesian_ridge), ("pls", fit_pls), ("quantile_regression", fit_quantile_regression), ("ridge_classifier", fit_ridge_classifier), ("discriminant", fit_discriminant), ("polynomial", fit_polynomial), ("baseline_dummy", baseline_dummy), ("adaboost", fit_adaboost), ("bagging", fit_bagging), ("knn", fit_knn), ("voting", fit_average(["ridge", "random_forest_regression", "gbt_regression"])), ("stacking", fit_stacking(["ridge", "decision_tree_regression"]))):
+for _n, _fit in (("gram_ridge", fit_gram_ridge), ("ridge", lambda df, features, target, alpha=1.0: fit_gram_ridge(df, features, target, alpha)), ("bayesian_ridge", fit_bayesian_ridge), ("pls", fit_pls), ("quantile_regression", fit_quantile_regression), ("ridge_classifier", fit_ridge_classifier), ("discriminant", fit_discriminant), ("polynomial", fit_polynomial), ("baseline_dummy", baseline_dummy), ("adaboost", fit_adaboost), ("bagging", fit_bagging), ("knn", fit_knn), ("voting", fit_average(["ridge", "random_forest_regression", "gbt_regression"])), ("stacking", fit_stacking(["ridge", "decision_tree_regression"]))):
     register_model(_n, _fit)
 
 

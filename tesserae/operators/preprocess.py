@@ -314,14 +314,20 @@ def _():
     return (lambda df, cols, threshold=0.0: {}), (lambda df, cols, p, threshold=0.0: _each(df, cols, lambda c: (clean(c) > threshold).cast("int")))
 
 
+#: Levels of all columns together that a step may learn by name; more are refused.
+MOST_LEVELS = 10_000
+
+
 def _levels(df, cols, least: float = 0.0) -> dict[str, list[str]]:
+    """The levels of each column with a share of `least` or more, in order."""
     vc = value_counts(df, cols).where("value is not null")
-    total = {r["variable"]: r["t"] for r in vc.groupBy("variable").agg(F.sum("n").alias("t")).collect()}
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in vc.orderBy("variable", "value").collect():  # one row a level
-        if r["n"] >= least * total[r["variable"]]:
-            out[r["variable"]].append(r["value"])
-    return out
+    if least > 0:
+        total = vc.groupBy("variable").agg(F.sum("n").alias("_t"))  # one row a column
+        vc = vc.join(F.broadcast(total), "variable").where(F.col("n") >= least * F.col("_t"))
+    found = vc.select("variable", "value").limit(MOST_LEVELS + 1).collect()
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"over {MOST_LEVELS} levels; set a least share or use frequency or target encoding, which join")
+    return {c: sorted(r["value"] for r in found if r["variable"] == c) for c in cols}
 
 
 @step("one_hot_encode")
@@ -420,15 +426,16 @@ def _():
 
 @step("interaction_features")
 def _():
-    def transform(df, cols, p, ratios=False):
+    def transform(df, cols, p, ratios=False, most=8):
+        """most: columns that are paired, from the first; None: all."""
         new = {}
-        for a, b in itertools.combinations(cols[:8], 2):
+        for a, b in itertools.combinations(cols[:most], 2):
             new[f"{a}_x_{b}"] = clean(a) * clean(b)
             if ratios:
                 new[f"{a}_per_{b}"] = F.coalesce(F.try_divide(clean(a), clean(b)), F.lit(0.0))
         return df.withColumns(new)
 
-    return (lambda df, cols, ratios=False: {}), transform
+    return (lambda df, cols, ratios=False, most=8: {}), transform
 
 
 @step("aggregation_features")

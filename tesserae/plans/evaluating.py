@@ -27,6 +27,11 @@ def _(spark, d):
     return E.confusion_matrix(labelled(spark, d), "label", "said")
 
 
+@query("confusion_rates", f"with c as (select count(*) filter (label = 1 and said = 1) as tp, count(*) filter (label = 0 and said = 1) as fp, count(*) filter (label = 0 and said = 0) as tn, count(*) filter (label = 1 and said = 0) as fn from {P}) select 1 as class, tp, fp, tn, fn, {{{{tp / (tp + fn)}}}} as sensitivity, {{{{tn / (tn + fp)}}}} as specificity, {{{{fp / (tn + fp)}}}} as false_positive_rate, {{{{fn / (tp + fn)}}}} as false_negative_rate from c union all select 0, tn, fn, tp, fp, {{{{tn / (tn + fp)}}}}, {{{{tp / (tp + fn)}}}}, {{{{fn / (tp + fn)}}}}, {{{{fp / (tn + fp)}}}} from c")
+def _(spark, d):
+    return rounded(E.confusion_rates(labelled(spark, d), "label", "said"))
+
+
 C = f"with c as (select count(*) filter (label = 1 and said = 1)::double as tp, count(*) filter (label = 0 and said = 1)::double as fp, count(*) filter (label = 0 and said = 0)::double as tn, count(*) filter (label = 1 and said = 0)::double as fn, count(*)::double as n from {P}) "
 
 
@@ -68,6 +73,16 @@ def _(spark, d):
     return rounded(E.calibration(predictions(spark, d), "label", "score"))
 
 
+@query("calibration_summary", f"with x as (select label as y, score as s, least(greatest(score, 1e-15), 1 - 1e-15) as p, least(floor(score * 10), 9) as b from {P}), g as (select b, count(*) as n, abs(sum(s) - sum(y)) as gap from x group by 1), t as (select count(*) as n, avg(y) as r, avg((s - y) ** 2) as br, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) as l from x) select t.n, {{{{r}}}} as base_rate, {{{{(select sum(gap) from g) / t.n}}}} as ece, {{{{(select max(gap / n) from g)}}}} as mce, {{{{br}}}} as brier, {{{{1 - br / (r * (1 - r))}}}} as skill, {{{{l}}}} as log_loss from t")
+def _(spark, d):
+    return rounded(E.calibration_summary(predictions(spark, d), "label", "score"))
+
+
+@query("residual_checks", f"with x as (select e, predicted as p, abs(e) as a from {P}), k as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as ra, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2 as rp from x), m as (select avg(e) as b, var_pop(e) as v, count(*) as n from x) select any_value(n) as n, {{{{any_value(n) / 6 * ((avg((e - b) ** 3) / any_value(v) ** 1.5) ** 2 + (avg((e - b) ** 4) / any_value(v) ** 2 - 3) ** 2 / 4)}}}} as jarque_bera, {{{{(select corr(ra, rp) from k)}}}} as spread_with_prediction from x, m")
+def _(spark, d):
+    return rounded(E.residual_checks(predictions(spark, d)))
+
+
 @query("threshold_costs", f"with i as (select unnest(range(1, 20)) as i), p as (select label, least(floor(round(score * 20, 9)), 19) as k from {P}) select {{{{i / 20}}}} as threshold, count(*) filter (k >= i and label = 1) as tp, count(*) filter (k >= i and label = 0) as fp, count(*) filter (k < i and label = 0) as tn, count(*) filter (k < i and label = 1) as fn, {{{{5 * count(*) filter (k < i and label = 1) + count(*) filter (k >= i and label = 0)}}}} as cost from i, p group by i")
 def _(spark, d):
     return rounded(E.threshold_costs(predictions(spark, d), "label", "score", 5.0, 1.0))
@@ -89,11 +104,18 @@ def _(spark, d):
     return rounded(E.subgroup_errors(x, ["l_returnflag", "l_linestatus"]))
 
 
-@query("row_reliability", "with t as (select quantile_cont(o_totalprice, 0.001) as lo, quantile_cont(o_totalprice, 0.999) as hi from orders where o_orderdate < '1998-01-01'), n as (select o_orderkey, case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then 1e9 else o_totalprice end as v, case when o_orderkey % 5 = 0 then 'new' else o_orderpriority end as c from orders where o_orderdate >= '1998-01-01') select o_orderkey, case when v is null or v < lo - (hi - lo) or v > hi + (hi - lo) then 'abstained' when c = 'new' then 'caution' else 'reliable' end as reliability from n, t")
+@query("subgroup_bands", "with q as (select quantile_cont(l_quantity, 1/3) as a, quantile_cont(l_quantity, 2/3) as b from lineitem), top as (select l_linenumber::varchar as v from lineitem group by 1 order by count(*) desc, 1 limit 3), x as (select case when l_quantity <= a then 'low' when l_quantity <= b then 'middle' else 'high' end as l_quantity_band, case when l_linenumber::varchar in (select v from top) then l_linenumber::varchar else 'other' end as l_linenumber_band, abs(l_extendedprice - 2000 * l_quantity) as e from lineitem, q), w as (select avg(e) as m, stddev_samp(e) as s, count(*) as n from x), g as (select l_quantity_band, l_linenumber_band, count(*) as k, avg(e) as er from x group by grouping sets ((l_quantity_band), (l_linenumber_band), (l_quantity_band, l_linenumber_band))) select l_quantity_band, l_linenumber_band, k as n, {{er}} as error, {{er / m}} as ratio, {{(er - m) / (s / sqrt(k))}} as z, abs((er - m) / (s / sqrt(k))) >= 3 and (er / m >= 1.3 or er / m <= 0.75) as notable from g, w where k >= 30 and k < 0.95 * w.n")
+def _(spark, d):
+    x = E.facets_of(table(spark, d, "lineitem"), ["l_quantity"], ["l_linenumber"], top=3)
+    x = x.select("l_quantity_band", "l_linenumber_band", F.col("l_extendedprice").alias("actual"), (2000 * F.col("l_quantity")).alias("predicted"))
+    return rounded(E.subgroup_errors(x, ["l_quantity_band", "l_linenumber_band"]))
+
+
+@query("row_reliability", "with t as (select quantile_cont(o_totalprice, 0.001) as lo, quantile_cont(o_totalprice, 0.999) as hi from orders where o_orderdate < '1998-01-01'), n as (select o_orderkey, case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then 1e9 else o_totalprice end as v, case when o_orderkey % 5 = 0 then 'new' else o_orderpriority end as c from orders where o_orderdate >= '1998-01-01') select o_orderkey, case when v is null or v < lo - (hi - lo) or v > hi + (hi - lo) then 'abstained' when c = 'new' then 'caution' else 'reliable' end as reliability, concat_ws('; ', case when v is null then 'half the values are missing' end, case when v < lo - (hi - lo) or v > hi + (hi - lo) then 'beyond the training range' end, case when c = 'new' then 'unseen level' end) as reasons from n, t")
 def _(spark, d):
     o = table(spark, d, "orders")
     new = o.where("o_orderdate >= '1998-01-01'").selectExpr("o_orderkey", "case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then 1e9 else o_totalprice end as o_totalprice", "case when o_orderkey % 5 = 0 then 'new' else o_orderpriority end as o_orderpriority")
-    return E.row_reliability(new, o.where("o_orderdate < '1998-01-01'"), ["o_totalprice"], ["o_orderpriority"]).select("o_orderkey", "reliability")
+    return E.row_reliability(new, o.where("o_orderdate < '1998-01-01'"), ["o_totalprice"], ["o_orderpriority"]).select("o_orderkey", "reliability", F.concat_ws("; ", "reasons").alias("reasons"))
 
 
 R = "select l_returnflag as model, l_linenumber as fold, avg(l_discount) * 10 as train, avg(l_tax) * 10 as held_out from lineitem group by 1, 2"
@@ -123,6 +145,11 @@ def _(spark, d):
     return rounded(E.tournament_rank(entries(spark, d)).select("segment", "model", "composite", "rank"))
 
 
+@query("tournament_roles", TS + "select segment, 'recommended' as role, arg_min(model, struct_pack(a := -composite, b := model)) as model from c group by 1 union all select segment, 'highest', arg_min(model, struct_pack(a := -p, b := model)) from (select segment, model, performance as p from t) group by 1 union all select segment, 'simplest', arg_min(model, struct_pack(a := -composite, b := model)) from c group by 1 union all select segment, 'baseline', 'A1' from c where model = 'A1'")
+def _(spark, d):
+    return E.tournament_roles(E.tournament_rank(entries(spark, d)), baseline="A1")
+
+
 @query("rank_per_series", TS + "select segment, model, {{composite}} as composite, rank from k where rank = 1")
 def _(spark, d):
     return rounded(E.rank_per_series(E.tournament_rank(entries(spark, d)), "segment").select("segment", "model", "composite", "rank"))
@@ -135,7 +162,7 @@ def _(spark, d):
     return rounded(E.run_difference(g(o.where("o_orderdate < '1998-01-01'")), g(o.where("o_orderdate >= '1998-01-01'"))))
 
 
-@query("forecast_metrics", "with s as (select o_orderpriority as key, date_trunc('month', o_orderdate)::date as t, sum(o_totalprice) as y from orders group by 1, 2), n as (select key, avg(abs(d)) as naive from (select key, y - lag(y) over (partition by key order by t) as d from s where t < '1999-01-01') group by 1), x as (select key, y, y * 0.9 as p, lag(y) over (partition by key order by t) as b from s where t >= '1999-01-01') select key, count(*) as n, {{avg(abs(y - p))}} as mae, {{sqrt(avg((y - p) ** 2))}} as rmse, {{avg(abs(y - p)) / any_value(naive)}} as mase, {{avg((sign(y - b) = sign(p - b))::int)}} as direction from x join n using (key) group by 1")
+@query("forecast_metrics", "with s as (select o_orderpriority as key, date_trunc('month', o_orderdate)::date as t, sum(o_totalprice) as y from orders group by 1, 2), n as (select key, avg(abs(d)) as naive from (select key, y - lag(y) over (partition by key order by t) as d from s where t < '1999-01-01') group by 1), x as (select key, y, y * 0.9 as p, lag(y) over (partition by key order by t) as b from s where t >= '1999-01-01') select key, count(*) as n, {{avg(abs(y - p))}} as mae, {{sqrt(avg((y - p) ** 2))}} as rmse, {{1 - avg((y - p) ** 2) / var_pop(y)}} as r2, {{avg(abs((y - p) / y))}} as mape, {{avg(2 * abs(y - p) / (abs(y) + abs(p)))}} as smape, {{avg(abs(y - p)) / any_value(naive)}} as mase, {{avg((sign(y - b) = sign(p - b))::int)}} as direction from x join n using (key) group by 1")
 def _(spark, d):
     s = daily(spark, d)
     test = s.where("t >= '1999-01-01'").withColumn("predicted", F.col("y") * 0.9)

@@ -44,9 +44,60 @@ def _(spark, d):
     return rounded(M.fit("gram_ridge", x, ["l_quantity"], Y)(x).select(*KEY, "prediction"))
 
 
-for _n, _m, _o in (("fit_ridge", "ridge", {}), ("fit_lasso", "lasso", {}), ("fit_elastic_net", "elastic_net", {}), ("fit_bayesian_ridge", "bayesian_ridge", {}), ("fit_huber", "huber", {}), ("fit_quantile_regression", "quantile_regression", {"rounds": 5}), ("fit_poisson", "poisson", {}), ("fit_gamma", "gamma", {}), ("fit_tweedie", "tweedie", {}), ("fit_polynomial", "polynomial", {}), ("fit_pls", "pls", {}), ("fit_random_forest", "random_forest_regression", {"numTrees": 5}), ("fit_gbt", "gbt_regression", {"maxIter": 3}), ("fit_bagging", "bagging", {"members": 3}), ("fit_stacking", "stacking", {"key": KEY})):
+X2 = ["l_quantity", "l_discount"]
+
+
+def two(u: str, v: str, y: str, alpha: float, value: str, source: str = "lineitem") -> str:
+    """SQL of a ridge on two columns by its normal equations; value: what to return, of b1, b2, b0, u and v."""
+    sums = f"select regr_sxx({y}, {u}) + {alpha} as s11, regr_sxx({y}, {v}) + {alpha} as s22, covar_pop({u}, {v}) * count(*) as s12, covar_pop({u}, {y}) * count(*) as s1, covar_pop({v}, {y}) * count(*) as s2, avg({u}) as m1, avg({v}) as m2, avg({y}) as my from {source}"
+    solved = "select *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) as b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) as b2 from s"
+    return f"with s as ({sums}), w as ({solved}), b as (select *, my - b1 * m1 - b2 * m2 as b0 from w) select {K}, {value} as prediction from {source}, b"
+
+
+FITTED = "{{b0 + b1 * l_quantity + b2 * l_discount}}"
+
+
+@query("fit_ridge", two("l_quantity", "l_discount", Y, 1.0, FITTED))
+def _(spark, d):
+    return rounded(M.fit("ridge", items(spark, d), X2, Y, alpha=1.0)(items(spark, d)).select(*KEY, "prediction"))
+
+
+@query("fit_pls", two("l_quantity", "l_discount", Y, 0.0, FITTED))
+def _(spark, d):
+    """As many components as columns: least squares."""
+    return rounded(M.fit("pls", items(spark, d), X2, Y, components=2)(items(spark, d)).select(*KEY, "prediction"))
+
+
+@query("fit_polynomial", two("l_quantity", "l_quantity * l_quantity", Y, 1e-6, "{{b0 + b1 * l_quantity + b2 * l_quantity * l_quantity}}"))
+def _(spark, d):
+    return rounded(M.fit("polynomial", items(spark, d), ["l_quantity"], Y)(items(spark, d)).select(*KEY, "prediction"))
+
+
+@query("fit_ridge_classifier", two("l_quantity", "l_discount", "y", 1.0, "case when b0 + b1 * l_quantity + b2 * l_discount > 0 then 1 else 0 end", "(select *, case when l_returnflag = 'R' then 1.0::double else -1.0 end as y from lineitem)"))
+def _(spark, d):
+    x = items(spark, d)
+    return M.fit("ridge_classifier", x, X2, "label")(x).select(*KEY, "prediction")
+
+
+@query("fit_discriminant", f"with x as (select *, (l_returnflag = 'R')::int as c from lineitem), g as (select c, count(*)::double as n, avg(l_quantity) as m1, avg(l_discount) as m2, var_samp(l_quantity) + 1e-9 as a, var_samp(l_discount) + 1e-9 as b, covar_samp(l_quantity, l_discount) as k from x group by 1) select {K}, arg_max(c, score) as prediction from (select {K}, g.c, x.i, ln(n / (select count(*) from x)) - 0.5 * ln(a * b - k * k) - 0.5 * (b * (l_quantity - m1) ** 2 - 2 * k * (l_quantity - m1) * (l_discount - m2) + a * (l_discount - m2) ** 2) / (a * b - k * k) as score from (select *, row_number() over () as i from lineitem) x, g) group by {K}, i")
+def _(spark, d):
+    x = items(spark, d)
+    return M.fit("discriminant", x, X2, "label", quadratic=True)(x).select(*KEY, "prediction")
+
+
+@query("ols_summary", f"with s as (select regr_slope({Y}, l_quantity) as b, regr_intercept({Y}, l_quantity) as a, regr_syy({Y}, l_quantity) as tss, regr_r2({Y}, l_quantity) as r2, count(*) as n from lineitem), e as (select {Y} - a - b * l_quantity as e from lineitem, s), m as (select avg(e) as me, var_pop(e) as v from e), j as (select avg((e - me) ** 3) / any_value(v) ** 1.5 as g1, avg((e - me) ** 4) / any_value(v) ** 2 - 3 as g2 from e, m), l as (select *, tss * (1 - r2) as rss, -n / 2 * (ln(2 * pi()) + ln(tss * (1 - r2) / n) + 1) as ll from s) select n, {{{{r2}}}} as r2, {{{{1 - (1 - r2) * (n - 1) / (n - 2)}}}} as adjusted_r2, {{{{r2 / ((1 - r2) / (n - 2))}}}} as f, {{{{ll}}}} as log_likelihood, {{{{4 - 2 * ll}}}} as aic, {{{{ln(n) * 2 - 2 * ll}}}} as bic, {{{{n / 6 * (g1 ** 2 + g2 ** 2 / 4)}}}} as jarque_bera, {{{{exp(-n / 12 * (g1 ** 2 + g2 ** 2 / 4))}}}} as jarque_bera_p from l, j")
+def _(spark, d):
+    return rounded(M.ols_summary(items(spark, d), ["l_quantity"], Y).drop("f_p"))
+
+
+@query("ols_robust_errors", f"with s as (select regr_slope({Y}, l_quantity) as b, regr_intercept({Y}, l_quantity) as a, regr_sxx({Y}, l_quantity) as sxx, avg(l_quantity) as m, count(*) as n from lineitem), x as (select l_quantity - m as z, (({Y} - a - b * l_quantity) / (1 - 1 / n - (l_quantity - m) ** 2 / sxx)) ** 2 as w from lineitem, s), t as (select sum(w) as t0, sum(w * z) as t1, sum(w * z * z) as t2 from x) select 'l_quantity' as term, {{{{b}}}} as coefficient, {{{{sqrt(t2) / sxx}}}} as se_hc3 from s, t union all select 'intercept', {{{{a}}}}, {{{{sqrt(t0 / (n * n) - 2 * m * t1 / (n * sxx) + m * m * t2 / (sxx * sxx))}}}} from s, t")
+def _(spark, d):
+    return rounded(M.ols_robust_errors(items(spark, d), ["l_quantity"], Y))
+
+
+for _n, _m, _o in (("fit_lasso", "lasso", {}), ("fit_elastic_net", "elastic_net", {}), ("fit_bayesian_ridge", "bayesian_ridge", {}), ("fit_huber", "huber", {}), ("fit_quantile_regression", "quantile_regression", {}), ("fit_poisson", "poisson", {}), ("fit_gamma", "gamma", {}), ("fit_tweedie", "tweedie", {}), ("fit_random_forest", "random_forest_regression", {}), ("fit_gbt", "gbt_regression", {}), ("fit_bagging", "bagging", {}), ("fit_stacking", "stacking", {"key": KEY})):
     regression(_n, _m, **_o)
-for _n, _m, _o in (("fit_decision_tree", "decision_tree", {}), ("fit_adaboost", "adaboost", {"rounds": 3}), ("fit_logistic", "logistic", {}), ("fit_ridge_classifier", "ridge_classifier", {}), ("fit_naive_bayes", "naive_bayes", {}), ("fit_discriminant", "discriminant", {"quadratic": True}), ("fit_linear_svc", "linear_svc", {"maxIter": 10}), ("fit_mlp_classifier", "mlp_classifier", {"layers": [3, 4, 2], "maxIter": 20})):
+for _n, _m, _o in (("fit_decision_tree", "decision_tree", {}), ("fit_adaboost", "adaboost", {}), ("fit_logistic", "logistic", {}), ("fit_naive_bayes", "naive_bayes", {}), ("fit_linear_svc", "linear_svc", {}), ("fit_mlp_classifier", "mlp_classifier", {"layers": [3, 4, 2], "maxIter": 20})):
     classifier(_n, _m, **_o)
 
 
@@ -97,7 +148,7 @@ def _(spark, d):
 
 @query("fit_fuzzy_cmeans")
 def _(spark, d):
-    return frame(spark, M.fuzzy_cmeans(items(spark, d), ["l_quantity", "l_discount"], rounds=5), ["l_quantity", "l_discount"])
+    return frame(spark, M.fuzzy_cmeans(items(spark, d), ["l_quantity", "l_discount"]), ["l_quantity", "l_discount"])
 
 
 @query("fit_power_iteration")

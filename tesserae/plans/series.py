@@ -125,7 +125,7 @@ def _(spark, d):
     return rounded(S.backtest(daily(spark, d), "drift", 4))
 
 
-@query("forecast_run")
+@query("forecast_run", f"with o as (select unnest([1, 2, 3])::int as origin), c as (select key, origin, arg_min(y, t) as a, arg_max(y, t) as b, count(*) as n from {N} x, o where x.k - 1 >= origin * 4 group by 1, 2), s as (select key, origin, (origin * 4 - (k - 1))::int as step, y from {N} x, o where k - 1 < origin * 4 and k - 1 >= origin * 4 - 4), e as (select key, abs(y - (b + step * (b - a) / (n - 1))) as e from s join c using (key, origin)), r as (select key, e, row_number() over (partition by key order by e) as i, count(*) over (partition by key) as m from e), h as (select key, e as half from r where i = least(ceil((m + 1) * 0.9::double), m)), w as (select key, arg_min(y, t) as a, arg_max(y, t) as b, count(*) as n from {N} x group by 1), g as (select unnest([1, 2, 3, 4])::int as step) select key, step, {{{{b + step * (b - a) / (n - 1)}}}} as forecast, {{{{b + step * (b - a) / (n - 1) - half}}}} as low, {{{{b + step * (b - a) / (n - 1) + half}}}} as high from w join h using (key), g")
 def _(spark, d):
     return rounded(S.forecast_run(daily(spark, d), 4))
 

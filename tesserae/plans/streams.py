@@ -41,34 +41,43 @@ def _(spark, d):
     return drained(spark, J.stream_dedup(events(spark, d), ["event_id"], late="60 days").select("event_id", "user_id"))
 
 
-@query("stream_drift_tumbling")
+def said(df, *times):
+    """Times as text."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times})
+
+
+@query("stream_drift_tumbling", "with b as (select avg(value) as m, stddev_samp(value) as s from events) select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, {{avg(value)}} as mean, {{(avg(value) - any_value(m)) / any_value(s)}} as drift from events, b group by 1")
 def _(spark, d):
     base = table(spark, d, "events").agg(F.avg("value"), F.stddev_samp("value")).first()
-    return rounded(drained(spark, J.stream_drift_tumbling(events(spark, d, close=True), "value", base[0], base[1])))
+    return said(rounded(drained(spark, J.stream_drift_tumbling(events(spark, d, close=True), "value", base[0], base[1]))), "start")
+
+
+@query("stream_profile_sliding", "with w as (select unnest(range(0, 6)) as k), e as (select date_trunc('hour', ts) - k * interval 1 hour as start, value from events, w) select strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) as n, {{avg(value)}} as mean, {{min(value)}} as min, {{max(value)}} as max from e group by 1")
+def _(spark, d):
+    return said(rounded(drained(spark, J.stream_profile_sliding(events(spark, d, close=True), "value"))), "start")
 
 
-@query("stream_profile_sliding")
+@query("stream_profile_keys")
 def _(spark, d):
-    return rounded(drained(spark, J.stream_profile_sliding(events(spark, d, close=True), "value", "user_id")))
+    return said(rounded(drained(spark, J.stream_profile_sliding(events(spark, d, close=True), "value", "user_id"))), "start")
 
 
-@query("stream_sessions")
+@query("stream_sessions", "with p as (select user_id, ts, ts - lag(ts) over w > interval 30 minutes as new from events window w as (partition by user_id order by ts)), s as (select user_id, ts, sum(coalesce(new, true)::int) over (partition by user_id order by ts) as k from p) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as end, count(*) as n from s group by user_id, k")
 def _(spark, d):
-    return drained(spark, J.stream_sessions(events(spark, d, close=True), "user_id"))
+    return said(drained(spark, J.stream_sessions(events(spark, d, close=True), "user_id")), "start", "end")
 
 
-@query("stream_zscore", "select count(*) as n, count(distinct user_id) as keys from events")
+@query("stream_zscore", "with e as (select user_id as key, ts, value, avg(value) over w as m, stddev_pop(value) over w as s from events where value is not null window w as (partition by user_id order by ts, value rows between unbounded preceding and 1 preceding)) select key, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {{value}} as value, {{case when s > 0 then (value - m) / s else 0 end}} as z, coalesce(case when s > 0 then abs((value - m) / s) > 3 end, false) as anomaly from e")
 def _(spark, d):
-    got = drained(spark, J.stream_zscore(events(spark, d), "user_id", "value"))
-    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+    return said(rounded(drained(spark, J.stream_zscore(events(spark, d), "user_id", "value"))), "ts")
 
 
-@query("stream_score", "select event_id, case when value is null then 'abstained' else 'reliable' end as reliability from events")
+@query("stream_score", "select event_id, {{(select avg(value) from events)}} as prediction, case when value is null then 'abstained' else 'reliable' end as reliability from events")
 def _(spark, d):
     t = table(spark, d, "events")
     model = models.fit("baseline_dummy", t, ["value"], "value")
     got = J.stream_score(events(spark, d), model, t, ["value"], ["event_type"])
-    return drained(spark, got.select("event_id", "reliability"))
+    return rounded(drained(spark, got.select("event_id", "prediction", "reliability")))
 
 
 @query("stream_contract", "select event_type <> 'purchase' as kept, count(*) as n from events group by 1")
@@ -87,7 +96,7 @@ def _(spark, d):
     from tesserae.operators import evaluate, rows
 
     x = table(spark, d, "lineitem")
-    old, new = x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 = 1")
+    old, new = x.where("l_shipdate < '1998-01-01'"), x.where("l_shipdate >= '1998-01-01'")
     if not scoring.schema_check(old, new).where("severity = 'fatal'").isEmpty():
         raise ValueError("columns are missing")
     train, held = models.train_holdout(old, ["l_orderkey", "l_linenumber", "l_partkey"])

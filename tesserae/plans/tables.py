@@ -60,11 +60,16 @@ def _(spark, d):
 
 
 def _scratch(spark):
-    """A new folder below the shared one, or below the machine's where none is set (a single machine)."""
+    """A new folder below the shared one; below the machine's only where none is set and all runs in one process."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}"
     return f"{root}/tesserae-{uuid.uuid4().hex}"
 
 

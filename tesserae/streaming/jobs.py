@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +46,12 @@ def stream_drift_tumbling(events: DataFrame, value: str, mean: float, std: float
     return g.select(F.col("window.start").alias("start"), "n", "mean", ((F.col("mean") - mean) / std).alias("drift"))
 
 
-def stream_profile_sliding(events: DataFrame, value: str, key: str, ts: str = "ts", width: str = "6 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Mergeable aggregates only."""
+def stream_profile_sliding(events: DataFrame, value: str, key: str | None = None, ts: str = "ts", width: str = "6 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Mergeable aggregates only; with a key, about how many of it."""
     v = clean(value)
-    g = events.withWatermark(ts, late).groupBy(F.window(ts, width, slide)).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.approx_count_distinct(key).alias("keys"))
-    return g.select(F.col("window.start").alias("start"), "n", "mean", "min", "max", "keys")
+    keys = [F.approx_count_distinct(key).alias("keys")] if key else []
+    g = events.withWatermark(ts, late).groupBy(F.window(ts, width, slide)).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), *keys)
+    return g.select(F.col("window.start").alias("start"), "n", "mean", "min", "max", *(["keys"] if key else []))
 
 
 def stream_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -58,21 +60,26 @@ def stream_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30
 
 
 def stream_zscore(events: DataFrame, key: str, value: str, ts: str = "ts", limit: float = 3.0) -> DataFrame:
-    """Each value against the running mean and deviation of its key before it; state: count, mean, M2, three numbers a key."""
+    """Each value against the running mean and deviation of its key before it; state: count, mean, M2, three numbers a key.
+
+    Rows whose value is missing or no number are left out. A value without spread before it has z 0.
+    """
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
         for frame in frames:
-            rows = []
-            for t, x in frame.sort_values([ts, value])[[ts, value]].itertuples(index=False):
-                std = (m2 / n) ** 0.5 if n > 1 else 0.0
-                z = (x - mean) / std if std else 0.0
-                rows.append((k[0], t, float(x), float(z), abs(z) > limit))
-                n += 1
-                d = x - mean
-                mean += d / n
-                m2 += d * (x - mean)
-            yield pd.DataFrame(rows, columns=["key", "ts", "value", "z", "anomaly"])
+            frame = frame[[ts, value]].sort_values([ts, value])
+            x = frame[value].to_numpy(dtype=float, na_value=np.nan)
+            use = np.isfinite(x)
+            x = x[use]
+            d = x - mean
+            count, first, second = n + np.arange(len(x) + 1), np.concatenate(([0.0], np.cumsum(d))), np.concatenate(([0.0], np.cumsum(d * d)))
+            some = np.maximum(count, 1)
+            spread = np.maximum(m2 + second - first * first / some, 0.0)  # squares around the mean before each value
+            std = np.sqrt(spread / some)[:-1]
+            z = np.divide(d - (first / some)[:-1], std, out=np.zeros(len(x)), where=(std > 0) & (count[:-1] > 1))
+            yield pd.DataFrame({"key": k[0], "ts": frame[ts].to_numpy()[use], "value": x, "z": z, "anomaly": np.abs(z) > limit})
+            n, mean, m2 = int(count[-1]), float(mean + (first / some)[-1]), float(spread[-1])
         state.update((n, mean, m2))
 
     out = f"key {dict(events.dtypes)[key]}, ts timestamp, value double, z double, anomaly boolean"

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.functions.scalar import chain, clean
+from tesserae.operators.describe import count_duplicates
 from tesserae.operators.kernels import value_counts
+from tesserae.operators.profile import leakage_suspects
 from tesserae.operators.rows import join_share_diff
 
 
@@ -27,21 +29,21 @@ def kind(t: T.DataType) -> str:
 
 
 def schema_check(old: DataFrame, new: DataFrame, categories: list[str] = ()) -> DataFrame:
-    """(code, column, severity): columns missing (fatal), extra or of another kind, levels never seen, more gaps than before."""
+    """(code, column, severity, detail): columns missing (fatal), extra or of another kind, levels never seen (the first ten as detail), more gaps than before."""
     a, b = ({f.name: kind(f.dataType) for f in df.schema.fields} for df in (old, new))
-    rows = [("missing_column", c, "fatal") for c in a if c not in b]
-    rows += [("extra_column", c, "info") for c in b if c not in a]
-    rows += [("kind_changed", c, "warning") for c in a if c in b and a[c] != b[c]]
+    rows = [("missing_column", c, "fatal", None) for c in a if c not in b]
+    rows += [("extra_column", c, "info", None) for c in b if c not in a]
+    rows += [("kind_changed", c, "warning", f"{a[c]} to {b[c]}") for c in a if c in b and a[c] != b[c]]
     both = [c for c in a if c in b]
     gaps = []
     for df in (old, new):
         gaps.append(df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in both]).first())
-    rows += [("more_missing", c, "warning") for c in both if (gaps[1][c] or 0) > max(0.05, 2 * (gaps[0][c] or 0))]
+    rows += [("more_missing", c, "warning", None) for c in both if (gaps[1][c] or 0) > max(0.05, 2 * (gaps[0][c] or 0))]
     for c in categories:
         unseen = new.where(F.col(c).isNotNull()).select(c).distinct().join(old.select(c).distinct(), c, "left_anti")
-        if not unseen.isEmpty():
-            rows.append(("unseen_category", c, "warning"))
-    return old.sparkSession.createDataFrame(rows, "code string, column string, severity string")
+        if found := [str(r[0]) for r in unseen.orderBy(c).limit(10).collect()]:
+            rows.append(("unseen_category", c, "warning", ", ".join(found)))
+    return old.sparkSession.createDataFrame(rows, "code string, column string, severity string, detail string")
 
 
 def drift_report(old: DataFrame, new: DataFrame, numeric: list[str], categorical: list[str], least: int = 30) -> DataFrame:
@@ -63,10 +65,14 @@ def drift_report(old: DataFrame, new: DataFrame, numeric: list[str], categorical
     return got.withColumn("reading", reading)
 
 
-def version_snapshot(df: DataFrame) -> DataFrame:
-    """(variable, kind, rows, missing, distinct, mean, std): one row a column."""
+def version_snapshot(df: DataFrame, most_levels: int = 200) -> DataFrame:
+    """(variable, kind, rows, missing, distinct, mean, std, levels): one row a column. levels: those of text with few of them."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    counts = value_counts(df, df.columns).groupBy("variable").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct"))
+    vc = value_counts(df, df.columns)
+    counts = vc.groupBy("variable").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct"))
+    few = counts.where((F.col("distinct") <= most_levels) & ~F.col("variable").isin(numeric)).select("variable")
+    levels = vc.where("value is not null").join(few, "variable").groupBy("variable").agg(F.array_sort(F.collect_list("value")).alias("levels"))  # most_levels at most
+    counts = counts.join(levels, "variable", "left")
     kinds = df.sparkSession.createDataFrame([(f.name, kind(f.dataType)) for f in df.schema.fields], "variable string, kind string")
     got = counts.join(kinds, "variable")
     if not numeric:
@@ -76,13 +82,13 @@ def version_snapshot(df: DataFrame) -> DataFrame:
 
 
 def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(variable, change): columns added or removed, kind, missing share by 2 points, mean by 0.2 deviations."""
-    a = version_snapshot(old).toDF(*[x if x == "variable" else f"a_{x}" for x in version_snapshot(old).columns])
-    b = version_snapshot(new).toDF(*[x if x == "variable" else f"b_{x}" for x in version_snapshot(new).columns])
+    """(variable, change): columns added or removed, kind, missing share by 2 points, mean by 0.2 deviations, levels; a row without variable if the number of rows differs."""
+    a, b = (s.toDF(*[x if x == "variable" else f"{p}_{x}" for x in s.columns]) for p, s in (("a", version_snapshot(old)), ("b", version_snapshot(new))))
     gap = F.abs(F.col("a_missing") / F.col("a_rows") - F.col("b_missing") / F.col("b_rows")) >= 0.02
     shift = F.coalesce(F.abs(F.col("b_mean") - F.col("a_mean")) >= 0.2 * F.col("a_std"), F.lit(False))
-    change = chain([(F.col("b_kind").isNull(), "removed"), (F.col("a_kind").isNull(), "added"), (F.col("a_kind") != F.col("b_kind"), "kind"), (gap, "missing"), (shift, "mean")], "same")
-    return a.join(b, "variable", "full_outer").select("variable", change.alias("change"))
+    change = chain([(F.col("b_kind").isNull(), "removed"), (F.col("a_kind").isNull(), "added"), (F.col("a_kind") != F.col("b_kind"), "kind"), (gap, "missing"), (shift, "mean"), (~F.col("a_levels").eqNullSafe(F.col("b_levels")), "levels")], "same")
+    rows = a.agg(F.max("a_rows").alias("a")).crossJoin(b.agg(F.max("b_rows").alias("b"))).where(~F.col("a").eqNullSafe(F.col("b")))  # one row each
+    return a.join(b, "variable", "full_outer").select("variable", change.alias("change")).unionAll(rows.select(F.lit(None).cast("string"), F.lit("rows")))
 
 
 def build_contract(df: DataFrame, most_levels: int = 200) -> dict:
@@ -102,19 +108,38 @@ def contract_rows(contract: dict, spark) -> DataFrame:
     return spark.createDataFrame(rows, "variable string, kind string, levels long, missing_limit double")
 
 
-def check_contract(df: DataFrame, contract: dict, target: str | None = None) -> DataFrame:
-    """(rule, variable, passed) from one aggregate over the table."""
+def check_contract(df: DataFrame, contract: dict, target: str | None = None, task: str | None = None, time_column: str | None = None) -> DataFrame:
+    """(rule, variable, passed, severity) from one aggregate over the table and a count of repeated rows.
+
+    task: classification asks for two classes, forecast for the time column. Rules are blocking or warnings;
+    a target missing in over 60 % of the rows blocks.
+    """
     have = [c for c in contract["kinds"] if c in df.columns]
     agg = [F.count(F.lit(1)).alias("_rows")] + [F.avg(F.col(c).isNull().cast("double")).alias(f"m_{c}") for c in have]
     agg += [F.count_if(F.col(c).isNotNull() & ~F.col(c).cast("string").isin(contract["levels"][c])).alias(f"u_{c}") for c in have if contract["levels"].get(c)]
+    aimed = target in df.columns
+    if aimed:
+        agg.append(F.avg(F.col(target).isNull().cast("double")).alias("_gaps"))
     row = df.agg(*agg).first()
-    out = [("column_present", c, c in df.columns) for c in contract["kinds"]]
-    out += [("missing_share", c, (row[f"m_{c}"] or 0.0) <= contract["missing"][c]) for c in have]
-    out += [("known_levels", c, row[f"u_{c}"] == 0) for c in have if contract["levels"].get(c)]
-    out.append(("least_rows", None, row["_rows"] >= contract["least_rows"]))
+    out = [("column_present", c, c in df.columns, "blocking") for c in contract["kinds"]]
+    out += [("missing_share", c, (row[f"m_{c}"] or 0.0) <= contract["missing"][c], "warning") for c in have]
+    out += [("known_levels", c, row[f"u_{c}"] == 0, "warning") for c in have if contract["levels"].get(c)]
+    out += [("few_levels", c, len(v) <= 50, "warning") for c, v in contract["levels"].items()]
+    out.append(("least_rows", None, row["_rows"] >= contract["least_rows"], "blocking"))
+    repeated = count_duplicates(df).first()["duplicates"] or 0
+    out.append(("duplicates", None, repeated <= 0.05 * row["_rows"], "warning"))
+    suspects = leakage_suspects(df, target if aimed and isinstance(df.schema[target].dataType, T.NumericType) else None)
+    out.append(("leakage", None, suspects.isEmpty(), "warning"))
     if target:
-        out.append(("target_present", target, target in df.columns))
-    return df.sparkSession.createDataFrame(out, "rule string, variable string, passed boolean")
+        out.append(("target_present", target, aimed, "blocking"))
+    if aimed:
+        gaps = row["_gaps"] or 0.0
+        out.append(("target_missing", target, gaps <= 0.3, "blocking" if gaps > 0.6 else "warning"))
+        if task == "classification":
+            out.append(("classes", target, df.where(F.col(target).isNotNull()).select(target).distinct().limit(2).count() == 2, "blocking"))
+    if task == "forecast":
+        out.append(("time_column", time_column, time_column in df.columns, "blocking"))
+    return df.sparkSession.createDataFrame(out, "rule string, variable string, passed boolean, severity string")
 
 
 def row_rules(contract: dict, columns: list[str]):

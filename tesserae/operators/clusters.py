@@ -50,6 +50,38 @@ def separating_features(df: DataFrame, cluster: str, cols: list[str]) -> DataFra
     return a.select("variable", ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("f"), (F.col("b") / (F.col("b") + F.col("w"))).alias("eta_squared"))
 
 
+def separating_categories(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
+    """Chi-square, its degrees of freedom and Cramer's V of categorical columns by cluster, from one count of cells."""
+    x = long_form(df.select(F.col(cluster).cast("string").alias("_c"), *cols), cols, "_c").where("value is not null and _c is not null")
+    cells = x.groupBy("variable", "_c", "value").agg(F.count(F.lit(1)).alias("k"))
+    row, col = (cells.groupBy("variable", c).agg(F.sum("k").alias(n)) for c, n in (("_c", "r"), ("value", "l")))
+    whole = row.groupBy("variable").agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("rows")).join(col.groupBy("variable").agg(F.count(F.lit(1)).alias("levels")), "variable")
+    # chi2 = n (sum k^2 / (row total * level total) - 1), so empty cells need no rows
+    g = cells.join(row, ["variable", "_c"]).join(col, ["variable", "value"]).groupBy("variable").agg(F.sum(F.col("k") * F.col("k") / (F.col("r") * F.col("l"))).alias("q"))
+    chi = F.col("n") * (F.col("q") - 1)
+    few = F.least("rows", "levels") - 1
+    return g.join(whole, "variable").select("variable", chi.alias("chi_square"), ((F.col("rows") - 1) * (F.col("levels") - 1)).alias("df"), F.sqrt(F.try_divide(chi, F.col("n") * few)).alias("cramers_v"))
+
+
+def cluster_modes(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
+    """(cluster, variable, mode, share) of categorical columns; the least value on ties."""
+    x = long_form(df.select(F.col(cluster).alias("cluster"), *cols), cols, "cluster").where("value is not null")
+    vc = x.groupBy("cluster", "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    return vc.groupBy("cluster", "variable").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("mode"), (F.max("n") / F.sum("n")).alias("share"))
+
+
+def davies_bouldin(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
+    """Mean over clusters of the worst ratio of spreads to the distance of centres; a pass for centres, a pass for spreads."""
+    x = df.select(F.col(cluster).alias("_c"), *[clean(c).alias(c) for c in cols]).dropna()
+    centre = x.groupBy("_c").agg(*[F.avg(c).alias(f"m_{c}") for c in cols])
+    away = F.sqrt(sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in cols), F.lit(0.0)))
+    g = x.join(centre, "_c").groupBy("_c", *[f"m_{c}" for c in cols]).agg(F.avg(away).alias("s"))
+    a, b = (g.toDF(*[f"{p}{c}" for c in g.columns]) for p in ("a", "b"))
+    apart = F.sqrt(sum(((F.col(f"am_{c}") - F.col(f"bm_{c}")) ** 2 for c in cols), F.lit(0.0)))
+    pairs = a.join(b, F.col("a_c") != F.col("b_c"))  # one row a pair of clusters
+    return pairs.groupBy("a_c").agg(F.max(F.try_divide(F.col("as") + F.col("bs"), apart)).alias("worst")).agg(F.avg("worst").alias("davies_bouldin"))
+
+
 def clustering_metrics(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
     """Clusters, rows, Calinski-Harabasz and size imbalance, from centroid aggregates."""
     x = df.select(F.col(cluster).alias("_c"), *[clean(c).alias(c) for c in cols]).dropna()

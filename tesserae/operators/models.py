@@ -325,9 +325,53 @@ def fold_of(key: list[str], k: int):
     return F.pmod(F.xxhash64(*key), F.lit(k)).cast("int")
 
 
-def cross_validate(df, name, features, target, key: list[str], k: int = 5, **options) -> DataFrame:
-    """Out-of-fold predictions: (key, fold, actual, prediction)."""
-    x = df.withColumn("fold", fold_of(key, k))
+def stratified_folds(df: DataFrame, key: list[str], by: str, k: int = 5, repeat: int = 0) -> DataFrame:
+    """df with fold from 0 to k - 1, each with its share of every level of `by`, to a row: levels are ranked by a hash of the key.
+
+    The ranks are counted in ranges of the hash, so a level that holds a third of all rows is no task of its own. repeat: another deal.
+    """
+    h = F.xxhash64(*key, F.lit(f"folds {repeat}"))
+    x = df.withColumns({"_h": h, "_r": F.shiftrightunsigned(h, 52)})  # 4096 ranges
+    part = x.groupBy(by, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(by).orderBy("_r")  # over 4096 rows a level
+    part = part.select(F.col(by).alias("_b"), F.col("_r").alias("_q"), (F.sum("_n").over(w) - F.col("_n")).alias("_o"))
+    own = Window.partitionBy(by, "_r").orderBy("_h", *key)
+    x = x.withColumn("_i", F.row_number().over(own) - 1)
+    x = x.join(part, F.col(by).eqNullSafe(F.col("_b")) & (F.col("_r") == F.col("_q")))
+    return x.withColumn("fold", ((F.col("_o") + F.col("_i")) % k).cast("int")).drop("_h", "_r", "_i", "_o", "_b", "_q")
+
+
+def time_folds(df: DataFrame, t: str, k: int = 5) -> DataFrame:
+    """df with fold from 0 to k by equal shares of the times; a model for fold i is fitted on the folds before it (0: on none)."""
+    micros = F.unix_micros(F.col(t).cast("timestamp")).cast("double")
+    cut = quantiles(df.select(micros.alias("t")), ["t"], [i / (k + 1) for i in range(1, k + 1)])["t"] or []
+    return df.withColumn("fold", sum(((micros > F.lit(c)).cast("int") for c in cut), F.lit(0)))
+
+
+def time_holdout(df: DataFrame, t: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """The rows up to the time that leaves `share` of them behind it, and those."""
+    micros = F.unix_micros(F.col(t).cast("timestamp")).cast("double")
+    cut = (quantiles(df.select(micros.alias("t")), ["t"], [1 - share])["t"] or [0.0])[0]
+    return df.where(micros <= cut), df.where(micros > cut)
+
+
+def stratified_holdout(df: DataFrame, key: list[str], by: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """A held-out share of every level of `by`, to a row."""
+    k = max(2, round(1 / share))
+    x = stratified_folds(df, key, by, k)
+    return x.where("fold > 0").drop("fold"), x.where("fold = 0").drop("fold")
+
+
+def cross_validate(df, name, features, target, key: list[str], k: int = 5, stratify: str | None = None, time: str | None = None, **options) -> DataFrame:
+    """Out-of-fold predictions: (key, fold, actual, prediction). stratify: folds with equal shares of its levels; time: folds that follow what they are fitted on."""
+    if time:
+        x, out = time_folds(df, time, k), None
+        for i in range(1, k + 1):
+            m = fit(name, x.where(F.col("fold") < i), features, target, **options)
+            part = m(x.where(F.col("fold") == i)).select(*key, "fold", F.col(target).alias("actual"), "prediction")
+            out = part if out is None else out.unionAll(part)
+        return out
+    x = stratified_folds(df, key, stratify, k) if stratify else df.withColumn("fold", fold_of(key, k))
     out = None
     for i in range(k):
         m = fit(name, x.where(F.col("fold") != i), features, target, **options)

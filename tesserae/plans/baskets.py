@@ -24,7 +24,10 @@ def _(spark, d):
     return baskets(spark, d).select("txn", F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("items"))
 
 
-@query("basket_layout", "select 'o_orderkey' as \"column\", 'long' as layout union all select 'flag', 'wide' union all select 'tags', 'delimited'")
+LAYOUT = "select '{0}' as \"column\", case when avg(regexp_matches({0}::varchar, '[,;|]')::int) > 0.5 then 'delimited' when avg(({0}::varchar in ('0', '1', 'true', 'false'))::int) = 1 then 'wide' else 'long' end as layout from (select o_orderkey, o_orderkey % 2 as flag, o_orderstatus || ',' || o_orderpriority as tags from orders)"
+
+
+@query("basket_layout", " union all ".join(LAYOUT.format(c) for c in ("o_orderkey", "flag", "tags")))
 def _(spark, d):
     x = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).alias("flag"), F.concat_ws(",", "o_orderstatus", "o_orderpriority").alias("tags"))
     return B.basket_layout(x, x.columns).drop("distinct")

@@ -222,3 +222,25 @@ def _(spark, d):
 def _(spark, d):
     a, b = M.train_holdout(table(spark, d, "orders"), ["o_orderkey"])
     return a.withColumn("part", F.lit("train")).unionAll(b.withColumn("part", F.lit("held out"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stratified_folds", f"with x as (select l_returnflag, count(*) as n, unnest(range(0, 5)) as fold from lineitem group by 1) select l_returnflag, fold::int as fold, n // 5 + (fold < n % 5)::int as n from x")
+def _(spark, d):
+    return M.stratified_folds(table(spark, d, "lineitem"), KEY, "l_returnflag").groupBy("l_returnflag", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("time_folds", "with q as (select " + ", ".join(f"quantile_cont(epoch(o_orderdate)::double, {i} / 6) as q{i}" for i in range(1, 6)) + " from orders) select (" + " + ".join(f"(epoch(o_orderdate) > q{i})::int" for i in range(1, 6)) + ") as fold, count(*) as n from orders, q group by 1")
+def _(spark, d):
+    return M.time_folds(table(spark, d, "orders"), "o_orderdate").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("time_holdout", "with q as (select quantile_cont(epoch(o_orderdate)::double, 0.8) as c from orders) select case when epoch(o_orderdate) <= c then 'train' else 'held out' end as part, count(*) as n from orders, q group by 1")
+def _(spark, d):
+    a, b = M.time_holdout(table(spark, d, "orders"), "o_orderdate")
+    return a.withColumn("part", F.lit("train")).unionAll(b.withColumn("part", F.lit("held out"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cross_validate_by_time")
+def _(spark, d):
+    got = M.cross_validate(items(spark, d), "ridge", X, Y, KEY, 3, time="l_shipdate")
+    return got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("actual") - F.col("prediction")) ** 2)).alias("rmse"))

@@ -16,7 +16,10 @@ def _(spark, d):
     return rounded(S.build_series(table(spark, d, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice", "month"))
 
 
-@query("series_trend", f"with r as (select *, rank() over (partition by key order by y) + (count(*) over (partition by key, y) - 1) / 2 as r from {N}) select key, count(*) as n, {{{{regr_slope(y, i)}}}} as slope, {{{{corr(r, i)}}}} as spearman, {{{{arg_max(y, t) - arg_min(y, t)}}}} as change, {{{{(arg_max(y, t) - arg_min(y, t)) / abs(arg_min(y, t))}}}} as relative_change from r group by 1")
+TREND = f"with r as (select *, rank() over (partition by key order by y) + (count(*) over (partition by key, y) - 1) / 2 as r from {N}) select key, count(*) as n, {{{{regr_slope(y, i)}}}} as slope, {{{{corr(r, i)}}}} as spearman, {{{{arg_max(y, t) - arg_min(y, t)}}}} as change, {{{{(arg_max(y, t) - arg_min(y, t)) / abs(arg_min(y, t))}}}} as relative_change from r group by 1"
+
+
+@query("series_trend", TREND)
 def _(spark, d):
     return rounded(S.series_trend(daily(spark, d)))
 
@@ -24,7 +27,10 @@ def _(spark, d):
 GAPS = f"with x as (select key, t, t - lag(t) over (partition by key order by t) as gap from ({DAILY})), m as (select key, quantile_cont(gap, 0.5) as sp from x group by 1), g as (select key, any_value(sp) as sp, count(*) as n, count(*) filter (gap > 1.5 * sp) as gaps, max(gap) as largest, max(t) - min(t) as span from x join m using (key) group by 1) "
 
 
-@query("series_gaps", GAPS + "select key, n, {{sp}} as spacing, gaps, largest::bigint as largest, (floor(span / sp) + 1)::bigint as expected from g")
+GAP_ROWS = GAPS + "select key, n, {{sp}} as spacing, gaps, largest::bigint as largest, (floor(span / sp) + 1)::bigint as expected from g"
+
+
+@query("series_gaps", GAP_ROWS)
 def _(spark, d):
     return rounded(S.series_gaps(daily(spark, d)))
 
@@ -34,7 +40,7 @@ def _(spark, d):
     return rounded(S.infer_frequency(daily(spark, d)))
 
 
-@query("seasonal_period", f"select distinct key, 12 as period from ({DAILY})")
+@query("seasonal_period", GAPS + "select key, case when sp <= 1.5 then 7 when sp between 6 and 8 then 52 when sp between 28 and 32 then 12 when sp between 88 and 93 then 4 else 1 end as period from g")
 def _(spark, d):
     return S.seasonal_period(daily(spark, d))
 
@@ -44,7 +50,10 @@ def _(spark, d):
     return rounded(S.autocorrelation(daily(spark, d), 6))
 
 
-@query("series_seasonality", f"with l as (select key, regr_slope(y, i) as a, regr_intercept(y, i) as b from {N} group by 1), x as (select key, i % 12 as pos, y - a * i - b as d from {N} join l using (key)), g as (select key, pos, count(*) as n, avg(d) as m, var_pop(d) as v from x group by 1, 2), h as (select *, sum(n * m) over (partition by key) / sum(n) over (partition by key) as gm from g), a as (select key, sum(n) as n, count(*) as k, sum(n * (m - gm) ** 2) as b, sum(n * v) as w, arg_max(pos, m)::bigint as peak, arg_min(pos, m)::bigint as trough, max(m) - min(m) as amp from h group by 1) select key, {{{{b / (b + w)}}}} as strength, {{{{(b / (k - 1)) / (w / (n - k))}}}} as f, peak, trough, {{{{amp}}}} as amplitude from a")
+SEASONS = f"with l as (select key, regr_slope(y, i) as a, regr_intercept(y, i) as b from {N} group by 1), x as (select key, i % 12 as pos, y - a * i - b as d from {N} join l using (key)), g as (select key, pos, count(*) as n, avg(d) as m, var_pop(d) as v from x group by 1, 2), h as (select *, sum(n * m) over (partition by key) / sum(n) over (partition by key) as gm from g), a as (select key, sum(n) as n, count(*) as k, sum(n * (m - gm) ** 2) as b, sum(n * v) as w, arg_max(pos, m)::bigint as peak, arg_min(pos, m)::bigint as trough, max(m) - min(m) as amp from h group by 1) select key, {{{{b / (b + w)}}}} as strength, {{{{(b / (k - 1)) / (w / (n - k))}}}} as f, peak, trough, {{{{amp}}}} as amplitude from a"
+
+
+@query("series_seasonality", SEASONS)
 def _(spark, d):
     return rounded(S.series_seasonality(daily(spark, d), 12))
 
@@ -54,7 +63,10 @@ def _(spark, d):
     return rounded(S.decompose_series(daily(spark, d), 12))
 
 
-@query("structural_break", f"with c as (select key, t, i, n, sum(y) over b as s1, sum(y * y) over b as q1, sum(y) over (partition by key) as s, sum(y * y) over (partition by key) as q from {N} window b as (partition by key order by t rows between unbounded preceding and 1 preceding)), m as (select *, s1 / i as m1, (s - s1) / (n - i) as m2 from c where i >= 10 and n - i >= 10), h as (select *, abs(m2 - m1) / sqrt((q1 - i * m1 * m1 + q - q1 - (n - i) * m2 * m2) / (n - 2)) as shift from m), r as (select *, row_number() over (partition by key order by shift desc, i) as rn from h) select key, t, i as position, {{{{shift}}}} as shift, {{{{m1}}}} as before, {{{{m2}}}} as after, shift >= 1 as flagged from r where rn = 1")
+BREAKS = f"with c as (select key, t, i, n, sum(y) over b as s1, sum(y * y) over b as q1, sum(y) over (partition by key) as s, sum(y * y) over (partition by key) as q from {N} window b as (partition by key order by t rows between unbounded preceding and 1 preceding)), m as (select *, s1 / i as m1, (s - s1) / (n - i) as m2 from c where i >= 10 and n - i >= 10), h as (select *, abs(m2 - m1) / sqrt((q1 - i * m1 * m1 + q - q1 - (n - i) * m2 * m2) / (n - 2)) as shift from m), r as (select *, row_number() over (partition by key order by shift desc, i) as rn from h) select key, t, i as position, {{{{shift}}}} as shift, {{{{m1}}}} as before, {{{{m2}}}} as after, shift >= 1 as flagged from r where rn = 1"
+
+
+@query("structural_break", BREAKS)
 def _(spark, d):
     return rounded(S.structural_break(daily(spark, d)))
 
@@ -64,7 +76,7 @@ def _(spark, d):
     return rounded(S.series_stationarity(daily(spark, d)))
 
 
-@query("analyse_series")
+@query("analyse_series", f"select * from ({TREND}) join (select * exclude (n) from ({GAP_ROWS})) using (key) join ({SEASONS}) using (key) left join (select key, shift, flagged from ({BREAKS})) using (key)")
 def _(spark, d):
     return rounded(S.analyse_series(daily(spark, d), 12))
 

@@ -297,15 +297,17 @@ class Image:
     __slots__ = ("width", "height", "sampling", "quant", "scans", "comment", "w", "h")
 
 
-def read_headers(data: bytes, at: int, ends: np.ndarray) -> Image:
-    """Walk the segments of the file at data[at:]; ends: places of all markers that can end a scan."""
+def read_headers(data: bytes, at: int, stop: int, ends: np.ndarray) -> Image:
+    """Walk the segments of the file at data[at:stop]; ends: places of all markers that can end a scan."""
     out = Image()
     out.scans, out.comment = [], b""
     quant, tables, interval = {}, {}, 0
-    if data[at : at + 2] != b"\xff\xd8":
+    if stop - at < 4 or data[at : at + 2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     at += 2
     while True:
+        if at + 2 > stop:
+            raise ValueError("the file ends before its end marker")
         marker = data[at + 1]
         if marker == 0xD9:
             return out
@@ -363,7 +365,7 @@ def decode_coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray, np
     for i in range(8):
         wide = (wide << np.uint64(8)) | plain[i : i + len(wide)]
     starts = np.concatenate(([0], np.cumsum([len(f) for f in files])))
-    images = [read_headers(data, int(s), ends) for s in starts[:-1]]
+    images = [read_headers(data, int(s), int(e), ends) for s, e in zip(starts[:-1], starts[1:], strict=True)]
     blocks = np.array([i.w * i.h * sum(a * b for a, b in i.sampling) for i in images])
     base = np.concatenate(([0], np.cumsum(blocks)))
     v = np.zeros((int(base[-1]), 64), dtype=np.int32)

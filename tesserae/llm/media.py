@@ -7,13 +7,14 @@ and the RGB tensor is kept or summed up. Both work on the rows of a task, a slic
 is shuffled.
 
 Defined results: a null text is empty and has a payload of 576 bytes; equal texts give equal files and
-features; a null medium gives nulls; an empty table gives an empty result; other columns are carried
+features; a null medium, or one that is no progressive JPEG, gives nulls; an empty table gives an empty result; other columns are carried
 or ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 from pyspark.sql import DataFrame
@@ -50,6 +51,20 @@ def encode_media(docs: DataFrame, *more: str) -> DataFrame:
     return rows.mapInArrow(run, f"n_bytes long, media binary{fields}")
 
 
+#: What the decoder raises on bytes that are no whole progressive JPEG.
+MALFORMED = (ValueError, IndexError, KeyError, struct.error)
+
+
+def decodes(file: bytes) -> bool:
+    from tesserae.llm import jpeg
+
+    try:
+        jpeg.decode_coefficients([file])
+    except MALFORMED:
+        return False
+    return True
+
+
 READ = "height int, width int, feature string, rgb binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
@@ -67,8 +82,14 @@ def read_media(media: DataFrame, *more: str, rgb: bool = True) -> DataFrame:
         for batch in batches:
             files = batch.column("media").to_pylist()
             for a, b in slices([f or b"" for f in files], STEP_BYTES):
+                readable = [f is not None for f in files[a:b]]
                 here = [f for f in files[a:b] if f is not None]
-                images, v, base = jpeg.decode_coefficients(here) if here else ([], None, None)
+                try:
+                    images, v, base = jpeg.decode_coefficients(here) if here else ([], None, None)
+                except MALFORMED:  # one file or several: find them, and read the others
+                    readable = [f is not None and decodes(f) for f in files[a:b]]
+                    here = [f for f, ok in zip(files[a:b], readable, strict=True) if ok]
+                    images, v, base = jpeg.decode_coefficients(here) if here else ([], None, None)
                 rows = []
                 if here:
                     for f, image, payload, tensor in zip(here, images, jpeg.payloads_of(images, v, base), jpeg.tensors(images, v, base), strict=True):
@@ -77,7 +98,7 @@ def read_media(media: DataFrame, *more: str, rgb: bool = True) -> DataFrame:
                         feature = f"{image.height}x{image.width}:{r},{g},{u}:{zlib.crc32(flat):08x}"
                         rows.append((image.height, image.width, feature, flat if rgb else None, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(f), hashlib.sha256(f).hexdigest()))
                 got = iter(rows)
-                rows = [next(got) if f is not None else (None,) * len(names) for f in files[a:b]]
+                rows = [next(got) if ok else (None,) * len(names) for ok in readable]
                 cols = [pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), READ.split(", "), strict=True)]
                 own = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*cols, *[own.column(c) for c in more]], names=[*names, *more])

@@ -137,3 +137,13 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert not {i for i in got["doc_id"] if i < 200 and i % 4 == 0}  # toxic ones are gone
     assert not {300, 301, 302} & {*got["doc_id"]}  # copies too
     assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_media_that_cannot_be_read_give_nulls(spark):
+    from tesserae.llm import jpeg
+
+    good = jpeg.encode([media.payload_of(b"hello")])[0]
+    table = spark.createDataFrame([(1, good), (2, b"no jpeg"), (3, None), (4, good[:-40]), (5, b""), (6, good)], "k int, media binary")
+    got = {r["k"]: r for r in media.read_media(table, "k").collect()}
+    assert got[1]["payload_sha256"] == got[6]["payload_sha256"] and got[1]["rgb"] is not None and len(got[1]["rgb"]) == 3 * got[1]["height"] * got[1]["width"]
+    assert all(got[i]["payload_sha256"] is None and got[i]["rgb"] is None for i in (2, 3, 4, 5))

@@ -32,3 +32,22 @@ def test_stream_emits_every_session(spark, folder):
     t = spark.read.parquet(f"{folder}/events.parquet")
     want = t.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
     assert counts(registry.queries()["stream_sessions"](spark, folder), "user_id", "start", "end") == counts(want, "user_id", "start", "end")
+
+
+def test_zscore_leaves_missing_values_out(spark, tmp_path):
+    from tesserae.streaming import jobs
+
+    rows = [(i, i, i % 3, None if i % 7 == 0 else float("nan") if i % 11 == 0 else float((i * 37) % 23)) for i in range(300)]
+    t = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("s") + 1704067200))
+    t.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = jobs.stream_zscore(jobs.replay(spark, f"{tmp_path}/in", t.schema), "user_id", "value")
+    jobs.drain(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {(r["key"], r["ts"]): r["z"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    pdf = t.toPandas().dropna()
+    assert len(got) == len(pdf)
+    for key, own in pdf.groupby("user_id"):
+        x = own.sort_values("ts")
+        for k, (when, v) in enumerate(zip(x["ts"], x["value"], strict=True)):
+            past = x["value"].to_numpy()[:k]
+            want = (v - past.mean()) / past.std() if k > 1 and past.std() > 0 else 0.0
+            assert abs(got[key, when.to_pydatetime()] - want) < 1e-9

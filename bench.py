@@ -9,7 +9,7 @@ import time
 from tesserae.plans import registry
 from tesserae.session import local_session
 
-QUERIES = ["describe_numeric", "profile_columns", "correlation_pairs", "describe_categorical", "vif", "kruskal_wallis", "anova", "test_battery", "standard_scale", "target_encode", "regression_metrics", "roc_auc", "subgroup_errors", "drift_report", "structural_break", "forecast_ses", "association_itemsets", "fit_linear_regression", "fit_kmeans", "anomaly_iqr"]
+QUERIES = ["describe_numeric", "profile_columns", "correlation_pairs", "describe_categorical", "vif", "kruskal_wallis", "anova", "test_battery", "standard_scale", "target_encode", "regression_metrics", "roc_auc", "subgroup_errors", "drift_report", "structural_break", "forecast_ses", "association_itemsets", "fit_linear_regression", "fit_kmeans", "anomaly_iqr", "sensitivity_run"]
 
 
 def main() -> None:

@@ -63,11 +63,26 @@ register_model("random_forest_regression", _ml(lambda **o: R.RandomForestRegress
 register_model("gbt_regression", _ml(lambda **o: R.GBTRegressor(seed=1, **o)))
 register_model("decision_tree", _ml(lambda **o: C.DecisionTreeClassifier(seed=1, **o)))
 register_model("random_forest", _ml(lambda **o: C.RandomForestClassifier(seed=1, **o)))
-register_model("gbt", _ml(lambda **o: C.GBTClassifier(seed=1, **o)))
 register_model("logistic", _ml(lambda **o: C.LogisticRegression(**o)))
 register_model("naive_bayes", _ml(lambda kind="gaussian", **o: C.NaiveBayes(modelType=kind, **o)))
-register_model("linear_svc", _ml(lambda **o: C.LinearSVC(**o)))
 register_model("mlp_classifier", _ml(lambda layers=None, **o: C.MultilayerPerceptronClassifier(layers=layers, seed=1, **o)))
+
+
+def _one_vs_rest(make: Callable) -> Callable:
+    """A binary classifier of MLlib; with more classes, numbered from 0, one fit for each against the rest."""
+
+    def run(df, features, target, **options):
+        est = make(**options)
+        if df.where(F.col(target).isNotNull()).select(target).distinct().limit(3).count() > 2:
+            est = C.OneVsRest(classifier=est)
+        model = est.setLabelCol(target).setFeaturesCol("features").fit(vectors(df, features))
+        return lambda x: model.transform(vectors(x, features)).drop("features", "rawPrediction")
+
+    return run
+
+
+register_model("gbt", _one_vs_rest(lambda **o: C.GBTClassifier(seed=1, **o)))
+register_model("linear_svc", _one_vs_rest(lambda **o: C.LinearSVC(**o)))
 register_model("kmeans", _ml(lambda k=3, **o: K.KMeans(k=k, seed=1, **o), label=False))
 register_model("bisecting", _ml(lambda k=3, **o: K.BisectingKMeans(k=k, seed=1, **o), label=False))
 register_model("gmm", _ml(lambda k=3, **o: K.GaussianMixture(k=k, seed=1, **o), label=False))
@@ -429,17 +444,55 @@ for _n, _fit in (("gram_ridge", fit_gram_ridge), ("ridge", lambda df, features,
 # ---------------------------------------------------------------- mixtures, projections, anomalies
 
 
-def latent_class(df: DataFrame, items: list[str], k: int = 2, rounds: int = 60, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Bernoulli mixture by EM over distinct answer patterns with counts (at most 2**items rows)."""
-    pat = df.select(*[F.col(c).cast("int").alias(c) for c in items]).dropna().groupBy(*items).agg(F.count(F.lit(1)).alias("n"))
+def median_items(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Numbers as items for latent_class: 1 above the median, 0 up to it."""
+    q = quantiles(df, cols, [0.5])
+    return df.withColumns({c: (clean(c) > F.lit(q[c][0] if q[c] else None)).cast("int") for c in cols})
+
+
+def _patterns(df: DataFrame, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(items) > 16:
         raise ValueError("at most 16 items")
-    rows = np.array([[*r] for r in pat.orderBy(*items).collect()], dtype=float)
-    x, n = rows[:, :-1], rows[:, -1]
+    pat = df.select(*[F.col(c).cast("int").alias(c) for c in items]).dropna().groupBy(*items).agg(F.count(F.lit(1)).alias("n"))
+    rows = np.array([[*r] for r in pat.orderBy(*items).collect()], dtype=float)  # at most 2**items rows
+    return rows[:, :-1], rows[:, -1]
+
+
+def latent_class(df: DataFrame, items: list[str], k: int = 2, rounds: int = 60, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and item rates of a Bernoulli mixture, by EM over distinct answer patterns with counts."""
+    return _latent_class(*_patterns(df, items), k, rounds, seed)[1:]
+
+
+def latent_class_sweep(df: DataFrame, items: list[str], most: int = 4) -> DataFrame:
+    """(k, log_likelihood, parameters, aic, bic, chosen) for 1 to most classes; the least BIC is chosen."""
+    x, n = _patterns(df, items)
+    rows = []
+    for k in range(1, most + 1):
+        like, free = _latent_class(x, n, k)[0], k - 1 + k * len(items)
+        rows.append((k, like, free, 2 * free - 2 * like, float(np.log(n.sum()) * free - 2 * like)))
+    best = min(rows, key=lambda r: r[4])[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, log_likelihood double, parameters int, aic double, bic double, chosen boolean")
+
+
+def latent_class_members(df: DataFrame, items: list[str], prior: np.ndarray, rate: np.ndarray) -> DataFrame:
+    """df with membership (a probability for each class) and class; null where an item is missing."""
+    logs = []
+    for p, r in zip(prior.tolist(), rate.tolist(), strict=True):
+        logs.append(sum((F.when(F.col(c).cast("int") == 1, math.log(a)).when(F.col(c).cast("int") == 0, math.log(1 - a)) for c, a in zip(items, r, strict=True)), F.lit(math.log(max(p, 1e-300)))))
+    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
+    share = [F.exp(v - top) for v in logs]
+    total = sum(share, F.lit(0.0))
+    there = sum((F.col(c).isNull().cast("int") for c in items), F.lit(0)) == 0
+    member = F.when(there, F.array(*[s / total for s in share]))
+    return df.withColumn("membership", member).withColumn("class", (F.array_position("membership", F.array_max("membership")) - 1).cast("int"))
+
+
+def _latent_class(x: np.ndarray, n: np.ndarray, k: int, rounds: int = 60, seed: int = 1) -> tuple[float, np.ndarray, np.ndarray]:
+    items = x.shape[1]
     rng = np.random.default_rng(seed)
     best = None
     for _ in range(5):
-        prior, rate = np.full(k, 1 / k), rng.uniform(0.25, 0.75, (k, len(items)))
+        prior, rate = np.full(k, 1 / k), rng.uniform(0.25, 0.75, (k, items))
         for _ in range(rounds):
             logp = np.log(prior) + x @ np.log(rate).T + (1 - x) @ np.log(1 - rate).T
             top = logp.max(axis=1, keepdims=True)
@@ -451,7 +504,40 @@ def latent_class(df: DataFrame, items: list[str], k: int = 2, rounds: int = 60,
         if best is None or like > best[0]:
             order = np.argsort(-prior)
             best = (like, prior[order], rate[order])
-    return best[1], best[2]
+    return best
+
+
+def fuzzy_members(df: DataFrame, features: list[str], centres: np.ndarray, m: float = 2.0) -> DataFrame:
+    """df with membership (a share for each centre, summing to 1) and cluster, for centres of fuzzy_cmeans."""
+    d = [sum(((clean(c) - float(v)) ** 2 for c, v in zip(features, row, strict=True)), F.lit(1e-12)) for row in centres]
+    inv = [F.pow(v, F.lit(-1 / (m - 1))) for v in d]
+    total = sum(inv, F.lit(0.0))
+    got = df.withColumn("membership", F.array(*[v / total for v in inv]))
+    return got.withColumn("cluster", (F.array_position("membership", F.array_max("membership")) - 1).cast("int"))
+
+
+def partition_coefficient(members: DataFrame) -> DataFrame:
+    """Mean of the squared memberships: 1 where every row belongs to one cluster, 1 / k where none does."""
+    return members.agg(F.avg(F.aggregate("membership", F.lit(0.0), lambda a, v: a + v * v)).alias("partition_coefficient"))
+
+
+def gmm_sweep(df: DataFrame, features: list[str], most: int = 4) -> DataFrame:
+    """(k, log_likelihood, bic, chosen) of Gaussian mixtures with 1 to most components; one is a plain normal, in closed form."""
+    x, p = vectors(df, features).select("features").persist(), len(features)
+    rows = []
+    try:
+        n, _, s = gram(df, features)
+        for k in range(1, most + 1):
+            if k == 1:
+                like = float(-n / 2 * (p * math.log(2 * math.pi) + np.linalg.slogdet(s / n)[1] + p))
+            else:
+                like = float(K.GaussianMixture(k=k, seed=1).fit(x).summary.logLikelihood)
+            free = k - 1 + k * p + k * p * (p + 1) // 2
+            rows.append((k, like, math.log(n) * free - 2 * like))
+    finally:
+        x.unpersist()
+    best = min(rows, key=lambda r: r[2])[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, log_likelihood double, bic double, chosen boolean")
 
 
 def fuzzy_cmeans(df: DataFrame, features: list[str], k: int = 3, m: float = 2.0, rounds: int = 15) -> np.ndarray:

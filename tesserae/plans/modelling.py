@@ -244,3 +244,40 @@ def _(spark, d):
 def _(spark, d):
     got = M.cross_validate(items(spark, d), "ridge", X, Y, KEY, 3, time="l_shipdate")
     return got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("actual") - F.col("prediction")) ** 2)).alias("rmse"))
+
+
+def answers(spark, d):
+    return M.median_items(items(spark, d), ["l_quantity", "l_extendedprice"])
+
+
+ITEMS = ["l_quantity", "l_extendedprice", "label"]
+
+
+@query("latent_class_sweep")
+def _(spark, d):
+    return M.latent_class_sweep(answers(spark, d), ITEMS)
+
+
+@query("latent_class_members")
+def _(spark, d):
+    x = answers(spark, d)
+    got = M.latent_class_members(x, ITEMS, *M.latent_class(x, ITEMS))
+    return got.select(*KEY, "class", F.array_max("membership").alias("share"))
+
+
+@query("fuzzy_members")
+def _(spark, d):
+    x = items(spark, d)
+    got = M.fuzzy_members(x, X2, M.fuzzy_cmeans(x, X2))
+    return got.select(*KEY, "cluster", F.array_max("membership").alias("share"))
+
+
+@query("gmm_sweep")
+def _(spark, d):
+    return M.gmm_sweep(items(spark, d), X2)
+
+
+@query("fit_gbt_classes")
+def _(spark, d):
+    x = items(spark, d).withColumn("flag", (F.ascii("l_returnflag") % 3).cast("double"))
+    return M.fit("gbt", x, X, "flag", maxIter=5)(x).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))

@@ -95,3 +95,30 @@ def test_types_of_texts(spark):
     assert got == {"n": "identifier", "day": "datetime", "paid": "numeric_continuous", "level": "categorical_ordinal", "mark": "categorical_ordinal", "code": "identifier", "note": "text"}
     types = dict(profile.typed(df, profile.infer_semantic_types(df)).dtypes)
     assert types["day"] == "timestamp" and types["paid"] == "double"
+
+
+def test_latent_classes_and_fuzzy_members(spark):
+    rng = np.random.default_rng(6)
+    z = rng.random(3000) < 0.4
+    rate = np.array([[0.9, 0.8, 0.9, 0.1], [0.1, 0.2, 0.2, 0.8]])
+    x = (rng.random((3000, 4)) < rate[z.astype(int)]).astype(int)
+    df = spark.createDataFrame([(i, bool(b), *map(int, r)) for i, (b, r) in enumerate(zip(z, x, strict=True))], "id long, z boolean, a int, b int, c int, d int")
+    items = ["a", "b", "c", "d"]
+    sweep = {r["k"]: r for r in models.latent_class_sweep(df, items, 3).collect()}
+    assert sweep[2]["chosen"] and sweep[2]["bic"] < min(sweep[1]["bic"], sweep[3]["bic"])
+    prior, rates = models.latent_class(df, items)
+    assert np.abs(prior - [0.6, 0.4]).max() < 0.05 and np.abs(rates - rate).max() < 0.1
+    got = models.latent_class_members(df, items, prior, rates).toPandas()
+    assert np.allclose([sum(m) for m in got["membership"]], 1) and ((got["class"] == 1) == got["z"]).mean() > 0.85
+    pts = spark.createDataFrame([(float(v), float(v * 2)) for v in np.concatenate((rng.normal(0, 0.2, 200), rng.normal(9, 0.2, 200)))], "p double, q double")
+    members = models.fuzzy_members(pts, ["p", "q"], models.fuzzy_cmeans(pts, ["p", "q"], 2))
+    assert models.partition_coefficient(members).first()[0] > 0.98 and {r["count"] for r in members.groupBy("cluster").count().collect()} == {200}
+
+
+def test_three_classes_one_against_the_rest(spark):
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(float(a + 6 * (k == 1)), float(b + 6 * (k == 2)), float(k)) for k, a, b in zip(y, rng.normal(size=300), rng.normal(size=300), strict=True)], "a double, b double, y double")
+    for name in ("gbt", "linear_svc"):
+        got = models.fit(name, df, ["a", "b"], "y", maxIter=5)(df)
+        assert got.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] > 0.9

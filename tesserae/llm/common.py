@@ -113,6 +113,20 @@ def column_bytes(column) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def byte_slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of an Arrow string column that hold about limit bytes each, with their values; only one range is copied at a time."""
+    import pyarrow.compute as pc
+
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    begin = held_bytes = 0
+    for i, n in enumerate([*size.tolist(), limit + 1]):
+        if i == len(size) or held_bytes and held_bytes + n > limit:
+            if i > begin:
+                yield begin, i, column_bytes(column.slice(begin, i - begin))
+            begin, held_bytes = i, 0
+        held_bytes += n
+
+
 # ---------------------------------------------------------------- hashing of sequences
 
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_bytes, documents, materialize, slices
+from tesserae.llm.common import byte_slices, documents, materialize
 from tesserae.llm.tokens import STEP_BYTES, encoder_of
 
 CAPACITY, END_ID = 2048, 0
@@ -78,9 +78,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
         encoder, step = encoder_of(tokenizer, END_ID), 4 * capacity
         for batch in batches:
-            texts, own = column_bytes(batch.column("text")), batch.column("doc_id")
-            for a, b in slices(texts, STEP_BYTES):
-                ids, ends = encoder.encode(texts[a:b])
+            own = batch.column("doc_id")
+            for a, b, texts in byte_slices(batch.column("text"), STEP_BYTES):
+                ids, ends = encoder.encode(texts)
                 begins = np.concatenate(([0], ends[:-1]))
                 n = -(-(ends - begins) // capacity)
                 piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

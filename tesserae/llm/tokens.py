@@ -19,7 +19,7 @@ import numpy as np
 from tesserae.llm.common import held
 
 #: Pieces that a Python worker keeps for its further slices, and the longest piece kept; others are encoded for each slice anew.
-KEPT_PIECES, KEPT_BYTES = 200_000, 64
+KEPT_PIECES, KEPT_BYTES = 150_000, 64
 #: Texts are encoded in steps of about so many bytes.
 STEP_BYTES = 3_000_000
 #: Pieces that one call of the library encodes as one text.

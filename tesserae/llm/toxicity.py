@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_bytes, documents, materialize, release, slices
+from tesserae.llm.common import byte_slices, column_bytes, documents, materialize, release
 
 #: Labelled rows that a fit reads at most, and bits of a feature's number.
 TRAIN_ROWS, BITS = 12_000, 22
@@ -184,8 +184,7 @@ def score(docs: DataFrame, model, *more: str) -> DataFrame:
         table[np.array(features, dtype=np.int64)] = weights
         flags = table != 0
         for batch in batches:
-            texts = column_bytes(batch.column("_text"))
-            s = [scores_of(texts[a:b], table, flags, bias) for a, b in slices(texts, STEP_BYTES)]
+            s = [scores_of(texts, table, flags, bias) for _, _, texts in byte_slices(batch.column("_text"), STEP_BYTES)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s) if s else np.zeros(0))] + [batch.column(c) for c in more], names=["score", *more])
 
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), *more)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_bytes, documents, keyed, materialize, scan_partitions, slices
+from tesserae.llm.common import byte_slices, documents, keyed, materialize, scan_partitions
 from tesserae.llm.tokens import STEP_BYTES, encoder_of
 
 END_ID = 0
@@ -214,9 +214,9 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
             return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "n_tokens", "doc_ids", "file"])
 
         for batch in batches:
-            texts, doc_id = column_bytes(batch.column("text")), batch.column("doc_id")
-            for a, b in slices(texts, STEP_BYTES):
-                got, ends = encoder.encode(texts[a:b])
+            doc_id = batch.column("doc_id")
+            for a, b, texts in byte_slices(batch.column("text"), STEP_BYTES):
+                got, ends = encoder.encode(texts)
                 length, done, base = np.diff(ends, prepend=0), 0, 0
                 while done < b - a:  # the documents up to the one that fills the shard
                     upto = min(int(np.searchsorted(ends[done:] - base, shard_tokens - size)) + done + 1, b - a)

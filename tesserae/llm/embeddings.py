@@ -46,7 +46,10 @@ LEAF = 16
 
 
 def unit_of(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component becomes one first, since squares of very small or large ones would vanish or overflow."""
     x = x.astype(np.float64)
+    if x.size:
+        x /= np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 

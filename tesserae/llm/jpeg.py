@@ -581,7 +581,8 @@ def tensors(images: list[Image], v: np.ndarray, base: np.ndarray):
         yield np.clip(rgb, 0, 255).astype(np.uint8)
 
 
-def payloads_of(images: list[Image], v: np.ndarray, base: np.ndarray) -> list[bytes]:
-    """The bytes that encode() stored."""
-    out = (v + 128).astype(np.uint8)
-    return [out[a : a + struct.unpack(">Q", i.comment)[0] // 64].tobytes() for i, a in zip(images, base.tolist())]
+def payloads_of(images: list[Image], v: np.ndarray, base: np.ndarray) -> list[bytes | None]:
+    """The bytes that encode() stored; None for a file without its comment."""
+    sizes = [struct.unpack(">Q", i.comment)[0] if len(i.comment) == 8 else -1 for i in images]
+    whole = zip(sizes, base[:-1].tolist(), base[1:].tolist(), strict=True)
+    return [(v[a : a + n // 64] + 128).astype(np.uint8).tobytes() if n >= 0 and n % 64 == 0 and a + n // 64 <= b else None for n, a, b in whole]

@@ -70,7 +70,8 @@ READ = "height int, width int, feature string, rgb binary, payload_bytes long, p
 
 def read_media(media: DataFrame, *more: str, rgb: bool = True) -> DataFrame:
     """What is read from the column media: size, feature (size, sums of the three colours, checksum of
-    the tensor), the RGB tensor itself (row by row; null unless rgb), digests of payload and file."""
+    the tensor), the RGB tensor itself (row by row; null unless rgb), digests of payload (null for a
+    file that another encoder wrote) and file."""
 
     def run(batches):
         import pyarrow as pa
@@ -96,7 +97,8 @@ def read_media(media: DataFrame, *more: str, rgb: bool = True) -> DataFrame:
                         flat = tensor.tobytes()
                         r, g, u = tensor.reshape(-1, 3).sum(axis=0).tolist()
                         feature = f"{image.height}x{image.width}:{r},{g},{u}:{zlib.crc32(flat):08x}"
-                        rows.append((image.height, image.width, feature, flat if rgb else None, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(f), hashlib.sha256(f).hexdigest()))
+                        own = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]))
+                        rows.append((image.height, image.width, feature, flat if rgb else None, *own, len(f), hashlib.sha256(f).hexdigest()))
                 got = iter(rows)
                 rows = [next(got) if ok else (None,) * len(names) for ok in readable]
                 cols = [pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows, strict=True), READ.split(", "), strict=True)]

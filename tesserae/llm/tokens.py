@@ -43,6 +43,15 @@ def encoder_of(path: str, end_id: int) -> PieceEncoder:
     return held((path, end_id), lambda: PieceEncoder(path, end_id))
 
 
+def valid(text: bytes) -> bytes:
+    """text with U+FFFD in place of what is not UTF-8, as in every operator that takes characters."""
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return text.decode(errors="replace").encode()
+    return text
+
+
 def boundaries(data: np.ndarray) -> np.ndarray:
     """For each place in UTF-8 text (and its end), whether it can be cut there."""
     kind = _KIND[data]
@@ -122,6 +131,7 @@ class PieceEncoder:
 
         if not texts:
             return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        texts = [valid(t) for t in texts]
         joined = b"".join(texts)
         at = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) for t in texts], out=at[1:])

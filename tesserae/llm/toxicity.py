@@ -118,7 +118,7 @@ def gain(n1: int, n0: int):
     return 2 * (part(p, p + q, n1) + part(q, p + q, n0) + part(n1 - p, n - p - q, n1) + part(n0 - q, n - p - q, n0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[int], list[float], float]:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, least_gain: float | None = LEAST_GAIN) -> tuple[list[int], list[float], float]:
     """The model: features, their weights, and the intercept."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
@@ -133,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     counts = materialize(gram_counts(rows))
     p1, q1 = counts.agg(F.sum(F.col("pos") + 1), F.sum(F.col("neg") + 1)).first()
     ratio = F.log((F.col("pos") + 1) / F.lit(p1)) - F.log((F.col("neg") + 1) / F.lit(q1))
-    kept = counts.where(gain(n1, n - n1) >= LEAST_GAIN).select("f", ratio.alias("r")).orderBy("f").collect()  # at most 2**BITS rows
+    if least_gain is not None:
+        counts = counts.where(gain(n1, n - n1) >= least_gain)
+    kept = counts.select("f", ratio.alias("r")).orderBy("f").collect()  # at most 2**BITS rows
     if not kept:
         return constant
     f, r = [k.f for k in kept], [k.r for k in kept]

@@ -7,11 +7,12 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | None = None, app: str = "tesserae") -> SparkSession:
-    """A local session with the settings the library is written for (AQE on, UTC)."""
+def local_session(cpus: int | None = None, app: str = "tesserae", shared: str | None = None) -> SparkSession:
+    """A local session with the settings the library is written for (AQE on, UTC). shared: the folder for written tables."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{n}]")
+        builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")

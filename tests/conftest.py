@@ -10,8 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from tesserae.session import local_session
 
-    s = local_session(4, "tests")
+    s = local_session(4, "tests", f"file://{tmp_path_factory.mktemp('shared')}")
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     yield s
     s.stop()

@@ -147,3 +147,47 @@ def test_media_that_cannot_be_read_give_nulls(spark):
     got = {r["k"]: r for r in media.read_media(table, "k").collect()}
     assert got[1]["payload_sha256"] == got[6]["payload_sha256"] and got[1]["rgb"] is not None and len(got[1]["rgb"]) == 3 * got[1]["height"] * got[1]["width"]
     assert all(got[i]["payload_sha256"] is None and got[i]["rgb"] is None for i in (2, 3, 4, 5))
+
+
+def test_long_words_that_powers_confuse(spark):
+    """Words in Thue-Morse order and their complements: alike to sums of powers modulo 2**64, but not to op3."""
+    from tesserae.llm.common import word_bounds, word_hashes
+    from tesserae.llm.phrases import dedup_phrases
+
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:30] + [one] + words[30:])), (2, " ".join(words[:30] + [two] + words[30:]))]
+    assert [r.n_removed for r in dedup_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0, 0]
+    texts = [f"{one} {two} a aa b\0 b abcdefgh abcdefghi abcdefgh\0".encode()]
+    assert len(set(word_hashes(*word_bounds(texts)[:3]).tolist())) == 9
+
+
+def test_links_of_tiny_and_huge_vectors(spark):
+    from tesserae.llm.embeddings import near_duplicates
+
+    rows = [(i, [1.0, 1e-3 * i, 0.5]) for i in range(40)] + [(50, [1e-200, 0.0, 0.0]), (51, [1e200, 1e-200, 5e199]), (52, [1e-310, 0.0, 5e-311])]
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = [np.array(v) / np.abs(v).max() for _, v in rows]
+    unit = np.array([u / np.linalg.norm(u) for u in unit])
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert [got[i].n_links for i, _ in rows] == links.tolist()
+    assert {got[i].component_id for i, _ in rows if i != 50} == {0} and got[50].component_id == 50
+
+
+def test_files_of_other_encoders_and_text_that_is_not_utf8(spark):
+    from pyspark.sql import functions as F
+
+    from tesserae.llm import media, packing, tokens
+
+    made = media.encode_media(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), "doc_id").first().media
+    at = made.index(b"\xff\xfe")
+    foreign = bytes(made[:at]) + bytes(made[at + 2 + int.from_bytes(made[at + 2 : at + 4], "big") :])
+    got = media.read_media(spark.createDataFrame([(bytearray(foreign),)], "media binary")).first()
+    assert got.height and got.rgb and got.payload_bytes is None and got.payload_sha256 is None
+    raw = spark.createDataFrame([(1, bytearray(b"ab \xff\xfe cd \xe2\x82 ef \xc3 31")), (2, bytearray(b"plain"))], "doc_id long, text binary")
+    docs = raw.select("doc_id", F.expr("cast(text as string)").alias("text"))
+    encoder = tokens.PieceEncoder(packing.word_tokenizer(), 0)
+    rows = {r.doc_id: r.length for r in packing.pack_documents(docs, packing.word_tokenizer()).collect()}
+    for i, b in ((1, b"ab \xff\xfe cd \xe2\x82 ef \xc3 31"), (2, b"plain")):
+        assert rows[i] == len(encoder.tokenizer.encode(b.decode(errors="replace"), add_special_tokens=False).ids) + 1

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import special
 from tesserae.functions.scalar import clean
 from tesserae.operators.kernels import gram, quantiles
+from tesserae.operators.neighbours import mean_of, mode_of, with_nearest
 
 MODELS: dict[str, Callable] = {}
 
@@ -420,19 +421,12 @@ def fit_stacking(names: list[str]):
     return run
 
 
-def fit_knn(df, features, target, k=5):
-    """Mean of the k nearest training rows by hashed projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    train = vectors(df, features)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="_h", bucketLength=4.0, numHashTables=4, seed=1).fit(train)
+def fit_knn(df, features, target, k=5, classes=False):
+    """Mean (classes: most frequent value) of the k nearest training rows; ties in distance go to the lesser target."""
 
     def predict(x):
-        y = vectors(x, features).withColumn("_id", F.monotonically_increasing_id())
-        near = lsh.approxSimilarityJoin(y.select("_id", "features"), train.select("features", target), float("inf"), "_d")
-        w = Window.partitionBy("_i").orderBy("_d", "_y")
-        best = near.select(F.col("datasetA._id").alias("_i"), F.col(f"datasetB.{target}").alias("_y"), "_d").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-        return y.join(best.groupBy("_i").agg(F.avg("_y").alias("prediction")), F.col("_id") == F.col("_i"), "left").drop("_id", "_i", "features")
+        got = with_nearest(x, df, features, target, k)
+        return got.withColumn("prediction", (mode_of if classes else mean_of)(F.col("near"))).drop("near")
 
     return predict
 

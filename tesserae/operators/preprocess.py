@@ -19,6 +19,7 @@ from tesserae.functions.scalar import clean
 from tesserae.functions.special import normal_quantile
 from tesserae.operators import rows as R
 from tesserae.operators.kernels import gram, group_quantiles, long_form, quantiles, safe_corr, value_counts
+from tesserae.operators.neighbours import mean_of, with_nearest
 
 STEPS: dict[str, tuple[Callable, Callable]] = {}
 
@@ -197,19 +198,11 @@ def _():
         return {"k": k}
 
     def transform(df, cols, p, observed=None, k=5):
-        """Gaps of one column take the mean of the k rows nearest in the observed columns, found by hashed projections."""
-        from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-        from pyspark.sql import Window
-
-        col = cols[0]
-        x = VectorAssembler(inputCols=observed, outputCol="_v").transform(df.withColumn("_id", F.monotonically_increasing_id()))
-        lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=2.0, numHashTables=3, seed=1).fit(x)
-        near = lsh.approxSimilarityJoin(x.where(F.col(col).isNull()).select("_id", "_v"), x.where(F.col(col).isNotNull()).select("_id", "_v", col), float("inf"), "_d")
-        w = Window.partitionBy("_g").orderBy("_d", "_k")
-        best = near.select(F.col("datasetA._id").alias("_g"), F.col("datasetB._id").alias("_k"), F.col(f"datasetB.{col}").alias("_x"), "_d").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-        mean = best.groupBy("_g").agg(F.avg("_x").alias("_m"))
-        got = x.join(mean, x["_id"] == mean["_g"], "left")
-        return got.withColumn(col, F.coalesce(F.col(col), F.col("_m"))).select(*df.columns)
+        """Gaps of each column take the mean of the k rows nearest in the observed columns that have it; rows with a gap there stay."""
+        for c in cols:
+            got = with_nearest(df.where(clean(c).isNull()), df.where(clean(c).isNotNull()), observed, c, p["k"])
+            df = df.where(clean(c).isNotNull()).unionByName(got.withColumn(c, F.coalesce(mean_of(F.col("near")), clean(c)).cast(df.schema[c].dataType)).drop("near"))
+        return df
 
     return fit, transform
 

@@ -107,10 +107,25 @@ def _(spark, d):
     return summary(M.fit_average(["ridge", "decision_tree_regression"])(x, X, Y)(x))
 
 
-@query("fit_knn")
+def knn_sql(target, answer, name="prediction", reference="true", asked="true"):
+    """The k = 5 nearest in quantity and discount: different vectors against the five least values of each, ties to the lesser."""
+    return f"""with r as (select l_quantity as q, l_discount as s, {target} as y from lineitem where {reference} qualify row_number() over (partition by l_quantity, l_discount order by {target}) <= 5),
+c as (select distinct l_quantity as q, l_discount as s from lineitem where {asked}),
+n as (select c.q, c.s, r.y, (c.q - r.q) * (c.q - r.q) + (c.s - r.s) * (c.s - r.s) as d from c cross join r qualify row_number() over (partition by c.q, c.s order by d, r.y) <= 5),
+m as (select q, s, {answer} as answer from n group by 1, 2)
+select {K}, answer as {name} from lineitem join m on q = l_quantity and s = l_discount where {asked}"""
+
+
+@query("fit_knn", knn_sql(Y, "{{avg(y)}}"))
 def _(spark, d):
-    x = table(spark, d, "supplier").withColumn("k", F.col("s_suppkey").cast("double"))
-    return summary(M.fit("knn", x, ["k"], "s_acctbal", k=3)(x), "s_acctbal")
+    x = items(spark, d)
+    return rounded(M.fit("knn", x, X2, Y)(x).select(*KEY, "prediction"))
+
+
+@query("fit_knn_classes", f"with a as ({knn_sql('l_linenumber', 'list(y)')}) select {K}, (select v from (select v, count(*) as m from (select unnest(prediction) as v) group by 1) order by m desc, v limit 1)::double as prediction from a")
+def _(spark, d):
+    x = items(spark, d)
+    return M.fit("knn", x, X2, "l_linenumber", classes=True)(x).select(*KEY, "prediction")
 
 
 @query("baseline_dummy", f"select {K}, {{{{(select avg({Y}) from lineitem)}}}} as prediction from lineitem")

@@ -64,10 +64,15 @@ def _(spark, d):
     return P.fit_transform("impute_forward_fill", df, ["l_quantity"], key="l_orderkey", t="_o").select(*KEY, "l_quantity")
 
 
-@query("impute_knn")
+@query("impute_knn", f"""with g as (select * exclude (l_extendedprice), case when l_suppkey % 7 <> 0 then l_extendedprice end as x from lineitem),
+r as (select l_quantity as q, l_discount as s, x as y from g where x is not null qualify row_number() over (partition by l_quantity, l_discount order by x) <= 5),
+c as (select distinct l_quantity as q, l_discount as s from g where x is null),
+n as (select c.q, c.s, r.y, (c.q - r.q) * (c.q - r.q) + (c.s - r.s) * (c.s - r.s) as d from c cross join r qualify row_number() over (partition by c.q, c.s order by d, r.y) <= 5),
+m as (select q, s, avg(y) as answer from n group by 1, 2)
+select {K}, {{{{coalesce(x, answer)}}}} as x from g left join m on q = l_quantity and s = l_discount""")
 def _(spark, d):
-    o = table(spark, d, "supplier").withColumn("x", F.when(F.col("s_suppkey") % 10 != 0, F.col("s_acctbal"))).withColumn("k", F.col("s_suppkey").cast("double"))
-    return P.fit_transform("impute_knn", o.select("s_suppkey", "k", "x"), ["x"], observed=["k"], k=3)
+    g = table(spark, d, "lineitem").withColumn("x", F.when(F.col("l_suppkey") % 7 != 0, F.col("l_extendedprice")))
+    return rounded(P.fit_transform("impute_knn", g, ["x"], observed=["l_quantity", "l_discount"], k=5).select(*KEY, "x"))
 
 
 FR = "select '{0}' as variable, {{{{corr({0}, l_extendedprice) ** 2 / (1 - corr({0}, l_extendedprice) ** 2) * (count(*) - 2)}}}} as score from lineitem"

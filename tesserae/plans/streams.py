@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.operators import models, scoring
 from tesserae.plans.describing import rounded
 from tesserae.plans.registry import query
-from tesserae.plans.tables import _scratch
+from tesserae.sources.written import new_folder
 from tesserae.session import table
 from tesserae.streaming import jobs as J
 
@@ -17,7 +17,7 @@ def events(spark, d, close=False):
 
     close: a last event long after the others, so that the watermark passes every window of theirs; its own stays open.
     """
-    path = _scratch(spark)
+    path = new_folder(spark)
     t = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     part, last = F.lit(0), None
     if cut := t.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0]:
@@ -31,8 +31,8 @@ def events(spark, d, close=False):
 
 
 def drained(spark, stream):
-    path = _scratch(spark)
-    J.drain(stream, path, _scratch(spark))
+    path = new_folder(spark)
+    J.drain(stream, path, new_folder(spark))
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -84,8 +84,8 @@ def _(spark, d):
 def _(spark, d):
     t = table(spark, d, "events").select("event_id", "event_type", "value")
     contract = scoring.build_contract(t.where("event_type <> 'purchase'"))
-    good, bad = _scratch(spark), _scratch(spark)
-    J.stream_contract(events(spark, d).select("event_id", "event_type", "value"), contract, good, bad, _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    good, bad = new_folder(spark), new_folder(spark)
+    J.stream_contract(events(spark, d).select("event_id", "event_type", "value"), contract, good, bad, new_folder(spark)).trigger(availableNow=True).start().awaitTermination()
     parts = [spark.read.parquet(p).select(F.lit(k).alias("kept")) for p, k in ((good, True), (bad, False))]
     return parts[0].unionAll(parts[1]).groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
 

@@ -10,6 +10,7 @@ from tesserae.plans.describing import rounded
 from tesserae.plans.registry import query
 from tesserae.session import table
 from tesserae.sources import readers as S
+from tesserae.sources.written import new_folder
 
 GAP = "case when (l_orderkey * 7 + l_linenumber * 3) % 10 = 0 then null else l_quantity end"
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -40,39 +41,25 @@ def _(spark, d):
 
 @query("scan_delimited", "select r_regionkey::int as r_regionkey, r_name from region")
 def _(spark, d):
-    path = f"{_scratch(spark)}/region.csv"
+    path = f"{new_folder(spark)}/region.csv"
     table(spark, d, "region").select("r_regionkey", "r_name").write.mode("overwrite").csv(path, sep=";", header=True)
     return S.scan_delimited(spark, path)
 
 
 @query("scan_jsonl", "select event_id, user_id, event_type from events")
 def _(spark, d):
-    path = f"{_scratch(spark)}/events.jsonl"
+    path = f"{new_folder(spark)}/events.jsonl"
     table(spark, d, "events").select("event_id", "user_id", "event_type").write.mode("overwrite").json(path)
     return S.scan_jsonl(spark, path).select("event_id", "user_id", "event_type")
 
 
 @query("scan_json", "select n_nationkey, n_name, n_regionkey as \"region.key\" from nation")
 def _(spark, d):
-    path = f"{_scratch(spark)}/nation.json"
+    path = f"{new_folder(spark)}/nation.json"
     table(spark, d, "nation").agg(F.collect_list(F.struct("n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("key")).alias("region"))).alias("data")).coalesce(1).write.mode("overwrite").json(path)
     return S.scan_json(spark, path).select("n_nationkey", "n_name", "`region.key`")
 
 
-def _scratch(spark):
-    """A new folder below the shared one; below the machine's only where none is set and all runs in one process."""
-    import re
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.gettempdir()}"
-    return f"{root}/tesserae-{uuid.uuid4().hex}"
-
-
 @query("scan_jdbc", "select o_orderstatus, count(*) as n from orders group by 1")
 def _(spark, d):
     table(spark, d, "orders").createOrReplaceTempView("tesserae_orders")
@@ -96,7 +83,7 @@ def _(spark, d):
 
 @query("sink_table", "select c_custkey, c_mktsegment from customer")
 def _(spark, d):
-    path = f"{_scratch(spark)}/customer"
+    path = f"{new_folder(spark)}/customer"
     S.sink_table(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), path)
     return spark.read.parquet(path)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import clean
+from tesserae.sources.written import written
 
 
 def long_form(df: DataFrame, cols: list[str], *keep: str, cast: str = "string") -> DataFrame:
@@ -122,12 +125,35 @@ def _brackets(edges: list[float], spans: list[tuple[float, float]]) -> set[float
     return {a for a, b in zip(edges[:-1], edges[1:], strict=True) if any(x <= a and b <= y for x, y in spans)}
 
 
+def running_counts(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """counts (by..., value, n), one row for each value of a group, with the rows before it and total, those of its group.
+
+    Values are dealt in the order of group and value to ranges of about RANGE_VALUES, whose edges Spark
+    takes from a sample, so a group with very many values lies in several ranges. Sums run inside a
+    group's part of a range, and the parts' totals (one row each) are added.
+    """
+    held = written(counts)
+    parts = math.ceil(max(held.count(), 1) / RANGE_VALUES)
+    if parts > 1:
+        dealt = written(held.repartitionByRange(parts, *by, value).withColumn("_b", F.spark_partition_id()))
+    else:
+        dealt = held.withColumn("_b", F.lit(0))
+    totals = dealt.groupBy(*by, "_b").agg(F.sum("n").alias("_t"))  # a row for each range that a group touches
+    own = Window.partitionBy(*by)
+    offsets = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_o"), (F.sum("_t").over(own.orderBy("_b")) - F.col("_t")).alias("_f"), F.sum("_t").over(own).alias("total"))
+    within = F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(value)) - F.col("n")
+    same = F.col("_b") == F.col("_o")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    got = dealt.withColumn("_w", within).join(offsets, same)
+    return got.select(*by, value, "n", (F.col("_f") + F.col("_w")).alias("before"), "total")
+
+
 def group_quantiles(df: DataFrame, by: list[str], col, probs: list[float]) -> DataFrame:
-    """(by..., q): exact quantiles of each group. Values are counted first and summed up in order, which spills where a group is large."""
+    """(by..., q): exact quantiles of each group, however many values one group has."""
     v = F.col(col) if isinstance(col, str) else col
-    cells = df.select(*by, v.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    own = Window.partitionBy(*by)
-    cells = cells.withColumn("_u", F.sum("_n").over(own.orderBy("_v"))).withColumn("_t", F.sum("_n").over(own))
+    cells = df.select(*by, v.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("n"))
+    cells = running_counts(cells, by, "_v").select(*by, "_v", F.col("n").alias("_n"), (F.col("before") + F.col("n")).alias("_u"), F.col("total").alias("_t"))
     place = lambda p: F.lit(float(p)) * (F.col("_t") - 1)
 
     def at(k):
@@ -157,10 +183,8 @@ def global_ranks(df: DataFrame, col: str, *, by: list[str] | None = None) -> Dat
     """
     by = by or []
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    if by:  # a group is a range
-        w = Window.partitionBy(*by).orderBy(col)
-        before = F.sum("n").over(w) - F.col("n")
-        return counts.withColumn("before", before).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    if by:
+        return running_counts(counts, by, col).drop("total").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     counts = counts.withColumn("_b", edges_below(F.col(col), range_edges(df, col)))
     totals = counts.groupBy("_b").agg(F.sum("n").alias("_t"))
     offsets = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_o"))  # one row a range

@@ -36,19 +36,24 @@ def _(spark, d):
 PAIRS = f"with b as {BASKET}, n as (select count(distinct txn) as n from b), s as (select item, count(*) as k from b group by 1), p as (select x.item as a, y.item as c, count(*) as k from b x join b y on x.txn = y.txn and x.item < y.item group by 1, 2) "
 
 
-@query("association_itemsets", PAIRS + "select a || '|' || c as items, k as n, {{k / n.n}} as support from p, n where k / n.n >= 0.05")
+TRIPLES = PAIRS + ", t as (select x.item as a, y.item as c, z.item as e, count(*) as k from b x join b y on x.txn = y.txn and x.item < y.item join b z on x.txn = z.txn and y.item < z.item group by 1, 2, 3), f as (select item as items, k from s union all select a || '|' || c, k from p union all select a || '|' || c || '|' || e, k from t) "
+
+
+@query("association_itemsets", TRIPLES + "select items, k as n, {{k / n.n}} as support from f, n where k >= ceil(0.002 * n.n)")
 def _(spark, d):
-    got = B.association_itemsets(baskets(spark, d), 0.05, 2).where(F.size("items") == 2)
+    got = B.association_itemsets(baskets(spark, d), 0.002, 3)
     return rounded(got.select(F.array_join("items", "|").alias("items"), "n", "support"))
 
 
-RULE = "select {a} as antecedent, {c} as consequent, {{{{p.k / n.n}}}} as support, {{{{p.k / x.k}}}} as confidence, {{{{(p.k / x.k) / (y.k / n.n)}}}} as lift, {{{{p.k / n.n - x.k / n.n * y.k / n.n}}}} as leverage from p join s x on x.item = p.{a} join s y on y.item = p.{c}, n where p.k / n.n >= 0.05 and p.k / x.k >= 0.3"
+RULE = "select {a} as antecedent, {c} as consequent, {{{{w.k / n.n}}}} as support, {{{{w.k / x.k}}}} as confidence, {{{{(w.k / x.k) / (y.k / n.n)}}}} as lift, {{{{w.k / n.n - x.k / n.n * y.k / n.n}}}} as leverage from {w} w join f x on x.items = {a} join f y on y.items = {c}, n where w.k >= ceil(0.002 * n.n) and w.k / x.k >= 0.05"
+SPLITS = [("p", "w.a", "w.c"), ("p", "w.c", "w.a")]
+SPLITS += [("t", *pair) for one, two in (("w.a", "w.c || '|' || w.e"), ("w.c", "w.a || '|' || w.e"), ("w.e", "w.a || '|' || w.c")) for pair in ((one, two), (two, one))]
 
 
-@query("association_rules", PAIRS + RULE.format(a="a", c="c").replace("p.a", "p.a") + " union all " + RULE.format(a="c", c="a"))
+@query("association_rules", TRIPLES + " union all ".join(RULE.format(w=w, a=a, c=c) for w, a, c in SPLITS))
 def _(spark, d):
-    got = B.association_rules(B.association_itemsets(baskets(spark, d), 0.05, 2), 0.3, 0.0)
-    return rounded(got.select(F.element_at("antecedent", 1).alias("antecedent"), F.element_at("consequent", 1).alias("consequent"), "support", "confidence", "lift", "leverage"))
+    got = B.association_rules(B.association_itemsets(baskets(spark, d), 0.002, 3), 0.05, 0.0)
+    return rounded(got.select(F.array_join("antecedent", "|").alias("antecedent"), F.array_join("consequent", "|").alias("consequent"), "support", "confidence", "lift", "leverage"))
 
 
 @query("join_rule_support", PAIRS + "select p.a, p.c, p.k as both, x.k as a_n, y.k as c_n from p join s x on x.item = p.a join s y on y.item = p.c")

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.functions.scalar import clean
 from tesserae.sources.written import written
@@ -29,6 +30,68 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long_form(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Approximate distinct values up to which a column's values are counted outright; items that a summary keeps and those it reports.
+COUNTED, SUMMARY, REPORTED = 10_000, 10_000, 20
+#: Bits of a bitmap for each expected value, up to which whole numbers are counted by bitmaps.
+SPARSE = 64
+#: Rows up to which one count of all values is less work than the passes that would spare it.
+OUTRIGHT = 2_000_000
+
+
+def column_counts(df: DataFrame, cols: list[str], mode: bool = True) -> DataFrame:
+    """(variable, rows, missing, distinct, and with mode: most, dominant), exact; dominant is the least of the most frequent values, as text.
+
+    A column is handled by what one aggregate says of it. Few values: they are counted. Many: whole numbers
+    without large gaps are told apart by bitmaps, so that no value is shuffled; where all are different, or a summary
+    of frequent items proves that the rest cannot reach the best of them, only the few survivors are
+    counted. What is left (many values, none of them frequent) is counted value by value.
+    """
+    spark = df.sparkSession
+    whole = [isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for c in cols]
+    col = [F.col(f"`{c}`") for c in cols]
+    rows = df.count()
+    if rows <= OUTRIGHT:
+        there, near = dict.fromkeys(range(len(cols))), dict.fromkeys(range(len(cols)), 0)
+    else:
+        first = df.agg(*[F.struct(F.count(c), F.approx_count_distinct(c, 0.05), *([F.min(c).cast("long"), F.max(c).cast("long")] if w else [])) for c, w in zip(col, whole, strict=True)]).first()
+        there, near = ({i: own[k] for i, own in enumerate(first)} for k in (0, 1))
+    count = [i for i in near if near[i] <= COUNTED]
+    wide = [i for i in near if near[i] > COUNTED]
+    dense = [i for i in wide if whole[i] and first[i][3] - first[i][2] <= SPARSE * near[i]]
+    known: dict[int, tuple] = {}  # distinct, most, dominant
+    if dense:
+        bits = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), col[i].cast("long").alias("v")) for i in dense]))).where("v is not null")
+        bits = bits.groupBy("i", F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+        known = {r.i: (r.n, None, None) for r in bits.groupBy("i").agg(F.sum(F.bitmap_count("bits")).alias("n")).collect()}
+        keys = [i for i in dense if known[i][0] == there[i]]
+        if mode and keys:
+            known |= {i: (there[i], 1, v) for i, v in zip(keys, df.agg(*[F.min(col[i].cast("string")) for i in keys]).first(), strict=True)}
+    open_ = [i for i in wide if i not in known or known[i][1] is None]
+    if mode and open_:
+        tops = df.agg(*[F.call_function("approx_top_k", col[i], F.lit(REPORTED), F.lit(SUMMARY)) for i in open_]).first()
+        best = {i: {r["item"]: r["count"] for r in top if r["item"] is not None} for i, top in zip(open_, tops, strict=True)}
+        slip = {i: 3.5 * rows / (1 << math.ceil(math.log2(SUMMARY / 0.75))) for i in open_}
+        # a summary overstates a count by slip at most, so one whose best stands no higher has nothing to say
+        likely = [i for i in open_ if best[i] and max(best[i].values()) > 2 * slip[i]]
+        if likely:
+            some = [F.struct(F.lit(i).alias("i"), F.when(col[i].isin(list(best[i])), col[i].cast("string")).alias("value")) for i in likely]
+            found = df.select(F.inline(F.array(*some))).where("value is not null").groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+            for r in found.groupBy("i").agg(F.max("n").alias("n"), F.min_by("value", F.struct(-F.col("n"), "value")).alias("value")).collect():
+                beyond = max(slip[r.i], min(best[r.i].values()) if len(best[r.i]) >= REPORTED else 0)
+                if r.n > beyond:
+                    known[r.i] = (known.get(r.i, (None,))[0], r.n, r.value)
+    every = [i for i in count + wide if i not in known or known[i][0] is None or mode and known[i][1] is None]
+    if every:
+        n, value = F.col("n"), F.col("value")
+        cells = value_counts(df.select(*[col[i].alias(str(i)) for i in every]), [str(i) for i in every])
+        some = value.isNotNull()
+        for r in cells.groupBy("variable").agg(F.sum(F.when(some, n)).alias("there"), F.count(value).alias("d"), F.max(F.when(some, n)).alias("n"), F.min_by("value", F.when(some, F.struct(-n, "value"))).alias("v")).collect():
+            known[int(r.variable)], there[int(r.variable)] = (r.d, r.n, r.v), r.there or 0
+    out = [(c, rows, rows - (there[i] or 0), *known.get(i, (0, None, None))) for i, c in enumerate(cols)]
+    got = spark.createDataFrame(out, "variable string, rows long, missing long, distinct long, most long, dominant string")
+    return got if mode else got.drop("most", "dominant")
+
+
 #: Relative rank error of the sketches that bracket a quantile; values kept between brackets at most; ranges of a global rank at most, and values in one.
 SKETCH, BETWEEN, RANGES, RANGE_VALUES = 5e-4, 1_000_000, 1024, 200_000
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tesserae.functions.scalar import chain, clean, numeric_text
 from tesserae.operators.describe import correlation_pairs, count_duplicates, sample_kurtosis, sample_skew, vif
-from tesserae.operators.kernels import group_quantiles, quantiles, safe_corr, value_counts
+from tesserae.operators.kernels import column_counts, group_quantiles, quantiles, safe_corr, value_counts
 
 # Name patterns and ordered vocabularies of the type rules, thresholds and penalties of the issues.
 ID_NAME = r"(?i)^(id|uuid|guid|key|code|ref|reference|number|no|nr|index|idx)$|(_id|_uuid|_guid|_key|_code|_ref|_no|_nr|_number)$|^(id_|uuid_|key_)"
@@ -70,9 +70,9 @@ def _distinct_counts(df: DataFrame, near: dict[str, tuple[int, int]]) -> dict[st
     if few:
         row = df.agg(*[F.size(F.collect_set(F.col(f"`{c}`"))).alias(c) for c in few]).first()
         out |= {c: row[c] for c in few}
-    for c, (a, n) in near.items():
-        if a > FEW and (a > 0.85 * n or 0.4 * n < a < 0.6 * n):  # an identifier or a high share of levels hangs on it
-            out[c] = df.agg(F.count_distinct(F.col(f"`{c}`"))).first()[0]
+    edge = [c for c, (a, n) in near.items() if a > FEW and (a > 0.85 * n or 0.4 * n < a < 0.6 * n)]  # an identifier or a high share of levels hangs on it
+    if edge:
+        out |= {r.variable: r.distinct for r in column_counts(df, edge, mode=False).collect()}
     return out
 
 
@@ -156,10 +156,7 @@ MEASURES = "variable string, mean double, std double, min double, q1 double, med
 
 def profile_columns(df: DataFrame) -> DataFrame:
     """One row a column: gaps, distinct values, the dominant value, moments, quartiles, zeros, negatives, outliers, words, first and last date."""
-    some, n = F.col("value").isNotNull(), F.col("n")
-    base = value_counts(df, df.columns).groupBy("variable").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~some, n)), F.lit(0)).alias("missing"), F.count("value").alias("distinct"), F.max(F.when(some, n)).alias("most"), F.min_by("value", F.when(some, F.struct(-n, "value"))).alias("dominant")
-    )
+    base = column_counts(df, df.columns)
     there = F.col("rows") - F.col("missing")
     share = F.try_divide("most", there)
     got = base.select(

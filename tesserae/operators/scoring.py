@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tesserae.functions.scalar import chain, clean
 from tesserae.operators.describe import count_duplicates
-from tesserae.operators.kernels import value_counts
+from tesserae.operators.kernels import column_counts, value_counts
 from tesserae.operators.profile import leakage_suspects
 from tesserae.operators.rows import join_share_diff
 
@@ -68,11 +68,13 @@ def drift_report(old: DataFrame, new: DataFrame, numeric: list[str], categorical
 def version_snapshot(df: DataFrame, most_levels: int = 200) -> DataFrame:
     """(variable, kind, rows, missing, distinct, mean, std, levels): one row a column. levels: those of text with few of them."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    vc = value_counts(df, df.columns)
-    counts = vc.groupBy("variable").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct"))
-    few = counts.where((F.col("distinct") <= most_levels) & ~F.col("variable").isin(numeric)).select("variable")
-    levels = vc.where("value is not null").join(few, "variable").groupBy("variable").agg(F.array_sort(F.collect_list("value")).alias("levels"))  # most_levels at most
-    counts = counts.join(levels, "variable", "left")
+    counts = column_counts(df, df.columns, mode=False)
+    few = [r.variable for r in counts.where(F.col("distinct") <= most_levels).collect() if r.variable not in numeric]
+    if few:
+        levels = value_counts(df, few).where("value is not null").groupBy("variable").agg(F.array_sort(F.collect_list("value")).alias("levels"))  # most_levels at most
+        counts = counts.join(levels, "variable", "left")
+    else:
+        counts = counts.withColumn("levels", F.lit(None).cast("array<string>"))
     kinds = df.sparkSession.createDataFrame([(f.name, kind(f.dataType)) for f in df.schema.fields], "variable string, kind string")
     got = counts.join(kinds, "variable")
     if not numeric:
@@ -96,10 +98,7 @@ def build_contract(df: DataFrame, most_levels: int = 200) -> dict:
     snap = version_snapshot(df).collect()
     rows = max((r["rows"] for r in snap), default=0)
     text = [r["variable"] for r in snap if r["kind"] == "text" and r["distinct"] <= most_levels]
-    levels: dict[str, list] = {c: [] for c in text}
-    if text:
-        for r in value_counts(df, text).where("value is not null").collect():  # at most most_levels a column
-            levels[r["variable"]].append(r["value"])
+    levels = {r["variable"]: list(r["levels"] or []) for r in snap if r["variable"] in text}
     return {"kinds": {r["variable"]: r["kind"] for r in snap}, "levels": {c: sorted(v) for c, v in levels.items()}, "missing": {r["variable"]: max(0.05, 2 * r["missing"] / max(1, r["rows"])) for r in snap}, "least_rows": max(30, rows // 100)}
 
 

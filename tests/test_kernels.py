@@ -122,3 +122,31 @@ def test_three_classes_one_against_the_rest(spark):
     for name in ("gbt", "linear_svc"):
         got = models.fit(name, df, ["a", "b"], "y", maxIter=5)(df)
         assert got.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] > 0.9
+
+
+@pytest.mark.parametrize("outright", [0, 10**9])
+def test_column_counts_against_counters(spark, monkeypatch, outright):
+    from collections import Counter
+
+    monkeypatch.setattr(kernels, "OUTRIGHT", outright)
+    monkeypatch.setattr(kernels, "COUNTED", 50)
+    rng = np.random.default_rng(8)
+    n = 4000
+    cols = {
+        "key": np.arange(n) + 10**9,  # bitmaps, all different
+        "gaps": rng.permutation(n) * 10**12,  # all different, too sparse for bitmaps
+        "skewed": np.where(rng.random(n) < 0.4, 7, rng.integers(0, 3000, n)),  # one frequent item
+        "flat": rng.integers(0, 900, n),
+        "few": rng.integers(0, 5, n),
+        "real": np.where(rng.random(n) < 0.2, 0.5, rng.normal(size=n)),
+    }
+    rows = [tuple(None if k % 9 == 0 and name in ("flat", "real", "word") else v for name, v in zip([*cols, "word", "tied", "none"], (*[c[k].item() for c in cols.values()], f"w{k % 1500}", ["b", "a"][k % 2], None), strict=True)) for k in range(n)]
+    df = spark.createDataFrame(rows, "key long, gaps long, skewed long, flat int, few int, real double, word string, tied string, none string")
+    got = {r.variable: tuple(r)[1:] for r in kernels.column_counts(df, df.columns).collect()}
+    for i, c in enumerate(df.columns):
+        count = Counter(str(r[i]) for r in rows if r[i] is not None)
+        most = max(count.values(), default=None)
+        dominant = min((v for v, k in count.items() if k == most), default=None)
+        assert got[c] == (n, n - sum(count.values()), len(count), most, dominant), c
+    assert {r.variable: r.distinct for r in kernels.column_counts(df, df.columns, mode=False).collect()} == {c: v[2] for c, v in got.items()}
+    assert [tuple(r) for r in kernels.column_counts(df.limit(0), ["key"]).collect()] == [("key", 0, 0, 0, None, None)]

@@ -59,16 +59,100 @@ def pipeline_apply(df: DataFrame, steps: list[tuple]) -> tuple[DataFrame, list[d
     return df, fitted
 
 
+#: What the simple steps learn: {step: {name: aggregate of a column}}.
+SIMPLE: dict[str, dict] = {}
+
+
+def fold_aggregates(df: DataFrame, cols: list[str], fold: str, what: dict) -> dict:
+    """{fold: what _aggregates would learn from all other folds}: one grouped pass, then each fold's share is left out of the total."""
+    asked = {n: f for n, f in what.items() if n not in ("mean", "std")}
+    parts = [f(c).alias(f"{c}|{n}") for c in cols for n, f in asked.items()]
+    parts += [F.struct(F.count(clean(c)), F.avg(clean(c)), F.var_pop(clean(c))).alias(f"{c}|moments") for c in cols]
+    rows = {r[fold]: r for r in df.groupBy(fold).agg(*parts).collect()}  # one row a fold
+    out = {}
+    for i in rows:
+        others = [r for j, r in rows.items() if j != i]
+        out[i] = {}
+        for c in cols:
+            known = {n: [r[f"{c}|{n}"] for r in others if r[f"{c}|{n}"] is not None] for n in asked}
+            learned = {n: (min if n == "min" else max)(v) if v else None for n, v in known.items()}
+            n, mean, var = (np.array([r[f"{c}|moments"][k] or 0.0 for r in others], dtype=float) for k in range(3))
+            total = n.sum()
+            m = float((n * mean).sum() / total) if total else None
+            learned |= {"mean": m, "std": math.sqrt(float((n * (var + (mean - m) ** 2)).sum() / total)) if total else None}
+            out[i][c] = {k: learned[k] for k in what}
+    return out
+
+
+def _fold_simple(df: DataFrame, steps: list[tuple], fold: str, folds: list) -> DataFrame:
+    """pipeline_fold_fit of simple steps: a pass for each step and none for each fold."""
+    started: set[str] = set()
+    for name, cols, *options in steps:
+        o, what = options[0] if options else {}, SIMPLE[name]
+        fresh = not started & set(cols)
+        if fresh:
+            learned = fold_aggregates(df, cols, fold, what)
+        else:  # earlier steps have made each fold's training rows its own
+            own = [f"{c}|{i}" for c in cols for i in range(len(folds))]
+            for c in set(cols) - started:
+                df = df.withColumns({f"{c}|{i}": F.col(c) for i in range(len(folds))})
+            x = df.select(*[F.when(F.col(fold) != f, F.col(f"`{c}|{i}`")).alias(f"{c}_{i}") for c in cols for i, f in enumerate(folds)])
+            got = _aggregates(x, [f"{c}_{i}" for c in cols for i in range(len(folds))], **what)
+            learned = {f: {c: got[f"{c}_{i}"] for c in cols} for i, f in enumerate(folds)}
+        if fresh:
+            df = df.withColumns({f"{c}|{i}": F.col(c) for c in cols for i in range(len(folds))})
+            own = [f"{c}|{i}" for c in cols for i in range(len(folds))]
+        started |= set(cols)
+        plain = df.withColumnsRenamed({k: k.replace("|", "__of_") for k in own})
+        for i, f in enumerate(folds):
+            names = [f"{c}__of_{i}" for c in cols]
+            plain = STEPS[name][1](plain, names, {f"{c}__of_{i}": learned[f][c] for c in cols}, **o)
+        df = plain.withColumnsRenamed({k.replace("|", "__of_"): k for k in own})
+    chosen = {c: F.coalesce(*[F.when(F.col(fold) == f, F.col(f"`{c}|{i}`")) for i, f in enumerate(folds)]) for c in started}
+    return df.withColumns(chosen).drop(*[f"{c}|{i}" for c in started for i in range(len(folds))])
+
+
+def target_encode_folds(df: DataFrame, cols: list[str], target: str, fold: str = "fold", smoothing: float = 10.0) -> DataFrame:
+    """target_encode of each fold by the targets of the others: sums by level less the fold's own; a level unseen there gets the mean."""
+    y = F.col(target).cast("double")
+    whole = df.groupBy(fold).agg(F.count(y).alias("n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("s")).collect()  # one row a fold
+    n, s = sum(r["n"] for r in whole), sum(r["s"] for r in whole)
+    mean = F.create_map(*[v for r in whole if r[fold] is not None for v in (F.lit(r[fold]), F.lit((s - r["s"]) / (n - r["n"]) if n > r["n"] else None).cast("double"))])[F.col(fold)]
+    for c in cols:
+        own = df.groupBy(F.col(fold).alias("_f"), F.col(c).cast("string").alias("_l")).agg(F.count(y).alias("n"), F.sum(y).alias("s"))
+        level = own.groupBy(F.col("_l").alias("_k")).agg(F.sum("n").alias("nn"), F.sum("s").alias("ss"))
+        rest = own.join(level, F.col("_l") == F.col("_k")).select("_f", "_l", (F.col("nn") - F.col("n")).alias("_n"), (F.coalesce("ss", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))).alias("_s"))
+        w = 1 / (1 + F.exp(-(F.col("_n") - 1) / smoothing))
+        code = F.when(F.col("_n") > 0, mean * (1 - w) + F.col("_s") / F.col("_n") * w).otherwise(mean)
+        df = df.join(rest, (F.col(fold) == F.col("_f")) & (F.col(c).cast("string") == F.col("_l")), "left").withColumn(f"{c}_target", code).drop("_f", "_l", "_n", "_s")
+    return df
+
+
 def pipeline_fold_fit(df: DataFrame, steps: list[tuple], fold: str = "fold") -> DataFrame:
-    """Each fold transformed by steps fitted on the other folds only."""
+    """Each fold transformed by steps fitted on the other folds only; rows without a fold go.
+
+    Steps that learn aggregates take one pass each, and so does a target encoding of columns that no step
+    before it changes; only pipelines with other steps (quantiles, levels) are fitted fold by fold.
+    """
+    df = df.where(F.col(fold).isNotNull())
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # one row a fold
+    head, last = list(steps), None
+    if head and head[-1][0] == "target_encode":
+        *head, last = head
+        changed = {c for _, cols, *_ in head for c in cols}
+        if changed & {*last[1], last[2]["target"]}:
+            head, last = list(steps), None
+    if folds and all(name in SIMPLE and cols for name, cols, *_ in head):
+        out = _fold_simple(df, head, fold, folds) if head else df
+        return out if last is None else target_encode_folds(out, last[1], fold=fold, **last[2])
     parts = []
-    for r in df.select(fold).distinct().orderBy(fold).collect():  # one row a fold
-        train, held = df.where(F.col(fold) != r[0]), df.where(F.col(fold) == r[0])
+    for f in folds:
+        train, held = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         for name, cols, *options in steps:
-            f = fit(name, train, cols, **(options[0] if options else {}))
-            train, held = transform(train, f), transform(held, f)
+            fitted = fit(name, train, cols, **(options[0] if options else {}))
+            train, held = transform(train, fitted), transform(held, fitted)
         parts.append(held)
-    return R.union_tables(*parts)
+    return R.union_tables(*parts) if parts else df
 
 
 def learned_parameters(spark, fitted: list[dict]) -> DataFrame:
@@ -88,6 +172,8 @@ def _aggregates(df: DataFrame, cols, **what) -> dict:
 
 def _simple(name: str, what: dict, value: Callable) -> None:
     """A step that learns aggregates and maps each column by value(column, learned)."""
+    if set(what) <= {"mean", "std", "min", "max"}:  # what parts of a table add up to
+        SIMPLE[name] = what
     register_step(name, lambda df, cols, **o: _aggregates(df, cols, **what), lambda df, cols, p, **o: _each(df, cols, lambda c: value(c, p[c], **o)))
 
 

@@ -128,3 +128,12 @@ def _(spark, d):
 @query("learned_parameters")
 def _(spark, d):
     return P.learned_parameters(spark, P.pipeline_apply(gappy(spark, d), STEPS)[1])
+
+
+@query("target_encode_folds", f"""with f as (select *, (l_orderkey * 2654435761) % 1000 % 3 as fold from lineitem),
+w as (select a.fold, avg(b.l_extendedprice) as g from (select distinct fold from f) a join f b on a.fold <> b.fold group by 1),
+l as (select a.fold, a.l_suppkey as k, count(b.l_suppkey) as n, avg(b.l_extendedprice) as m from (select distinct fold, l_suppkey from f) a left join f b on a.fold <> b.fold and a.l_suppkey = b.l_suppkey group by 1, 2)
+select {K}, {{{{case when n = 0 then g else g * (1 - 1 / (1 + exp(-(n - 1) / 10))) + m / (1 + exp(-(n - 1) / 10)) end}}}} as l_suppkey_target from f join w using (fold) join l on l.fold = f.fold and k = l_suppkey""")
+def _(spark, d):
+    df = table(spark, d, "lineitem").withColumn("fold", F.expr("(l_orderkey * 2654435761) % 1000 % 3"))
+    return rounded(P.pipeline_fold_fit(df, [("target_encode", ["l_suppkey"], {"target": "l_extendedprice"})]).select(*KEY, "l_suppkey_target"))

@@ -9,13 +9,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import special as S
 from tesserae.functions.scalar import clean
 from tesserae.operators.kernels import global_ranks, group_quantiles, long_form
+from tesserae.sources.written import written
 
 SCHEMA = "test string, statistic double, df double, p double, effect double, n long"
 
@@ -197,10 +197,10 @@ def normality_test(df: DataFrame, measure: str) -> DataFrame:
     return _row(df.sparkSession, ("dagostino-pearson", k2, 2, S.chi2_upper(k2, 2), s, n))
 
 
-def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson", blocks: int = 64) -> DataFrame:
+def correlation_test(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
     x = df.select(clean(a).alias("a"), clean(b).alias("b")).dropna()
     if method == "kendall":
-        return _kendall(x, blocks)
+        return _kendall(x)
     if method == "spearman":
         ra = global_ranks(x.select("a"), "a").select("a", F.col("rank").alias("ra"))
         rb = global_ranks(x.select("b"), "b").select("b", F.col("rank").alias("rb"))
@@ -231,41 +231,68 @@ def concordance(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
     return total - int(((rows * rows - squares) // 2).sum())  # rows alike in a were counted by b
 
 
-def _block(edges: np.ndarray):
-    """2 i + 1 for the i-th edge itself, 2 i between it and the one before."""
-
-    @F.pandas_udf("int")
-    def block(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, v, "left") + np.searchsorted(edges, v, "right")).astype("int32")
-
-    return block
-
-
-def _kendall(x: DataFrame, blocks: int) -> DataFrame:
-    """Exact tau-b: cells (a, b) in blocks of a and ranges of b. Pairs of different blocks and ranges are counted by
-    their totals, pairs of one range by the blocks' numbers, pairs of one block by a. A common value is a block of its own."""
-    cells = x.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+#: Bits of a rank that one level of the Kendall count looks at; a group then has at most (2 ** DIGIT) ** 2 cells.
+DIGIT = 10
+
+
+def concordance_within(group: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
+    """concordance summed over groups, a and b being less than 2 ** DIGIT."""
+    of = np.unique(group, return_inverse=True)[1].astype(np.int64) << DIGIT
+    size = np.bincount(of >> DIGIT, n).astype(np.int64)  # rows of different groups count as concordant, all of them
+    return concordance(of + a, of + b, n) - (int(size.sum()) ** 2 - int((size * size).sum())) // 2
+
+
+def _kendall(x: DataFrame) -> DataFrame:
+    """Exact tau-b, tie-corrected p. Values become the number of rows below them, written in digits of DIGIT bits.
+
+    Two rows differ first in some digit of a and some digit of b. For each pair of digits, rows alike in
+    all higher ones form a group, of which only a table of counts by these two digits is needed, so no
+    group grows with the data, however often it is split.
+    """
+    ra, rb = (global_ranks(x.select(c), c).select(c, F.col("before").alias(f"{c}r")) for c in ("a", "b"))
+    cells = written(x.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(ra, "a").join(rb, "b").select(F.col("ar").alias("a"), F.col("br").alias("b"), "n"))
+    n = cells.agg(F.sum("n")).first()[0] or 0
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("x", "y", "da", "db", "n")]
+            if kept is not None:
+                now = [np.concatenate(c) for c in zip(kept, now, strict=True)]
+            if not len(now[0]):
+                continue
+            group = np.cumsum(np.concatenate(([0], (np.diff(now[0]) != 0) | (np.diff(now[1]) != 0))))
+            cut = int(np.searchsorted(group, group[-1]))  # the last group can go on in the next batch
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array([str(concordance_within(group[:cut], *[c[:cut] for c in now[2:]]))])], names=["s"])
+            kept = [c[cut:] for c in now]
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([str(concordance_within(np.zeros(len(kept[0]), dtype=np.int64), *kept[2:]))])], names=["s"])
+
+    levels, low = max(1, -(-max(n - 1, 1).bit_length() // DIGIT)), (1 << DIGIT) - 1
+    s = 0
+    for i in range(levels):
+        for j in range(levels):
+            up = [F.shiftright("a", DIGIT * (i + 1)).alias("x"), F.shiftright("b", DIGIT * (j + 1)).alias("y")]
+            digits = [F.shiftright(c, DIGIT * k).bitwiseAND(low).alias(f"d{c}") for c, k in (("a", i), ("b", j))]
+            table = cells.select(*up, *digits, "n").groupBy("x", "y", "da", "db").agg(F.sum("n").alias("n"))
+            rows = table.repartition("x", "y").sortWithinPartitions("x", "y")
+            s += sum(int(r.s) for r in rows.mapInArrow(run, "s string").collect())  # a row for each batch
+    ties = []
     for c in ("a", "b"):
-        got = x.agg(F.percentile_approx(c, [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0]
-        edges = np.unique(np.array(got or [], dtype=float))
-        cells = cells.withColumn(f"{c}k", _block(edges)(c))
-    cells = cells.persist()
-
-    def inside(by: str, a: str, b: str) -> int:
-        kernel = lambda pdf: pd.DataFrame({"s": [concordance(pdf[a].to_numpy(), pdf[b].to_numpy(), pdf["n"].to_numpy())]})
-        rows = cells.groupBy(by, a, b).agg(F.sum("n").alias("n"))
-        many = rows.groupBy(by).agg(F.min(a).alias("_1"), F.max(a).alias("_2"), F.min(b).alias("_3"), F.max(b).alias("_4")).where("_1 <> _2 and _3 <> _4").select(by)
-        return int(rows.join(many, by).groupBy(by).applyInPandas(kernel, "s long").agg(F.sum(F.col("s").cast("decimal(38,0)"))).first()[0] or 0)
-
-    totals = cells.groupBy("ak", "bk").agg(F.sum("n").alias("n")).toPandas()  # (2 * blocks) ** 2 rows at most
-    s = concordance(*(totals[c].to_numpy() for c in ("ak", "bk", "n"))) + inside("bk", "ak", "b") + inside("ak", "a", "b")
-    tie = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-    n = cells.agg(F.sum("n")).first()[0]
-    pairs, ta, tb = n * (n - 1) / 2, tie("a"), tie("b")
-    cells.unpersist()
-    tau = s / math.sqrt((pairs - ta) * (pairs - tb))
-    z = 3 * tau * math.sqrt(n * (n - 1)) / math.sqrt(2 * (2 * n + 5))
-    return _row(x.sparkSession, ("kendall", tau, None, 2 * (1 - S.normal_cdf(abs(z))), tau * tau, n))
+        t = F.col("t").cast("double")
+        got = cells.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum(t * (t - 1)), F.sum(t * (t - 1) * (t - 2)), F.sum(t * (t - 1) * (2 * t + 5))).first()
+        ties.append([v or 0.0 for v in got])
+    pairs = n * (n - 1)
+    both = (pairs - ties[0][0]) * (pairs - ties[1][0])
+    tau = 2 * s / math.sqrt(both) if both > 0 else None
+    var = (pairs * (2 * n + 5) - ties[0][2] - ties[1][2]) / 18
+    if n > 2:
+        var += ties[0][0] * ties[1][0] / (2 * pairs) + ties[0][1] * ties[1][1] / (9 * pairs * (n - 2))
+    p = 2 * (1 - S.normal_cdf(abs(s) / math.sqrt(var))) if var > 0 and tau is not None else None
+    return _row(x.sparkSession, ("kendall", tau, None, p, tau * tau if tau is not None else None, n))
 
 
 def multiple_comparison(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:

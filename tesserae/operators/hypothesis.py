@@ -58,24 +58,29 @@ def levene_test(df: DataFrame, group: str, measure: str) -> DataFrame:
 
 
 def cohens_d(a, b) -> float:
-    pooled = math.sqrt(((a["n"] - 1) * a["var"] + (b["n"] - 1) * b["var"]) / (a["n"] + b["n"] - 2))
+    pooled = math.sqrt(((a["n"] - 1) * (a["var"] or 0.0) + (b["n"] - 1) * (b["var"] or 0.0)) / (a["n"] + b["n"] - 2))
     return (a["mean"] - b["mean"]) / pooled if pooled else 0.0
 
 
+def _t(a, b, welch: bool) -> tuple[float, float]:
+    """t and its degrees of freedom."""
+    if welch:
+        va, vb = (a["var"] or 0.0) / a["n"], (b["var"] or 0.0) / b["n"]
+        parts = (va**2 / (a["n"] - 1) if va else 0.0) + (vb**2 / (b["n"] - 1) if vb else 0.0)
+        se, dof = math.sqrt(va + vb), (va + vb) ** 2 / parts if parts else a["n"] + b["n"] - 2
+    else:
+        dof = a["n"] + b["n"] - 2
+        pooled = ((a["n"] - 1) * (a["var"] or 0.0) + (b["n"] - 1) * (b["var"] or 0.0)) / dof
+        se = math.sqrt(pooled * (1 / a["n"] + 1 / b["n"]))
+    return (a["mean"] - b["mean"]) / se if se else 0.0, dof
+
+
 def t_test(df: DataFrame, group: str, measure: str, welch: bool | None = None) -> DataFrame:
     """Two groups; Welch where variances differ (by Brown-Forsythe at 5 %) unless told."""
     a, b = group_stats(df, group, measure)
     if welch is None:
         welch = levene_test(df, group, measure).first()["p"] < 0.05
-    diff = a["mean"] - b["mean"]
-    if welch:
-        va, vb = a["var"] / a["n"], b["var"] / b["n"]
-        se, dof = math.sqrt(va + vb), (va + vb) ** 2 / (va**2 / (a["n"] - 1) + vb**2 / (b["n"] - 1))
-    else:
-        dof = a["n"] + b["n"] - 2
-        pooled = ((a["n"] - 1) * a["var"] + (b["n"] - 1) * b["var"]) / dof
-        se = math.sqrt(pooled * (1 / a["n"] + 1 / b["n"]))
-    t = diff / se if se else 0.0
+    t, dof = _t(a, b, welch)
     return _row(df.sparkSession, ("welch" if welch else "t", t, dof, S.t_two_sided(t, dof), cohens_d(a, b), a["n"] + b["n"]))
 
 
@@ -111,21 +116,28 @@ def _rank_sums(df: DataFrame, group: str, measure: str):
     return sums, ties[1], ties[0]
 
 
-def mann_whitney(df: DataFrame, group: str, measure: str) -> DataFrame:
-    (a, b), n, ties = _rank_sums(df, group, measure)
+def _mann_whitney(a, b, n: int, ties: float) -> tuple:
     n1, n2 = a["n"], b["n"]
     u = a["r"] - n1 * (n1 + 1) / 2
     sd = math.sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1))))
     z = (abs(u - n1 * n2 / 2) - 0.5) / sd if sd else 0.0
-    return _row(df.sparkSession, ("mann-whitney", u, None, min(1.0, 2 * (1 - S.normal_cdf(z))), 2 * u / (n1 * n2) - 1, n))
+    return "mann-whitney", u, None, min(1.0, 2 * (1 - S.normal_cdf(z))), 2 * u / (n1 * n2) - 1, n
 
 
-def kruskal_wallis(df: DataFrame, group: str, measure: str) -> DataFrame:
-    sums, n, ties = _rank_sums(df, group, measure)
+def mann_whitney(df: DataFrame, group: str, measure: str) -> DataFrame:
+    (a, b), n, ties = _rank_sums(df, group, measure)
+    return _row(df.sparkSession, _mann_whitney(a, b, n, ties))
+
+
+def _kruskal(sums, n: int, ties: float) -> tuple:
     h = 12 / (n * (n + 1)) * sum(s["r"] ** 2 / s["n"] for s in sums) - 3 * (n + 1)
-    h /= 1 - ties / (n**3 - n)
+    h = h / (1 - ties / (n**3 - n)) if ties < n**3 - n else 0.0
     k = len(sums)
-    return _row(df.sparkSession, ("kruskal-wallis", h, k - 1, S.chi2_upper(h, k - 1), (h - k + 1) / (n - k), n))
+    return "kruskal-wallis", h, k - 1, S.chi2_upper(h, k - 1), (h - k + 1) / (n - k), n
+
+
+def kruskal_wallis(df: DataFrame, group: str, measure: str) -> DataFrame:
+    return _row(df.sparkSession, _kruskal(*_rank_sums(df, group, measure)))
 
 
 def wilcoxon_signed_rank(df: DataFrame, before: str, after: str) -> DataFrame:
@@ -307,17 +319,73 @@ def multiple_comparison(tests: DataFrame, p: str = "p", key: str = "name") -> Da
     return x.select(key, p, F.least(F.col(p) * F.col("_n"), one).alias("bonferroni"), F.least(holm, one).alias("holm"), F.least(bh, one).alias("benjamini_hochberg"))
 
 
-def battery(df: DataFrame, measure: str, categories: list[str]) -> DataFrame:
-    """F and eta squared of a measure by each category, from one aggregate; Holm-adjusted."""
-    x = long_form(df.select(clean(measure).alias("_m"), *categories), categories, "_m").where("value is not null and _m is not null")
-    g = x.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("_m").alias("mean"), F.var_samp("_m").alias("var"))
-    w = Window.partitionBy("variable")
-    grand = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
-    g = g.withColumn("grand", grand).groupBy("variable").agg(
-        F.count(F.lit(1)).alias("levels"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"), F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("within")
-    ).where("levels between 2 and 20 and n > levels")
-    f = (F.col("between") / (F.col("levels") - 1)) / (F.col("within") / (F.col("n") - F.col("levels")))
-    rows = g.select("variable", "levels", "n", f.alias("f"), (F.col("between") / (F.col("between") + F.col("within"))).alias("eta_squared")).collect()
+BATTERY = "variable string, levels long, n long, test string, statistic double, df double, p double, effect_name string, effect double, cross_test string, cross_statistic double, cross_p double"
+
+
+def _level_ranks(x: DataFrame, categories: list[str]) -> dict[str, tuple[dict, int, float]]:
+    """{category: (rank sums by level, n, ties)} of categories without gaps: the measure _m is ranked once for all of them."""
+    cells = written(x.groupBy("_m", *categories).agg(F.count(F.lit(1)).alias("k")))  # a common value is a few rows
+    ranks = global_ranks(cells.groupBy("_m").agg(F.sum("k").alias("k")).withColumnRenamed("_m", "v"), "v", weight="k").select(F.col("v").alias("_m"), "n", "rank")
+    ranks = written(ranks)
+    ties, n = ranks.agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")), F.sum("n")).first()
+    levels = F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in categories]))
+    sums = cells.join(ranks.select("_m", "rank"), "_m").select("k", "rank", levels).groupBy("variable", "value").agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("k")).alias("r"))
+    out: dict[str, tuple[dict, int, float]] = {c: ({}, n, ties) for c in categories}
+    for r in sums.collect():  # at most 20 levels a category
+        out[r.variable][0][r.value] = r
+    return out
+
+
+def battery(df: DataFrame, measure: str, categories: list[str], alpha: float = 0.05) -> DataFrame:
+    """A measure against every category of 2 to 20 levels: t (Welch's where variances differ) or F, and beside it Mann-Whitney or Kruskal-Wallis.
+
+    holm: p adjusted for the number of categories; significant after that; agrees: both tests are on one side
+    of alpha; confidence: high, moderate or low. Group moments of all categories come from one aggregate;
+    categories without gaps share one ranking of the measure, one with gaps ranks its own rows.
+    """
     spark = df.sparkSession
-    got = spark.createDataFrame([(*r, float(S.f_upper(r["f"], r["levels"] - 1, r["n"] - r["levels"]))) for r in rows], "variable string, levels long, n long, f double, eta_squared double, p double")
-    return got.join(multiple_comparison(got, "p", "variable").select("variable", "holm"), "variable")
+    x = df.select(clean(measure).alias("_m"), *[F.col(c).cast("string").alias(c) for c in categories]).where("_m is not null")
+    g = long_form(x, categories, "_m").where("value is not null").groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("_m").alias("mean"), F.var_samp("_m").alias("var"))
+    g = written(g)
+    used = g.groupBy("variable").agg(F.count(F.lit(1)).alias("levels"), F.sum("n").alias("n")).where("levels between 2 and 20 and n > levels")
+    stats: dict[str, list] = {}
+    for r in g.join(used.select("variable"), "variable").orderBy("variable", "value").collect():  # at most 20 levels a category
+        stats.setdefault(r.variable, []).append(r)
+    names = [c for c in categories if c in stats]
+    if not names:
+        return spark.createDataFrame([], BATTERY + ", holm double, significant boolean, agrees boolean, confidence string")
+    rows = x.count()
+    full = [c for c in names if sum(s.n for s in stats[c]) == rows]
+    ranks = _level_ranks(x.select("_m", *full), full) if full else {}
+    for c in set(names) - set(full):
+        ranks |= _level_ranks(x.where(F.col(c).isNotNull()).select("_m", c), [c])
+    two = [c for c in names if len(stats[c]) == 2]
+    apart = {}
+    if two:  # Brown-Forsythe: are the variances of the two groups alike?
+        y = long_form(x, two, "_m").where("value is not null")
+        mid = group_quantiles(y, ["variable", "value"], "_m", [0.5]).select("variable", "value", F.col("q")[0].alias("mid"))
+        away = F.abs(F.col("_m") - F.col("mid"))
+        got = y.join(mid, ["variable", "value"]).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"), F.avg(away).alias("mean"), F.var_samp(away).alias("var")).collect()
+        for c in two:
+            f, d1, d2, _ = _anova([r for r in got if r.variable == c])
+            apart[c] = S.f_upper(f, d1, d2) < 0.05
+    out = []
+    for c in names:
+        own, (sums, n, ties) = stats[c], ranks[c]
+        k = len(own)
+        if k == 2:
+            a, b = own
+            t, dof = _t(a, b, apart[c])
+            first = ("welch" if apart[c] else "t", t, dof, S.t_two_sided(t, dof), "cohens_d", cohens_d(a, b))
+            second = _mann_whitney(sums[a.value], sums[b.value], n, ties)[:4]
+        else:
+            f, d1, d2, eta = _anova(own)
+            first = ("anova", f, d2, S.f_upper(f, d1, d2), "eta_squared", eta)
+            second = _kruskal(list(sums.values()), n, ties)[:4]
+        out.append((c, k, n, *first, second[0], second[1], second[3]))
+    kinds = [f.split()[1] for f in BATTERY.split(", ")]
+    got = spark.createDataFrame([tuple(float(v) if k == "double" else v for v, k in zip(r, kinds, strict=True)) for r in out], BATTERY)
+    got = got.join(multiple_comparison(got, "p", "variable").select("variable", "holm"), "variable")
+    agrees = (F.col("p") < alpha) == (F.col("cross_p") < alpha)
+    got = got.withColumn("significant", F.col("holm") < alpha).withColumn("agrees", agrees)
+    return got.withColumn("confidence", F.when(F.col("significant") & F.col("agrees"), "high").when(F.col("agrees"), "moderate").otherwise("low"))

@@ -238,14 +238,16 @@ def range_edges(df: DataFrame, col: str) -> list:
     return sorted(set((q or [])[every - 1 :: every]))
 
 
-def global_ranks(df: DataFrame, col: str, *, by: list[str] | None = None) -> DataFrame:
+def global_ranks(df: DataFrame, col: str, *, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(by..., col, n, before, rank): for each different value its count, the rows below it and its average rank.
 
+    weight: a column with the number of rows that each row stands for.
+
     No window runs over all rows: values are counted, dealt to ranges by literal edges, counted up
     inside each range, and the ranges' own totals (one row each) are added.
     """
     by = by or []
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     if by:
         return running_counts(counts, by, col).drop("total").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     counts = counts.withColumn("_b", edges_below(F.col(col), range_edges(df, col)))

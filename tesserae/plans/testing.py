@@ -115,10 +115,19 @@ def _(spark, d):
     return rounded(H.multiple_comparison(t))
 
 
-def _battery(c):
-    return f"select '{c}' as variable, k as levels, n::bigint as n, {{{{(b / (k - 1)) / (w / (n - k))}}}} as f, {{{{b / (b + w)}}}} as eta_squared from (select sum(n * (m - gm) ** 2) as b, sum((n - 1) * v) as w, sum(n) as n, count(*) as k from (select count(*) as n, avg(l_extendedprice) as m, var_samp(l_extendedprice) as v from lineitem group by {c}), (select avg(l_extendedprice) as gm from lineitem))"
-
-
-@query("test_battery", " union all ".join(_battery(c) for c in ("l_returnflag", "l_linestatus", "l_linenumber")))
-def _(spark, d):
-    return rounded(H.battery(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus", "l_linenumber"]).drop("p", "holm"))
+def _battery(c: str, k: int) -> str:
+    """All statistics of one category: moments, Brown-Forsythe (which t), ranks."""
+    g = f"with x as (select {c} as g, l_extendedprice as v, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2 as r from lineitem), g as (select g, count(*)::double as n, avg(v) as m, var_samp(v) as s, sum(r) as r, median(v) as mid from x group by 1), t as (select sum(n) as n, sum(n * m) / sum(n) as gm, sum((n - 1) * s) as w, count(*) as k from g), b as (select sum(g.n * (m - gm) ** 2) as b from g, t), ties as (select sum(k ** 3 - k) as z from (select count(*)::double as k from x group by v))"
+    if k == 2:
+        levene = "l as (select g, count(*)::double as n, avg(abs(v - mid)) as m, var_samp(abs(v - mid)) as s from x join g using (g) group by 1), lt as (select sum(n * m) / sum(n) as gm, sum((n - 1) * s) as w, sum(n) as n from l), lf as (select sum(l.n * (m - gm) ** 2) / (any_value(w) / (any_value(lt.n) - 2)) > 3.8417 as apart from l, lt)"
+        one, two = "(select * from g order by g limit 1) p", "(select * from g order by g desc limit 1) q"
+        dof = "case when apart then (p.s / p.n + q.s / q.n) ** 2 / ((p.s / p.n) ** 2 / (p.n - 1) + (q.s / q.n) ** 2 / (q.n - 1)) else p.n + q.n - 2 end"
+        se = "case when apart then sqrt(p.s / p.n + q.s / q.n) else sqrt(w / (t.n - 2) * (1 / p.n + 1 / q.n)) end"
+        return f"({g}, {levene} select '{c}' as variable, k as levels, t.n::bigint as n, case when apart then 'welch' else 't' end as test, {{{{(p.m - q.m) / {se}}}}} as statistic, {{{{{dof}}}}} as df, 'cohens_d' as effect_name, {{{{(p.m - q.m) / sqrt(w / (t.n - 2))}}}} as effect, 'mann-whitney' as cross_test, {{{{p.r - p.n * (p.n + 1) / 2}}}} as cross_statistic from {one}, {two}, t, lf)"
+    return f"({g} select '{c}' as variable, k as levels, t.n::bigint as n, 'anova' as test, {{{{(b / (k - 1)) / (w / (t.n - k))}}}} as statistic, {{{{t.n - k}}}} as df, 'eta_squared' as effect_name, {{{{b / (b + w)}}}} as effect, 'kruskal-wallis' as cross_test, {{{{(12 / (t.n * (t.n + 1)) * (select sum(r * r / n) from g) - 3 * (t.n + 1)) / (1 - z / (t.n ** 3 - t.n))}}}} as cross_statistic from t, b, ties)"
+
+
+@query("test_battery", " union all ".join(_battery(c, k) for c, k in (("l_returnflag", 3), ("l_linestatus", 2), ("l_linenumber", 7))))
+def _(spark, d):
+    got = H.battery(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus", "l_linenumber", "l_partkey"])
+    return rounded(got.drop("p", "cross_p", "holm", "significant", "agrees", "confidence"))

@@ -23,6 +23,7 @@ from tesserae.functions import special
 from tesserae.functions.scalar import clean
 from tesserae.operators.kernels import gram, quantiles
 from tesserae.operators.neighbours import mean_of, mode_of, with_nearest
+from tesserae.sources.written import written
 
 MODELS: dict[str, Callable] = {}
 
@@ -444,26 +445,102 @@ def median_items(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: (clean(c) > F.lit(q[c][0] if q[c] else None)).cast("int") for c in cols})
 
 
-def _patterns(df: DataFrame, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    if len(items) > 16:
-        raise ValueError("at most 16 items")
-    pat = df.select(*[F.col(c).cast("int").alias(c) for c in items]).dropna().groupBy(*items).agg(F.count(F.lit(1)).alias("n"))
-    rows = np.array([[*r] for r in pat.orderBy(*items).collect()], dtype=float)  # at most 2**items rows
-    return rows[:, :-1], rows[:, -1]
+#: Rounds of expectation and maximisation at most, starts of each, and the relative gain below which one ends.
+EM_ROUNDS, EM_STARTS, EM_GAIN = 100, 5, 1e-9
 
 
-def latent_class(df: DataFrame, items: list[str], k: int = 2, rounds: int = 60, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Shares and item rates of a Bernoulli mixture, by EM over distinct answer patterns with counts."""
-    return _latent_class(*_patterns(df, items), k, rounds, seed)[1:]
+def answer_patterns(df: DataFrame, items: list[str]) -> DataFrame:
+    """(x, n): the different answers (0 or 1 to each item) of complete rows and how many rows give them, as a written table."""
+    x = df.select(*[F.col(c).cast("tinyint").alias(f"i{k}") for k, c in enumerate(items)]).dropna()
+    keys = [f"i{k}" for k in range(len(items))]
+    return written(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(F.array(*keys).alias("x"), "n"))
+
+
+def responsibilities(x: np.ndarray, prior: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of answers its log-likelihood and its share in each class."""
+    logp = np.log(np.maximum(prior, 1e-300)) + x @ np.log(rate).T + (1 - x) @ np.log(1 - rate).T
+    top = logp.max(axis=1, keepdims=True)
+    r = np.exp(logp - top)
+    total = r.sum(axis=1, keepdims=True)
+    return (top + np.log(total))[:, 0], r / total
+
+
+def _em(patterns: DataFrame, starts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(log-likelihood, shares, item rates) that each start (shares, rates) leads to.
+
+    One job a round serves all starts: every task adds up the responsibilities of its patterns, and only
+    these sums, a number for each class and item, reach the driver.
+    """
+    done: dict[int, tuple] = {}
+    now, last = dict(enumerate(starts)), {i: -math.inf for i in range(len(starts))}
+    for _ in range(EM_ROUNDS):
+        held = dict(now)
+
+        def sums(batches, held=held):
+            import pyarrow as pa
+
+            total: dict[int, list] = {i: [0.0, np.zeros(p.shape), np.zeros(r.shape)] for i, (p, r) in held.items()}
+            for batch in batches:
+                n = batch.column("n").to_numpy().astype(float)
+                if len(n):
+                    x = batch.column("x").flatten().to_numpy().reshape(len(n), -1).astype(float)
+                    for i, (p, r) in held.items():
+                        like, share = responsibilities(x, p, r)
+                        own, share = total[i], share * n[:, None]
+                        own[0] += float(n @ like)
+                        own[1] += share.sum(axis=0)
+                        own[2] += share.T @ x
+            rows = [(i, like, p.tolist(), r.ravel().tolist()) for i, (like, p, r) in total.items()]
+            kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["i", "like", "prior", "rate"])
+
+        got: dict[int, list] = {}
+        for row in patterns.mapInArrow(sums, "i int, like double, prior array<double>, rate array<double>").collect():  # a row for each task and start
+            k = len(row.prior)
+            own = got.setdefault(row.i, [0.0, np.zeros(k), np.zeros((k, len(row.rate) // k))])
+            own[0] += row.like
+            own[1] += np.array(row.prior)
+            own[2] += np.array(row.rate).reshape(k, -1)
+        for i, (like, p, r) in got.items():
+            done[i] = (like, *now[i])
+            if like - last[i] <= EM_GAIN * abs(like):
+                del now[i]
+            else:
+                last[i] = like
+                now[i] = (p / p.sum(), np.clip(r / np.maximum(p, 1e-300)[:, None], 1e-6, 1 - 1e-6))
+        if not now:
+            break
+    return [done[i] for i in range(len(starts))]
+
+
+def _latent_classes(patterns: DataFrame, items: int, ks: list[int], seed: int = 1) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """For each number of classes the best of several starts, classes in order of their shares."""
+    starts, of = [], []
+    for k in ks:
+        rng = np.random.default_rng(seed)
+        for _ in range(EM_STARTS if k > 1 else 1):
+            starts.append((np.full(k, 1 / k), rng.uniform(0.25, 0.75, (k, items))))
+            of.append(k)
+    best: dict[int, tuple] = {}
+    for k, got in zip(of, _em(patterns, starts), strict=True):
+        if k not in best or got[0] > best[k][0]:
+            order = np.argsort(-got[1])
+            best[k] = (got[0], got[1][order], got[2][order])
+    return best
+
+
+def latent_class(df: DataFrame, items: list[str], k: int = 2, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and item rates of a Bernoulli mixture, by EM over the answer patterns of any number of items."""
+    return _latent_classes(answer_patterns(df, items), len(items), [k], seed)[k][1:]
 
 
 def latent_class_sweep(df: DataFrame, items: list[str], most: int = 4) -> DataFrame:
-    """(k, log_likelihood, parameters, aic, bic, chosen) for 1 to most classes; the least BIC is chosen."""
-    x, n = _patterns(df, items)
-    rows = []
-    for k in range(1, most + 1):
-        like, free = _latent_class(x, n, k)[0], k - 1 + k * len(items)
-        rows.append((k, like, free, 2 * free - 2 * like, float(np.log(n.sum()) * free - 2 * like)))
+    """(k, log_likelihood, parameters, aic, bic, chosen) for 1 to most classes, all fitted together; the least BIC is chosen."""
+    patterns = answer_patterns(df, items)
+    n, rows = patterns.agg(F.sum("n")).first()[0], []
+    for k, (like, _, _) in _latent_classes(patterns, len(items), list(range(1, most + 1))).items():
+        free = k - 1 + k * len(items)
+        rows.append((k, like, free, 2 * free - 2 * like, float(np.log(n) * free - 2 * like)))
     best = min(rows, key=lambda r: r[4])[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, log_likelihood double, parameters int, aic double, bic double, chosen boolean")
 
@@ -481,26 +558,6 @@ def latent_class_members(df: DataFrame, items: list[str], prior: np.ndarray, rat
     return df.withColumn("membership", member).withColumn("class", (F.array_position("membership", F.array_max("membership")) - 1).cast("int"))
 
 
-def _latent_class(x: np.ndarray, n: np.ndarray, k: int, rounds: int = 60, seed: int = 1) -> tuple[float, np.ndarray, np.ndarray]:
-    items = x.shape[1]
-    rng = np.random.default_rng(seed)
-    best = None
-    for _ in range(5):
-        prior, rate = np.full(k, 1 / k), rng.uniform(0.25, 0.75, (k, items))
-        for _ in range(rounds):
-            logp = np.log(prior) + x @ np.log(rate).T + (1 - x) @ np.log(1 - rate).T
-            top = logp.max(axis=1, keepdims=True)
-            r = np.exp(logp - top)
-            like = float((n * (top[:, 0] + np.log(r.sum(axis=1)))).sum())
-            r = r / r.sum(axis=1, keepdims=True) * n[:, None]
-            prior = r.sum(axis=0) / n.sum()
-            rate = np.clip((r.T @ x) / r.sum(axis=0)[:, None], 1e-6, 1 - 1e-6)
-        if best is None or like > best[0]:
-            order = np.argsort(-prior)
-            best = (like, prior[order], rate[order])
-    return best
-
-
 def fuzzy_members(df: DataFrame, features: list[str], centres: np.ndarray, m: float = 2.0) -> DataFrame:
     """df with membership (a share for each centre, summing to 1) and cluster, for centres of fuzzy_cmeans."""
     d = [sum(((clean(c) - float(v)) ** 2 for c, v in zip(features, row, strict=True)), F.lit(1e-12)) for row in centres]

@@ -5,11 +5,14 @@ A panel has key, t and y, one row for each key and time (build_series makes it s
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import clean
+from tesserae.functions.special import normal_cdf
 from tesserae.operators.kernels import gram, group_quantiles
 
 
@@ -117,35 +120,166 @@ def structural_break(s: DataFrame, least: int = 10) -> DataFrame:
     return best.select("key", "b.*", (F.col("b.shift") >= 1).alias("flagged"))
 
 
-# Critical values of published tables (MacKinnon, constant only; KPSS, level), significance to statistic.
-ADF_CRITICAL = {0.01: -3.43, 0.05: -2.86, 0.10: -2.57}
-KPSS_CRITICAL = {0.10: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
-
-
-def series_stationarity(s: DataFrame, lags: int = 1) -> DataFrame:
-    """Augmented Dickey-Fuller with fixed lags (least squares in closed form for one lag) and KPSS, per key."""
-    w = Window.partitionBy("key").orderBy("t")
-    x = s.withColumn("d", F.col("y") - F.lag("y").over(w)).withColumn("l", F.lag("y").over(w)).withColumn("d1", F.lag("d").over(w)).where("d1 is not null")
-    g = x.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in (("l", "l"), ("l", "d1"), ("d1", "d1"), ("l", "d"), ("d1", "d"), ("d", "d"))])
-    det = F.col("ll") * F.col("d1d1") - F.col("ld1") ** 2
-    b1, b2 = (F.col("ld") * F.col("d1d1") - F.col("d1d") * F.col("ld1")) / det, (F.col("d1d") * F.col("ll") - F.col("ld") * F.col("ld1")) / det
-    rss = F.col("n") * (F.col("dd") - b1 * F.col("ld") - b2 * F.col("d1d"))
-    se = F.sqrt(rss / (F.col("n") - 3) * F.col("d1d1") / (det * F.col("n")))
-    adf = g.select("key", (b1 / se).alias("adf"))
-    e = s.withColumn("e", F.col("y") - F.avg("y").over(Window.partitionBy("key")))
-    c = e.withColumn("cum", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lag = 4
-    c = c.withColumns({f"e{k}": F.lag("e", k).over(w) for k in range(1, lag + 1)})
-    long = F.sum(F.col("e") ** 2) + sum((2 * (1 - k / (lag + 1)) * F.sum(F.col("e") * F.col(f"e{k}")) for k in range(1, lag + 1)), F.lit(0.0))
-    kpss = c.groupBy("key").agg((F.sum(F.col("cum") ** 2) / F.count(F.lit(1)) ** 2 / (long / F.count(F.lit(1)))).alias("kpss"))
-    got = adf.join(kpss, "key")
-    root, level = F.col("adf") < ADF_CRITICAL[0.05], F.col("kpss") < KPSS_CRITICAL[0.05]
-    verdict = F.when(root & level, "stationary").when(~root & ~level, "unit root").when(root, "difference stationary").otherwise("trend or short")
+# MacKinnon's approximation of the p-value of a unit root test with a constant (lower and upper
+# polynomial in the statistic, where they meet, where they end), and the KPSS table for a level.
+MACKINNON_LOW = (2.1659, 1.4412, 0.038269)
+MACKINNON_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+MACKINNON_MEET, MACKINNON_LEAST, MACKINNON_MOST = -1.61, -18.83, 2.74
+KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+
+
+def adf_p(statistic: float) -> float:
+    if statistic > MACKINNON_MOST:
+        return 1.0
+    if statistic < MACKINNON_LEAST:
+        return 0.0
+    terms = MACKINNON_LOW if statistic <= MACKINNON_MEET else MACKINNON_HIGH
+    return normal_cdf(sum(c * statistic**k for k, c in enumerate(terms)))
+
+
+def kpss_p(statistic: float) -> float:
+    """Between 0.01 and 0.10, the ends of the table."""
+    return float(np.interp(statistic, *zip(*KPSS_TABLE, strict=True)))
+
+
+class Stationarity:
+    """What both tests need of one series, taken in piece by piece: sums of products and the last few values, however long it is."""
+
+    def __init__(self, n: int, most_lags: int | None):
+        self.n, self.seen = n, 0
+        lags = min(n // 2 - 2, math.ceil(12 * (n / 100) ** 0.25))
+        self.lags = max(0, lags if most_lags is None else min(lags, most_lags))
+        self.near = int(n ** (2 / 9))
+        self.reach = min(n - 1, 2 * math.ceil(1.1447 * max(1, self.near) ** (2 / 3) * n ** (1 / 3)))
+        self.gram = np.zeros((self.lags + 3, self.lags + 3))
+        self.head = np.zeros(0)  # the first values, for rows that only shorter lags have
+        self.tail = np.zeros(0)
+        self.products, self.cum, self.cum2 = np.zeros(self.reach + 1), 0.0, 0.0
+
+    def rows(self, e: np.ndarray, lags: int) -> np.ndarray:
+        """(difference, level before, earlier differences, 1) of each place in e that has so many lags."""
+        w = np.lib.stride_tricks.sliding_window_view(e, lags + 2) if len(e) >= lags + 2 else np.zeros((0, lags + 2))
+        d = np.diff(w, axis=1)[:, ::-1]
+        return np.column_stack((d[:, :1], w[:, -2:-1], d[:, 1:], np.ones(len(w))))
+
+    def add(self, e: np.ndarray) -> None:
+        """The next deviations from the series' mean."""
+        if len(self.head) < self.lags + 1:
+            self.head = np.concatenate((self.head, e[: self.lags + 1 - len(self.head)]))
+        both = np.concatenate((self.tail[len(self.tail) - min(len(self.tail), self.lags + 1) :], e))
+        z = self.rows(both, self.lags)
+        self.gram += z.T @ z
+        c = self.cum + np.cumsum(e)
+        self.cum, self.cum2 = float(c[-1]), self.cum2 + float(c @ c)
+        before = self.tail[max(0, len(self.tail) - self.reach) :]
+        long = np.concatenate((before, e))
+        for k in range(min(self.reach, len(long) - 1) + 1):
+            own = long[max(len(before), k) :]
+            self.products[k] += float(own @ long[max(len(before), k) - k : len(long) - k])
+        self.tail = long[max(0, len(long) - max(self.reach, self.lags + 1)) :]
+        self.seen += len(e)
+
+    def _fit(self, g: np.ndarray, lags: int, count: int) -> tuple[float, float] | None:
+        """(sum of squares, t of the level) with that many earlier differences."""
+        use = [1, *range(2, 2 + lags), self.lags + 2]
+        a, b = g[np.ix_(use, use)], g[use, 0]
+        if count <= len(use) or np.linalg.matrix_rank(a) < len(use):
+            return None
+        beta = np.linalg.solve(a, b)
+        rss = float(g[0, 0] - b @ beta)
+        if rss <= 1e-12 * max(g[0, 0], 1e-300):
+            return None
+        return rss, float(beta[0] / math.sqrt(rss / (count - len(use)) * np.linalg.inv(a)[0, 0]))
+
+    def adf(self) -> tuple[float | None, int | None]:
+        """The statistic with the lag of least AIC, and that lag."""
+        count = self.n - self.lags - 1
+        if self.n < 10:
+            return None, None
+        best = None
+        for lags in range(self.lags + 1):
+            got = self._fit(self.gram, lags, count)
+            if got is not None:
+                aic = count * math.log(got[0] / count) + 2 * (lags + 2)
+                if best is None or aic < best[0]:
+                    best = (aic, lags)
+        if best is None:
+            return None, None
+        lags = best[1]
+        g = self.gram.copy()
+        early = self.rows(self.head, lags)  # rows that the longest lag leaves out
+        wide = np.zeros((len(early), self.lags + 3))
+        wide[:, : lags + 2], wide[:, -1] = early[:, : lags + 2], 1.0
+        g += wide.T @ wide
+        got = self._fit(g, lags, self.n - lags - 1)
+        return (got[1], lags) if got else (None, None)
+
+    def kpss(self) -> tuple[float | None, int | None]:
+        """The statistic, its lags chosen from the data (Hobijn, Franses and Ooms)."""
+        n, p = self.n, self.products
+        if n < 12 or p[0] <= 0:
+            return None, None
+        terms = p[1 : self.near + 1] / (n / 2)
+        s0, s1 = p[0] / n + terms.sum(), float((np.arange(1, self.near + 1) * terms).sum())
+        lags = min(self.reach, int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3))) if s0 else 0
+        k = np.arange(1, lags + 1)
+        var = (p[0] + 2 * float(((1 - k / (lags + 1)) * p[1 : lags + 1]).sum())) / n
+        return (self.cum2 / n**2 / var, lags) if var > 0 else (None, None)
+
+
+def series_stationarity(s: DataFrame, most_lags: int | None = None) -> DataFrame:
+    """(key, n, adf, adf_lags, adf_p, kpss, kpss_lags, kpss_p, verdict) per key.
+
+    Augmented Dickey-Fuller with a constant and the lag of least AIC, and KPSS for a level. A series is
+    read in order and piece by piece; its sums of products are all that is kept. Missing values are left
+    out. Too short or constant series have null statistics, which count as not rejecting a unit root, and as no stationarity.
+    """
+    x = s.where(F.col("y").isNotNull() & ~F.isnan("y"))
+    every = x.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    x = x.join(every, "key").select("key", "t", "n", (F.col("y") - F.col("mean")).alias("e"))
+    kind = s.schema["key"].dataType.simpleString()
+    names = ["n", "adf", "adf_lags", "adf_p", "kpss", "kpss_lags", "kpss_p"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        own, now = None, None
+
+        def out():
+            adf, kpss = own.adf(), own.kpss()
+            row = (own.n, adf[0], adf[1], None if adf[0] is None else adf_p(adf[0]), kpss[0], kpss[1], None if kpss[0] is None else kpss_p(kpss[0]))
+            kinds = (pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64())
+            return pa.RecordBatch.from_arrays([now, *[pa.array([v], k) for v, k in zip(row, kinds, strict=True)]], names=["key", *names])
+
+        for batch in batches:
+            keys, n, e = batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column("e").to_numpy()
+            edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if own is None or now[0].as_py() != keys[a]:
+                    if own is not None:
+                        yield out()
+                    own, now = Stationarity(n[a], most_lags), batch.column("key").slice(a, 1)
+                own.add(e[a:b])
+        if own is not None:
+            yield out()
+
+    schema = f"key {kind}, n long, adf double, adf_lags int, adf_p double, kpss double, kpss_lags int, kpss_p double"
+    got = x.repartition("key").sortWithinPartitions("key", "t").select("key", "n", "e").mapInArrow(run, schema)
+    root, level = F.coalesce(F.col("adf_p") < 0.05, F.lit(False)), F.coalesce(F.col("kpss_p") >= 0.05, F.lit(False))
+    verdict = F.when(root & level, "stationary").when(~root & ~level, "non-stationary").when(root, "trend-stationary").otherwise("difference-stationary")
     return got.withColumn("verdict", verdict)
 
 
 def analyse_series(s: DataFrame, period: int) -> DataFrame:
-    return series_trend(s).join(series_gaps(s).drop("n"), "key").join(series_seasonality(s, period), "key").join(structural_break(s).select("key", "shift", "flagged"), "key", "left")
+    """Trend, gaps, season, break, stationarity, lags with autocorrelation beyond the band, and issues (break, missing periods, too short)."""
+    base = series_trend(s).join(series_gaps(s).drop("n"), "key").join(series_seasonality(s, period), "key").join(structural_break(s).select("key", "shift", "flagged"), "key", "left")
+    state = series_stationarity(s).select("key", "adf_p", "kpss_p", F.col("verdict").alias("stationarity"))
+    lags = autocorrelation(s).where("significant").groupBy("key").agg(F.array_sort(F.collect_list("lag")).alias("significant_lags"))  # 24 at most
+    got = base.join(state, "key", "left").join(lags, "key", "left").withColumn("significant_lags", F.coalesce("significant_lags", F.array().cast("array<int>")))
+    issues = F.array(F.when(F.col("flagged"), "break"), F.when(F.col("expected") > F.col("n"), "missing periods"), F.when(F.col("n") < 24, "too short"))
+    return got.withColumn("issues", F.array_compact(issues))
 
 
 # ---------------------------------------------------------------- forecasts: key, step (1 to h), forecast

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tesserae.operators import series as S
 from tesserae.plans.describing import rounded
 from tesserae.plans.registry import query
@@ -76,9 +78,14 @@ def _(spark, d):
     return rounded(S.series_stationarity(daily(spark, d)))
 
 
-@query("analyse_series", f"select * from ({TREND}) join (select * exclude (n) from ({GAP_ROWS})) using (key) join ({SEASONS}) using (key) left join (select key, shift, flagged from ({BREAKS})) using (key)")
+LAGS = f"with x as (select key, i, y - avg(y) over (partition by key) as d, n from {N}), l as (select unnest(range(1, 25))::int as lag), p as (select key, lag, d, n, lag(d, lag) over (partition by key, lag order by i) as b from x, l), r as (select key, lag, abs(sum(d * b) / sum(d * d)) > 1.96 / sqrt(count(*)) as hit from p group by 1, 2 having count(*) > lag) select key, string_agg(lag::varchar, ',' order by lag) as significant_lags from r where hit group by 1"
+
+
+@query("analyse_series", f"select * exclude (significant_lags), coalesce(significant_lags, '') as significant_lags, concat_ws(',', case when flagged then 'break' end, case when expected > n then 'missing periods' end, case when n < 24 then 'too short' end) as issues from ({TREND}) join (select * exclude (n) from ({GAP_ROWS})) using (key) join ({SEASONS}) using (key) left join (select key, shift, flagged from ({BREAKS})) using (key) left join ({LAGS}) using (key)")
 def _(spark, d):
-    return rounded(S.analyse_series(daily(spark, d), 12))
+    """Without the columns of series_stationarity, which SQL cannot check."""
+    got = S.analyse_series(daily(spark, d), 12).drop("adf_p", "kpss_p", "stationarity")
+    return rounded(got.withColumns({c: F.array_join(c, ",") for c in ("significant_lags", "issues")}))
 
 
 H = "(select unnest(range(1, 7))::int as step)"

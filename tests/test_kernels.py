@@ -115,6 +115,26 @@ def test_latent_classes_and_fuzzy_members(spark):
     assert models.partition_coefficient(members).first()[0] > 0.98 and {r["count"] for r in members.groupBy("cluster").count().collect()} == {200}
 
 
+def test_latent_classes_of_many_items(spark):
+    """24 items: nearly every row is a pattern of its own. Adjusted Rand index of the planted classes, and the mixture's likelihood by hand."""
+    rng = np.random.default_rng(16)
+    z = rng.choice(3, 2500, p=[0.5, 0.3, 0.2])
+    rate = np.where(rng.random((3, 24)) < 0.5, 0.8, 0.2)
+    x = (rng.random((2500, 24)) < rate[z]).astype(int)
+    items = [f"q{i}" for i in range(24)]
+    df = spark.createDataFrame([(int(c), *map(int, r)) for c, r in zip(z, x, strict=True)] + [(9, *[None] * 24)], "z int, " + ", ".join(f"{i} int" for i in items))
+    assert models.answer_patterns(df, items).count() > 2000
+    prior, got = models.latent_class(df, items, 3)
+    assert np.abs(prior - [0.5, 0.3, 0.2]).max() < 0.05
+    members = models.latent_class_members(df, items, prior, got).where("z < 9").toPandas()
+    table = members.groupby(["z", "class"]).size().unstack(fill_value=0).to_numpy()
+    pairs = lambda v: (v * (v - 1) / 2).sum()
+    a, b, both, every = pairs(table.sum(axis=1)), pairs(table.sum(axis=0)), pairs(table), pairs(np.array([2500]))
+    assert (both - a * b / every) / ((a + b) / 2 - a * b / every) > 0.7
+    like = np.log((prior * np.prod(np.where(x[:, None, :] == 1, got, 1 - got), axis=2)).sum(axis=1))
+    assert np.allclose(models.responsibilities(x.astype(float), prior, got)[0], like)
+
+
 def test_three_classes_one_against_the_rest(spark):
     rng = np.random.default_rng(7)
     y = rng.integers(0, 3, 300)

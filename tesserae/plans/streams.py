@@ -52,7 +52,7 @@ def _(spark, d):
     return said(rounded(drained(spark, J.stream_drift_tumbling(events(spark, d, close=True), "value", base[0], base[1]))), "start")
 
 
-@query("stream_profile_sliding", "with w as (select unnest(range(0, 6)) as k), e as (select date_trunc('hour', ts) - k * interval 1 hour as start, value from events, w) select strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) as n, {{avg(value)}} as mean, {{min(value)}} as min, {{max(value)}} as max from e group by 1")
+@query("stream_profile_sliding", "with w as (select unnest(range(0, 6)) as k), e as (select date_trunc('hour', ts) - k * interval 1 hour as start, value from events, w) select strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) as n, {{avg(value)}} as mean, {{min(value)}} as min, {{quantile_disc(value, 0.25)}} as q1, {{quantile_disc(value, 0.5)}} as median, {{quantile_disc(value, 0.75)}} as q3, {{max(value)}} as max from e group by 1")
 def _(spark, d):
     return said(rounded(drained(spark, J.stream_profile_sliding(events(spark, d, close=True), "value"))), "start")
 
@@ -72,6 +72,12 @@ def _(spark, d):
     return said(rounded(drained(spark, J.stream_zscore(events(spark, d), "user_id", "value"))), "ts")
 
 
+@query("stream_zscore_expiring", "with p as (select user_id, ts, value, coalesce(ts - lag(ts) over (partition by user_id order by ts, value) > interval 6 hours, false)::int as new from events where value is not null), g as (select *, sum(new) over (partition by user_id order by ts, value rows unbounded preceding) as part from p), e as (select user_id as key, ts, value, avg(value) over w as m, stddev_pop(value) over w as s from g window w as (partition by user_id, part order by ts, value rows between unbounded preceding and 1 preceding)) select key, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {{value}} as value, {{case when s > 0 then (value - m) / s else 0 end}} as z, coalesce(case when s > 0 then abs((value - m) / s) > 3 end, false) as anomaly from e")
+def _(spark, d):
+    """A user starts afresh after six hours; the state goes with the watermark."""
+    return said(rounded(drained(spark, J.stream_zscore(events(spark, d), "user_id", "value", forget="6 hours"))), "ts")
+
+
 @query("stream_score", "select event_id, {{(select avg(value) from events)}} as prediction, case when value is null then 'abstained' else 'reliable' end as reliability from events")
 def _(spark, d):
     t = table(spark, d, "events")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalar import clean
 from tesserae.operators import evaluate, scoring
 
+#: Accuracy of the sketches of quantiles: ranks are off by one in so many rows of a window.
+QUANTILE_ACCURACY = 10_000
+
 
 def replay(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     """A table's files as a stream, some files a trigger."""
@@ -47,11 +50,13 @@ def stream_drift_tumbling(events: DataFrame, value: str, mean: float, std: float
 
 
 def stream_profile_sliding(events: DataFrame, value: str, key: str | None = None, ts: str = "ts", width: str = "6 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Mergeable aggregates only; with a key, about how many of it."""
+    """Mergeable aggregates only; quartiles by a sketch whose ranks are off by one in QUANTILE_ACCURACY at most; with a key, about how many of it."""
     v = clean(value)
+    q = F.percentile_approx(v, [0.25, 0.5, 0.75], QUANTILE_ACCURACY)
     keys = [F.approx_count_distinct(key).alias("keys")] if key else []
-    g = events.withWatermark(ts, late).groupBy(F.window(ts, width, slide)).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), *keys)
-    return g.select(F.col("window.start").alias("start"), "n", "mean", "min", "max", *(["keys"] if key else []))
+    g = events.withWatermark(ts, late).groupBy(F.window(ts, width, slide)).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q"), *keys)
+    quartiles = [F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))]
+    return g.select(F.col("window.start").alias("start"), "n", "mean", "min", *quartiles, "max", *(["keys"] if key else []))
 
 
 def stream_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -59,31 +64,60 @@ def stream_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30
     return g.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def stream_zscore(events: DataFrame, key: str, value: str, ts: str = "ts", limit: float = 3.0) -> DataFrame:
-    """Each value against the running mean and deviation of its key before it; state: count, mean, M2, three numbers a key.
+def _running_z(x: np.ndarray, n: int, mean: float, m2: float) -> tuple[np.ndarray, int, float, float]:
+    """z of each value against those before it, and the moments after all of them."""
+    d = x - mean
+    count, first, second = n + np.arange(len(x) + 1), np.concatenate(([0.0], np.cumsum(d))), np.concatenate(([0.0], np.cumsum(d * d)))
+    some = np.maximum(count, 1)
+    spread = np.maximum(m2 + second - first * first / some, 0.0)  # squares around the mean before each value
+    std = np.sqrt(spread / some)[:-1]
+    z = np.divide(d - (first / some)[:-1], std, out=np.zeros(len(x)), where=(std > 0) & (count[:-1] > 1))
+    return z, int(count[-1]), float(mean + (first / some)[-1]), float(spread[-1])
+
+
+def stream_zscore(events: DataFrame, key: str, value: str, ts: str = "ts", limit: float = 3.0, forget: pd.Timedelta | str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Each value against the running mean and deviation of its key before it; state: four numbers a key.
 
     Rows whose value is missing or no number are left out. A value without spread before it has z 0.
+    forget: a key starts afresh after so long without a row, whatever batches its rows come in; its state is
+    dropped once the watermark (late behind the latest row) has passed that time. None: keys are never dropped.
     """
+    gap = None if forget is None else pd.Timedelta(forget).value // 1000  # microseconds
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, mean, m2, last = state.get if state.exists else (0, 0.0, 0.0, None)
         for frame in frames:
             frame = frame[[ts, value]].sort_values([ts, value])
             x = frame[value].to_numpy(dtype=float, na_value=np.nan)
             use = np.isfinite(x)
-            x = x[use]
-            d = x - mean
-            count, first, second = n + np.arange(len(x) + 1), np.concatenate(([0.0], np.cumsum(d))), np.concatenate(([0.0], np.cumsum(d * d)))
-            some = np.maximum(count, 1)
-            spread = np.maximum(m2 + second - first * first / some, 0.0)  # squares around the mean before each value
-            std = np.sqrt(spread / some)[:-1]
-            z = np.divide(d - (first / some)[:-1], std, out=np.zeros(len(x)), where=(std > 0) & (count[:-1] > 1))
-            yield pd.DataFrame({"key": k[0], "ts": frame[ts].to_numpy()[use], "value": x, "z": z, "anomaly": np.abs(z) > limit})
-            n, mean, m2 = int(count[-1]), float(mean + (first / some)[-1]), float(spread[-1])
-        state.update((n, mean, m2))
+            x, when = x[use], frame[ts].to_numpy()[use]
+            if not len(x):
+                continue
+            micros = when.astype("datetime64[us]").astype(np.int64)
+            starts = [0]
+            if gap is not None:
+                fresh = np.diff(micros, prepend=micros[0] if last is None else last) > gap
+                starts = sorted({0, *np.flatnonzero(fresh).tolist()})
+                if fresh[0]:
+                    n, mean, m2 = 0, 0.0, 0.0
+            z = []
+            for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+                if a:
+                    n, mean, m2 = 0, 0.0, 0.0
+                part, n, mean, m2 = _running_z(x[a:b], n, mean, m2)
+                z.append(part)
+            z, last = np.concatenate(z), int(max(micros[-1], last or micros[-1]))
+            yield pd.DataFrame({"key": k[0], "ts": when, "value": x, "z": z, "anomaly": np.abs(z) > limit})
+        state.update((n, mean, m2, last))
+        if gap is not None and last is not None:
+            state.setTimeoutTimestamp(max(last + gap, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
 
     out = f"key {dict(events.dtypes)[key]}, ts timestamp, value double, z double, anomaly boolean"
-    return events.groupBy(key).applyInPandasWithState(run, out, "n long, mean double, m2 double", "append", "NoTimeout")
+    rows = events if gap is None else events.withWatermark(ts, late)
+    return rows.groupBy(key).applyInPandasWithState(run, out, "n long, mean double, m2 double, last long", "append", "NoTimeout" if gap is None else "EventTimeTimeout")
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -53,3 +53,42 @@ def test_zscore_leaves_missing_values_out(spark, tmp_path):
             past = x["value"].to_numpy()[:k]
             want = (v - past.mean()) / past.std() if k > 1 and past.std() > 0 else 0.0
             assert abs(got[key, when.to_pydatetime()] - want) < 1e-9
+
+
+def test_state_of_silent_keys_is_dropped(spark, tmp_path):
+    """Every key is active for a day, one after the other: with forget, state rows fall; results are those of fresh starts."""
+    from tesserae.streaming import jobs
+
+    rows = [(86400 * k + 600 * i, k, float((i * 29) % 31)) for k in range(12) for i in range(60)] + [(86400 * 11 + 40_000 + 60 * i, 0, float(i % 5)) for i in range(30)]
+    t = spark.createDataFrame(rows, "s long, user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("s") + 1704067200))
+    for day in range(13):
+        t.where((F.col("s") / 86400).cast("int") == day).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    totals = {}
+    for forget in (None, "3 hours"):
+        stream = jobs.stream_zscore(jobs.replay(spark, f"{tmp_path}/in", t.schema), "user_id", "value", forget=forget)
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out{forget}").option("checkpointLocation", f"{tmp_path}/c{forget}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        totals[forget] = [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+    assert max(totals[None]) == 12 and totals["3 hours"][-1] <= 2 and max(totals["3 hours"]) <= 3
+    got = {(r["key"], r["ts"]): r["z"] for r in spark.read.parquet(f"{tmp_path}/out3 hours").collect()}
+    assert len(got) == len(rows)
+    pdf = t.toPandas().sort_values("ts")
+    for key, own in pdf.groupby("user_id"):
+        past, last = [], None
+        for when, v in zip(own["ts"], own["value"], strict=True):
+            if last is not None and (when - last).total_seconds() > 3 * 3600:
+                past = []
+            want = (v - np.mean(past)) / np.std(past) if len(past) > 1 and np.std(past) > 0 else 0.0
+            assert abs(got[key, when.to_pydatetime()] - want) < 1e-9
+            past.append(v)
+            last = when
+
+
+def test_quartiles_of_windows(spark, folder):
+    t = spark.read.parquet(f"{folder}/events.parquet").toPandas()
+    got = registry.queries()["stream_profile_sliding"](spark, folder).toPandas().set_index("start")
+    for start, row in list(got.iterrows())[::15]:
+        begin = np.datetime64(start)
+        own = np.sort(t["value"][(t["ts"] >= begin) & (t["ts"] < begin + np.timedelta64(6, "h"))])
+        for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+            assert abs(row[c] - own[int(np.ceil(p * len(own))) - 1]) < 1e-6

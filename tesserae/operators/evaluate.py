@@ -251,10 +251,12 @@ def tournament_rank(results: DataFrame, group: str = "segment") -> DataFrame:
     return got.withColumn("rank", F.row_number().over(w.orderBy(F.desc("composite"), "model")))
 
 
-def tournament_roles(ranked: DataFrame, group: str = "segment", baseline: str | None = None) -> DataFrame:
-    """(group, role, model): recommended (best composite), highest (best performance), simplest (most interpretable), and the baseline."""
+def tournament_roles(ranked: DataFrame, group: str = "segment", baseline: str | None = None, tolerance: float = 0.05) -> DataFrame:
+    """(group, role, model): recommended (best composite), highest (best performance), simplest (most interpretable of those within tolerance of the best performance), and the baseline."""
+    top = F.max("performance").over(Window.partitionBy(group))  # a row for each model
+    ranked = ranked.withColumn("_fair", F.col("performance") >= top - tolerance * F.abs(top))
     best = lambda *by: F.min_by("model", F.struct(*by, "model"))
-    g = ranked.groupBy(group).agg(best(-F.col("composite")).alias("recommended"), best(-F.col("performance")).alias("highest"), best(-F.col("interpretability"), -F.col("composite")).alias("simplest"), F.max(F.when(F.col("model") == F.lit(baseline), F.col("model"))).alias("baseline"))
+    g = ranked.groupBy(group).agg(best(-F.col("composite")).alias("recommended"), best(-F.col("performance")).alias("highest"), F.min_by("model", F.when(F.col("_fair"), F.struct(-F.col("interpretability"), -F.col("composite"), "model"))).alias("simplest"), F.max(F.when(F.col("model") == F.lit(baseline), F.col("model"))).alias("baseline"))
     return g.select(group, F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("model")) for r in ("recommended", "highest", "simplest", "baseline")]))).where("model is not null")
 
 

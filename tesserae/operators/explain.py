@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import clustering as K
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalar import clean
 from tesserae.operators.clusters import clustering_metrics
 from tesserae.operators.kernels import quantiles
-from tesserae.operators.models import _solve, cross_validate, fit, fold_of, vectors
+from tesserae.operators.models import _solve, by_fold, cross_validate, fit, fold_of, fold_table, vectors
 
 
 def _complete(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
@@ -132,14 +135,44 @@ def learning_curve(df: DataFrame, name: str, features: list[str], target: str, k
     return df.sparkSession.createDataFrame([(*r, verdict) for r in rows], "share double, n long, train_r2 double, test_r2 double, verdict string")
 
 
-def tune(df: DataFrame, name: str, features: list[str], target: str, key: list[str], grid: dict[str, list], k: int = 3) -> DataFrame:
-    """(options, rmse, rank): every combination of the grid by out-of-fold error; ties in the order of the grid."""
-    rows = []
-    for values in itertools.product(*grid.values()):
-        options = dict(zip(grid, values, strict=True))
-        got = cross_validate(df, name, features, target, key, k, **options)
-        rmse = got.agg(F.sqrt(F.avg((F.col("prediction") - F.col("actual")) ** 2))).first()[0]
-        rows.append((", ".join(f"{c}={v}" for c, v in options.items()), rmse))
+def drawn(space: dict, draws: int, seed: int = 0) -> list[dict]:
+    """That many different points of a space, the same for one seed: a list is drawn from, (low, high) is uniform, (low, high, "log") is so in its logarithm.
+
+    With lists only, no more points than there are.
+    """
+    rng = random.Random(seed)
+    most = math.prod(len(v) for v in space.values()) if all(isinstance(v, list) for v in space.values()) else draws
+
+    def one(v):
+        if isinstance(v, list):
+            return v[rng.randrange(len(v))]
+        low, high, *log = v
+        return math.exp(rng.uniform(math.log(low), math.log(high))) if log else rng.uniform(low, high)
+
+    out: list[dict] = []
+    while len(out) < min(draws, most):
+        point = {c: one(v) for c, v in space.items()}
+        if point not in out:
+            out.append(point)
+    return out
+
+
+def tune(df: DataFrame, name: str, features: list[str], target: str, key: list[str], space: dict, k: int = 3, draws: int | None = None, seed: int = 0, at_once: int = 4) -> DataFrame:
+    """(options, rmse, rank): points of a space by out-of-fold error; every combination of its lists, or so many draws (see drawn).
+
+    All fits read one written table of folds, at_once of them at a time; ties in the order of the points.
+    """
+    points = [dict(zip(space, v, strict=True)) for v in itertools.product(*space.values())] if draws is None else drawn(space, draws, seed)
+    x = fold_table(df.withColumn("fold", fold_of(key, k)), features, target, key, {})
+
+    def error(options: dict) -> float | None:
+        got = by_fold(x, name, features, target, key, k, **options)
+        return got.agg(F.sqrt(F.avg((F.col("prediction") - F.col("actual")) ** 2))).first()[0]
+
+    with ThreadPool(at_once) as pool:
+        errors = pool.map(inheritable_thread_target(df.sparkSession)(error), points)
+    said = lambda v: f"{v:.6g}" if isinstance(v, float) and draws is not None else f"{v}"
+    rows = [(", ".join(f"{c}={said(v)}" for c, v in o.items()), e) for o, e in zip(points, errors, strict=True)]
     ranked = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0))
     return df.sparkSession.createDataFrame([(*r, i + 1) for i, r in enumerate(ranked)], "options string, rmse double, rank int")
 

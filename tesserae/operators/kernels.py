@@ -271,3 +271,18 @@ def gram(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     for (i, j), v in zip(pairs, row, strict=True):
         s[i, j] = s[j, i] = v or 0.0
     return n, means, s
+
+
+def gram_by(df: DataFrame, cols: list[str], by: str) -> list[tuple]:
+    """(level, n, means, centred sums of products) for each level of by, in order, from one aggregate; p * p numbers a level to the driver."""
+    x = df.where(F.col(by).isNotNull()).select(F.col(by).alias("_g"), *[clean(c).alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    p = len(cols)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    rows = x.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f"c{i}") for i in range(p)]).alias("m"), F.array(*[F.covar_pop(f"c{i}", f"c{j}") for i, j in pairs]).alias("s")).orderBy("_g").collect()
+    out = []
+    for r in rows:
+        s = np.zeros((p, p))
+        for (i, j), v in zip(pairs, r.s, strict=True):
+            s[i, j] = s[j, i] = (v or 0.0) * r.n
+        out.append((r._g, r.n, np.array(r.m, dtype=float), s))
+    return out

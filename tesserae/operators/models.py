@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import special
 from tesserae.functions.scalar import clean
-from tesserae.operators.kernels import gram, quantiles
+from tesserae.operators.kernels import gram, gram_by, quantiles
 from tesserae.operators.neighbours import mean_of, mode_of, with_nearest
 from tesserae.sources.written import written
 
@@ -233,8 +233,7 @@ def fit_ridge_classifier(df, features, target, alpha=1.0):
 
 def fit_discriminant(df, features, target, quadratic=False):
     """Class means and covariances (pooled unless quadratic) as a score of each class."""
-    classes = [r[0] for r in df.select(target).distinct().orderBy(target).collect()]
-    got = [(c, *gram(df.where(F.col(target) == c), features)) for c in classes]
+    got = gram_by(df, features, target)
     total, p = sum(n for _, n, _, _ in got), len(features)
     pooled = sum(s for *_, s in got) / (total - len(got))
     parts = []
@@ -389,6 +388,17 @@ def cross_validate(df, name, features, target, key: list[str], k: int = 5, strat
             out = part if out is None else out.unionAll(part)
         return out
     x = stratified_folds(df, key, stratify, k) if stratify else df.withColumn("fold", fold_of(key, k))
+    return by_fold(fold_table(x, features, target, key, options), name, features, target, key, k, **options)
+
+
+def fold_table(x: DataFrame, features, target, key, options: dict) -> DataFrame:
+    """The columns that fits need, written once, so that no fold reads the source again."""
+    named = [v for o in options.values() for v in (o if isinstance(o, list) else [o]) if isinstance(v, str) and v in x.columns]
+    return written(x.select(*dict.fromkeys([*key, *features, target, *named, "fold"])))
+
+
+def by_fold(x: DataFrame, name, features, target, key, k: int, **options) -> DataFrame:
+    """(key, fold, actual, prediction): each fold by a model of the others."""
     out = None
     for i in range(k):
         m = fit(name, x.where(F.col("fold") != i), features, target, **options)
@@ -642,9 +652,7 @@ def factor_analysis(df: DataFrame, features: list[str], k: int = 1, rounds: int
 
 def lda_projection(df: DataFrame, features: list[str], target: str, k: int = 1) -> np.ndarray:
     _, mean, total = gram(df, features)
-    within = np.zeros_like(total)
-    for r in df.select(target).distinct().collect():  # one row a class
-        within += gram(df.where(F.col(target) == r[0]), features)[2]
+    within = sum((s for *_, s in gram_by(df, features, target)), np.zeros_like(total))
     values, vec = np.linalg.eig(np.linalg.solve(within + 1e-9 * np.eye(len(features)), total - within))
     return np.real(vec[:, np.argsort(-np.real(values))[:k]]).T
 
@@ -692,8 +700,9 @@ def sample_limit(n: int, sample: int) -> int:
 def isolation_forest(df: DataFrame, features: list[str], trees: int = 50, sample: int = 256, key: list[str] | None = None) -> DataFrame:
     """Each tree on the rows with its least hashes (one group a tree), path lengths by Arrow batches on all rows."""
     n = df.count()
-    ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    part = df.select(*[clean(c).alias(c) for c in features], *[c for c in key or [] if c not in features]).withColumn("_t", ids).withColumn("_h", F.xxhash64(*(key or features), F.col("_t"))).where(F.col("_h") <= F.lit(sample_limit(n, sample)))
+    own = lambda t: F.xxhash64(*(key or features), t)
+    ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: own(t) <= F.lit(sample_limit(n, sample)))  # a row is copied only for the trees it is in
+    part = df.select(*[clean(c).alias(c) for c in features], *[c for c in key or [] if c not in features]).withColumn("_t", F.explode(ids)).withColumn("_h", own(F.col("_t")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_t"].iloc[0])

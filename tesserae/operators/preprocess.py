@@ -535,9 +535,9 @@ def f_scores_classes(df, cols, target) -> dict[str, float]:
     """One-way F of every column by the classes, from one aggregate."""
     x = long_form(df.select(F.col(target).alias("_y"), *cols), cols, "_y", cast="double").where("value is not null")
     g = x.groupBy("variable", "_y").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
-    out = {}
+    out, rows = {}, g.collect()  # one row a column and class
     for c in cols:
-        s = [r for r in g.where(F.col("variable") == c).collect()]  # one row a class
+        s = [r for r in rows if r["variable"] == c]
         n, k = sum(r["n"] for r in s), len(s)
         grand = sum(r["n"] * r["m"] for r in s) / n
         between, within = sum(r["n"] * (r["m"] - grand) ** 2 for r in s), sum((r["n"] - 1) * (r["v"] or 0) for r in s)

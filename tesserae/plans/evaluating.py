@@ -145,9 +145,9 @@ def _(spark, d):
     return rounded(E.tournament_rank(entries(spark, d)).select("segment", "model", "composite", "rank"))
 
 
-@query("tournament_roles", TS + "select segment, 'recommended' as role, arg_min(model, struct_pack(a := -composite, b := model)) as model from c group by 1 union all select segment, 'highest', arg_min(model, struct_pack(a := -p, b := model)) from (select segment, model, performance as p from t) group by 1 union all select segment, 'simplest', arg_min(model, struct_pack(a := -composite, b := model)) from c group by 1 union all select segment, 'baseline', 'A1' from c where model = 'A1'")
+@query("tournament_roles", TS + "select segment, 'recommended' as role, arg_min(model, struct_pack(a := -composite, b := model)) as model from c group by 1 union all select segment, 'highest', arg_min(model, struct_pack(a := -p, b := model)) from (select segment, model, performance as p from t) group by 1 union all select segment, 'simplest', arg_min(model, struct_pack(a := -composite, b := model)) from c join (select segment, model, performance >= 0.999 * max(performance) over (partition by segment) as fair from t) using (segment, model) where fair group by 1 union all select segment, 'baseline', 'A1' from c where model = 'A1'")
 def _(spark, d):
-    return E.tournament_roles(E.tournament_rank(entries(spark, d)), baseline="A1")
+    return E.tournament_roles(E.tournament_rank(entries(spark, d)), baseline="A1", tolerance=0.001)
 
 
 @query("rank_per_series", TS + "select segment, model, {{composite}} as composite, rank from k where rank = 1")

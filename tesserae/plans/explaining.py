@@ -46,6 +46,11 @@ def _(spark, d):
     return rounded(E.tune(items(spark, d), "gram_ridge", X, Y, KEY, {"alpha": [0.0, 1.0, 100.0]}))
 
 
+@query("tune_random")
+def _(spark, d):
+    return rounded(E.tune(items(spark, d), "gram_ridge", X, Y, KEY, {"alpha": (1e-3, 1e3, "log")}, draws=5, seed=3))
+
+
 @query("sensitivity_run")
 def _(spark, d):
     return rounded(E.sensitivity_run(items(spark, d), X, Y, KEY))

@@ -57,6 +57,25 @@ def test_learning_curve_plateaus_and_tuning_ranks(planted):
     assert best["options"] == "alpha=0.0"
 
 
+def test_random_search_repeats_its_draws(planted, monkeypatch):
+    space = {"alpha": (1e-3, 1e6, "log")}
+    first = explain.drawn(space, 6, 1)
+    assert first == explain.drawn(space, 6, 1) != explain.drawn(space, 6, 2) and all(1e-3 <= o["alpha"] <= 1e6 for o in first)
+    assert len(explain.drawn({"a": [1, 2], "b": [3]}, 10)) == 2
+    got = explain.tune(planted.dropna(), "gram_ridge", ["a", "b"], "y", ["id"], space, draws=6, seed=1).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5, 6] and got[0]["options"] == f"alpha={min(o['alpha'] for o in first):.6g}"
+    assert [r["rmse"] for r in got] == sorted(r["rmse"] for r in got)
+
+
+def test_roles_within_a_tolerance(spark):
+    from tesserae.operators import evaluate
+
+    rows = [("s", "best", 0.90, 0.1, 0.9), ("s", "plain", 0.87, 0.9, 0.5), ("s", "plainest", 0.80, 1.0, 0.1), ("s", "b", 0.2, 0.2, 0.0)]
+    ranked = spark.createDataFrame(rows, "segment string, model string, performance double, interpretability double, composite double")
+    roles = {r["role"]: r["model"] for r in evaluate.tournament_roles(ranked, baseline="b").collect()}
+    assert roles == {"recommended": "best", "highest": "best", "simplest": "plain", "baseline": "b"}
+
+
 def test_sensitivity_keeps_the_planted_driver(planted):
     got = explain.sensitivity_run(planted, ["a", "b", "c"], "y", ["id"]).collect()
     assert got[0]["driver"] == "a" and got[0]["verdict"] == "stable"

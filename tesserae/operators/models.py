@@ -278,60 +278,120 @@ def baseline_dummy(df, features, target, classify=False):
     return lambda x: x.withColumn("prediction", F.lit(value))
 
 
+def _classes(df: DataFrame, target: str) -> int:
+    """Labels are 0 to this number less one."""
+    return int(df.agg(F.max(F.col(target).cast("int"))).first()[0] or 0) + 1
+
+
+def _argmax(scores):
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("double")
+
+
 def fit_adaboost(df, features, target, rounds=10, depth=2):
-    """Trees on reweighted rows (binary labels 0 and 1); weights are a projection of the trees so far."""
-    x = vectors(df.withColumn("_s", 2 * F.col(target) - 1), features).withColumn("_w", F.lit(1.0))
+    """Trees on reweighted rows, voting by their accuracy (SAMME); weights are a projection of the trees so far."""
+    k = max(2, _classes(df, target))
+    x = vectors(df, features).withColumn("_w", F.lit(1.0))
     trees = []
     for _ in range(rounds):
         m = C.DecisionTreeClassifier(labelCol=target, weightCol="_w", maxDepth=depth, seed=1).fit(x)
         got = m.transform(x)
         miss = (F.col("prediction") != F.col(target)).cast("double")
         err = got.agg(F.sum(F.col("_w") * miss) / F.sum("_w")).first()[0]
-        if not 0 < err < 0.5:
+        if err is None or not 0 < err < 1 - 1 / k:
+            if not trees:
+                trees.append((m, 1.0))  # a perfect first tree, or one no better than chance
             break
-        a = 0.5 * math.log((1 - err) / err)
+        a = math.log((1 - err) / err) + math.log(k - 1)
         trees.append((m, a))
-        x = got.withColumn("_w", F.col("_w") * F.exp(a * (2 * miss - 1))).drop("prediction", "probability", "rawPrediction")
+        x = got.withColumn("_w", F.col("_w") * F.exp(a * (miss - 0.5))).drop("prediction", "probability", "rawPrediction")
+
+    def votes(a):
+        return F.transform("_f", lambda v, i: v + F.when(i == F.col("prediction"), a).otherwise(0.0))
 
     def predict(y):
-        y = vectors(y, features).withColumn("_f", F.lit(0.0))
+        y = vectors(y, features).withColumn("_f", F.array_repeat(F.lit(0.0), k))
         for m, a in trees:
-            y = m.transform(y).withColumn("_f", F.col("_f") + a * (2 * F.col("prediction") - 1)).drop("prediction", "probability", "rawPrediction")
-        return y.withColumn("prediction", (F.col("_f") > 0).cast("double")).drop("_f", "features")
+            y = m.transform(y).withColumn("_f", votes(a)).drop("prediction", "probability", "rawPrediction")
+        return y.withColumn("prediction", _argmax(F.col("_f"))).drop("_f", "features")
+
+    return predict
+
+
+def fit_adaboost_regression(df, features, target, rounds=10, depth=3):
+    """AdaBoost.R2 with linear loss: rows with large errors gain weight; the answer is the median of the trees, weighted by log(1 / beta)."""
+    x = vectors(df.where(F.col(target).isNotNull()), features).withColumn("_w", F.lit(1.0))
+    trees = []
+    for _ in range(rounds):
+        m = R.DecisionTreeRegressor(labelCol=target, weightCol="_w", maxDepth=depth, seed=1).fit(x)
+        got = m.transform(x).withColumn("_a", F.abs(F.col("prediction") - F.col(target)))
+        most = got.agg(F.max("_a")).first()[0]
+        loss = got.agg(F.sum(F.col("_w") * F.col("_a")) / F.sum("_w")).first()[0] / most if most else 0.0
+        if not 0 < loss < 0.5:
+            if not trees or loss == 0:
+                trees.append((m, 1.0 if loss else 50.0))
+            break
+        beta = loss / (1 - loss)
+        trees.append((m, math.log(1 / beta)))
+        x = got.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), 1 - F.col("_a") / most)).drop("prediction", "_a")
+
+    def predict(y):
+        y = vectors(y, features).withColumn("_v", F.array().cast("array<struct<p: double, w: double>>"))
+        for m, w in trees:
+            y = m.transform(y).withColumn("_v", F.array_append("_v", F.struct(F.col("prediction").alias("p"), F.lit(w).alias("w")))).drop("prediction")
+        half = sum(w for _, w in trees) / 2
+        start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p"))
+
+        def step(s, e):
+            total = s["w"] + e["w"]
+            return F.struct(total.alias("w"), F.when(s["p"].isNotNull(), s["p"]).when(total >= half - 1e-12, e["p"]).alias("p"))
+
+        return y.withColumn("prediction", F.aggregate(F.array_sort("_v"), start, step)["p"]).drop("_v", "features")
 
     return predict
 
 
 def fit_average(names: list[str], classify: bool = False):
-    """The mean of several models (voting), or of one model on hashed Poisson weights (bagging)."""
+    """The mean of several models (voting); classify: of their class probabilities, the greatest of which decides."""
 
     def run(df, features, target, **options):
         models = [fit(n, df, features, target) for n in names]
 
         def predict(x):
-            x = x.withColumn("_m", F.lit(0.0))
+            x = x.withColumn("_m", F.lit(None).cast("array<double>") if classify else F.lit(0.0))
             for m in models:
-                p = vector_to_array("probability")[1] if classify else F.col("prediction")
-                x = m(x).withColumn("_m", F.col("_m") + p / len(models)).drop("prediction", "probability")
-            return x.withColumnRenamed("_m", "prediction") if not classify else x.withColumn("prediction", (F.col("_m") > 0.5).cast("double")).withColumnRenamed("_m", "score")
+                x = m(x)
+                own = vector_to_array("probability") if classify else F.col("prediction")
+                both = F.when(F.col("_m").isNull(), own).otherwise(F.zip_with("_m", own, lambda a, b: a + b)) if classify else F.col("_m") + own / len(models)
+                x = x.withColumn("_m", both).drop("prediction", "probability")
+            if not classify:
+                return x.withColumnRenamed("_m", "prediction")
+            return x.withColumn("probability", F.transform("_m", lambda v: v / len(models))).withColumn("prediction", _argmax(F.col("_m"))).drop("_m")
 
         return predict
 
     return run
 
 
-def fit_bagging(df, features, target, members=5, key=None):
+def fit_bagging(df, features, target, members=5, key=None, classes=False):
+    """Trees on hashed Poisson weights; their mean, or (classes) the class with the greatest mean probability."""
     x = vectors(df, features)
+    kind = C.DecisionTreeClassifier if classes else R.DecisionTreeRegressor
     models = []
     for i in range(members):
         u = F.pmod(F.xxhash64(*[F.col(c) for c in (key or features)], F.lit(i)), F.lit(10**6)) / 1e6
         weight = sum((F.when(u > t, 1.0).otherwise(0.0) for t in (0.3679, 0.7358, 0.9197, 0.981)), F.lit(0.0))  # Poisson(1) by its distribution
-        models.append(R.DecisionTreeRegressor(labelCol=target, weightCol="_w", seed=1).fit(x.withColumn("_w", weight).where("_w > 0")))
+        models.append(kind(labelCol=target, weightCol="_w", seed=1).fit(x.withColumn("_w", weight).where("_w > 0")))
+    k = _classes(df, target) if classes else 0
 
     def predict(y):
-        y = vectors(y, features).withColumn("_m", F.lit(0.0))
+        y = vectors(y, features).withColumn("_m", F.array_repeat(F.lit(0.0), k) if classes else F.lit(0.0))
         for m in models:
-            y = m.transform(y).withColumn("_m", F.col("_m") + F.col("prediction") / len(models)).drop("prediction")
+            y = m.transform(y)
+            # a member that has not seen the last classes has a shorter vector
+            more = F.zip_with("_m", vector_to_array("probability"), lambda a, b: a + F.coalesce(b, F.lit(0.0)) / len(models)) if classes else F.col("_m") + F.col("prediction") / len(models)
+            y = y.withColumn("_m", more).drop("prediction", "probability", "rawPrediction")
+        if classes:
+            return y.withColumn("prediction", _argmax(F.col("_m"))).withColumnRenamed("_m", "probability").drop("features")
         return y.drop("features").withColumnRenamed("_m", "prediction")
 
     return predict
@@ -397,12 +457,13 @@ def fold_table(x: DataFrame, features, target, key, options: dict) -> DataFrame:
     return written(x.select(*dict.fromkeys([*key, *features, target, *named, "fold"])))
 
 
-def by_fold(x: DataFrame, name, features, target, key, k: int, **options) -> DataFrame:
-    """(key, fold, actual, prediction): each fold by a model of the others."""
+def by_fold(x: DataFrame, name, features, target, key, k: int, scores: bool = False, **options) -> DataFrame:
+    """(key, fold, actual, prediction): each fold by a model of the others. scores: class probabilities, as an array, beside them."""
     out = None
     for i in range(k):
         m = fit(name, x.where(F.col("fold") != i), features, target, **options)
-        part = m(x.where(F.col("fold") == i)).select(*key, "fold", F.col(target).alias("actual"), "prediction")
+        got = m(x.where(F.col("fold") == i))
+        part = got.select(*key, "fold", F.col(target).alias("actual"), "prediction", *([vector_to_array("probability").alias("probability")] if scores else []))
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -412,19 +473,29 @@ def train_holdout(df, key: list[str], share: float = 0.2) -> tuple[DataFrame, Da
     return df.where(u >= int(1000 * share)), df.where(u < int(1000 * share))
 
 
-def fit_stacking(names: list[str]):
+def fit_stacking(names: list[str], classify: bool = False, folds: int = 5):
+    """A model of other models' out-of-fold predictions (classify: class probabilities, joined by logistic regression)."""
+
     def run(df, features, target, key=None, **options):
-        cv = [cross_validate(df, n, features, target, key, 3).select(*key, F.col("prediction").alias(f"_s{i}")) for i, n in enumerate(names)]
-        x = df
-        for part in cv:
-            x = x.join(part, key)
-        cols = [f"_s{i}" for i in range(len(names))]
-        meta = fit("linear_regression", x, cols, target)
+        x = fold_table(df.withColumn("fold", fold_of(key, folds)), features, target, key, {})
+        k = _classes(df, target) if classify else 0
+        own = [[f"_s{i}_{c}" for c in range(1, k)] if classify else [f"_s{i}"] for i in range(len(names))]
+
+        def spread(y, i, score):
+            return y.withColumns({c: F.coalesce(F.try_element_at(score, F.lit(j + 2)), F.lit(0.0)) if classify else score for j, c in enumerate(own[i])})
+
+        meta_rows = x
+        for i, n in enumerate(names):
+            cv = by_fold(x, n, features, target, key, folds, scores=classify)
+            meta_rows = meta_rows.join(spread(cv, i, F.col("probability" if classify else "prediction")).select(*key, *own[i]), key)
+        cols = [c for o in own for c in o]
+        meta = fit("logistic" if classify else "linear_regression", meta_rows.drop("fold"), cols, target)
         models = [fit(n, df, features, target) for n in names]
 
         def predict(y):
             for i, m in enumerate(models):
-                y = m(y).withColumnRenamed("prediction", f"_s{i}")
+                y = m(y)
+                y = spread(y, i, vector_to_array("probability") if classify else F.col("prediction")).drop("prediction", "probability")
             return meta(y).drop(*cols)
 
         return predict
@@ -442,7 +513,7 @@ def fit_knn(df, features, target, k=5, classes=False):
     return predict
 
 
-for _n, _fit in (("gram_ridge", fit_gram_ridge), ("ridge", lambda df, features, target, alpha=1.0: fit_gram_ridge(df, features, target, alpha)), ("bayesian_ridge", fit_bayesian_ridge), ("pls", fit_pls), ("quantile_regression", fit_quantile_regression), ("ridge_classifier", fit_ridge_classifier), ("discriminant", fit_discriminant), ("polynomial", fit_polynomial), ("baseline_dummy", baseline_dummy), ("adaboost", fit_adaboost), ("bagging", fit_bagging), ("knn", fit_knn), ("voting", fit_average(["ridge", "random_forest_regression", "gbt_regression"])), ("stacking", fit_stacking(["ridge", "decision_tree_regression"]))):
+for _n, _fit in (("gram_ridge", fit_gram_ridge), ("ridge", lambda df, features, target, alpha=1.0: fit_gram_ridge(df, features, target, alpha)), ("bayesian_ridge", fit_bayesian_ridge), ("pls", fit_pls), ("quantile_regression", fit_quantile_regression), ("ridge_classifier", fit_ridge_classifier), ("discriminant", fit_discriminant), ("polynomial", fit_polynomial), ("baseline_dummy", baseline_dummy), ("adaboost", fit_adaboost), ("bagging", fit_bagging), ("knn", fit_knn), ("voting", fit_average(["ridge", "random_forest_regression", "gbt_regression"])), ("stacking", fit_stacking(["ridge", "decision_tree_regression"])), ("adaboost_regression", fit_adaboost_regression), ("bagging_classes", lambda *a, **o: fit_bagging(*a, classes=True, **o)), ("voting_classes", fit_average(["logistic", "decision_tree", "naive_bayes"], classify=True)), ("stacking_classes", fit_stacking(["logistic", "decision_tree"], classify=True))):
     register_model(_n, _fit)
 
 

@@ -101,10 +101,15 @@ for _n, _m, _o in (("fit_decision_tree", "decision_tree", {}), ("fit_adaboost",
     classifier(_n, _m, **_o)
 
 
+for _n, _m, _o in (("fit_voting_classes", "voting_classes", {}), ("fit_bagging_classes", "bagging_classes", {}), ("fit_stacking_classes", "stacking_classes", {"key": KEY})):
+    classifier(_n, _m, **_o)
+regression("fit_adaboost_regression", "adaboost_regression")
+
+
 @query("fit_voting")
 def _(spark, d):
     x = items(spark, d)
-    return summary(M.fit_average(["ridge", "decision_tree_regression"])(x, X, Y)(x))
+    return summary(M.fit_average(["ridge", "random_forest_regression", "gbt_regression"])(x, X, Y)(x))
 
 
 def knn_sql(target, answer, name="prediction", reference="true", asked="true"):

@@ -190,6 +190,41 @@ def ols_robust_errors(df: DataFrame, features: list[str], target: str) -> DataFr
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double, se_hc3 double")
 
 
+def durbin_watson(df: DataFrame, features: list[str], target: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """(n, durbin_watson) of least-squares residuals in the order of some columns.
+
+    Rows are dealt to ranges of that order; inside a range neighbours are compared, and the ends of
+    neighbouring ranges on the driver (a row for each range).
+    """
+    _, _, _, w, b = _solve(df, features, target)
+    e = clean(target) - sum((clean(c) * float(a) for c, a in zip(features, w, strict=True)), F.lit(float(b)))
+    x = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], e.alias("e")).where("e is not null and not isnan(e)")
+    keys = [f"_o{i}" for i in range(len(order))]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        first = last = None
+        n, squares, steps = 0, 0.0, 0.0
+        for batch in batches:
+            v = batch.column("e").to_numpy()
+            if not len(v):
+                continue
+            steps += float((np.diff(v, prepend=v[0] if last is None else last) ** 2).sum())
+            first, last = v[0] if first is None else first, v[-1]
+            n, squares = n + len(v), squares + float(v @ v)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (TaskContext.get().partitionId(), n, float(first), float(last), squares, steps)], names=["part", "n", "first", "last", "squares", "steps"])
+
+    parts = parts or max(8, x.rdd.getNumPartitions())
+    rows = x.repartitionByRange(parts, *keys, "e").sortWithinPartitions(*keys, "e").select("e").mapInArrow(run, "part long, n long, first double, last double, squares double, steps double").collect()
+    rows.sort(key=lambda r: r.part)
+    steps = sum(r.steps for r in rows) + sum((b.first - a.last) ** 2 for a, b in zip(rows, rows[1:], strict=False))
+    squares, n = sum(r.squares for r in rows), sum(r.n for r in rows)
+    return df.sparkSession.createDataFrame([(n, steps / squares if squares else None)], "n long, durbin_watson double")
+
+
 def ols_summary(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """One row on a least-squares fit: r2, F, log likelihood, AIC, BIC, and Jarque-Bera of its residuals."""
     n, _, s, w, b = _solve(df, features, target)

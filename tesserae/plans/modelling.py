@@ -90,6 +90,11 @@ def _(spark, d):
     return rounded(M.ols_summary(items(spark, d), ["l_quantity"], Y).drop("f_p"))
 
 
+@query("ols_durbin_watson", f"with s as (select regr_slope({Y}, l_quantity) as b, regr_intercept({Y}, l_quantity) as a from lineitem), e as (select {K}, {Y} - a - b * l_quantity as e from lineitem, s), d as (select e, e - lag(e) over (order by {K}, e) as d from e) select count(*) as n, {{{{sum(d * d) / sum(e * e)}}}} as durbin_watson from d")
+def _(spark, d):
+    return rounded(M.durbin_watson(items(spark, d), ["l_quantity"], Y, KEY))
+
+
 @query("ols_robust_errors", f"with s as (select regr_slope({Y}, l_quantity) as b, regr_intercept({Y}, l_quantity) as a, regr_sxx({Y}, l_quantity) as sxx, avg(l_quantity) as m, count(*) as n from lineitem), x as (select l_quantity - m as z, (({Y} - a - b * l_quantity) / (1 - 1 / n - (l_quantity - m) ** 2 / sxx)) ** 2 as w from lineitem, s), t as (select sum(w) as t0, sum(w * z) as t1, sum(w * z * z) as t2 from x) select 'l_quantity' as term, {{{{b}}}} as coefficient, {{{{sqrt(t2) / sxx}}}} as se_hc3 from s, t union all select 'intercept', {{{{a}}}}, {{{{sqrt(t0 / (n * n) - 2 * m * t1 / (n * sxx) + m * m * t2 / (sxx * sxx))}}}} from s, t")
 def _(spark, d):
     return rounded(M.ols_robust_errors(items(spark, d), ["l_quantity"], Y))

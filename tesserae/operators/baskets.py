@@ -24,8 +24,8 @@ def split_items(df: DataFrame, txn: str, items: str) -> DataFrame:
 
 def basket_build(df: DataFrame, txn: str, item: str, most_items: int | None = 500, least: float = 0.0) -> DataFrame:
     """(txn, items): sets of the most frequent items; rarer ones go, with their number fixed by most_items (None: all stay)."""
-    x = df.select(F.col(txn).alias("txn"), F.col(item).cast("string").alias("item")).dropna().distinct()
-    n = x.select("txn").distinct().count()
+    x = written(df.select(F.col(txn).alias("txn"), F.col(item).cast("string").alias("item")).dropna().distinct())  # read three times
+    n = x.select("txn").distinct().count() if least > 0 else 0
     top = x.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least * n)
     if most_items is not None:
         top = top.orderBy(F.desc("n"), "item").limit(most_items)

@@ -38,9 +38,9 @@ _FOLLOWS[0xC3:0xE1] = True
 _FOLLOWS[0xE4:0xF5] = True
 
 
-def encoder_of(path: str, end_id: int) -> PieceEncoder:
+def encoder_of(path: str, end_id: int, kept: int = KEPT_PIECES) -> PieceEncoder:
     """This process's encoder: a worker runs many tasks, and the pieces it keeps serve all of them."""
-    return held((path, end_id), lambda: PieceEncoder(path, end_id))
+    return held((path, end_id, kept), lambda: PieceEncoder(path, end_id, kept))
 
 
 def valid(text: bytes) -> bytes:

@@ -29,6 +29,8 @@ from tesserae.llm.tokens import STEP_BYTES, encoder_of
 END_ID = 0
 #: Tokens at which a shard is closed.
 SHARD_TOKENS = 1 << 19
+#: Pieces that a worker keeps here, where it has no other stage's memory beside it.
+KEPT = 400_000
 _MAGIC, _BLOCK = b"TWM2", 512
 
 
@@ -203,7 +205,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part, seq = encoder_of(tokenizer, END_ID), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(tokenizer, END_ID, KEPT), TaskContext.get().partitionId(), 0
         ids, own, lengths, size = [], [], [], 0
 
         def shard():

@@ -7,7 +7,8 @@ content, so a window that recurs has an anchor that recurs.
 2. Documents are dealt to shards. Each confirmed phrase goes to the shards that hold it; a shard
    compiles its phrases into one automaton (pyahocorasick, over word numbers) and streams its
    documents through it, which locates every occurrence. An automaton is bounded by its shard.
-3. Each window belongs to the leftmost match inside it; the windows that one match leads are its
+3. Each window belongs to the match inside it with the least hash. Of a window that recurs that is its
+   anchor in every shard, whatever other phrases the shards hold. The windows that one match leads are its
    context. Contexts are compared: those alike by two fingerprints of their words, different ones
    around one phrase window by window. A word is removed if a window over it also starts in a
    document with a smaller doc_id.
@@ -63,22 +64,6 @@ def phrase_rows(docs: DataFrame) -> DataFrame:
     return docs.select("ord", "shard", "text").mapInArrow(run, "phrase binary, ord long, shard int")
 
 
-def runs_of(hashes: np.ndarray, first: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """The runs of windows that matches lead: a window belongs to the leftmost match inside it.
-
-    at: where the matches begin, ascending. Windows alike hold the same matches at the same places, so
-    they are led alike wherever they stand. Rows as those of common.anchors.
-    """
-    doc = np.searchsorted(first, at, side="right") - 1
-    before = np.concatenate(([-1], at[:-1])) if len(at) else at
-    lo = np.maximum(np.maximum(before + 1, at + PHRASE - WINDOW), first[doc])
-    hi = np.minimum(at, first[doc + 1] - WINDOW)
-    keep = lo <= hi
-    doc, at, lo, hi = doc[keep], at[keep], lo[keep], hi[keep]
-    one, two = Sequence(hashes, _R1), Sequence(hashes, _R2)
-    return {"doc": doc, "lo": lo, "hi": hi, "hash": one.of(at, at + PHRASE).view(np.int64), "fp1": one.of(lo, hi + WINDOW).view(np.int64), "fp2": two.of(lo, hi + WINDOW).view(np.int64)}
-
-
 def locate(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Occurrences of the phrases of each shard in its documents, by one automaton a shard."""
 
@@ -103,7 +88,9 @@ def locate(docs: DataFrame, phrases: DataFrame) -> DataFrame:
                     x, y = int(first[i]), int(first[i + 1])
                     if y - x >= WINDOW:
                         matches.append(np.array([e for e, _ in automaton.iter(tuple(numbers[x:y]))], dtype=np.int64) + (x + 1 - PHRASE))
-                got = runs_of(hashes, first, np.concatenate(matches) if matches else np.zeros(0, dtype=np.int64))
+                if not matches:
+                    continue
+                got = anchors(hashes, first, WINDOW, PHRASE, np.concatenate(matches))
                 base = first[got["doc"]]
                 doc = got["doc"] + a
                 out.append([ords[doc], ths[doc], got["hash"], (got["lo"] - base).astype(np.int32), (got["hi"] - base).astype(np.int32), got["fp1"], got["fp2"]])

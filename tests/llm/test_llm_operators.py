@@ -191,3 +191,29 @@ def test_files_of_other_encoders_and_text_that_is_not_utf8(spark):
     rows = {r.doc_id: r.length for r in packing.pack_documents(docs, packing.word_tokenizer()).collect()}
     for i, b in ((1, b"ab \xff\xfe cd \xe2\x82 ef \xc3 31"), (2, b"plain")):
         assert rows[i] == len(encoder.tokenizer.encode(b.decode(errors="replace"), add_special_tokens=False).ids) + 1
+
+
+def test_phrases_of_passages_cut_at_many_places(spark):
+    """A shard can hold phrases that are anchors in its own documents only; windows must be led alike in all shards."""
+    import random
+
+    from tesserae.llm.phrases import dedup_phrases
+
+    rng = random.Random(5)
+    sources = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(40)]
+    rows = []
+    for i in range(600):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            a = rng.randrange(360)
+            words += rng.choice(sources)[a : a + rng.randrange(45, 140)] + [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(10))]
+        rows.append((i, words))
+    first, want = {}, {}
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, w in rows:
+        gone = {x for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(8)
+    assert {r["doc_id"]: r["kept"].decode() for r in dedup_phrases(docs).collect()} == want

@@ -78,7 +78,7 @@ def _(spark, d):
     return said(rounded(drained(spark, J.stream_zscore(events(spark, d), "user_id", "value", forget="6 hours"))), "ts")
 
 
-@query("stream_score", "select event_id, {{(select avg(value) from events)}} as prediction, case when value is null then 'abstained' else 'reliable' end as reliability from events")
+@query("stream_score", "with q as (select quantile_cont(value, 0.001) as lo, quantile_cont(value, 0.999) as hi from events) select event_id, {{(select avg(value) from events)}} as prediction, case when value is null or event_type is null or coalesce(value < lo - (hi - lo) or value > hi + (hi - lo), false) then 'abstained' else 'reliable' end as reliability from events, q")
 def _(spark, d):
     t = table(spark, d, "events")
     model = models.fit("baseline_dummy", t, ["value"], "value")

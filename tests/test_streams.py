@@ -107,3 +107,16 @@ def test_quartiles_of_large_windows_are_exact(spark, tmp_path):
     (row,) = spark.read.parquet(f"{tmp_path}/out").collect()
     own = np.sort(x)
     assert (row["q1"], row["median"], row["q3"]) == tuple(own[int(np.ceil(p * len(own))) - 1] for p in (0.25, 0.5, 0.75))
+
+
+def test_score_and_its_sql_abstain_beyond_the_training_range(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, None if i == 7 else 1e6 if i == 8 else float(i % 10), None if i == 9 else "view") for i in range(2000)]
+    t = spark.createDataFrame(rows, "event_id long, value double, event_type string").withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1704067200))
+    t.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["reliability"] for r in registry.queries()["stream_score"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == {r[0]: r[2] for r in con.execute(registry.oracle_sql()["stream_score"]).fetchall()}
+    assert {i for i, r in got.items() if r == "abstained"} == {7, 8, 9}

@@ -67,12 +67,12 @@ def _(spark, d):
     return said(drained(spark, J.stream_sessions(events(spark, d, close=True), "user_id")), "start", "end")
 
 
-@query("stream_zscore", "with e as (select user_id as key, ts, value, avg(value) over w as m, stddev_pop(value) over w as s from events where value is not null window w as (partition by user_id order by ts, value rows between unbounded preceding and 1 preceding)) select key, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {{value}} as value, {{case when s > 0 then (value - m) / s else 0 end}} as z, coalesce(case when s > 0 then abs((value - m) / s) > 3 end, false) as anomaly from e")
+@query("stream_zscore", "with e as (select user_id as key, ts, value, avg(value) over w as m, stddev_pop(value) over w as s from events where value is not null window w as (partition by user_id order by ts, value rows between unbounded preceding and 1 preceding)) select key, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {{value}} as value, {{case when s > 0 then (value - m) / s else 0 end}} as z, coalesce(case when s > 0 then abs((value - m) / s) > 3 * (1 + 1e-9) end, false) as anomaly from e")
 def _(spark, d):
     return said(rounded(drained(spark, J.stream_zscore(events(spark, d), "user_id", "value"))), "ts")
 
 
-@query("stream_zscore_expiring", "with p as (select user_id, ts, value, coalesce(ts - lag(ts) over (partition by user_id order by ts, value) > interval 6 hours, false)::int as new from events where value is not null), g as (select *, sum(new) over (partition by user_id order by ts, value rows unbounded preceding) as part from p), e as (select user_id as key, ts, value, avg(value) over w as m, stddev_pop(value) over w as s from g window w as (partition by user_id, part order by ts, value rows between unbounded preceding and 1 preceding)) select key, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {{value}} as value, {{case when s > 0 then (value - m) / s else 0 end}} as z, coalesce(case when s > 0 then abs((value - m) / s) > 3 end, false) as anomaly from e")
+@query("stream_zscore_expiring", "with p as (select user_id, ts, value, coalesce(ts - lag(ts) over (partition by user_id order by ts, value) > interval 6 hours, false)::int as new from events where value is not null), g as (select *, sum(new) over (partition by user_id order by ts, value rows unbounded preceding) as part from p), e as (select user_id as key, ts, value, avg(value) over w as m, stddev_pop(value) over w as s from g window w as (partition by user_id, part order by ts, value rows between unbounded preceding and 1 preceding)) select key, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {{value}} as value, {{case when s > 0 then (value - m) / s else 0 end}} as z, coalesce(case when s > 0 then abs((value - m) / s) > 3 * (1 + 1e-9) end, false) as anomaly from e")
 def _(spark, d):
     """A user starts afresh after six hours; the state goes with the watermark."""
     return said(rounded(drained(spark, J.stream_zscore(events(spark, d), "user_id", "value", forget="6 hours"))), "ts")

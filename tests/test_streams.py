@@ -120,3 +120,32 @@ def test_score_and_its_sql_abstain_beyond_the_training_range(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert got == {r[0]: r[2] for r in con.execute(registry.oracle_sql()["stream_score"]).fetchall()}
     assert {i for i, r in got.items() if r == "abstained"} == {7, 8, 9}
+
+
+def test_zscore_keeps_digits_and_leaves_ties_at_the_limit(spark, tmp_path):
+    from tesserae.streaming import jobs
+
+    values = [20.23, 20.25, 112.4] + [7.27] * 40 + [1.1]  # key 0: 9216 deviations; key 1: no spread before 1.1; key 2: exactly 3
+    keys = [0] * 3 + [1] * 41
+    values, keys = values + [27.69, 29.69, 31.69], keys + [2] * 3
+    t = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(zip(keys, values, strict=True))], "s long, user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("s") + 1704067200))
+    t.coalesce(1).write.parquet(f"{tmp_path}/in")
+    jobs.drain(jobs.stream_zscore(jobs.replay(spark, f"{tmp_path}/in", t.schema), "user_id", "value"), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {(r["key"], r["value"]): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert abs(got[0, 112.4]["z"] - 9216) < 1e-6
+    assert got[1, 1.1]["z"] == 0.0
+    assert abs(got[2, 31.69]["z"] - 3) < 1e-12 and not got[2, 31.69]["anomaly"]
+
+
+def test_zscore_orders_a_key_that_comes_in_several_frames(spark, tmp_path):
+    from tesserae.streaming import jobs
+
+    rng = np.random.default_rng(3)
+    x, when = rng.normal(size=25_000), rng.permutation(25_000)
+    t = spark.createDataFrame([(int(s), 1, float(v)) for s, v in zip(when, x, strict=True)], "s long, user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("s") + 1704067200))
+    t.coalesce(1).write.parquet(f"{tmp_path}/in")
+    jobs.drain(jobs.stream_zscore(jobs.replay(spark, f"{tmp_path}/in", t.schema), "user_id", "value"), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = [r["z"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("ts").collect()]
+    own = x[np.argsort(when)]
+    for k in range(2, 25_000, 499):
+        assert abs(got[k] - (own[k] - own[:k].mean()) / own[:k].std()) < 1e-9

@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import byte_slices, documents, materialize
-from tesserae.llm.tokens import STEP_BYTES, encoder_of
+from tesserae.llm.tokens import encoder_of
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces in a group.
 GROUP_PIECES = 8192
+#: Texts are encoded in steps of about so many bytes; less than in tokens, as the pipeline's last stage shares its executor's memory.
+STEP_BYTES = 1_000_000
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:

@@ -217,3 +217,25 @@ def test_phrases_of_passages_cut_at_many_places(spark):
         want[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(8)
     assert {r["doc_id"]: r["kept"].decode() for r in dedup_phrases(docs).collect()} == want
+
+
+def test_packing_encodes_in_small_steps():
+    """What one step of the encoder holds beside the pieces it keeps; six workers share an executor."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tesserae.llm import tokens
+    from tesserae.llm.common import byte_slices
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(2)
+    column = pa.array([" ".join(f"word{rng.randrange(300)}" for _ in range(400)) for _ in range(1000)])
+    encoder = tokens.PieceEncoder(tokenizers.path("word_bpe_49k.json"), 0)
+    tracemalloc.start()
+    for _, _, texts in byte_slices(column, packing.STEP_BYTES):
+        encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6

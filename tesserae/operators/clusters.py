@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalar import clean
 from tesserae.operators.kernels import long_form
+from tesserae.sources.written import written
 
 
 def _whole(df: DataFrame, cols: list[str]) -> dict:
@@ -30,14 +31,30 @@ def defining_features(df: DataFrame, cluster: str, cols: list[str], k: int = 3,
     return p.select("cluster", "variable", "deviation", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
+#: Parts of a cluster whose least distances bound the k-th of the whole.
+PARTS = 1024
+
+
+def _within_bound(rows: DataFrame, key: list[str], k: int) -> DataFrame:
+    """rows (cluster, distance and key) less those that cannot be among their cluster's k nearest: the k-th of the
+    least distances of its parts is no less than the k-th of all. Only sums of a part are held, no rows are sorted."""
+    part = F.pmod(F.xxhash64(*key), F.lit(max(PARTS, 4 * k)))
+    least = rows.groupBy("cluster", part.alias("_p")).agg(F.min("distance").alias("_d"))
+    bound = least.groupBy(F.col("cluster").alias("_b")).agg(F.sort_array(F.collect_list("_d")).alias("_d"))
+    bound = bound.select("_b", F.get("_d", F.lit(k - 1)).alias("_d"))
+    near = F.col("distance").isNull() | F.col("_d").isNull() | (F.col("distance") <= F.col("_d"))
+    return rows.join(bound, F.col("cluster") == F.col("_b")).where(near).drop("_b", "_d")
+
+
 def representative_rows(df: DataFrame, cluster: str, cols: list[str], key: list[str], k: int = 3) -> DataFrame:
-    """The rows nearest each cluster's centre, in standardised distance; the nearest k are kept before the shuffle as well."""
+    """The rows nearest each cluster's centre, in standardised distance; only rows within a bound of the k-th distance are ranked."""
     whole = _whole(df, cols)
-    centre = df.groupBy(F.col(cluster).alias("_c")).agg(*[F.avg(clean(c)).alias(f"_m_{c}") for c in cols])
+    centre = written(df.groupBy(F.col(cluster).alias("_c")).agg(*[F.avg(clean(c)).alias(f"_m_{c}") for c in cols]))
     x = df.join(centre, F.col(cluster) == F.col("_c"))
     dist = sum((((clean(c) - F.col(f"_m_{c}")) / whole[c][1]) ** 2 for c in cols), F.lit(0.0))
+    rows = x.select(F.col(cluster).alias("cluster"), *key, dist.alias("distance"))
     w = Window.partitionBy("cluster").orderBy("distance", *key)
-    return x.select(F.col(cluster).alias("cluster"), *key, dist.alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _within_bound(rows, key, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def separating_features(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:

@@ -105,3 +105,20 @@ def test_text_becomes_numbers(spark):
 
     df = spark.createDataFrame([("R1,200.50",), ("12 %",), ("x",)], "s string")
     assert [r[0] for r in df.select(numeric_text(F.col("s"))).collect()] == [1200.5, 12.0, None]
+
+
+def test_representative_rows_rank_few_rows(spark):
+    """The nearest rows are those of a full sort, ties by the key, and only rows within the bound are sorted."""
+    from tesserae.operators import clusters
+
+    rows = [("ab"[i % 2], i, float((i * 7919) % 1009)) for i in range(20_000)]
+    t = spark.createDataFrame(rows, "c string, id long, x double")
+    got = sorted((r["cluster"], r["rank"], r["id"]) for r in clusters.representative_rows(t, "c", ["x"], ["id"]).collect())
+    want = []
+    for c in "ab":
+        own = [(i, x) for k, i, x in rows if k == c]
+        m = sum(x for _, x in own) / len(own)
+        want += [(c, n, i) for n, (_, i) in enumerate(sorted((round((x - m) ** 2, 6), i) for i, x in own)[:3], 1)]
+    assert got == want
+    near = clusters._within_bound(t.selectExpr("c as cluster", "id", "x as distance"), ["id"], 3)
+    assert 6 <= near.count() < 100

@@ -268,10 +268,13 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the least doc_id, of rows alike in it the least text hash.
 
-    Near copies are those of tesserae.llm.jaccard (five words, 0.8); three words and two bits bind op9 only.
+    The index puts documents together whose fingerprints chains of two differing bits connect; the whole sets
+    of five-word shingles decide which of these are near copies (Jaccard similarity of 0.8 or more). Near copies
+    that are further apart in bits than the index reaches are found by prefixes (tesserae.llm.jaccard).
     """
     names = docs.columns
-    got = materialize(near_copies(docs))
+    found = near_components(docs).select("ord", "th", F.col("root").alias("near"))
+    got = materialize(near_copies(docs, found))
     least = got.groupBy("root").agg(F.min(F.struct("ord", "th")).alias("k")).select("k.ord", "k.th")
     times = got.groupBy("ord", "th").agg(F.count(F.lit(1)).alias("_n"))
     keep = materialize(least.join(times, ["ord", "th"]))

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import jaccard, simhash
+from tesserae.llm.common import keyed
 
 
 def shingles(t):
@@ -57,6 +59,22 @@ def test_stage_equals_brute_force(spark, rows):
     assert simhash.simhash_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_stage_goes_through_the_index(spark, rows, monkeypatch):
+    calls, links = [], simhash.link_fingerprints
+    monkeypatch.setattr(simhash, "link_fingerprints", lambda fps: calls.append(1) or links(fps))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted(r["doc_id"] for r in simhash.simhash_stage(spark, docs, "").collect())
+    assert calls and got == sorted(survivors(rows))
+
+
+def test_what_an_index_puts_together_is_confirmed(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = keyed(docs).select("ord", "th", F.lit(1).alias("near"))
+    sketches = jaccard._sketches(docs).cache()
+    assert jaccard._proposed(sketches, found).distinct().count() >= sketches.select("id").distinct().count() - 1
+    assert jaccard.near_copies(docs, found).select("root").distinct().count() == len(survivors(rows))
+
+
 def test_parities_never_rule_out_a_near_copy(rows):
     sets = jaccard.shingle_sets([(t or "").encode() for _, t in rows])
     for a in sets[:150]:

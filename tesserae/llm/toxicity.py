@@ -158,8 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, least_
     return f, (model.coefficients.toArray() * np.array(r)).tolist(), float(model.intercept)
 
 
-def scores_of(texts: list[bytes], table: np.ndarray, flags: np.ndarray, bias: float) -> np.ndarray:
-    """Scores from 0 to 1; table: the weight of each feature, flags: which are not zero."""
+def scores_of(texts: list[bytes], features: np.ndarray, weights: np.ndarray, flags: np.ndarray, bias: float) -> np.ndarray:
+    """Scores from 0 to 1; features: in ascending order, flags: of all numbers, which are features."""
     first, grams = gram_places(texts)
     keys = []
     for n, f in grams:
@@ -170,26 +170,29 @@ def scores_of(texts: list[bytes], table: np.ndarray, flags: np.ndarray, bias: fl
     z = np.full(len(texts), bias)
     if keys:
         keys = np.unique(np.concatenate(keys))
-        z += np.bincount(keys >> BITS, table[keys & ((1 << BITS) - 1)], minlength=len(texts))
+        z += np.bincount(keys >> BITS, weights[np.searchsorted(features, keys & ((1 << BITS) - 1))], minlength=len(texts))
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def score(docs: DataFrame, model, *more: str) -> DataFrame:
-    """score beside the columns in more."""
+    """score beside the columns in more; a text column of strings that is among these goes to the tasks once."""
     features, weights, bias = model
+    order = np.argsort(np.array(features, dtype=np.int64))
+    features, weights = np.array(features, dtype=np.int64)[order], np.array(weights, dtype=np.float64)[order]
+    own = "text" in more and docs.schema["text"].dataType.simpleString() == "string"
+    texts = "text" if own else "_text"
 
     def run(batches):
         import pyarrow as pa
 
         release()
-        table = np.zeros(1 << BITS)
-        table[np.array(features, dtype=np.int64)] = weights
-        flags = table != 0
+        flags = np.zeros(1 << BITS, dtype=bool)
+        flags[features] = weights != 0
         for batch in batches:
-            s = [scores_of(texts, table, flags, bias) for _, _, texts in byte_slices(batch.column("_text"), STEP_BYTES)]
+            s = [scores_of(part, features, weights, flags, bias) for _, _, part in byte_slices(batch.column(texts).fill_null(""), STEP_BYTES)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s) if s else np.zeros(0))] + [batch.column(c) for c in more], names=["score", *more])
 
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), *more)
+    rows = docs.select(*more) if own else docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), *more)
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     return rows.mapInArrow(run, f"score double{fields}")
 
@@ -204,5 +207,7 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold."""
     names = docs.columns
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    row = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in names]))
-    return score(row, model, "_row").where(F.col("score") < THRESHOLD).select("_row.*")
+    rest = [F.col(f"`{c}`") for c in names if c != "text"]
+    row = docs.select(F.col("text").alias("text"), (F.struct(*rest) if rest else F.lit(0)).alias("_row"))  # beside the text, which is not sent twice
+    kept = score(row, model, "text", "_row").where(F.col("score") < THRESHOLD)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in names])

@@ -40,14 +40,50 @@ def vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def _ml(make: Callable, label: bool = True) -> Callable:
-    """A model of MLlib as a fit function."""
+#: How many rows a row of a grouped table stands for.
+TIMES = "_times"
+#: Options by which a fit on rows differs from one on grouped rows: a draw, a count of rows, another loss, other weights.
+BY_ROW = {"subsamplingRate", "minInstancesPerNode", "lossType", "weightCol", "validationIndicatorCol", "featureSubsetStrategy"}
+#: Rows in one task of a fit that keeps all rows in memory.
+TASK_ROWS = 500_000
+
+
+def grouped(df: DataFrame, features: list[str], target: str | None = None, mean: bool = False) -> DataFrame:
+    """The different rows of features and target (mean: of features, with the mean of the target) and TIMES, as a written table.
+
+    A fit that only adds up over rows, or over squared errors (mean), is the same on it, and no round of it reads all rows again.
+    """
+    times = F.count(F.lit(1)).cast("double").alias(TIMES)
+    if mean:  # a null target stays one
+        return written(df.groupBy(*features).agg(times, F.when(F.count(target) == F.count(F.lit(1)), F.avg(F.col(target).cast("double"))).alias(target)))
+    return written(df.groupBy(*dict.fromkeys([*features, *([target] if target else [])])).agg(times))
+
+
+def groups(df: DataFrame, features: list[str], target: str | None, options: dict) -> bool:
+    """Whether a fit can run on a grouped table."""
+    plain = all(df.schema[c].dataType.typeName() not in ("udt", "array", "struct", "map") for c in features)
+    return plain and target not in features and not BY_ROW & options.keys()
+
+
+def dealt(x: DataFrame) -> DataFrame:
+    """x in tasks of at most about TASK_ROWS rows."""
+    parts = -(-x.count() // TASK_ROWS)
+    return x.repartition(parts) if parts > x.rdd.getNumPartitions() else x
+
+
+def _ml(make: Callable, label: bool = True, group: str | None = None) -> Callable:
+    """A model of MLlib as a fit function. group: it is fitted on different rows ("rows"), or on different features and the targets' means ("mean")."""
 
     def run(df, features, target, **options):
         est = make(**options)
         if label:
             est = est.setLabelCol(target)
-        model = est.setFeaturesCol("features").fit(vectors(df, features))
+        if group and groups(df, features, target if label else None, options):
+            est, df = est.setWeightCol(TIMES), grouped(df, features, target if label else None, group == "mean")
+        x = vectors(df, features)
+        if group is None and isinstance(est, (R.RandomForestRegressor, C.RandomForestClassifier)):
+            x = dealt(x.select("features", target))
+        model = est.setFeaturesCol("features").fit(x)
         return lambda x: model.transform(vectors(x, features)).drop("features", "rawPrediction")
 
     return run
@@ -60,12 +96,12 @@ register_model("huber", _ml(lambda **o: R.LinearRegression(loss="huber", **o)))
 for _f, _link in (("poisson", "log"), ("gamma", "log")):
     register_model(_f, _ml(lambda f=_f, k=_link, **o: R.GeneralizedLinearRegression(family=f, link=k, **o)))
 register_model("tweedie", _ml(lambda power=1.5, **o: R.GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, **o)))
-register_model("decision_tree_regression", _ml(lambda **o: R.DecisionTreeRegressor(seed=1, **o)))
+register_model("decision_tree_regression", _ml(lambda **o: R.DecisionTreeRegressor(seed=1, **o), group="mean"))
 register_model("random_forest_regression", _ml(lambda **o: R.RandomForestRegressor(seed=1, **o)))
-register_model("gbt_regression", _ml(lambda **o: R.GBTRegressor(seed=1, **o)))
-register_model("decision_tree", _ml(lambda **o: C.DecisionTreeClassifier(seed=1, **o)))
+register_model("gbt_regression", _ml(lambda **o: R.GBTRegressor(seed=1, **o), group="mean"))
+register_model("decision_tree", _ml(lambda **o: C.DecisionTreeClassifier(seed=1, **o), group="rows"))
 register_model("random_forest", _ml(lambda **o: C.RandomForestClassifier(seed=1, **o)))
-register_model("logistic", _ml(lambda **o: C.LogisticRegression(**o)))
+register_model("logistic", _ml(lambda **o: C.LogisticRegression(**o), group="rows"))
 register_model("naive_bayes", _ml(lambda kind="gaussian", **o: C.NaiveBayes(modelType=kind, **o)))
 register_model("mlp_classifier", _ml(lambda layers=None, **o: C.MultilayerPerceptronClassifier(layers=layers, seed=1, **o)))
 
@@ -75,8 +111,12 @@ def _one_vs_rest(make: Callable) -> Callable:
 
     def run(df, features, target, **options):
         est = make(**options)
+        if groups(df, features, target, options):
+            est, df = est.setWeightCol(TIMES), grouped(df, features, target)
         if df.where(F.col(target).isNotNull()).select(target).distinct().limit(3).count() > 2:
             est = C.OneVsRest(classifier=est)
+            if TIMES in df.columns:
+                est = est.setWeightCol(TIMES)
         model = est.setLabelCol(target).setFeaturesCol("features").fit(vectors(df, features))
         return lambda x: model.transform(vectors(x, features)).drop("features", "rawPrediction")
 
@@ -87,7 +127,7 @@ register_model("gbt", _one_vs_rest(lambda **o: C.GBTClassifier(seed=1, **o)))
 register_model("linear_svc", _one_vs_rest(lambda **o: C.LinearSVC(**o)))
 register_model("kmeans", _ml(lambda k=3, **o: K.KMeans(k=k, seed=1, **o), label=False))
 register_model("bisecting", _ml(lambda k=3, **o: K.BisectingKMeans(k=k, seed=1, **o), label=False))
-register_model("gmm", _ml(lambda k=3, **o: K.GaussianMixture(k=k, seed=1, **o), label=False))
+register_model("gmm", _ml(lambda k=3, **o: K.GaussianMixture(k=k, seed=1, **o), label=False, group="rows"))
 
 
 def _linear(weights, bias, features):
@@ -325,7 +365,7 @@ def _argmax(scores):
 def fit_adaboost(df, features, target, rounds=10, depth=2):
     """Trees on reweighted rows, voting by their accuracy (SAMME); weights are a projection of the trees so far."""
     k = max(2, _classes(df, target))
-    x = vectors(df, features).withColumn("_w", F.lit(1.0))
+    x = vectors(grouped(df, features, target), features).withColumn("_w", F.col(TIMES))
     trees = []
     for _ in range(rounds):
         m = C.DecisionTreeClassifier(labelCol=target, weightCol="_w", maxDepth=depth, seed=1).fit(x)
@@ -338,7 +378,7 @@ def fit_adaboost(df, features, target, rounds=10, depth=2):
             break
         a = math.log((1 - err) / err) + math.log(k - 1)
         trees.append((m, a))
-        x = got.withColumn("_w", F.col("_w") * F.exp(a * (miss - 0.5))).drop("prediction", "probability", "rawPrediction")
+        x = written(got.withColumn("_w", F.col("_w") * F.exp(a * (miss - 0.5))).drop("prediction", "probability", "rawPrediction"))
 
     def votes(a):
         return F.transform("_f", lambda v, i: v + F.when(i == F.col("prediction"), a).otherwise(0.0))
@@ -354,20 +394,23 @@ def fit_adaboost(df, features, target, rounds=10, depth=2):
 
 def fit_adaboost_regression(df, features, target, rounds=10, depth=3):
     """AdaBoost.R2 with linear loss: rows with large errors gain weight; the answer is the median of the trees, weighted by log(1 / beta)."""
-    x = vectors(df.where(F.col(target).isNotNull()), features).withColumn("_w", F.lit(1.0))
+    x = df.where(F.col(target).isNotNull()).groupBy(*dict.fromkeys([*features, target])).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    x = written(x.withColumn(target, F.col(target).cast("double")))
     trees = []
     for _ in range(rounds):
-        m = R.DecisionTreeRegressor(labelCol=target, weightCol="_w", maxDepth=depth, seed=1).fit(x)
-        got = m.transform(x).withColumn("_a", F.abs(F.col("prediction") - F.col(target)))
-        most = got.agg(F.max("_a")).first()[0]
-        loss = got.agg(F.sum(F.col("_w") * F.col("_a")) / F.sum("_w")).first()[0] / most if most else 0.0
+        # a tree of squared errors needs the weights and weighted means of different features only
+        mean = x.groupBy(*features).agg(F.sum("_w").alias(TIMES), (F.sum(F.col("_w") * F.col(target)) / F.sum("_w")).alias("_y"))
+        m = R.DecisionTreeRegressor(labelCol="_y", weightCol=TIMES, maxDepth=depth, seed=1).fit(vectors(written(mean), features))
+        got = m.transform(vectors(x, features)).drop("features").withColumn("_a", F.abs(F.col("prediction") - F.col(target)))
+        most, loss = got.agg(F.max("_a"), F.sum(F.col("_w") * F.col("_a")) / F.sum("_w")).first()
+        loss = loss / most if most else 0.0
         if not 0 < loss < 0.5:
             if not trees or loss == 0:
                 trees.append((m, 1.0 if loss else 50.0))
             break
         beta = loss / (1 - loss)
         trees.append((m, math.log(1 / beta)))
-        x = got.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), 1 - F.col("_a") / most)).drop("prediction", "_a")
+        x = written(got.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), 1 - F.col("_a") / most)).drop("prediction", "_a"))
 
     def predict(y):
         y = vectors(y, features).withColumn("_v", F.array().cast("array<struct<p: double, w: double>>"))
@@ -519,12 +562,16 @@ def fit_stacking(names: list[str], classify: bool = False, folds: int = 5):
         def spread(y, i, score):
             return y.withColumns({c: F.coalesce(F.try_element_at(score, F.lit(j + 2)), F.lit(0.0)) if classify else score for j, c in enumerate(own[i])})
 
-        meta_rows = x
-        for i, n in enumerate(names):
-            cv = by_fold(x, n, features, target, key, folds, scores=classify)
-            meta_rows = meta_rows.join(spread(cv, i, F.col("probability" if classify else "prediction")).select(*key, *own[i]), key)
         cols = [c for o in own for c in o]
-        meta = fit("logistic" if classify else "linear_regression", meta_rows.drop("fold"), cols, target)
+        meta_rows = None
+        for f in range(folds):
+            part = x.where(F.col("fold") == f)  # gets the columns of all models in one go, so that no rows are joined
+            for i, n in enumerate(names):
+                part = fit(n, x.where(F.col("fold") != f), features, target)(part)
+                part = spread(part, i, vector_to_array("probability") if classify else F.col("prediction")).drop("prediction", "probability")
+            part = part.select(target, *cols)
+            meta_rows = part if meta_rows is None else meta_rows.unionAll(part)
+        meta = fit("logistic" if classify else "linear_regression", written(meta_rows), cols, target)
         models = [fit(n, df, features, target) for n in names]
 
         def predict(y):
@@ -690,19 +737,16 @@ def partition_coefficient(members: DataFrame) -> DataFrame:
 
 def gmm_sweep(df: DataFrame, features: list[str], most: int = 4) -> DataFrame:
     """(k, log_likelihood, bic, chosen) of Gaussian mixtures with 1 to most components; one is a plain normal, in closed form."""
-    x, p = vectors(df, features).select("features").persist(), len(features)
+    x, p = vectors(grouped(df, features), features), len(features)
     rows = []
-    try:
-        n, _, s = gram(df, features)
-        for k in range(1, most + 1):
-            if k == 1:
-                like = float(-n / 2 * (p * math.log(2 * math.pi) + np.linalg.slogdet(s / n)[1] + p))
-            else:
-                like = float(K.GaussianMixture(k=k, seed=1).fit(x).summary.logLikelihood)
-            free = k - 1 + k * p + k * p * (p + 1) // 2
-            rows.append((k, like, math.log(n) * free - 2 * like))
-    finally:
-        x.unpersist()
+    n, _, s = gram(df, features)
+    for k in range(1, most + 1):
+        if k == 1:
+            like = float(-n / 2 * (p * math.log(2 * math.pi) + np.linalg.slogdet(s / n)[1] + p))
+        else:
+            like = float(K.GaussianMixture(k=k, seed=1, weightCol=TIMES).fit(x).summary.logLikelihood)
+        free = k - 1 + k * p + k * p * (p + 1) // 2
+        rows.append((k, like, math.log(n) * free - 2 * like))
     best = min(rows, key=lambda r: r[2])[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, log_likelihood double, bic double, chosen boolean")
 

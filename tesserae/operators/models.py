@@ -380,14 +380,13 @@ def fit_adaboost(df, features, target, rounds=10, depth=2):
         trees.append((m, a))
         x = written(got.withColumn("_w", F.col("_w") * F.exp(a * (miss - 0.5))).drop("prediction", "probability", "rawPrediction"))
 
-    def votes(a):
-        return F.transform("_f", lambda v, i: v + F.when(i == F.col("prediction"), a).otherwise(0.0))
-
     def predict(y):
-        y = vectors(y, features).withColumn("_f", F.array_repeat(F.lit(0.0), k))
-        for m, a in trees:
-            y = m.transform(y).withColumn("_f", votes(a)).drop("prediction", "probability", "rawPrediction")
-        return y.withColumn("prediction", _argmax(F.col("_f"))).drop("_f", "features")
+        y = vectors(y, features)
+        for t, (m, _) in enumerate(trees):  # a tree's class alone; no vectors of votes and shares beside it
+            y = m.copy().setPredictionCol(f"_p{t}").setRawPredictionCol("").setProbabilityCol("").transform(y)
+        own = [F.col(f"_p{t}") for t in range(len(trees))]
+        votes = [sum((F.when(p == c, a).otherwise(0.0) for p, (_, a) in zip(own, trees, strict=True)), F.lit(0.0)) for c in range(k)]
+        return y.withColumn("prediction", _argmax(F.array(*votes))).drop("features", *[f"_p{t}" for t in range(len(trees))])
 
     return predict
 

@@ -709,15 +709,19 @@ def latent_class_sweep(df: DataFrame, items: list[str], most: int = 4) -> DataFr
 
 def latent_class_members(df: DataFrame, items: list[str], prior: np.ndarray, rate: np.ndarray) -> DataFrame:
     """df with membership (a probability for each class) and class; null where an item is missing."""
-    logs = []
-    for p, r in zip(prior.tolist(), rate.tolist(), strict=True):
-        logs.append(sum((F.when(F.col(c).cast("int") == 1, math.log(a)).when(F.col(c).cast("int") == 0, math.log(1 - a)) for c, a in zip(items, r, strict=True)), F.lit(math.log(max(p, 1e-300)))))
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    share = [F.exp(v - top) for v in logs]
-    total = sum(share, F.lit(0.0))
+    # each step is a column of its own: written out in one another, they would be worked out anew wherever they occur
+    k = range(len(prior))
+    x = df.withColumns({f"_i{j}": F.col(c).cast("int") for j, c in enumerate(items)})
+    like = {}
+    for i, p, r in zip(k, prior.tolist(), rate.tolist(), strict=True):
+        like[f"_l{i}"] = sum((F.when(F.col(f"_i{j}") == 1, math.log(a)).when(F.col(f"_i{j}") == 0, math.log(1 - a)) for j, a in enumerate(r)), F.lit(math.log(max(p, 1e-300))))
+    top = F.greatest(*like) if len(like) > 1 else F.col("_l0")
+    x = x.withColumns(like).withColumn("_top", top).withColumns({f"_s{i}": F.exp(F.col(f"_l{i}") - F.col("_top")) for i in k})
+    x = x.withColumn("_total", sum((F.col(f"_s{i}") for i in k), F.lit(0.0)))
     there = sum((F.col(c).isNull().cast("int") for c in items), F.lit(0)) == 0
-    member = F.when(there, F.array(*[s / total for s in share]))
-    return df.withColumn("membership", member).withColumn("class", (F.array_position("membership", F.array_max("membership")) - 1).cast("int"))
+    x = x.withColumn("membership", F.when(there, F.array(*[F.col(f"_s{i}") / F.col("_total") for i in k])))
+    x = x.drop("_top", "_total", *like, *[f"_s{i}" for i in k], *[f"_i{j}" for j in range(len(items))])
+    return x.withColumn("class", (F.array_position("membership", F.array_max("membership")) - 1).cast("int"))
 
 
 def fuzzy_members(df: DataFrame, features: list[str], centres: np.ndarray, m: float = 2.0) -> DataFrame:

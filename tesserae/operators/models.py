@@ -118,11 +118,22 @@ def _one_vs_rest(make: Callable) -> Callable:
             if TIMES in df.columns:
                 est = est.setWeightCol(TIMES)
         model = est.setLabelCol(target).setFeaturesCol("features").fit(vectors(df, features))
+        if isinstance(model, C.OneVsRestModel):
+            return lambda x: _greatest_margin(model.models, vectors(x, features)).drop("features")
         return lambda x: model.transform(vectors(x, features)).drop("features", "rawPrediction")
 
     return run
 
 
+def _greatest_margin(models: list, x: DataFrame) -> DataFrame:
+    """x with the class whose model has the greatest margin, the first at a tie: what OneVsRest returns, without a map a row and model."""
+    names = [f"_m{i}" for i in range(len(models))]
+    for m, name in zip(models, names, strict=True):
+        m = m.copy().setRawPredictionCol(name).setPredictionCol("").setFeaturesCol("features")
+        x = (m.setProbabilityCol("") if m.hasParam("probabilityCol") else m).transform(x).withColumn(name, vector_to_array(name)[1])
+    return x.withColumn("prediction", _argmax(F.array(*names))).drop(*names)
+
+
 register_model("gbt", _one_vs_rest(lambda **o: C.GBTClassifier(seed=1, **o)))
 register_model("linear_svc", _one_vs_rest(lambda **o: C.LinearSVC(**o)))
 register_model("kmeans", _ml(lambda k=3, **o: K.KMeans(k=k, seed=1, **o), label=False))

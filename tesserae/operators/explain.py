@@ -11,6 +11,7 @@ import itertools
 import math
 import random
 from collections.abc import Callable
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -24,6 +25,7 @@ from tesserae.functions.scalar import clean
 from tesserae.operators.clusters import clustering_metrics
 from tesserae.operators.kernels import quantiles
 from tesserae.operators.models import _solve, by_fold, cross_validate, fit, fold_of, fold_table, vectors
+from tesserae.sources.written import written
 
 
 def _complete(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
@@ -103,14 +105,14 @@ def explain_rows(df: DataFrame, model: Callable, features: list[str], key: list[
         return F.transform(values, lambda v: F.struct(F.lit(c).alias("variable"), *[(v if f == c else F.col(f)).alias(f) for f in features]))
 
     changed = [variants(c) for c in features]
-    # rows alike in key and features have the same effects: they are counted and put out as often
-    got = model(x.select(*key, F.struct(*features).alias("_row"), F.inline(F.concat(F.array(own), *changed))))
+    # effects hang on the features alone: copies are made of each different row, and the effects joined back
+    got = model(x.select(*features).distinct().select(F.struct(*features).alias("_row"), F.inline(F.concat(F.array(own), *changed))))
     mean = lambda c: F.avg(F.when(F.col("variable") == c, F.col("prediction")))
     effects = F.array(*[F.struct(F.lit(c).alias("variable"), (mean("") - mean(c)).alias("effect")) for c in features])
-    alike = got.groupBy(*key, "_row").agg(F.count_if(F.col("variable") == "").alias("_n"), effects.alias("_e"))
     ranked = F.array_sort("_e", lambda a, b: F.when(F.abs(a["effect"]) > F.abs(b["effect"]), -1).when(F.abs(a["effect"]) < F.abs(b["effect"]), 1).when(a["variable"] < b["variable"], -1).otherwise(1))
-    rows = alike.select(*key, F.explode(F.array_repeat(ranked, F.col("_n").cast("int"))).alias("_e"))
-    return rows.select(*key, F.posexplode("_e").alias("rank", "_e")).select(*key, "_e.variable", "_e.effect", (F.col("rank") + 1).alias("rank"))
+    learned = written(got.groupBy("_row").agg(effects.alias("_e")).select(*[F.col(f"_row.{c}").alias(f"_f{i}") for i, c in enumerate(features)], ranked.alias("_e")))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_f{i}") for i, c in enumerate(features)])
+    return x.join(learned, same).select(*key, F.posexplode("_e").alias("rank", "_e")).select(*key, "_e.variable", "_e.effect", (F.col("rank") + 1).alias("rank"))
 
 
 def _r2(df: DataFrame, target: str) -> float:

@@ -12,22 +12,29 @@ from tesserae.session import table
 from tesserae.streaming import jobs as J
 
 
+#: Rows of one file of a replayed stream, about.
+FILE_ROWS = 500_000
+
+
 def events(spark, d, close=False):
-    """events written in four files, one after the other in the order of time, then read as a stream of one file a trigger.
+    """events written in four parts, one after the other in the order of time, then read as a stream of one part a trigger.
 
+    A part is one file, or several of about FILE_ROWS rows, as many in each part, so that a trigger takes a whole part.
     close: a last event long after the others, so that the watermark passes every window of theirs; its own stays open.
     """
     path = new_folder(spark)
     t = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    part, last = F.lit(0), None
+    part, last, files = F.lit(0), None, 1
     if cut := t.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0]:
         part = sum((F.when(F.unix_micros("ts") > e, 1).otherwise(0) for e in cut), F.lit(0))
-        last = t.agg(F.max("ts") + F.expr("interval 2 days")).first()[0]
+        row = t.agg(F.max("ts") + F.expr("interval 2 days"), *[F.count_if(part == i) for i in range(4)]).first()
+        last, files = row[0], max(1, min(row[1:]) // FILE_ROWS)
     for i in range(4):  # the source orders files by the time of writing
-        t.where(part == i).coalesce(1).write.mode("append").parquet(path)
+        own = t.where(part == i)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
     if close and last:
-        spark.createDataFrame([tuple(last if c == "ts" else None for c in t.columns)], t.schema).write.mode("append").parquet(path)
-    return J.replay(spark, path, t.schema)
+        spark.range(1).select(*[F.lit(last if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in t.schema.fields]).coalesce(1).write.mode("append").parquet(path)
+    return J.replay(spark, path, t.schema, files)
 
 
 def drained(spark, stream):

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,7 +140,118 @@ register_model("gbt", _one_vs_rest(lambda **o: C.GBTClassifier(seed=1, **o)))
 register_model("linear_svc", _one_vs_rest(lambda **o: C.LinearSVC(**o)))
 register_model("kmeans", _ml(lambda k=3, **o: K.KMeans(k=k, seed=1, **o), label=False))
 register_model("bisecting", _ml(lambda k=3, **o: K.BisectingKMeans(k=k, seed=1, **o), label=False))
-register_model("gmm", _ml(lambda k=3, **o: K.GaussianMixture(k=k, seed=1, **o), label=False, group="rows"))
+#: EM of a mixture goes on until a round adds less than this to the mean log-likelihood; least variance of a standardised column.
+MIXTURE_GAIN, MIXTURE_FLOOR = 1e-6, 1e-6
+
+
+@dataclass
+class Mixture:
+    """A fitted Gaussian mixture: columns are standardised by shift and scale, weights, means and covariances are of these."""
+
+    shift: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+    log_likelihood: float = -math.inf  # of all rows, in the columns' own units
+    rounds: int = 0
+
+    def whitening(self) -> tuple[np.ndarray, np.ndarray]:
+        """Matrices a for which (x - mean) @ a has unit covariance, and the logarithm of each density's factor and weight."""
+        a = np.stack([np.linalg.inv(np.linalg.cholesky(c)).T for c in self.covariances])
+        with np.errstate(divide="ignore"):
+            return a, np.log(self.weights) - self.means.shape[1] / 2 * math.log(2 * math.pi) + np.log(np.abs(np.linalg.det(a)))
+
+
+def _mixture_sums(x: DataFrame, features: list[str], m: Mixture) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """One round over standardised different rows: log-likelihood, and by component the memberships' sum, first and second moments about its mean."""
+    (k, p), (a, factor), means = m.means.shape, m.whitening(), m.means
+
+    def run(batches):
+        import pyarrow as pa
+
+        out = np.zeros(1 + k * (1 + p + p * p))
+        for batch in batches:
+            z, times = np.stack([batch.column(c).to_numpy() for c in features], axis=1), batch.column(TIMES).to_numpy()
+            d = z[:, None, :] - means
+            log = factor - 0.5 * (np.einsum("nkp,kpq->nkq", d, a) ** 2).sum(axis=2)
+            top = log.max(axis=1, keepdims=True)
+            share = np.exp(log - top)
+            total = share.sum(axis=1, keepdims=True)
+            share *= times[:, None] / total
+            second = np.stack([(share[:, j, None] * d[:, j]).T @ d[:, j] for j in range(k)])
+            out += np.concatenate(([times @ (np.log(total) + top)[:, 0]], share.sum(axis=0), np.einsum("nk,nkp->kp", share, d).ravel(), second.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    got = np.sum([r.sums for r in x.mapInArrow(run, "sums array<double>").collect()], axis=0)  # a row a task
+    return float(got[0]), got[1 : 1 + k], got[1 + k : 1 + k + k * p].reshape(k, p), got[1 + k + k * p :].reshape(k, p, p)
+
+
+def complete(df: DataFrame, features: list[str]) -> DataFrame:
+    """The different complete rows of features and their numbers."""
+    return grouped(df.select(*[clean(c).alias(c) for c in features]).dropna(), features)
+
+
+def gaussian_mixture(x: DataFrame, features: list[str], k: int = 3) -> Mixture:
+    """Full covariances by EM on standardised columns, from the clusters of a k-means, until a round adds next to nothing. x: complete()."""
+    w, n = F.col(TIMES), x.agg(F.sum(TIMES)).first()[0]
+    if not n:
+        raise ValueError("no complete rows")
+    shift = np.array(x.agg(*[F.sum(w * F.col(c)) / n for c in features]).first(), dtype=float)
+    scale = np.sqrt(np.array(x.agg(*[F.sum(w * (F.col(c) - v) ** 2) / n for c, v in zip(features, shift.tolist(), strict=True)]).first(), dtype=float))
+    scale = np.where(scale > 0, scale, 1.0)
+    x = written(x.select(*[((F.col(c) - v) / s).alias(c) for c, v, s in zip(features, shift.tolist(), scale.tolist(), strict=True)], TIMES))
+    start = K.KMeans(k=k, seed=1, maxIter=300, weightCol=TIMES).fit(vectors(x, features)).transform(vectors(x, features))
+    pairs = [(a, b) for a in range(len(features)) for b in range(a, len(features))]
+    sums = [F.sum(w)] + [F.sum(w * F.col(c)) for c in features] + [F.sum(w * F.col(features[a]) * F.col(features[b])) for a, b in pairs]
+    rows = np.array([list(r)[1:] for r in start.groupBy("prediction").agg(*sums).orderBy("prediction").collect()], dtype=float)  # a row a cluster
+    times, p = rows[:, 0], len(features)
+    first, second = rows[:, 1 : 1 + p], np.zeros((len(rows), p, p))
+    for i, (a, b) in enumerate(pairs):
+        second[:, a, b] = second[:, b, a] = rows[:, 1 + p + i]
+    m = Mixture(shift, scale, *_maximised(times, np.zeros((len(rows), p)), first, second))
+    while True:
+        like, times, first, second = _mixture_sums(x, features, m)
+        gain, m.log_likelihood = like - m.log_likelihood, like
+        if not abs(gain) >= MIXTURE_GAIN * n:
+            break
+        m = Mixture(shift, scale, *_maximised(times, m.means, first, second), like, m.rounds + 1)
+    m.log_likelihood = like - n * float(np.log(scale).sum())
+    return m
+
+
+def _maximised(times, about, first, second) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and covariances from the memberships' sums and moments about some points."""
+    times = np.maximum(times, 1e-300)
+    off = first / times[:, None]
+    covariances = second / times[:, None, None] - off[:, :, None] * off[:, None, :] + MIXTURE_FLOOR * np.eye(first.shape[1])
+    return times / times.sum(), about + off, covariances
+
+
+def fit_mixture(df, features, target=None, k=3, **options):
+    """gaussian_mixture as a model with prediction and probability. Options are MLlib's, which then does the fit."""
+    if options or not groups(df, features, None, {}):
+        return _ml(lambda **o: K.GaussianMixture(seed=1, **o), label=False, group="rows")(df, features, target, k=k, **options)
+    m = gaussian_mixture(complete(df, features), features, k)
+    (a, factor), names = m.whitening(), [f"_l{j}" for j in range(len(m.weights))]
+
+    def log(j):
+        d = [(clean(c) - float(s)) / float(r) - float(v) for c, s, r, v in zip(features, m.shift, m.scale, m.means[j], strict=True)]
+        return F.lit(float(factor[j])) - 0.5 * sum((sum((d[i] * float(a[j, i, q]) for i in range(q + 1)), F.lit(0.0)) ** 2 for q in range(len(d))), F.lit(0.0))
+
+    def run(x):
+        x = x.where(reduce(lambda u, v: u & v, [clean(c).isNotNull() for c in features]))
+        x = x.withColumns({name: log(j) for j, name in enumerate(names)})
+        x = x.withColumn("_top", F.greatest(*names) if len(names) > 1 else F.col(names[0]))
+        x = x.withColumns({name: F.exp(F.col(name) - F.col("_top")) for name in names})
+        x = x.withColumn("_total", sum((F.col(name) for name in names), F.lit(0.0)))
+        share = F.array(*[F.col(name) / F.col("_total") for name in names])
+        return x.withColumn("probability", array_to_vector(share)).withColumn("prediction", _argmax(F.array(*names)).cast("int")).drop(*names, "_top", "_total")
+
+    return run
+
+
+register_model("gmm", fit_mixture)
 
 
 def _linear(weights, bias, features):
@@ -751,14 +864,14 @@ def partition_coefficient(members: DataFrame) -> DataFrame:
 
 def gmm_sweep(df: DataFrame, features: list[str], most: int = 4) -> DataFrame:
     """(k, log_likelihood, bic, chosen) of Gaussian mixtures with 1 to most components; one is a plain normal, in closed form."""
-    x, p = vectors(grouped(df, features), features), len(features)
+    x, p = complete(df, features), len(features)
     rows = []
     n, _, s = gram(df, features)
     for k in range(1, most + 1):
         if k == 1:
             like = float(-n / 2 * (p * math.log(2 * math.pi) + np.linalg.slogdet(s / n)[1] + p))
         else:
-            like = float(K.GaussianMixture(k=k, seed=1, weightCol=TIMES).fit(x).summary.logLikelihood)
+            like = gaussian_mixture(x, features, k).log_likelihood
         free = k - 1 + k * p + k * p * (p + 1) // 2
         rows.append((k, like, math.log(n) * free - 2 * like))
     best = min(rows, key=lambda r: r[2])[0]

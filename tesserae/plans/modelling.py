@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tesserae.operators import models as M
@@ -157,10 +158,19 @@ def clusters(name, model):
     query(name)(run)
 
 
-for _n, _m in (("fit_kmeans", "kmeans"), ("fit_bisecting", "bisecting"), ("fit_gmm", "gmm")):
+for _n, _m in (("fit_kmeans", "kmeans"), ("fit_bisecting", "bisecting")):
     clusters(_n, _m)
 
 
+@query("fit_gmm")
+def _(spark, d):
+    """Rows that each component is the likeliest for, and the sum of all rows' memberships in it."""
+    x, k = items(spark, d), 3
+    got = M.fit("gmm", x, X2, k=k)(x).select("prediction", vector_to_array("probability").alias("share"))
+    each = [F.struct(F.lit(j).alias("prediction"), F.count_if(F.col("prediction") == j).alias("n"), F.sum(F.get("share", F.lit(j))).alias("members")) for j in range(k)]
+    return got.agg(F.array(*each).alias("each")).select(F.inline("each")).where("members is not null")
+
+
 def frame(spark, array, names):
     return spark.createDataFrame([tuple([i, *map(float, r)]) for i, r in enumerate(np.atleast_2d(array))], "component int, " + ", ".join(f"{c} double" for c in names))
 

@@ -39,23 +39,56 @@ _LANES = np.uint64(0x0101010101010101)
 
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """One 64-bit fingerprint a text."""
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    for i, t in enumerate(texts):
-        words = t.lower().split()
-        n = len(words)
-        if n >= shingle:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1)
-            begins = np.concatenate(([0], ends[:-1]))[: n - shingle + 1].tolist()
-            until = (ends[shingle - 1 :] - 1).tolist()
-            hashes += [digest(joined[a:b], SEED) for a, b in zip(begins, until, strict=True)]
-            counts[i] = n - shingle + 1
-        elif n:
-            hashes.append(digest(b" ".join(words), SEED))
-            counts[i] = 1
-    return majority(np.array(hashes, dtype=np.uint64), counts)
+    words = [t.lower().split() for t in texts]
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    data = np.frombuffer(b" ".join([x for w in words for x in w]) + b" " * 32, dtype=np.uint8)
+    long = np.fromiter((len(x) for w in words for x in w), dtype=np.int64, count=int(size.sum()))
+    end = np.cumsum(long + 1) - 1
+    counts = np.where(size >= shingle, size - shingle + 1, np.minimum(size, 1))
+    shift = np.repeat(np.cumsum(size) - size - (np.cumsum(counts) - counts), counts)  # a text's first word against its first shingle
+    first = np.arange(counts.sum()) + shift
+    last = first + np.repeat(np.minimum(size, shingle), counts) - 1
+    begin = end[first] - long[first]
+    return majority(xxh64(data, begin, end[last] - begin), counts)
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def xxh64(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 (seed SEED) of stretches of data, which has 32 bytes more at its end: those of one size below 32 bytes together, longer ones one by one."""
+    out = np.empty(len(begin), dtype=np.uint64)
+    at_eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    order = np.argsort(np.minimum(size, 32).astype(np.uint8), kind="stable")
+    cut = np.searchsorted(np.minimum(size, 32)[order], np.arange(34))
+    for n in range(32):
+        own = order[cut[n] : cut[n + 1]]
+        if not len(own):
+            continue
+        at = begin[own]
+        h = np.full(len(own), np.uint64(SEED + n) + _P5, dtype=np.uint64)
+        for i in range(0, n - 7, 8):
+            lane = at_eight[at + i].view("<u8").ravel()
+            h = _turned(h ^ (_turned(lane * _P2, 31) * _P1), 27) * _P1 + _P4
+        done = n & ~7
+        if n & 4:
+            four = at_eight[at + done].view("<u8").ravel() & np.uint64(0xFFFFFFFF)
+            h = _turned(h ^ (four * _P1), 23) * _P2 + _P3
+            done += 4
+        for i in range(done, n):
+            h = _turned(h ^ (data[at + i].astype(np.uint64) * _P5), 11) * _P1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        out[own] = h ^ (h >> np.uint64(32))
+    rest = order[cut[32] :]
+    if len(rest):
+        whole, digest = data.tobytes(), xxhash.xxh64_intdigest
+        out[rest] = np.fromiter((digest(whole[a : a + n], SEED) for a, n in zip(begin[rest].tolist(), size[rest].tolist(), strict=True)), dtype=np.uint64, count=len(rest))
+    return out
 
 
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
